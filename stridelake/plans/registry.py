@@ -1,6 +1,12 @@
-"""All queries over the reference's operators and their DuckDB twins."""
+"""All queries over the corpus operators and their DuckDB twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import importlib
+
+from stridelake.plans.base import ORACLE_SQL, QUERIES
+
+for _name in ("series", "detection", "statistics"):
+    importlib.import_module(f"stridelake.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,15 +1,56 @@
-"""The curation pipeline over ``documents``; filled in below as its stages exist."""
+"""The curation pipeline over ``documents``: every stage's rows are written as Parquet and read again by the next one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from stridelake.llm.common import table, written
+from stridelake.llm.line_dedup import dedup_lines
+from stridelake.llm.mixing import take_mix
+from stridelake.llm.quality import keep_good
+from stridelake.llm.sentencepieces import encode_digests, model_path
+from stridelake.llm.simhash import near_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, takes for good."""
+    return keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the first of them; ``n_chars`` follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of fingerprints that differ in 3 bits or fewer."""
+    return near_dedup(docs).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return take_mix(docs).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return encode_digests(docs, model_path()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("pieces", pieces)]
+#: A fitted classifier, a random mix and a tokenizer are not expressible in SQL; tests/llm runs the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in order, from ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 pipeline = run

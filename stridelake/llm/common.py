@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 import bisect
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridelake.storage import shared_dir, written
+
+__all__ = ["id_bounds", "order_id", "range_at", "range_of", "shared_dir", "table", "text_parts", "whole_text", "written"]
+
 #: ASCII white space of every contract in this subpackage: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: The order key that stands for a null document id: a null id is one more document, after all others.
 NULL_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests in local mode) a temporary folder is set for the session.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def order_id(name: str) -> Column:
     """The id as a long that is never null, for grouping and ordering."""
     return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))

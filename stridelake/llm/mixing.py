@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    capped = per.withColumn("w", weight.cast("double")).withColumn("cap", (F.col("source_size") * most).cast("double"))
+    capped = per.withColumn("place", place).withColumn("w", weight.cast("double")).withColumn("cap", (F.col("source_size") * most).cast("double"))
     rise = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = rise.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -41,7 +41,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     levelled = capped.withColumn("level", level).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
-    common = F.min(F.when(F.col("fits"), F.col("level"))).over(whole)
+    ratio = (F.col("cap") / F.col("w")).alias("ratio")
+    common = F.min(F.when(F.col("fits"), F.struct(ratio, F.col("place"), F.col("level")))).over(whole)["level"]
     return levelled.withColumn("common", common).select(
         "source", "source_size", "n", F.when(F.col("common").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("common") * F.col("w"))).alias("target")
     )
@@ -100,8 +101,8 @@ def mix(
     others; null is a source. Reruns agree: blocks, order and draws are hashes of ids and texts.
 
     Rows are dealt to blocks of about ``FAN`` by hash, so a source of any share spreads over all tasks. Each block folds its units to decisions
-    and one residual at most; residuals of ``FAN`` neighbouring blocks meet on the next level, until each source has one, which is rounded by its own draw.
-    Levels grow with the logarithm of the rows; each is a written table.
+    and one residual at most; residuals of ``FAN`` neighbouring blocks meet on the next level, until each source has one, which goes to the
+    nearer side: a source misses its target by half a document at most. Levels grow with the logarithm of the rows; each is a written table.
     """
     sizes = written(df.select(
         F.col(f"`{id_col}`").cast("long").alias("given"), order_id(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"),
@@ -129,8 +130,7 @@ def mix(
             break
         level = rest.select("key", "block", F.struct(F.xxhash64(F.lit(seed + 1), "id", "row").alias("at"), "id", "row", "size", "x").alias("unit"))
         depth, left = depth + 1, -(-left // FAN)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), "id", "row"), 11) / F.lit(float(1 << 53))
-    decided = decided.unionByName(rest.select("key", "id", "row", "size", (draw < F.col("x")).cast("int").alias("add")))
+    decided = decided.unionByName(rest.select("key", "id", "row", "size", F.round("x").cast("int").alias("add")))
     settled = rows.where(~loose).select("key", "id", "row", "size", F.lit(0).alias("add"))
     taken = decided.unionByName(settled).join(known.select("key", "source_size", "target", "base"), "key")
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("add")).otherwise(F.lit(0))

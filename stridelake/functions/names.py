@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Joints by limb, and the hints that a motion name is of low dynamics.
+# The words of motion names that make a family, in the order in which they count.
+FAMILY_WORDS = (
+    "idle", "look", "walk", "jog", "run", "turn", "jump", "hop", "kneel", "squat", "crouch", "sit", "stand", "lift", "pick", "put", "place", "throw",
+    "catch", "push", "pull", "carry", "reach", "pocket_searching", "playing_recorder",
+)
+# Joints by limb.
 ARM_JOINTS = ("shoulder", "elbow", "wrist")
 LEG_JOINTS = ("hip", "knee", "ankle")
-TORSO_JOINTS = ("waist", "head", "torso")
+TORSO_JOINTS = ("waist", "head")
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -19,15 +24,22 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def side(joint: Column) -> Column:
-    return F.when(F.startswith(joint, F.lit("left")), "left").when(F.startswith(joint, F.lit("right")), "right").otherwise("center")
+    return F.when(F.startswith(joint, F.lit("left_")), "left").when(F.startswith(joint, F.lit("right_")), "right").otherwise("center")
 
 
-def side_group(joint: Column) -> Column:
-    """Side and limb part of a joint (``left_elbow``); waist, torso and head are ``torso_head``."""
-    part = F.lit("other")
-    for name in reversed(("ankle", "knee", "hip", "wrist", "elbow", "shoulder")):
-        part = F.when(F.contains(joint, F.lit(name)), F.lit(name)).otherwise(part)
-    return F.when(contains_any(joint, TORSO_JOINTS), "torso_head").when(side(joint) == "center", part).otherwise(F.concat_ws("_", side(joint), part))
+def side_group(joint: Column, torso: str = "merged") -> Column:
+    """Side and limb part of a joint (``left_elbow``, ``center_knee``).
+
+    Waist and head are ``torso_head`` where ``torso`` is merged; where it is split they are parts like others, and what is no known part is ``other``.
+    """
+    parts = ("ankle", "knee", "hip", "wrist", "elbow", "shoulder")
+    found = F.lit(None).cast("string")
+    for name in reversed(parts if torso == "merged" else ("shoulder", "elbow", "wrist", "hip", "knee", "ankle", "waist", "head")):
+        found = F.when(F.contains(joint, F.lit(name)), F.lit(name)).otherwise(found)
+    named = F.concat_ws("_", side(joint), found)
+    if torso != "merged":
+        return F.when(found.isNull(), "other").otherwise(named)
+    return F.when(found.isNotNull(), named).when(contains_any(joint, ("waist", "head")), "torso_head").otherwise(F.concat_ws("_", side(joint), F.lit("other")))
 
 
 def chain(joint: Column) -> Column:
@@ -44,19 +56,24 @@ def limb(joint: Column) -> Column:
 def path_parts(path: Column, mode: str = "full") -> dict[str, Column]:
     """dataset, category and subcategory of a relative path, by one of the rules in use.
 
-    ``full``: data sets named seed and grab have their category one and two levels down, others take the first folder; ``flat``: a file without a
-    folder is of data set nutan; ``dataset``: a missing category is the data set; ``blank``: it is empty; ``category``: the category alone.
+    ``full``: a file of the data set seed has its second folder as category and subcategory, one of grab as subcategory, others have the data set as
+    category and the second part as subcategory. The other rules give a data set and a subset: the second part for seed and grab, else the
+    data set (``dataset``) or nothing (``flat`` and ``blank``); ``flat`` and ``blank`` take a file without folder as data set nutan, ``flat`` also names that
+    set's subset. ``category``: the second part for seed, else the first.
     """
     parts = F.split(path, "/")
-    depth = F.size(parts)
-    first = F.when(depth > 1, parts[0]).otherwise("nutan" if mode == "flat" else "")
-    at = lambda i: F.when(depth > i + 1, F.get(parts, F.lit(i)))
-    fallback = {"dataset": first, "blank": F.lit(""), "flat": F.lit("root"), "full": F.lit("uncategorized"), "category": F.lit("uncategorized")}[mode]
-    special = first.isin("seed", "grab") if mode == "full" else F.lit(False)
-    category = F.coalesce(F.when(special, at(1)).otherwise(at(1)), fallback)
-    subcategory = F.coalesce(F.when(special, at(2)), category) if mode == "full" else F.coalesce(at(2), category)
-    found = {"dataset": first, "category": category, "subcategory": subcategory}
-    return {"category": category} if mode == "category" else found
+    depth, first, second = F.size(parts), parts[0], F.get(F.split(path, "/"), F.lit(1))
+    deep = depth >= 2
+    if mode == "category":
+        return {"category": F.when(deep & (first == "seed"), second).otherwise(first)}
+    if mode == "full":
+        category = F.when(deep & (first == "seed"), second).otherwise(first)
+        return {"dataset": first, "category": category, "subcategory": F.when(deep, second).otherwise(first)}
+    special = deep & first.isin("seed", "grab")
+    if mode == "dataset":
+        return {"dataset": first, "subset": F.when(special, second).otherwise(first)}
+    rest = F.when(first == "nutan", "nutan").otherwise("") if mode == "flat" else F.lit("")
+    return {"dataset": F.when(deep, first).otherwise("nutan"), "subset": F.when(special, second).when(deep, rest).otherwise("nutan")}
 
 
 def without_mirror(stem: Column) -> Column:
@@ -68,12 +85,12 @@ def without_actor(stem: Column) -> Column:
     return F.regexp_replace(without_mirror(stem), r"__A\d+$", "")
 
 
-def family(stem: Column, keywords: tuple[str, ...]) -> Column:
+def family(stem: Column, keywords: tuple[str, ...] = FAMILY_WORDS) -> Column:
     """The first three keywords (in the order given) the name holds, joined by +; else its first three tokens that are no numbers or sides."""
     name = F.lower(without_actor(stem))
     hits = F.slice(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(name, k)), 1, 3)
-    tokens = F.slice(F.filter(F.split(name, "[^a-z0-9]+"), lambda t: (t != "") & ~t.rlike("^[0-9]+$") & ~t.isin("l", "r")), 1, 3)
-    return F.when(F.size(hits) > 0, F.array_join(hits, "+")).otherwise(F.array_join(tokens, "_"))
+    tokens = F.slice(F.filter(F.split(name, r"[_\W]+"), lambda t: (t != "") & ~t.rlike("^[0-9]+$") & ~t.isin("l", "r")), 1, 3)
+    return F.when(F.size(hits) > 0, F.array_join(hits, "+")).when(F.size(tokens) > 0, F.array_join(tokens, "_")).otherwise(name)
 
 
 def feature_group(feature: Column) -> Column:

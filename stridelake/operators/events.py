@@ -107,7 +107,7 @@ def cluster_summary(events: DataFrame, keys: list[str], frame: str = "frame0") -
 
 def transient_verdict(joints: Column, chains: Column) -> Column:
     """One chain and one or two joints can be repaired, all else is hard."""
-    return F.when((F.size(chains) == 1) & F.size(joints).between(1, 2), "repairable_transient").otherwise("hard_transient")
+    return F.when((F.size(chains) == 1) & F.size(joints).between(1, 2), "repairable_transient_spike").otherwise("hard_transient_multijoint_or_multichain")
 
 
 def chain_threshold(chain: Column, limits: dict[str, float], other: float) -> Column:
@@ -122,17 +122,17 @@ def dataset_verdict(chains: Column, has_window: Column, upper_joints: Column, se
     """Legs alone are dynamic; an arm window, two upper joints or two severe joints are hard; the rest is a single joint to repair."""
     return (
         F.when((F.size(chains) == 1) & (chains[0] == "lower"), "lower_high_dynamic")
-        .when(has_window | (upper_joints >= 2) | (severe_joints >= 2), "hard_branch_switch").otherwise("repairable_single_joint_jump")
+        .when(has_window | (upper_joints >= 2) | (severe_joints >= 2), "hard_ik_branch_switch").otherwise("repairable_single_joint_jump")
     )
 
 
-def reclass_verdict(severe_joints: Column, strong_joints: Column, event_joints: Column) -> Column:
-    """Two severe or two strong distinct joints are a true switch, one a repairable jump, none low."""
-    return F.when((severe_joints >= 2) | (strong_joints >= 2), "true_ik_branch_switch").when(event_joints >= 1, "repairable_single_joint_jump").otherwise("low_confidence")
+def reclass_verdict(severe_joints: Column, strong_joints: Column) -> Column:
+    """Two severe or two strong distinct joints are a true switch, one strong joint a conflict to smooth, none low."""
+    return F.when((severe_joints >= 2) | (strong_joints >= 2), "true_ik_branch_switch").when(strong_joints >= 1, "repairable_smooth_conflict").otherwise("low_amplitude_possible")
 
 
 #: Verdicts by rising weight: a motion has the heaviest of its clusters.
-RECLASS_ORDER = ("clean", "low_confidence", "repairable_single_joint_jump", "true_ik_branch_switch")
+RECLASS_ORDER = ("clean_or_dynamic", "low_amplitude_possible", "repairable_smooth_conflict", "true_ik_branch_switch")
 
 
 def heaviest(verdict: Column, order: tuple[str, ...] = RECLASS_ORDER) -> Column:

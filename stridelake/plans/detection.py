@@ -19,7 +19,7 @@ marked AS (SELECT *, CASE WHEN frame0 - lag(frame0) OVER w > 1 THEN 1 ELSE 0 END
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY motion ORDER BY frame0, joint) AS cluster FROM marked),
 clusters AS (SELECT motion, cluster::BIGINT AS cluster, min(frame0) AS start_frame, max(frame0) AS end_frame, count(*) AS event_count, list_sort(list(DISTINCT joint)) AS joint_list,
   count(DISTINCT joint) AS joint_count, count(DISTINCT chain) AS chain_count, min(chain) AS chain, max(abs_dq) AS max_abs_dq FROM numbered GROUP BY motion, cluster),
-risks AS (SELECT *, CASE WHEN chain_count = 1 AND joint_count <= 2 THEN 'repairable_transient' ELSE 'hard_transient' END AS risk FROM clusters)"""
+risks AS (SELECT *, CASE WHEN chain_count = 1 AND joint_count <= 2 THEN 'repairable_transient_spike' ELSE 'hard_transient_multijoint_or_multichain' END AS risk FROM clusters)"""
 
 
 def event_chain(joint):
@@ -53,17 +53,17 @@ def transient_clusters(spark, sf_dir):
 
 SUMMARY = f"""{EVENTS}, summary AS (
   SELECT s.motion, s.frames, coalesce(c.clusters, 0) AS clusters, coalesce(c.hard, 0) AS hard, s.max_abs_dq,
-    CASE WHEN coalesce(c.hard, 0) > 0 THEN 'hard_transient' WHEN coalesce(c.clusters, 0) > 0 THEN 'repairable_transient' ELSE 'clean' END AS risk
+    CASE WHEN coalesce(c.hard, 0) > 0 THEN 'hard_transient_multijoint_or_multichain' WHEN coalesce(c.clusters, 0) > 0 THEN 'repairable_transient_spike' ELSE 'clean' END AS risk
   FROM (SELECT motion, count(*) + 1 AS frames, max(abs(dq)) AS max_abs_dq FROM steps GROUP BY motion) s
-  LEFT JOIN (SELECT motion, count(*) AS clusters, count(*) FILTER (WHERE risk = 'hard_transient') AS hard FROM risks GROUP BY motion) c USING (motion))"""
+  LEFT JOIN (SELECT motion, count(*) AS clusters, count(*) FILTER (WHERE risk = 'hard_transient_multijoint_or_multichain') AS hard FROM risks GROUP BY motion) c USING (motion))"""
 
 
 def summary(spark, sf_dir):
     """Per motion: the largest step of all (not only of events), clusters and verdict."""
     steps = S.wrapped_steps(trace(spark, sf_dir), M).groupBy("motion").agg((F.count("*") + 1).alias("frames"), F.max(F.abs("dq")).alias("max_abs_dq"))
-    found = clusters(spark, sf_dir).groupBy("motion").agg(F.count("*").alias("clusters"), F.count_if(F.col("risk") == "hard_transient").alias("hard"))
+    found = clusters(spark, sf_dir).groupBy("motion").agg(F.count("*").alias("clusters"), F.count_if(F.col("risk") == "hard_transient_multijoint_or_multichain").alias("hard"))
     out = steps.join(found, "motion", "left").fillna(0, ["clusters", "hard"])
-    risk = F.when(F.col("hard") > 0, "hard_transient").when(F.col("clusters") > 0, "repairable_transient").otherwise("clean")
+    risk = F.when(F.col("hard") > 0, "hard_transient_multijoint_or_multichain").when(F.col("clusters") > 0, "repairable_transient_spike").otherwise("clean")
     return out.withColumn("risk", risk)
 
 
@@ -73,13 +73,13 @@ def transient_motion_summary(spark, sf_dir):
 
 
 @query("risk_by_subset_all", f"""WITH {SUMMARY}, s AS (SELECT 'events' AS dataset, 'group' || (motion % 5) AS subset, risk FROM summary),
-k AS (SELECT DISTINCT dataset, subset FROM s UNION ALL SELECT 'ALL', 'ALL'), r(risk) AS (VALUES ('clean'), ('repairable_transient'), ('hard_transient')),
+k AS (SELECT DISTINCT dataset, subset FROM s UNION ALL SELECT 'ALL', 'ALL'), r(risk) AS (VALUES ('clean'), ('repairable_transient_spike'), ('hard_transient_multijoint_or_multichain')),
 c AS (SELECT dataset, subset, risk, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'ALL', 'ALL', risk, count(*) FROM s GROUP BY risk)
 SELECT k.dataset, k.subset, r.risk, coalesce(c.n, 0) AS n FROM k CROSS JOIN r LEFT JOIN c ON c.dataset = k.dataset AND c.subset = k.subset AND c.risk = r.risk""")
 def risk_by_subset_all(spark, sf_dir):
     """Counts by subset and verdict with rows for all together; verdicts that do not occur count 0."""
     rows = summary(spark, sf_dir).select(F.lit("events").alias("dataset"), F.concat(F.lit("group"), F.col("motion") % 5).alias("subset"), "risk")
-    verdicts = ("clean", "repairable_transient", "hard_transient")
+    verdicts = ("clean", "repairable_transient_spike", "hard_transient_multijoint_or_multichain")
     counts = [F.count_if(F.col("risk") == v).alias(v) for v in verdicts]
     both = rows.groupingSets([["dataset", "subset"], []], "dataset", "subset").agg(*counts)
     named = both.select(F.coalesce("dataset", F.lit("ALL")).alias("dataset"), F.coalesce("subset", F.lit("ALL")).alias("subset"), *verdicts)
@@ -146,7 +146,7 @@ def dataset_hits(spark, sf_dir):
 
 @query("ik_dataset_risk", f"""WITH {DATASET}, c AS (SELECT motion, cluster, count(*) AS events, count(DISTINCT chain) AS chains, min(chain) AS chain, bool_or(windowed) AS windowed,
   count(DISTINCT joint) FILTER (WHERE chain = 'upper' AND NOT windowed) AS uppers, count(DISTINCT joint) FILTER (WHERE abs_dq >= 165) AS severes FROM numbered GROUP BY motion, cluster)
-SELECT motion, cluster, events, CASE WHEN chains = 1 AND chain = 'lower' THEN 'lower_high_dynamic' WHEN windowed OR uppers >= 2 OR severes >= 2 THEN 'hard_branch_switch' ELSE 'repairable_single_joint_jump' END AS risk FROM c""")
+SELECT motion, cluster, events, CASE WHEN chains = 1 AND chain = 'lower' THEN 'lower_high_dynamic' WHEN windowed OR uppers >= 2 OR severes >= 2 THEN 'hard_ik_branch_switch' ELSE 'repairable_single_joint_jump' END AS risk FROM c""")
 def ik_dataset_risk(spark, sf_dir):
     found = dataset_hits(spark, sf_dir).groupBy("motion", "cluster").agg(
         F.count("*").alias("events"), F.collect_set("chain").alias("chains"), F.max("windowed").alias("windowed"),
@@ -157,13 +157,13 @@ def ik_dataset_risk(spark, sf_dir):
 
 
 RECLASS = f"""{EVENTS}, verdicts AS (SELECT motion, cluster::BIGINT AS cluster, CASE WHEN count(DISTINCT joint) FILTER (WHERE abs_dq >= 160) >= 2 OR count(DISTINCT joint) FILTER (WHERE abs_dq >= 120) >= 2 THEN 'true_ik_branch_switch'
-  WHEN count(DISTINCT joint) FILTER (WHERE abs_dq >= 110) >= 1 THEN 'repairable_single_joint_jump' ELSE 'low_confidence' END AS verdict FROM numbered GROUP BY motion, cluster)"""
+  WHEN count(DISTINCT joint) FILTER (WHERE abs_dq >= 120) >= 1 THEN 'repairable_smooth_conflict' ELSE 'low_amplitude_possible' END AS verdict FROM numbered GROUP BY motion, cluster)"""
 
 
 def reclassed(spark, sf_dir):
     joints = lambda limit: F.count_distinct(F.when(F.col("abs_dq") >= limit, F.col("joint")))
-    found = transient(spark, sf_dir).groupBy("motion", "cluster").agg(joints(160).alias("severe"), joints(120).alias("strong"), joints(110).alias("some"))
-    return found.select("motion", "cluster", E.reclass_verdict(F.col("severe"), F.col("strong"), F.col("some")).alias("verdict"))
+    found = transient(spark, sf_dir).groupBy("motion", "cluster").agg(joints(160).alias("severe"), joints(120).alias("strong"))
+    return found.select("motion", "cluster", E.reclass_verdict(F.col("severe"), F.col("strong")).alias("verdict"))
 
 
 @query("reclass", f"WITH {RECLASS} SELECT motion, cluster, verdict FROM verdicts")
@@ -172,8 +172,8 @@ def reclass(spark, sf_dir):
 
 
 @query("reclass_motion", f"""WITH {RECLASS}, m AS (SELECT DISTINCT motion FROM trace)
-SELECT m.motion, CASE WHEN bool_or(verdict = 'true_ik_branch_switch') THEN 'true_ik_branch_switch' WHEN bool_or(verdict = 'repairable_single_joint_jump') THEN 'repairable_single_joint_jump'
- WHEN bool_or(verdict = 'low_confidence') THEN 'low_confidence' ELSE 'clean' END AS risk FROM m LEFT JOIN verdicts v ON v.motion = m.motion GROUP BY m.motion""")
+SELECT m.motion, CASE WHEN bool_or(verdict = 'true_ik_branch_switch') THEN 'true_ik_branch_switch' WHEN bool_or(verdict = 'repairable_smooth_conflict') THEN 'repairable_smooth_conflict'
+ WHEN bool_or(verdict = 'low_amplitude_possible') THEN 'low_amplitude_possible' ELSE 'clean_or_dynamic' END AS risk FROM m LEFT JOIN verdicts v ON v.motion = m.motion GROUP BY m.motion""")
 def reclass_motion(spark, sf_dir):
     """Every motion, also those without events, by its heaviest cluster."""
     motions = table(spark, sf_dir, "events").select(F.col("user_id").alias("motion")).distinct()
@@ -231,7 +231,7 @@ def fk_chain_evidence(spark, sf_dir):
   WHEN 4 THEN 'knee' WHEN 5 THEN 'ankle_pitch' WHEN 6 THEN 'waist_yaw' ELSE 'finger' END) AS joint FROM part),
 s AS (SELECT *, regexp_extract(joint, '^(left|right)', 1) AS lr, regexp_extract(joint, '(ankle|knee|hip|wrist|elbow|shoulder)', 1) AS limb FROM j)
 SELECT id, joint, CASE WHEN lr = '' THEN 'center' ELSE lr END AS side,
-  CASE WHEN contains(joint, 'waist') THEN 'torso_head' WHEN lr = '' THEN (CASE WHEN limb = '' THEN 'other' ELSE limb END) ELSE lr || '_' || (CASE WHEN limb = '' THEN 'other' ELSE limb END) END AS side_group,
+  CASE WHEN contains(joint, 'waist') THEN 'torso_head' ELSE (CASE WHEN lr = '' THEN 'center' ELSE lr END) || '_' || (CASE WHEN limb = '' THEN 'other' ELSE limb END) END AS side_group,
   CASE WHEN limb IN ('shoulder', 'elbow', 'wrist') THEN 'upper' WHEN limb <> '' THEN 'lower' WHEN contains(joint, 'waist') THEN 'torso_head' ELSE 'other' END AS chain,
   CASE WHEN limb <> '' AND lr <> '' THEN lr || (CASE WHEN limb IN ('shoulder', 'elbow', 'wrist') THEN '_arm' ELSE '_leg' END) WHEN contains(joint, 'waist') THEN 'torso_head' ELSE 'other' END AS limb FROM s""")
 def joint_names(spark, sf_dir):

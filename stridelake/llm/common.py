@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stridelake.storage import shared_dir, written
 
-__all__ = ["id_bounds", "order_id", "range_at", "range_of", "shared_dir", "table", "text_parts", "whole_text", "written"]
+__all__ = ["id_bounds", "order_id", "range_at", "range_of", "shared_dir", "small_batches", "table", "text_parts", "whole_text", "written"]
 
 #: ASCII white space of every contract in this subpackage: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -55,6 +55,14 @@ def range_at(value: int, bounds: list[int]) -> int:
     return bisect.bisect_left(bounds, value)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with at most ``rows`` rows in an Arrow batch from now on: texts have no bound, so a batch's memory follows its rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def text_parts(df: DataFrame, least: int = 1) -> int:
     """How many ranges a table is cut into: as many as its scan has splits or a shuffle has partitions, whichever is more."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import table, whole_text, written
+from stridelake.llm.common import small_batches, table, whole_text, written
 
 #: Share of the pooled covariance in a class covariance, and of the diagonal in both.
 TOWARDS_POOLED, TOWARDS_DIAGONAL = 0.5, 0.01
@@ -114,7 +114,7 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     text = whole_text(text_col)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    return written(rows.mapInArrow(of_batches, "id long, row long, stats array<double>"))
+    return written(small_batches(rows).mapInArrow(of_batches, "id long, row long, stats array<double>"))
 
 
 def held_out(id_col: str) -> Column:
@@ -186,10 +186,23 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are predicted to be of label 1."""
-    good = classify(df, labels, id_col, text_col).where("predicted = 1").select(F.col("id").alias("__qc_id"), F.col("row").alias("__qc_row"))
-    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__qc_id")) & (F.xxhash64(whole_text(text_col)) == F.col("__qc_row"))
-    return df.join(good, own, "left_semi")
+    """The rows of ``df`` that are predicted to be of label 1, as they are.
+
+    The model is fitted on the statistics of rows that may be trained on; then each row is scored where it is read, so texts are not shuffled.
+    """
+    trained = df.where(~held_out(f"`{id_col}`"))
+    model = fit(document_statistics(trained, id_col, text_col), labels)
+    at = df.columns.index(text_col)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model is None:
+                yield batch
+            elif batch.num_rows:
+                stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(stats) >= 0.5))
+
+    return small_batches(df).mapInArrow(of_batches, df.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

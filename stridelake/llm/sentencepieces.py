@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import table, whole_text
+from stridelake.llm.common import small_batches, table, whole_text
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -311,7 +311,7 @@ def _each_batch(df: DataFrame, model_path: str, id_col: str, text_col: str, sche
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(model, part.column(1).to_pylist())], names=names)
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(of_batches, schema)
+    return small_batches(rows).mapInArrow(of_batches, schema)
 
 
 def model_path() -> str:

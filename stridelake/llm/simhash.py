@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import order_id, table, whole_text, written
+from stridelake.llm.common import order_id, small_batches, table, whole_text, written
 from stridelake.llm.components import components
 
 #: Shingles whose bits are counted at once: bounds the memory for texts of any length.
@@ -51,7 +51,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, type=pa.int64())], names=["id", "fp"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(of_batches, "id long, fp long")
+    return small_batches(rows).mapInArrow(of_batches, "id long, fp long")
 
 
 def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -154,7 +154,7 @@ def main_text(html: str) -> str:
     their elements, roles and class words. The rest is scored: characters outside links per tag, smoothed over neighbouring
     blocks; blocks above the standard deviation of the smoothed ratios are content. The root (an article, else ``main``, else
     the page) with most content text is the article. In an article or ``main`` every block stays that is no furniture; in a
-    bare page the blocks from the first content block to the last stay, with headings just before them.
+    bare page the blocks from the one before the first content block to the last content block stay, but for those that are mostly links.
     """
     parser = _Blocks()
     parser.feed(html)
@@ -179,11 +179,11 @@ def main_text(html: str) -> str:
             break
     else:
         best = max(mass, key=lambda r: (mass[r], -r))
-    own = [(text, chosen) for chosen, (text, _, _, _, root) in zip(content, blocks) if root == best]
+    own = [(text, chosen, linked * 2 > len(text)) for chosen, (text, _, linked, _, root) in zip(content, blocks) if root == best]
     if parser.roots[best] == "page":
-        kept = [i for i, (_, chosen) in enumerate(own) if chosen]
-        own = own[max(0, kept[0] - 1) : kept[-1] + 1] if kept else []
-    return "\n".join(text for text, _ in own)
+        kept = [i for i, (_, chosen, _) in enumerate(own) if chosen]
+        own = [b for b in own[max(0, kept[0] - 1) : kept[-1] + 1] if not b[2]] if kept else []
+    return "\n".join(text for text, _, _ in own)
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import NULL_ID, id_bounds, order_id, range_of, table, text_parts, whole_text
+from stridelake.llm.common import NULL_ID, id_bounds, order_id, ranges_of, small_batches, table, shuffle_parts, whole_text
 
 #: Bytes of a chunk at least, before boundaries get easier, and at most. Short texts need short chunks to share any.
 LEAST, NORMAL, MOST = 4, 10, 40
@@ -54,7 +54,7 @@ def chunk_ends(data: bytes) -> list[int]:
     easy_at = np.flatnonzero(hashes >> np.uint32(32 - EASY) == 0)
     strict = (hashes[easy_at] >> np.uint32(32 - STRICT) == 0).tolist()
     places = (easy_at + 1).tolist()
-    ends, start, last = [], 0, 0
+    ends, start = [], 0
     for end, is_strict in zip(places, strict):
         while end - start > MOST:
             start += MOST
@@ -110,9 +110,19 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (``own`` false). Texts are shuffled once, compressed.
     """
     rows = df.select(order_id(id_col).alias("id"), whole_text(text_col).alias("text"))
-    bounds = id_bounds(rows, "id", text_parts(df))
-    at = range_of("id", bounds)
-    tops = {r["p"]: r["top"] for r in rows.select(at.alias("p"), "id").groupBy("p").agg(F.max("id").alias("top")).collect()}  # one row for each range
+    bounds = id_bounds(rows, "id", shuffle_parts(df))
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            ids = np.sort(batch.column(0).to_numpy())
+            parts, last = np.unique(ranges_of(ids, bounds)[::-1], return_index=True)
+            for p, i in zip(parts.tolist(), ids[::-1][last].tolist()):
+                found[p] = max(i, found.get(p, i))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["p", "top"])
+
+    own_top = rows.select("id").mapInArrow(largest, "p int, top long")
+    tops = {r["p"]: r["top"] for r in own_top.groupBy("p").agg(F.max("top").alias("top")).collect()}  # one row for each range
     order = sorted(tops, reverse=True)
     before = {part: order[i - 1] for i, part in enumerate(order)}
 
@@ -122,13 +132,14 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(lo, 512)
                 texts = [t.encode() for t in part.column(1).to_pylist()]
                 parts, ids, packed, own = [], [], [], []
-                for i, p, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts):
+                given = part.column(0)
+                for i, p, text in zip(given.to_pylist(), ranges_of(given.to_numpy(), bounds).tolist(), texts):
                     data = zlib.compress(text, 1)
                     for place, mine in ((p, True), (before[p], False)) if i == tops[p] else ((p, True),):
                         parts.append(place), ids.append(i), packed.append(data), own.append(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(own, pa.bool_())], names=["part", "id", "packed", "own"])
 
-    dealt = rows.withColumn("p", at).mapInArrow(pack, "part int, id long, packed binary, own boolean")
+    dealt = small_batches(rows).mapInArrow(pack, "part int, id long, packed binary, own boolean")
     return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("id"), "packed")
 
 

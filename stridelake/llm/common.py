@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.storage import shared_dir, written
 
-__all__ = ["id_bounds", "order_id", "range_at", "range_of", "shared_dir", "small_batches", "table", "text_parts", "whole_text", "written"]
+__all__ = ["id_bounds", "order_id", "ranges_of", "shared_dir", "shuffle_parts", "small_batches", "table", "whole_text", "written"]
 
 #: ASCII white space of every contract in this subpackage: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -39,20 +38,9 @@ def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def range_of(column: str, bounds: list[int]) -> Column:
-    """The number of bounds that are below the id: ranges are (-inf, b0], (b0, b1], ... (a balanced tree of comparisons)."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
-
-
-def range_at(value: int, bounds: list[int]) -> int:
-    return bisect.bisect_left(bounds, value)
+def ranges_of(ids: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The number of bounds below each id: ranges are (-inf, b0], (b0, b1], ... However many there are, this is a binary search."""
+    return np.searchsorted(np.array(bounds, np.int64), ids, side="left").astype(np.int32)
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -63,7 +51,6 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def text_parts(df: DataFrame, least: int = 1) -> int:
-    """How many ranges a table is cut into: as many as its scan has splits or a shuffle has partitions, whichever is more."""
-    spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def shuffle_parts(df: DataFrame) -> int:
+    """How many ranges a table is cut into: the partitions a shuffle has by the session's setting."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

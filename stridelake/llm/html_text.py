@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import table, whole_text
+from stridelake.llm.common import small_batches, table, whole_text
 
 # Fixed lists of HTML: elements that break text into blocks, that never hold content, and that have no end tag.
 BLOCKS = frozenset(
@@ -60,7 +60,6 @@ class _Blocks(HTMLParser):
         self.roots = ["page"]
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
-        self.cut = self.open_p = False
 
     def close_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -203,7 +202,7 @@ def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
 
     rows = df.select(*(F.col(f"`{c}`") for c in keep), whole_text(html_col).alias("__html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(of_batches, f"{fields}, text string, n_chars long")
+    return small_batches(rows).mapInArrow(of_batches, f"{fields}, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def mix(
     nearer side: a source misses its target by half a document at most. Levels grow with the logarithm of the rows; each is a written table.
     """
     sizes = written(df.select(
-        F.col(f"`{id_col}`").cast("long").alias("given"), order_id(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"),
+        order_id(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"),
         F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
     ))
     targets = written(source_targets(sizes, weights, share, most).withColumn("key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())))

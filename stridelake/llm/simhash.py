@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import order_id, small_batches, table, whole_text, written
+from stridelake.llm.common import order_id, shuffle_parts, small_batches, table, whole_text, written
 from stridelake.llm.components import components
 
 #: Shingles whose bits are counted at once: bounds the memory for texts of any length.
@@ -125,8 +125,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
         return F.transform(places, lambda k: k + F.lit(side << 32))
 
     keyed = fps.select("fp", F.explode(F.concat(ball(low, 0), ball(high, 1))).alias("key")).select("key", "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    buckets = keyed.repartition(shuffle_parts(fps), "key").sortWithinPartitions("key")
     return buckets.mapInArrow(_bucket_links(radius), "a long, b long")
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import NULL_ID, id_bounds, order_id, range_of, shared_dir, table, text_parts, whole_text, written
+from stridelake.llm.common import NULL_ID, id_bounds, order_id, ranges_of, shared_dir, small_batches, table, shuffle_parts, whole_text, written
 
 MAGIC = b"SLTOKENS"
 #: magic, format version, number of documents, ids in the file, length of all frames, sha256 of the dictionary
@@ -29,8 +29,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_ids", "<u8"), ("offse
 FILE_BYTES = 32 << 20
 #: The dictionary is trained on so many documents at most, and on so many bytes of ids of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 64 << 10
-#: Distinct chunks whose ids a worker remembers before it starts afresh, and the longest chunk that is remembered.
-REMEMBERED, LONGEST = 400_000, 48
+#: Distinct chunks of one generation whose ids a worker remembers, and the longest chunk that is remembered.
+REMEMBERED, LONGEST = 300_000, 48
 LEVEL = 3
 
 # A chunk is white space and the run after it. The tokenizer's pattern never goes on from other text into white space, so chunks
@@ -42,15 +42,18 @@ _plain = pattern(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class _Known(dict):
-    """Ids of chunks, made where missing."""
+    """Ids of chunks, made where missing. Two generations: of a full table those looked up again move to the next one."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -186,7 +189,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
     """
     rows = df.select(order_id(id_col).alias("id"), whole_text(text_col).alias("text"))
     dictionary = train_dictionary(sample_ids(rows, tokenizer, end_id))
-    parts = text_parts(df)
+    parts = shuffle_parts(df)
     bounds = id_bounds(rows, "id", parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [encoder.encode(t) + end for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary())], names=["id", "n_ids", "frame"])
+                range_ = pa.array(ranges_of(part.column(0).to_numpy(), bounds))
+                yield pa.RecordBatch.from_arrays([range_, part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary())], names=["range", "id", "n_ids", "frame"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -214,7 +218,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["part", "file", "uri", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, n, frame in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, n, frame in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 entries.append((doc, start, n, size, len(frame)))
                 frames.append(frame)
                 size, start = size + len(frame), start + n
@@ -226,8 +230,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
 
     fs, path = _files(folder)
     fs.create_dir(path, recursive=True)
-    packed = rows.mapInArrow(pack, "id long, n_ids long, frame binary")
-    ranged = packed.repartitionById(len(bounds) + 1, range_of("id", bounds)).sortWithinPartitions("id", "n_ids", "frame")
+    packed = small_batches(rows).mapInArrow(pack, "range int, id long, n_ids long, frame binary")
+    ranged = packed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("id", "n_ids", "frame")
     files = written(ranged.mapInArrow(store, "part long, file long, uri string, n_docs long, n_ids long"))
     # One row for each file of up to 32 MB; summed per part first, so a single task only orders the parts.
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -255,7 +259,7 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                 )
 
     named = manifest.select("uri", "start")
-    spread = named.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "uri")
+    spread = named.repartition(shuffle_parts(manifest), "uri")
     found = spread.mapInArrow(of_batches, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumn("id", F.nullif("id", F.lit(NULL_ID)))
 

@@ -293,12 +293,12 @@ def weight_maps(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), r6(m["gait"], "gait"), r6(m["height"], "height"))
 
 
-@query("robot_inference", """SELECT page_id AS id, CASE WHEN contains(url, 'blog') OR contains(url, 'www') THEN 'agile' WHEN contains(url, '/en/') THEN 'g1' ELSE 'unknown' END AS robot FROM pages""")
+@query("robot_inference", """SELECT page_id AS id, CASE WHEN contains(url, 'blog') OR contains(url, 'www') THEN 'head_layout' WHEN contains(url, '/en/') THEN 'waist_layout' ELSE 'unknown' END AS robot FROM pages""")
 def robot_inference(spark, sf_dir):
     """The robot by hint columns of the header first, then by tokens of the path."""
     header = F.when(F.contains("url", F.lit("blog")) | F.contains("url", F.lit("www")), F.array(F.lit("Frame"), F.lit("waist_yaw_joint_dof"))).otherwise(F.array(F.lit("Frame")))
     hints = F.arrays_overlap(header, F.array(F.lit("waist_yaw_joint_dof"), F.lit("head_yaw_joint_dof")))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(hints, "agile").when(F.arrays_overlap(F.split("url", "/"), F.array(F.lit("en"))), "g1").otherwise("unknown").alias("robot"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(hints, "head_layout").when(F.arrays_overlap(F.split("url", "/"), F.array(F.lit("en"))), "waist_layout").otherwise("unknown").alias("robot"))
 
 
 @query("review_stamps", """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp, epoch(o_orderdate)::BIGINT AS seconds FROM orders""")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import NULL_ID, order_id, table, whole_text, written
+from stridelake.llm.common import NULL_ID, order_id, small_batches, table, whole_text, written
 
 #: Where units end: after white space that follows the end of a sentence, a line, or a paragraph.
 ENDS = {
@@ -56,7 +56,7 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     rows = df.select(order_id(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("row"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(of_batches, schema)
+    return small_batches(rows).mapInArrow(of_batches, schema)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,12 +66,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     code points of the original text. ``kept_id`` and ``kept_begin`` are where the run's longest unit was kept. Null and empty texts have no units;
     null ids rank last; repeated rows of one id with one text are one document, with other texts they rank by a hash of the text.
 
-    The first shuffle is of digests, pre-aggregated to the least occurrence and a count; the second joins occurrences back to the digests that
-    repeat, an equi-join whose hot partitions adaptive execution splits; the runs of a document are found within its own repeats.
+    The first shuffle is of digests, pre-aggregated to the least occurrence and a count. The digests that repeat are written, so that the join of
+    occurrences with them has an exchange of its own on both sides and adaptive execution can split a hot digest; the runs of a document are found within its own repeats.
     """
     found = written(unit_table(df, id_col, text_col, kind))
     least = F.min(F.struct("id", "row", "place", "begin")).alias("first")
-    shared = found.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(found.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).where("n > 1").drop("n"))
     again = found.join(shared, ["h1", "h2"]).where(F.struct("id", "row", "place") > F.struct("first.id", "first.row", "first.place"))
     again = again.select("id", "row", "place", "begin", "end", "words", F.struct(F.col("words").alias("w"), (-F.col("place")).alias("p"), F.col("first.id").alias("i"), F.col("first.begin").alias("b")).alias("kept"))
     own = Window.partitionBy("id", "row").orderBy("place")

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import ASCII_SPACE, order_id, table, whole_text
+from stridelake.llm.common import ASCII_SPACE, order_id, table, whole_text, written
 
 
 def line_key(line: Column) -> Column:
@@ -23,8 +23,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     document after all others; rows that repeat an id are one document, in which a line stays wherever it stands.
 
     Keys travel as 128-bit hashes. The first shuffle is pre-aggregated by Spark (smallest id and the count of distinct ids, for
-    two documents just smallest and largest id), so a line of a third of all documents arrives as one row per task. The
-    second joins the lines back by an equi-join whose hot partitions adaptive execution splits; the last brings each
+    two documents just smallest and largest id), so a line of a third of all documents arrives as one row per task. Shared
+    keys are written, so that the join of lines with them has an exchange of its own on both sides and adaptive execution
+    can split a hot line; the last brings each
     document together with the positions it loses.
     """
     rows = df.withColumns({"__ld_id": order_id(id_col), "__ld_text": whole_text(text_col)}).withColumn("__ld_row", F.xxhash64("__ld_text"))
@@ -42,7 +43,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         shared = keys.select(*by, "__ld_id").distinct().groupBy(*by).agg(F.min("__ld_id").alias("__ld_first"), F.count("*").alias("__ld_n"))
         shared = shared.where(F.col("__ld_n") >= min_docs).drop("__ld_n")
     lost = (
-        keys.join(shared, by)
+        keys.join(written(shared), by)
         .where(F.col("__ld_id") > F.col("__ld_first"))
         .groupBy("__ld_id", "__ld_row")
         .agg(F.collect_set("__ld_pos").alias("__ld_lost"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from stridelake.llm.common import table, written
 from stridelake.llm.line_dedup import dedup_lines
 from stridelake.llm.mixing import take_mix
+from stridelake.llm.near_copies import drop_near_copies
 from stridelake.llm.quality import keep_good
 from stridelake.llm.sentencepieces import encode_digests, model_path
-from stridelake.llm.simhash import near_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints that differ in 3 bits or fewer."""
-    return near_dedup(docs).select(*COLUMNS)
+    """One document of each group whose shingles of five words are equal to 0.8 or more (Jaccard)."""
+    return drop_near_copies(docs).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

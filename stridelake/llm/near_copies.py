@@ -1,0 +1,125 @@
+"""Near copies by word shingles: MinHash bands find candidates, whole shingle sets decide, components group."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stridelake.llm.common import order_id, small_batches, whole_text, written
+from stridelake.llm.components import components
+
+#: Bands of a signature and minima in a band: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**32, 5 in 100 million.
+BANDS, ROWS = 32, 4
+#: Shingles whose permutations are held at once.
+BLOCK = 2048
+_RNG = np.random.default_rng(42)
+SCALE = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def normal_words(text: str) -> list[bytes]:
+    """Runs without ASCII white space, A-Z lower-cased."""
+    return text.encode().lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
+    """Distinct XXH64 values (seed 42) of the runs of ``size`` words; fewer words are one run, none give none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band: equal for two sets if all minima of the band are."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        some = hashes[at : at + BLOCK, None] * SCALE + SHIFT
+        np.minimum(least, some.min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64) * MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column ^ (keys >> np.uint64(29))) * MIX
+    return keys.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sets of distinct values, 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _node_table(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(id, node, keys, text)`` per row; ``node`` is a hash of the normalised words, so that copies are one node; no words have no keys."""
+    schema = "id long, node long, keys array<long>, text string"
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column(1).to_pylist():
+                found = normal_words(text)
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
+                keys.append(band_keys(shingle_hashes(found, words)) if found else [])
+            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "keys", "text"])
+
+    rows = df.select(order_id(id_col).alias("id"), whole_text(text_col).alias("text"))
+    return small_batches(rows).mapInArrow(of_batches, schema)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose whole shingle sets are at least so similar, as a table."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            near = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for node, text in ((a, x), (b, y)):
+                    if node not in sets:
+                        sets[node] = shingle_hashes(normal_words(text), words)
+                near.append(jaccard(sets[a], sets[b]) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return written(small_batches(both, 256).mapInArrow(of_batches, "a long, b long"))
+
+
+def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, component)`` per row: the smallest id that links of so similar shingle sets reach (``NULL_ID`` stands for a null id).
+
+    Members of a bucket are first compared with its least node. What is not in one component after that is compared in pairs, so
+    no pair of a bucket is left out and a group of near copies doesn't list its pairs. Texts without words are copies of each other.
+    """
+    rows = written(_node_table(df, id_col, text_col, words))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
+    posted = nodes.select("node", F.explode("keys").alias("key"))
+    heads = written(posted.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last"))
+    members = written(posted.join(heads, "key"))
+    stars = written(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(stars, rows, words, similarity)
+    roots = components(links).toDF("node", "root")
+    named = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = written(named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"))
+    left = named.join(mixed, "key", "left_semi").select("key", "node", "root")
+    right = left.toDF("key", "other", "other_root")
+    apart = left.join(right, "key").where("node < other and root <> other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    more = _verified(written(apart.join(stars, ["a", "b"], "left_anti")), rows, words, similarity)
+    roots = components(links.unionByName(more)).toDF("node", "root")
+    held = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    held = held.join(held.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    return rows.select("id", "node").join(held, "node").select("id", "component")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its group (null only if the group has no other); rows that repeat it are one document."""
+    keep = near_copy_groups(df, id_col, text_col, words, similarity).where("id = component").select(F.col("id").alias("__nc_id")).distinct()
+    return df.join(keep, order_id(id_col) == F.col("__nc_id"), "left_semi")

@@ -23,6 +23,10 @@ ENDS = {
 WORD = re.compile(r"[^\W_]+")
 #: Repeated units side by side go if they have so many words together; shorter ones are common phrases.
 MIN_WORDS = 25
+#: What goes with the word before a cut.
+TAIL = re.compile(r"[^\w\s]*\s*")
+#: Multipliers of the two polynomial hashes of a window.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def units(text: str, kind: str = "sentence") -> list[tuple[int, int, str]]:
@@ -59,8 +63,73 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFram
     return small_batches(rows).mapInArrow(of_batches, schema)
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, row, begin, end, n_words, kept_id, kept_begin)``: maximal runs of units that occur earlier, at least ``min_words`` words long.
+def window_hashes(words: list[str], size: int) -> np.ndarray:
+    """(n - size + 1, 2) hashes of all windows of ``size`` words, as signed longs: polynomials over two XXH64 values of each word."""
+    count = len(words) - size + 1
+    if count < 1:
+        return np.zeros((0, 2), np.int64)
+    out = []
+    for seed, base in enumerate(BASES):
+        values = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        total = np.zeros(count, np.uint64)
+        for i in range(size):
+            total = total * np.uint64(base) + values[i : i + count]
+        out.append(total.view(np.int64))
+    return np.stack(out, axis=1)
+
+
+def window_table(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, row, place, begin, end, h1, h2)`` per window of ``size`` words, one at every word; the end takes in the separator up to the next word."""
+    schema = "id long, row long, place int, begin int, end int, h1 long, h2 long"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                begins, ends, hashes = [], [], []
+                for text in part.column(2).to_pylist():
+                    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
+                    got = window_hashes([text[b:e].lower() for b, e in found], size)
+                    hashes.append(got)
+                    begins.append(np.array([b for b, _ in found[: len(got)]], np.int32))
+                    tails = zip(found[size - 1 :], [b for b, _ in found[size:]] + [len(text)])
+                    ends.append(np.array([TAIL.match(text, e, nxt).end() for (_, e), nxt in tails], np.int32))
+                counts = np.array([len(h) for h in hashes])
+                both = np.concatenate(hashes)
+                columns = [np.repeat(part.column(i).to_numpy(), counts) for i in (0, 1)]
+                columns += [np.concatenate([np.arange(n) for n in counts]).astype(np.int32), np.concatenate(begins), np.concatenate(ends)]
+                columns += [both[:, 0].copy(), both[:, 1].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    rows = df.select(order_id(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("row"), whole_text(text_col).alias("text"))
+    return small_batches(rows).mapInArrow(of_batches, schema)
+
+
+def _repeated_windows(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """The spans of ``repeated_passages`` for words: unions of windows whose words occur earlier, wherever a repeat begins and ends.
+
+    A window that overlaps its own first occurrence is no repeat, so that one stays of a text that repeats with a short period.
+    """
+    found = written(window_table(df, id_col, text_col, min_words))
+    least = F.min(F.struct("id", "row", "place", "begin")).alias("first")
+    shared = written(found.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).where("n > 1").drop("n"))
+    again = found.join(shared, ["h1", "h2"])
+    other = F.struct("id", "row") > F.struct("first.id", "first.row")
+    same = (F.struct("id", "row") == F.struct("first.id", "first.row")) & (F.col("place") >= F.col("first.place") + min_words)
+    again = again.where(other | same).select("id", "row", "place", "begin", "end", F.struct(F.col("place").alias("p"), F.col("first.id").alias("i"), F.col("first.begin").alias("b")).alias("kept"))
+    own = Window.partitionBy("id", "row").orderBy("place")
+    runs = again.repartition("id", "row").dropDuplicates(["id", "row", "place"])
+    runs = runs.withColumn("fresh", F.coalesce(F.col("place") - F.lag("place").over(own) > min_words, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("id", "row", "run").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("place") - F.min("place") + min_words).cast("long").alias("n_words"), F.min("kept").alias("kept")
+    )
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(id, row, begin, end, n_words, kept_id, kept_begin)``: for words, every maximal passage of ``min_words`` words or more that occurs earlier,
+    wherever it begins and ends, with the place where its first window was kept; for other kinds, maximal runs of units that occur earlier, at least ``min_words`` words long.
 
     Occurrences rank by id, then by place in the text; the first of each unit stays, all others are repeats, in other documents or the same. Offsets are
     code points of the original text. ``kept_id`` and ``kept_begin`` are where the run's longest unit was kept. Null and empty texts have no units;
@@ -69,6 +138,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The first shuffle is of digests, pre-aggregated to the least occurrence and a count. The digests that repeat are written, so that the join of
     occurrences with them has an exchange of its own on both sides and adaptive execution can split a hot digest; the runs of a document are found within its own repeats.
     """
+    nulled = lambda c: F.nullif(c, F.lit(NULL_ID))
+    named = [nulled(F.col("id")).alias("id"), "row", "begin", "end", "n_words", nulled(F.col("kept.i")).alias("kept_id"), F.col("kept.b").alias("kept_begin")]
+    if kind == "word":
+        return _repeated_windows(df, id_col, text_col, min_words).select(*named)
     found = written(unit_table(df, id_col, text_col, kind))
     least = F.min(F.struct("id", "row", "place", "begin")).alias("first")
     shared = written(found.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -80,11 +153,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("kept").alias("kept")
     )
     spans = spans.where(F.col("n_words") >= min_words)
-    nulled = lambda c: F.nullif(c, F.lit(NULL_ID))
-    return spans.select(nulled(F.col("id")).alias("id"), "row", "begin", "end", "n_words", nulled(F.col("kept.i")).alias("kept_id"), F.col("kept.b").alias("kept_begin"))
+    return spans.select(*named)
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with its repeated passages cut out of the text and ``removed``, the array of their (begin, end) in the original text, added."""
     spans = repeated_passages(df, id_col, text_col, kind, min_words)
     per_row = spans.groupBy(F.coalesce("id", F.lit(NULL_ID)).alias("__ps_id"), F.col("row").alias("__ps_row")).agg(

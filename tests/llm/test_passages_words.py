@@ -1,0 +1,44 @@
+"""Repeated passages that begin and end inside sentences, against all windows of words."""
+
+import random
+
+from stridelake.llm import passages
+
+SCHEMA = "doc_id long, text string"
+
+
+def brute_words(rows, size=passages.MIN_WORDS):
+    """Per document the word places that lie in a window which occurs earlier, without its own overlaps."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        words = [w.lower() for w in passages.WORD.findall(text)]
+        gone = set()
+        for p in range(len(words) - size + 1):
+            j, q = first.setdefault(tuple(words[p : p + size]), (i, p))
+            if j != i or p >= q + size:
+                gone |= set(range(p, p + size))
+        out[i] = gone
+    return out
+
+
+def test_passages_inside_sentences_are_found(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = words(30) + ", " + words(25) + ". " + words(4)
+    rows = [(1, f"{words(9)} {passage} {words(12)}.")]
+    rows += [(10 + i, f"{words(7)}. {words(3 + i)} {passage.upper() if i % 2 else passage} {words(5)}. {words(6)}") for i in range(5)]
+    rows += [(30, words(80)), (31, " ".join(["same"] * 90)), (32, words(24)), (33, ""), (34, f"{words(3)} {' '.join(passage.split()[:24])} {words(3)}")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {}
+    for r in passages.repeated_passages(df).collect():
+        text = dict(rows)[r.id]
+        places = [k for k, m in enumerate(passages.WORD.finditer(text)) if r.begin <= m.start() < r.end]
+        assert len(places) == r.n_words
+        got.setdefault(r.id, set()).update(places)
+        assert r.kept_id == (r.id if r.id == 31 else 1)
+    want = {i: p for i, p in brute_words(rows).items() if p}
+    assert got == want and {10, 11, 12, 13, 14, 31} == set(want) and all(len(want[i]) == 59 for i in range(10, 15))
+    cleaned = {r.doc_id: r.text for r in passages.drop_repeats(df).collect()}
+    assert all(passage.lower() not in cleaned[i].lower() for i in range(10, 15)) and passage in cleaned[1]
+    missed = {r.id for r in passages.repeated_passages(df, kind="sentence").collect()}
+    assert not missed & {10, 11, 12, 13, 14}

@@ -41,23 +41,27 @@ SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("chrome", "header", "name", "root", "heading")
+    __slots__ = ("chrome", "header", "name", "root", "heading", "marks", "article")
 
-    def __init__(self, name: str, chrome: bool, header: bool, root: int, heading: bool):
-        self.name, self.chrome, self.header, self.root, self.heading = name, chrome, header, root, heading
+    def __init__(self, name: str, chrome: bool, header: bool, root: int, heading: bool, marks: tuple[int, ...], article: int):
+        self.name, self.chrome, self.header, self.root, self.heading, self.marks, self.article = name, chrome, header, root, heading, marks, article
 
 
 class _Blocks(HTMLParser):
-    """Collects blocks as events arrive: text, number of tags, characters in links, whether page furniture, and the root it is in.
+    """Collects blocks as events arrive: text, number of tags, characters in links, whether page furniture, the root and outermost
+    article it is in, and the elements around it that class words mark.
 
-    Root 0 is the page; each outermost ``article`` and ``main`` is one more.
+    Root 0 is the page; each outermost ``main`` is one more, and so are the outermost articles outside ``main`` that have one parent.
+    ``around`` has the marked elements that hold a root.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[_Element] = []
-        self.blocks: list[tuple[str, int, int, bool, int]] = []
-        self.roots = ["page"]
+        self.blocks: list[tuple[str, int, int, bool, int, int, tuple[int, ...]]] = []
+        self.around: list[tuple[int, ...]] = [()]
+        self.parents: dict[_Element | None, int] = {}
+        self.marked = self.articles = 0
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -66,7 +70,7 @@ class _Blocks(HTMLParser):
         if text:
             top = self.open[-1] if self.open else None
             chrome = bool(top and (top.chrome or top.header and not top.heading))
-            self.blocks.append((text, self.tags, self.linked, chrome, top.root if top else 0))
+            self.blocks.append((text, self.tags, self.linked, chrome, top.root if top else 0, top.article if top else 0, top.marks if top else ()))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -86,14 +90,25 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCKS or tag in HIDDEN:
             above = self.open[-1] if self.open else None
-            root = above.root if above else 0
-            if tag == "main" and not root or tag == "article" and (not root or self.roots[root] == "main"):
-                self.roots.append(tag)
-                root = len(self.roots) - 1
+            root, article, marks = (above.root, above.article, above.marks) if above else (0, 0, ())
+            outer = marks
+            if bool(attrs) and tag not in ("html", "body") and _worded(attrs):
+                self.marked += 1
+                marks = (*marks, self.marked)
+            if tag == "main" and not root:
+                self.around.append(marks)
+                root = len(self.around) - 1
+            elif tag == "article" and not article:
+                self.articles += 1
+                article = self.articles
+                if not root:
+                    root = self.parents.setdefault(above, len(self.around))
+                    if root == len(self.around):
+                        self.around.append(outer)
             chrome = bool(above and above.chrome) or tag in HIDDEN or tag in CHROME or bool(attrs) and tag not in ("html", "body") and _marked(attrs)
             header = tag == "header" or bool(above and above.header)
             heading = tag in HEADINGS or bool(above and above.heading and above.header)
-            self.open.append(_Element(tag, chrome, header, root, heading))
+            self.open.append(_Element(tag, chrome, header, root, heading, marks, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,10 +138,12 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
+def _worded(attrs: list) -> bool:
+    return any(name in ("class", "id") and value and CHROME_WORDS.search(value) for name, value in attrs)
+
+
 def _marked(attrs: list) -> bool:
     for name, value in attrs:
-        if name in ("class", "id") and value and CHROME_WORDS.search(value):
-            return True
         if name == "role" and value and value.lower() in CHROME_ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
@@ -151,35 +168,35 @@ def main_text(html: str) -> str:
 
     Blocks inside page furniture (menus, page headers and footers, sidebars, notices, adverts, forms, comments, hidden parts) go by
     their elements, roles and class words. The rest is scored: characters outside links per tag, smoothed over neighbouring
-    blocks; blocks above the standard deviation of the smoothed ratios are content. The root (an article, else ``main``, else
-    the page) with most content text is the article. In an article or ``main`` every block stays that is no furniture; in a
-    bare page the blocks from the one before the first content block to the last content block stay, but for those that are mostly links.
+    blocks; blocks above the standard deviation of the smoothed ratios are content. The root (a ``main``, or the articles outside
+    of one that have the same parent) with most content text is the article, the page only if no root has any. In a root every block
+    stays that is no furniture; in a bare page the blocks from the one before the first content block to the last content block
+    stay, but for those that are mostly links. Class words on an element around a root don't make the root furniture; such a root
+    counts with its longest article alone, as comments and teasers stand in marked elements too.
     """
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.close_block()
-    blocks = [b for b in parser.blocks if not b[3]]
+    blocks = [b for b in parser.blocks if not b[3] and set(b[6]) <= set(parser.around[b[4]])]
+    if not blocks:
+        blocks = [b for b in parser.blocks if not b[3] and b[4]]  # class words mark the articles themselves
     if not blocks:
         return ""
-    ratios = smoothed([(len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in blocks])
+    ratios = smoothed([(len(b[0]) - b[2]) / max(1, b[1]) for b in blocks])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    content = [r >= threshold and linked * 2 <= len(text) for r, (text, _, linked, _, _) in zip(ratios, blocks)]
+    content = [r >= threshold and b[2] * 2 <= len(b[0]) for r, b in zip(ratios, blocks)]
     if not any(content):
-        content = [linked * 2 <= len(text) for text, _, linked, _, _ in blocks]
-    mass: dict[int, int] = {}
-    for chosen, (text, _, _, _, root) in zip(content, blocks):
-        mass[root] = mass.get(root, 0) + (len(text) if chosen else 0)
-    for kind in ("article", "main", "page"):
-        found = [r for r in mass if parser.roots[r] == kind and (mass[r] or kind == "page")]
-        if found:
-            best = max(found, key=lambda r: (mass[r], -r))
-            break
-    else:
-        best = max(mass, key=lambda r: (mass[r], -r))
-    own = [(text, chosen, linked * 2 > len(text)) for chosen, (text, _, linked, _, root) in zip(content, blocks) if root == best]
-    if parser.roots[best] == "page":
+        content = [b[2] * 2 <= len(b[0]) for b in blocks]
+    parts: dict[int, dict[int, int]] = {}
+    for chosen, (text, _, _, _, root, article, _) in zip(content, blocks):
+        of_root = parts.setdefault(root, {})
+        of_root[article] = of_root.get(article, 0) + (len(text) if chosen else 0)
+    mass = {r: (max if parser.around[r] else sum)(p.values()) for r, p in parts.items()}
+    best = max((r for r in mass if r and mass[r]), key=lambda r: (mass[r], -r), default=0 if 0 in mass else max(mass))
+    own = [(b[0], chosen, b[2] * 2 > len(b[0])) for chosen, b in zip(content, blocks) if b[4] == best]
+    if not best:
         kept = [i for i, (_, chosen, _) in enumerate(own) if chosen]
         own = [b for b in own[max(0, kept[0] - 1) : kept[-1] + 1] if not b[2]] if kept else []
     return "\n".join(text for text, _, _ in own)

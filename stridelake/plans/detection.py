@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import names as N
+from stridelake.operators import chains as C
 from stridelake.operators import events as E
 from stridelake.operators import series as S
 from stridelake.plans.base import WRAP, query, table, trace
@@ -227,6 +228,31 @@ def fk_chain_evidence(spark, sf_dir):
     return found.select("motion", "peak", F.round("top", 4).alias("speed"), r6(F.col("w24"), "w24"), r6(outlier, "outlier"), verdict.alias("verdict"))
 
 
+#: Bodies of the limbs: chain, kind, role, and the joint whose last value is the body's angle.
+LIMBS = (("right_arm", "arm", "middle", "click"), ("right_arm", "arm", "end", "view"), ("right_leg", "leg", "middle", "purchase"), ("right_leg", "leg", "end", "signup"))
+
+
+def limb_bodies(spark, sf_dir):
+    """The bodies of all motions at every frame: turned about x by the last value of their joint, at the tip of a link of 0.3 m; errors lift the root by 1 mm a unit."""
+    w = S.over(M).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda joint: F.coalesce(F.last(F.when(F.col("joint") == joint, F.col("q")), ignorenulls=True).over(w), F.lit(0.0))
+    rows = trace(spark, sf_dir)
+    bodies = [F.struct(*[F.lit(x).alias(n) for x, n in zip(limb[:3], ("chain", "kind", "role"))], F.lit(limb[3]).alias("body"), F.radians(last(limb[3])).alias("angle")) for limb in LIMBS]
+    posed = rows.select("motion", "frame", (last("error") / 1000 + 0.9).alias("rz"), F.array(*bodies).alias("bodies"))
+    flat = posed.select("motion", "frame", "rz", F.inline("bodies"))
+    zero, half = F.lit(0.0), F.col("angle") / 2
+    return flat.select(
+        "motion", "chain", "kind", "role", "body", "frame", F.sin(half).alias("qx"), zero.alias("qy"), zero.alias("qz"), F.cos(half).alias("qw"),
+        zero.alias("px"), (F.cos("angle") * 0.3).alias("py"), (F.sin("angle") * 0.3).alias("pz"), zero.alias("rx"), zero.alias("ry"), "rz",
+    )
+
+
+@query("chain_evidence")
+def chain_evidence(spark, sf_dir):
+    """Branch-switch evidence of both limbs of every motion; SQL has no twin of the candidate frames, tested against NumPy."""
+    return C.chain_evidence(limb_bodies(spark, sf_dir), "motion", FPS)
+
+
 @query("joint_names", """WITH j AS (SELECT p_partkey AS id, (CASE p_partkey % 3 WHEN 0 THEN 'left_' WHEN 1 THEN 'right_' ELSE '' END) || (CASE p_size % 8 WHEN 0 THEN 'shoulder_pitch' WHEN 1 THEN 'elbow' WHEN 2 THEN 'wrist_yaw' WHEN 3 THEN 'hip_roll'
   WHEN 4 THEN 'knee' WHEN 5 THEN 'ankle_pitch' WHEN 6 THEN 'waist_yaw' ELSE 'finger' END) AS joint FROM part),
 s AS (SELECT *, regexp_extract(joint, '^(left|right)', 1) AS lr, regexp_extract(joint, '(ankle|knee|hip|wrist|elbow|shoulder)', 1) AS limb FROM j)

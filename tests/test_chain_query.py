@@ -1,0 +1,44 @@
+"""The registered query of limb evidence against NumPy over the fixture."""
+
+import duckdb
+import numpy as np
+
+from stridelake.operators import chains as C
+from stridelake.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
+FPS = 30.0
+
+
+def poses():
+    """Per motion the last value of every joint at every frame, 0 before the first."""
+    out, now = {}, {}
+    for user, joint, value in duckdb.sql(f"select user_id, event_type, value from '{SF}/events.parquet' order by user_id, ts, event_id").fetchall():
+        pose = now.setdefault(user, dict.fromkeys(("click", "view", "purchase", "signup", "error"), 0.0))
+        pose[joint] = value
+        out.setdefault(user, []).append(dict(pose))
+    return out
+
+
+def body(angles):
+    a = np.radians(angles)
+    zero = np.zeros_like(a)
+    return C.Body(np.stack([np.sin(a / 2), zero, zero, np.cos(a / 2)], axis=1), np.stack([zero, 0.3 * np.cos(a), 0.3 * np.sin(a)], axis=1), FPS)
+
+
+def test_every_limb_of_every_motion(spark):
+    got = {(r.motion, r.chain): r.asDict() for r in QUERIES["chain_evidence"](spark, SF).collect()}
+    want = poses()
+    assert set(got) == {(m, c) for m in want for c in ("right_arm", "right_leg")}
+    for motion, frames in want.items():
+        series = {j: np.array([f[j] for f in frames]) for j in frames[0]}
+        root = np.stack([np.zeros(len(frames)), np.zeros(len(frames)), 0.9 + series["error"] / 1000], axis=1)
+        for chain, kind, middle, end in (("right_arm", "arm", "click", "view"), ("right_leg", "leg", "purchase", "signup")):
+            verdict = C.chain_verdict(kind, {middle: body(series[middle])}, {end: body(series[end])}, root, FPS)
+            mine = got[motion, chain]
+            for name, value in verdict.items():
+                assert np.isclose(mine[name], value, rtol=1e-6, atol=1e-6) if isinstance(value, float) else mine[name] == value, (motion, chain, name)
+        turns = np.abs((np.diff(series["signup"]) + 180) % 360 - 180)
+        assert np.isclose(got[motion, "right_leg"]["speed"], turns.max() * FPS, atol=1e-3)
+        late = np.abs((series["signup"][48:] - series["signup"][:-48] + 180) % 360 - 180)
+        assert np.isclose(got[motion, "right_leg"]["w48"], late.max(initial=0.0), atol=1e-4)

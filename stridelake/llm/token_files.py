@@ -161,8 +161,16 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b""
 
 
+def spread_ids(ids: bytes) -> bytes:
+    """``ids`` if they are at most ``SAMPLE_BYTES``, else eight runs of ids at even distances from the first to the last, so many bytes together."""
+    if len(ids) <= SAMPLE_BYTES:
+        return ids
+    run = SAMPLE_BYTES // 8
+    return b"".join(ids[at : at + run] for at in ((len(ids) - run) * i // 7 // 4 * 4 for i in range(8)))
+
+
 def sample_ids(df: DataFrame, tokenizer: str, end_id: int) -> list[bytes]:
-    """Begins of the ids of at most ``SAMPLE_DOCS`` documents, those of the least id hashes: bounded for any table."""
+    """Ids, from the whole of long texts, of at most ``SAMPLE_DOCS`` documents, those of the least id hashes: bounded for any table."""
     hashed = df.select(F.xxhash64("id").alias("h"))
     last = hashed.orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if last is None:
@@ -171,12 +179,12 @@ def sample_ids(df: DataFrame, tokenizer: str, end_id: int) -> list[bytes]:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = id_encoder(tokenizer)
         for batch in batches:
-            begins = [(encoder.encode(t) + struct.pack("<I", end_id))[:SAMPLE_BYTES] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, pa.binary())], names=["h", "begin"])
+            some = [spread_ids(encoder.encode(t) + struct.pack("<I", end_id)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.binary())], names=["h", "ids"])
 
     chosen = df.select(F.xxhash64("id").alias("h"), "text").where(F.col("h") <= last)
-    found = chosen.mapInArrow(of_batches, "h long, begin binary").orderBy("h", "begin").limit(SAMPLE_DOCS).collect()
-    return [bytes(r["begin"]) for r in found]
+    found = chosen.mapInArrow(of_batches, "h long, ids binary").orderBy("h", "ids").limit(SAMPLE_DOCS).collect()
+    return [bytes(r["ids"]) for r in found]
 
 
 def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> tuple[DataFrame, bytes]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stridelake.storage import shared_dir, written
 
-__all__ = ["id_bounds", "order_id", "ranges_of", "shared_dir", "shuffle_parts", "small_batches", "table", "whole_text", "written"]
+__all__ = ["Recent", "id_bounds", "id_of", "is_null", "order_id", "ranges_of", "shared_dir", "shuffle_parts", "small_batches", "table", "whole_text", "written"]
 
 #: ASCII white space of every contract in this subpackage: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -21,10 +21,38 @@ def order_id(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 
 
+def is_null(name: str) -> Column:
+    """Marks a null id, so that a real id of ``NULL_ID`` is told apart from it."""
+    return F.col(f"`{name}`").cast("long").isNull()
+
+
+def id_of(key: str, none: str) -> Column:
+    """The id that :func:`order_id` and :func:`is_null` came from."""
+    return F.when(~F.col(none), F.col(key))
+
+
 def whole_text(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+class Recent(dict):
+    """Values of short strings, made where missing. Two generations: of a full table those looked up again move to the next one."""
+
+    def __init__(self, make, most: int = 300_000, longest: int = 48):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

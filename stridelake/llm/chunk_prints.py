@@ -13,16 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import NULL_ID, id_bounds, order_id, ranges_of, small_batches, table, shuffle_parts, whole_text
+from stridelake.llm.common import id_bounds, id_of, is_null, order_id, ranges_of, shuffle_parts, small_batches, table, whole_text
 
-#: Bytes of a chunk at least, before boundaries get easier, and at most. Short texts need short chunks to share any.
-LEAST, NORMAL, MOST = 4, 10, 40
+#: Bytes of a chunk at least, before boundaries get easier, and at most (a length is one byte of an entry).
+LEAST, NORMAL, MOST = 24, 96, 255
 #: Top bits of the gear hash that are zero at a boundary before and after NORMAL bytes.
-STRICT, EASY = 4, 2
+STRICT, EASY = 8, 6
 #: Bytes that the hash of a place depends on: 32 shifts push older ones out of 32 bits.
 WINDOW = 32
-#: One entry of a fingerprint: 5 bytes of digest and the chunk's length, as 8 characters of base 64.
-DIGEST = 5
+#: One entry of a fingerprint: so many bytes of the chunk's digest, then one with its length.
+DIGEST = 4
 
 
 def _gear() -> np.ndarray:
@@ -71,29 +71,27 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-def chunk_set(text: str) -> dict[bytes, int]:
-    """Entries (digest and length) of the distinct chunks with the bytes that each stands for, repeats included."""
-    data = text.encode()
-    out: dict[bytes, int] = {}
-    start, digest = 0, xxhash.xxh3_64_digest
+def print_of(text: str) -> str:
+    """The fingerprint: an entry for every chunk, repeats included, sorted and in base 64, so that equal texts have equal strings."""
+    data, start, out, digest = text.encode(), 0, [], xxhash.xxh3_64_digest
     for end in chunk_ends(data):
-        entry = digest(data[start:end])[:DIGEST] + bytes([end - start])
-        out[entry] = out.get(entry, 0) + end - start
+        out.append(digest(data[start:end])[:DIGEST] + bytes([end - start]))
         start = end
-    return out
+    return base64.urlsafe_b64encode(b"".join(sorted(out))).decode()
 
 
-def serialised(chunks: dict[bytes, int]) -> str:
-    """The set as text: sorted entries in base 64, so that equal sets are equal strings and a sketch can be compared later."""
-    return base64.urlsafe_b64encode(b"".join(sorted(chunks))).decode()
+def entries(fingerprint: str) -> list[bytes]:
+    data = base64.urlsafe_b64decode(fingerprint)
+    return [data[at : at + DIGEST + 1] for at in range(0, len(data), DIGEST + 1)]
 
 
-def containment(chunks: dict[bytes, int], other: dict[bytes, int]) -> float:
-    """The share of the bytes of ``chunks`` in chunks that ``other`` has too; equal sets give 1, an empty one else 0."""
-    total = sum(chunks.values())
-    if not total:
-        return 1.0 if not other else 0.0
-    return sum(w for entry, w in chunks.items() if entry in other) / total
+def containment(fingerprint: str, other: str) -> float:
+    """The share of the bytes behind ``fingerprint`` that lie in chunks the other has too, from the two strings alone; equal ones give 1, an empty one else 0."""
+    if fingerprint == other:
+        return 1.0
+    own, known = entries(fingerprint), set(entries(other))
+    total = sum(e[DIGEST] for e in own)
+    return sum(e[DIGEST] for e in own if e in known) / total if total else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -103,13 +101,13 @@ def edited(text: str, following: str) -> str:
 
 
 def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(part, id, packed, own)`` dealt into ranges of descending id and sorted, each range with the row that follows it.
+    """Rows ``(part, id, none, packed, own)`` dealt into ranges of descending id and sorted, each range with the row that follows it.
 
     A row's next is the row of the next smaller id (rows of one id follow each other by text; null ids come first); after the last comes the first. Ranges are
     cut from a scan of the ids alone, which also gives the largest id of each; the rows with that id go to the range before too
     (``own`` false). Texts are shuffled once, compressed.
     """
-    rows = df.select(order_id(id_col).alias("id"), whole_text(text_col).alias("text"))
+    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), whole_text(text_col).alias("text"))
     bounds = id_bounds(rows, "id", shuffle_parts(df))
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,36 +128,39 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [t.encode() for t in part.column(1).to_pylist()]
-                parts, ids, packed, own = [], [], [], []
+                texts = [t.encode() for t in part.column(2).to_pylist()]
+                dealt: list[tuple[int, int, bool, bytes, bool]] = []
                 given = part.column(0)
-                for i, p, text in zip(given.to_pylist(), ranges_of(given.to_numpy(), bounds).tolist(), texts):
+                for i, none, p, text in zip(given.to_pylist(), part.column(1).to_pylist(), ranges_of(given.to_numpy(), bounds).tolist(), texts):
                     data = zlib.compress(text, 1)
-                    for place, mine in ((p, True), (before[p], False)) if i == tops[p] else ((p, True),):
-                        parts.append(place), ids.append(i), packed.append(data), own.append(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(own, pa.bool_())], names=["part", "id", "packed", "own"])
+                    dealt.append((p, i, none, data, True))
+                    if i == tops[p]:
+                        dealt.append((before[p], i, none, data, False))
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in dealt], kind) for k, kind in enumerate(kinds)], names=["part", "id", "none", "packed", "own"])
 
-    dealt = small_batches(rows).mapInArrow(pack, "part int, id long, packed binary, own boolean")
-    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("id"), "packed")
+    dealt = small_batches(rows).mapInArrow(pack, "part int, id long, none boolean, packed binary, own boolean")
+    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("id"), F.desc("none"), "packed")
 
 
 def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: fingerprint of the text, of the edited text, and how far the text's chunks are in the edited and in the next text's.
+    """Per row: fingerprint of the text, of the edited text, and the :func:`containment` of the first in the edited and in the next text's.
 
     ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``. Null texts are empty; an empty text has the
     empty fingerprint. The next row is the one of :func:`next_documents`; a table of one row follows itself.
+    Rows of one id are ordered by their compressed text and lie in one range. Long texts are chunked whole.
     """
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id long, none boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def documents() -> Iterator[tuple[int, str, dict[bytes, int]] | None]:
+        def documents() -> Iterator[tuple[int, bool, str, str]]:
             """The range's own rows, then the first of the rows that follow it."""
             for batch in batches:
-                for i, data, own in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                for i, none, data, own in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                     text = zlib.decompress(data).decode()
-                    yield i, text, chunk_set(text)
+                    yield i, none, text, print_of(text)
                     if not own:
                         return
 
@@ -167,11 +168,12 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         previous = None
         for this in documents():
             if previous is not None:
-                doc, text, chunks = previous
-                _, following, next_chunks = this
+                doc, none, text, own_print = previous
+                following, next_print = this[2:]
                 new = edited(text, following)
-                new_chunks = chunks if new == text else chunk_set(new)
-                out.append((doc, len(text), hashlib.sha256(new.encode()).hexdigest(), serialised(chunks), serialised(new_chunks), containment(chunks, new_chunks), containment(chunks, next_chunks)))
+                new_print = own_print if new == text else print_of(new)
+                sha = hashlib.sha256(new.encode()).hexdigest()
+                out.append((doc, none, len(text), sha, own_print, new_print, containment(own_print, new_print), containment(own_print, next_print)))
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                     out = []
@@ -179,8 +181,9 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return next_documents(df, id_col, text_col).mapInArrow(of_partition, schema).withColumn("id", F.nullif("id", F.lit(NULL_ID)))
+    return next_documents(df, id_col, text_col).mapInArrow(of_partition, schema).withColumn("id", id_of("id", "none")).drop("none")
 
 
 def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text with their likeness; see :func:`fingerprint_pairs` for nulls, empty texts and ties."""
     return fingerprint_pairs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with the awkward cases."""
 
+import base64
 import collections
 import hashlib
 import html
@@ -243,20 +244,50 @@ def test_gear_hash_and_chunks():
     assert chunk_prints.chunk_ends(data.tobytes()) == ends
 
 
-def test_fingerprints(docs, empty):
-    rows = sorted(awkward(), key=lambda r: (-(1 << 63) if r[0] is None else -r[0]))
+def brute_print(text):
+    """Chunk by chunk and byte by byte, as a sorted list of (digest, length)."""
+    data, out, start = text.encode(), [], 0
+    for i, h in enumerate(brute_gear(data)):
+        n = i + 1 - start
+        zeros = 32 - h.bit_length()
+        if zeros >= chunk_prints.STRICT and n >= chunk_prints.LEAST or zeros >= chunk_prints.EASY and n >= chunk_prints.NORMAL or n == chunk_prints.MOST or i + 1 == len(data):
+            out.append((xxhash.xxh3_64(data[start : i + 1]).digest()[:4], n))
+            start = i + 1
+    return sorted(out)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    total = sum(n for _, n in a)
+    return sum(n for d, n in a if (d, n) in set(b)) / total if total else 0.0
+
+
+def test_fingerprints(spark, docs, empty):
+    rows = sorted([*awkward(), ((1 << 63) - 1, "real and largest", None, None, None, None)], key=lambda r: (-(1 << 63) if r[0] is None else -r[0]))
     texts = [r[1] or "" for r in rows]
-    got = sorted(chunk_prints.fingerprint_pairs(docs).collect(), key=lambda r: (-(1 << 63) if r.id is None else -r.id))
+    own = [brute_print(t) for t in texts]
+    got = sorted(chunk_prints.fingerprint_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect(), key=lambda r: (-(1 << 63) if r.id is None else -r.id))
     assert [r.id for r in got] == [r[0] for r in rows]
+    told = lambda s: [(e[:4], e[4]) for e in (base64.urlsafe_b64decode(s)[k : k + 5] for k in range(0, len(base64.urlsafe_b64decode(s)), 5))]
     for i, r in enumerate(got):
-        new = chunk_prints.edited(texts[i], texts[(i + 1) % len(texts)])
+        cut, following = len(texts[i]) // 3, texts[(i + 1) % len(texts)]
+        new = texts[i][: len(texts[i]) - cut] + following[:cut]
         assert r.n_chars == len(texts[i]) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert r.fingerprint == chunk_prints.serialised(chunk_prints.chunk_set(texts[i])) and r.edited_fingerprint == chunk_prints.serialised(chunk_prints.chunk_set(new))
-        assert 0 <= r.near_edited <= 1 and (r.near_edited == 1) >= (new == texts[i])
+        assert told(r.fingerprint) == own[i] and told(r.edited_fingerprint) == brute_print(new)
+        assert r.near_edited == pytest.approx(brute_likeness(own[i], brute_print(new))) and r.near_next == pytest.approx(brute_likeness(own[i], own[(i + 1) % len(own)]))
     assert chunk_prints.fingerprint_pairs(empty).count() == 0
     assert chunk_prints.fingerprint_pairs(docs.where("doc_id = 16").limit(1)).first().near_next == 1.0
-    shifted = "new words in front of it " + texts[5]
-    assert chunk_prints.containment(chunk_prints.chunk_set(texts[5]), chunk_prints.chunk_set(shifted)) > 0.9 or len(texts[5]) < 200
+    long = sentence(random.Random(1), 90_000)
+    assert chunk_prints.containment(chunk_prints.print_of(long), chunk_prints.print_of("new words in front of it " + long)) > 0.99
+
+
+def test_fingerprints_of_the_fixture_are_short_and_tell_texts_apart(spark):
+    rows = chunk_prints.op5_chunk_fingerprints(spark, SF).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sum(len(r.fingerprint) for r in rows) < 0.06 * sum(len(t.encode()) for t in texts.values())
+    long = [r for r in rows if r.n_chars >= 300]
+    assert all(r.near_edited > r.near_next for r in long if r.near_next < 1) and np.mean([r.near_edited for r in long]) > 0.55
 
 
 # mixing

@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,102 +14,116 @@ from pyspark.sql import functions as F
 
 from stridelake.llm.common import small_batches, table, whole_text
 
-# Fixed lists of HTML: elements that break text into blocks, that never hold content, and that have no end tag.
+# Fixed lists of HTML: elements that break text into blocks, that never show text of the page, and that have no end tag.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select datalist textarea button head title".split())
-CHROME = frozenset("nav footer aside form dialog menu search fieldset".split())
+HIDDEN = frozenset("script style noscript template svg iframe object canvas audio video select datalist textarea button head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
-#: Words of class and id names that mark what is not the article.
-CHROME_WORDS = re.compile(
-    r"(?:^|(?<!with)(?<!has)(?<!no)[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disclaimer|"
-    r"disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo|promoted|"
-    r"promotion|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|"
-    r"subscription|toolbar|widget|widgets)(?=$|[\s_-]|\d)",
-    re.I,
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements that are page furniture by what they mean, and those that are so unless they hold the page's text.
+HARD, SOFT = frozenset("nav footer".split()), frozenset("form aside dialog menu search".split())
+SOFT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+ROOTS = frozenset("article main".split())
+#: Elements whose class and id words count.
+CONTAINERS = frozenset("div section ul ol dl table header".split())
+# A class or id is read as one of these words, perhaps with a word of place before and words of layout after it.
+_WORDS = (
+    "ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
+    "navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|promotion|recommended|related|replies|share|sharing|sidebar|signup|social|sponsor|sponsored|"
+    "subscribe|subscription|toolbar|widgets?"
 )
+_BEFORE = "page|site|main|post|entry|left|right|top|bottom|global|primary|secondary|user|reader|cookie|social|share"
+_AFTER = "list|box|section|area|wrap|wrapper|container|block|bar|inner|item|items|content|widget|links?|buttons?|form|banner|notice|left|right|top|bottom|primary|secondary|posts?|articles?|[0-9]+"
+FURNITURE = re.compile(rf"(?:(?:{_BEFORE})[-_])?(?:{_WORDS})(?:[-_]?(?:{_AFTER}))*", re.I)
+OF_ARTICLES = re.compile("ad|advert|comment|promo|related|reply|sponsored|teaser", re.I)
 #: A start tag of the key ends an open element of these kinds (optional end tags of HTML).
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 SPACE = re.compile(r"\s+")
+#: Part of the text that an element needs to be gone into, and that text outside marked elements has at least if they are furniture.
+MOST, SOME = 0.7, 0.2
 
 
-class _Element:
-    __slots__ = ("chrome", "header", "name", "root", "heading", "marks", "article")
+class Node(NamedTuple):
+    """An open or closed element that can hold blocks; ``parent`` is a place in the list of nodes. What ``hard``, ``header`` and ``heading`` say holds inside it too."""
 
-    def __init__(self, name: str, chrome: bool, header: bool, root: int, heading: bool, marks: tuple[int, ...], article: int):
-        self.name, self.chrome, self.header, self.root, self.heading, self.marks, self.article = name, chrome, header, root, heading, marks, article
+    name: str
+    parent: int
+    hard: bool
+    mark: bool  # perhaps furniture, by its own name, role or words
+    root: int  # the outermost article or main around it, or -1
+    header: bool
+    heading: bool
 
 
-class _Blocks(HTMLParser):
-    """Collects blocks as events arrive: text, number of tags, characters in links, whether page furniture, the root and outermost
-    article it is in, and the elements around it that class words mark.
+class Block(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    node: int
 
-    Root 0 is the page; each outermost ``main`` is one more, and so are the outermost articles outside ``main`` that have one parent.
-    ``around`` has the marked elements that hold a root.
-    """
+
+class PageParser(HTMLParser):
+    """Collects blocks as events arrive: text, number of tags since the last one, characters in links, and the element they stand in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[_Element] = []
-        self.blocks: list[tuple[str, int, int, bool, int, int, tuple[int, ...]]] = []
-        self.around: list[tuple[int, ...]] = [()]
-        self.parents: dict[_Element | None, int] = {}
-        self.marked = self.articles = 0
+        self.nodes = [Node("", -1, False, False, -1, False, False)]
+        self.open = [0]
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
+        self.link = 0  # how many elements were open when the link began
 
     def close_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            top = self.open[-1] if self.open else None
-            chrome = bool(top and (top.chrome or top.header and not top.heading))
-            self.blocks.append((text, self.tags, self.linked, chrome, top.root if top else 0, top.article if top else 0, top.marks if top else ()))
+            self.blocks.append(Block(text, self.tags, self.linked, self.open[-1]))
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def close_to(self, depth: int) -> None:
+        del self.open[depth:]
+        if self.link > len(self.open):
+            self.link = 0
+
+    def top(self) -> Node:
+        return self.nodes[self.open[-1]]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.close_block()
-        if tag in BLOCKS and self.open and self.open[-1].name == "p":
-            self.open.pop()
+        if tag not in IN_HEAD and tag != "head":
+            for depth, at in enumerate(self.open):
+                if self.nodes[at].name == "head":
+                    self.close_to(depth)
+                    break
+        if tag in BLOCKS and self.top().name == "p":
+            self.close_to(len(self.open) - 1)
         for name in CLOSES.get(tag, ()):
-            if self.open and self.open[-1].name == name:
-                self.open.pop()
+            if self.top().name == name:
+                self.close_to(len(self.open) - 1)
         self.tags += 1
-        self.links += tag == "a"
-        if tag in VOID:
-            if tag == "br":
-                self.parts.append(" ")
+        if tag == "a":
+            self.link = len(self.open)
+        elif tag == "br":
+            self.parts.append(" ")
+        if tag in VOID or tag not in BLOCKS and tag not in HIDDEN:
             return
-        if tag in BLOCKS or tag in HIDDEN:
-            above = self.open[-1] if self.open else None
-            root, article, marks = (above.root, above.article, above.marks) if above else (0, 0, ())
-            outer = marks
-            if bool(attrs) and tag not in ("html", "body") and _worded(attrs):
-                self.marked += 1
-                marks = (*marks, self.marked)
-            if tag == "main" and not root:
-                self.around.append(marks)
-                root = len(self.around) - 1
-            elif tag == "article" and not article:
-                self.articles += 1
-                article = self.articles
-                if not root:
-                    root = self.parents.setdefault(above, len(self.around))
-                    if root == len(self.around):
-                        self.around.append(outer)
-            chrome = bool(above and above.chrome) or tag in HIDDEN or tag in CHROME or bool(attrs) and tag not in ("html", "body") and _marked(attrs)
-            header = tag == "header" or bool(above and above.header)
-            heading = tag in HEADINGS or bool(above and above.heading and above.header)
-            self.open.append(_Element(tag, chrome, header, root, heading, marks, article))
+        place, above = len(self.nodes), self.top()
+        inside = above.root >= 0
+        hard = above.hard or tag in HIDDEN or tag in HARD or tag == "header" and not inside or _hidden(attrs)
+        mark = tag in SOFT or _marked(tag, attrs)
+        root = above.root if inside else place if tag in ROOTS else -1
+        header = above.header or tag == "header"
+        self.nodes.append(Node(tag, self.open[-1], hard, mark, root, header, above.heading or tag in HEADINGS))
+        self.open.append(place)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -118,36 +133,38 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "a":
-            self.links = max(0, self.links - 1)
-        if tag not in BLOCKS and tag not in HIDDEN:
-            return
+            self.link = 0
         if tag in BLOCKS:
             self.close_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name == tag:
-                del self.open[i:]
-                break
-            if self.open[i].name in ("article", "main", "body", "nav", "footer", "aside") and tag in ("p", "li", "div", "span"):
-                break  # a stray end tag doesn't close what holds it
+        elif tag not in HIDDEN:
+            return
+        for depth in range(len(self.open) - 1, 0, -1):
+            name = self.nodes[self.open[depth]].name
+            if name == tag:
+                self.close_to(depth)
+                return
+            if name in ("article", "main", "body", "nav", "footer", "aside") and tag in ("p", "li", "div"):
+                return  # a stray end tag doesn't close what holds it
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1].name in HIDDEN:
-            return
-        self.parts.append(data)
-        if self.links:
-            self.linked += len(data.strip())
+        if self.top().name not in HIDDEN:
+            self.parts.append(data)
+            if self.link:
+                self.linked += len(data.strip())
 
 
-def _worded(attrs: list) -> bool:
-    return any(name in ("class", "id") and value and CHROME_WORDS.search(value) for name, value in attrs)
+def _hidden(attrs: list) -> bool:
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and v and re.search(r"display\s*:\s*none", v) for n, v in attrs)
 
 
-def _marked(attrs: list) -> bool:
+def _marked(tag: str, attrs: list) -> bool:
     for name, value in attrs:
-        if name == "role" and value and value.lower() in CHROME_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+        if name == "role" and value and value.lower() in SOFT_ROLES:
             return True
+        if name in ("class", "id") and value and (tag in CONTAINERS or tag == "article"):
+            words = OF_ARTICLES if tag == "article" else FURNITURE
+            if any(map(words.fullmatch, value.split())):
+                return True
     return False
 
 
@@ -163,51 +180,114 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def dense(blocks: list[Block]) -> list[bool]:
+    """Which blocks belong to the cluster of text: smoothed characters outside links per tag of at least their standard deviation."""
+    ratios = smoothed([(len(b.text) - b.linked) / max(1, b.tags) for b in blocks])
+    mean = sum(ratios) / max(1, len(ratios))
+    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
+    return [r >= threshold for r in ratios]
+
+
+def _linked(block: Block) -> bool:
+    return 2 * block.linked > len(block.text)
+
+
+def _visible(nodes: list[Node], blocks: list[Block], wrappers: frozenset[int] = frozenset()) -> list[Block]:
+    """Blocks that are no furniture: neither in a hard element nor in a marked one, unless that holds the text itself.
+
+    Marked elements hold the text where no article or main stands outside of them and less than ``SOME`` of the text does: the one
+    of at least three blocks and half the text is then taken for a wrapper, and what is marked inside it is judged in turn.
+    """
+    soft = [-1] * len(nodes)  # the outermost marked element around each
+    for i, n in enumerate(nodes):
+        around = soft[n.parent] if i else -1
+        soft[i] = around if around >= 0 else i if n.mark and i not in wrappers else -1
+    shown = [b for b in blocks if not nodes[b.node].hard and (nodes[b.node].heading or not nodes[b.node].header)]
+    free = [b for b in shown if soft[b.node] < 0]
+    mass = lambda part: sum(len(b.text) - b.linked for b in part)
+    if any(n.name in ROOTS and soft[i] < 0 and not n.hard for i, n in enumerate(nodes)) or mass(free) >= SOME * mass(shown):
+        return free
+    groups: dict[int, list[Block]] = {}
+    for b in shown:
+        groups.setdefault(soft[b.node], []).append(b)
+    best = max((at for at in groups if at >= 0), key=lambda at: mass(groups[at]), default=-1)
+    if best < 0 or len(groups[best]) < 3 and not _holds_root(nodes, best) or 2 * mass(groups[best]) < mass(shown):
+        return free
+    return _visible(nodes, blocks, wrappers | {best})
+
+
+def _holds_root(nodes: list[Node], at: int) -> bool:
+    """Whether an article or main is the element or stands inside it."""
+    inside = {at}
+    for i in range(at + 1, len(nodes)):
+        if nodes[i].parent in inside:
+            inside.add(i)
+    return any(nodes[i].name in ROOTS for i in inside)
+
+
 def main_text(html: str) -> str:
     r"""The article's blocks in page order, joined by ``\n``; empty if there is no text.
 
-    Blocks inside page furniture (menus, page headers and footers, sidebars, notices, adverts, forms, comments, hidden parts) go by
-    their elements, roles and class words. The rest is scored: characters outside links per tag, smoothed over neighbouring
-    blocks; blocks above the standard deviation of the smoothed ratios are content. The root (a ``main``, or the articles outside
-    of one that have the same parent) with most content text is the article, the page only if no root has any. In a root every block
-    stays that is no furniture; in a bare page the blocks from the one before the first content block to the last content block
-    stay, but for those that are mostly links. Class words on an element around a root don't make the root furniture; such a root
-    counts with its longest article alone, as comments and teasers stand in marked elements too.
+    Hidden parts, menus, page headers and footers go by their elements; sidebars, notices, adverts, forms and comments by elements, roles and class
+    words, but for one that holds the text itself. Of what remains, characters outside links per tag are smoothed over neighbouring blocks, and blocks above the standard
+    deviation of the smoothed ratios are the text. From the page inwards, the region is the last element that holds ``MOST`` of this text, widened
+    to the ``article`` or ``main`` around it and to the articles beside that. In the region every block stays but those of links that are no text by their
+    ratio; a region that is the bare page ends at its first and last text, with the headings before it. Repeated blocks all stay.
     """
-    parser = _Blocks()
+    parser = PageParser()
     parser.feed(html)
     parser.close()
     parser.close_block()
-    blocks = [b for b in parser.blocks if not b[3] and set(b[6]) <= set(parser.around[b[4]])]
-    if not blocks:
-        blocks = [b for b in parser.blocks if not b[3] and b[4]]  # class words mark the articles themselves
+    nodes, blocks = parser.nodes, _visible(parser.nodes, parser.blocks)
     if not blocks:
         return ""
-    ratios = smoothed([(len(b[0]) - b[2]) / max(1, b[1]) for b in blocks])
-    mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    content = [r >= threshold and b[2] * 2 <= len(b[0]) for r, b in zip(ratios, blocks)]
-    if not any(content):
-        content = [b[2] * 2 <= len(b[0]) for b in blocks]
-    parts: dict[int, dict[int, int]] = {}
-    for chosen, (text, _, _, _, root, article, _) in zip(content, blocks):
-        of_root = parts.setdefault(root, {})
-        of_root[article] = of_root.get(article, 0) + (len(text) if chosen else 0)
-    mass = {r: (max if parser.around[r] else sum)(p.values()) for r, p in parts.items()}
-    best = max((r for r in mass if r and mass[r]), key=lambda r: (mass[r], -r), default=0 if 0 in mass else max(mass))
-    own = [(b[0], chosen, b[2] * 2 > len(b[0])) for chosen, b in zip(content, blocks) if b[4] == best]
-    if not best:
-        kept = [i for i, (_, chosen, _) in enumerate(own) if chosen]
-        own = [b for b in own[max(0, kept[0] - 1) : kept[-1] + 1] if not b[2]] if kept else []
-    return "\n".join(text for text, _, _ in own)
+    text = [d and not _linked(b) for d, b in zip(dense(blocks), blocks)]
+    if not any(text):
+        text = [not _linked(b) for b in blocks]
+    region = _region(nodes, blocks, text)
+    root = nodes[region].root
+    if root >= 0 and nodes[root].name == "article":
+        regions = {i for i, n in enumerate(nodes) if n.name == "article" and n.root == i and n.parent == nodes[root].parent}
+    else:
+        regions = {root if root >= 0 else region}
+    inside = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        inside[i] = i in regions or n.parent >= 0 and inside[n.parent]
+    own = [inside[b.node] for b in blocks]
+    first, last = own.index(True) if any(own) else 0, len(own) - own[::-1].index(True) if any(own) else 0
+    if root < 0:
+        if nodes[region].name in ("", "html", "body"):
+            places = [i for i, t in enumerate(text) if t]
+            first, last = (places[0], places[-1] + 1) if places else (0, 0)
+        while first and nodes[blocks[first - 1].node].heading:
+            first -= 1
+            own[first] = True
+    close = dense(blocks)
+    kept = [b.text for i, b in enumerate(blocks) if first <= i < last and own[i] and (close[i] or not _linked(b))]
+    return "\n".join(kept)
+
+
+def _region(nodes: list[Node], blocks: list[Block], text: list[bool]) -> int:
+    """The innermost element that holds ``MOST`` of the text."""
+    mass = [0] * len(nodes)
+    for chosen, b in zip(text, blocks):
+        mass[b.node] += len(b.text) if chosen else 0
+    for i in range(len(nodes) - 1, 0, -1):
+        mass[nodes[i].parent] += mass[i]
+    at = 0
+    for i, n in enumerate(nodes):  # a child stands after its parent, so one pass goes inwards
+        if n.parent == at and i != at and mass[i] and mass[i] >= MOST * mass[0]:
+            at = i
+    return at
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns ``keep`` as they are, ``text`` and ``n_chars`` (its code points) per row.
+    """The columns ``keep`` as they are, ``text`` and ``n_chars`` (its code points) per row; kept columns of these two names are replaced.
 
     Null and empty pages and pages without text give an empty text. Rows are independent (repeated ids or urls stay as they are): one
-    pass without shuffle, the parser holds one page at a time.
+    pass without shuffle, the parser holds one page at a time, however long.
     """
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,4 +303,5 @@ def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` of every page; see :func:`extract_pages` for nulls and empty or repeated pages."""
     return extract_pages(table(spark, sf_dir, "pages"))

@@ -17,13 +17,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import small_batches, table, whole_text
+from stridelake.llm.common import Recent, small_batches, table, whole_text
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-#: Rows that a worker encodes before it returns them.
-ROWS = 512
+#: Rows that a worker encodes before it returns them, chunks of one generation whose ids it remembers, and the longest one that is remembered.
+ROWS, REMEMBERED, LONGEST = 512, 400_000, 48
+#: Characters of a chunk up to which pairs are scanned anew after each merge; longer chunks use a queue.
+SCANNED = 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -125,18 +127,11 @@ class PieceModel:
             raise ValueError("only models with byte fallback are supported")
         # No piece goes on past a word's end or has a line feed, so merges stay within such chunks.
         inner = re.compile(f"[^{self.space}]{self.space}|\n")
-        identity = self.map.empty and not self.squeeze and self.dummy_prefix and self.escape
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path) if identity else None
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)  # for decoding
         self.whole = any(inner.search(p) for p in self.ids)
         self.chunks = re.compile(f"\n|{self.space}+[^{self.space}\n]*|[^{self.space}\n]+").findall
-        self.surfaces = [self._surface(i) for i in range(len(self.pieces))]
-
-    def _surface(self, i: int) -> bytes:
-        if self.kinds[i] == BYTE:
-            return bytes([int(self.pieces[i][1:-1], 16)])
-        if self.kinds[i] == CONTROL:
-            return b""
-        return " \u2047 ".encode() if self.kinds[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
+        self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.known = Recent(self._chunk_ids, REMEMBERED, LONGEST)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the original byte offset of each of its bytes and of its end.
@@ -190,6 +185,8 @@ class PieceModel:
         parts: list[str] = list(chunk)
         if len(parts) < 2:
             return parts
+        if len(parts) <= SCANNED:
+            return self._scanned(parts)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         ids, scores, queue = self.ids, self.scores, []
 
@@ -217,45 +214,44 @@ class PieceModel:
                 offer(before[left], left)
         return [p for p in parts if p]
 
-    def _merged_ids(self, normal: str) -> list[int]:
+    def _scanned(self, parts: list[str]) -> list[str]:
+        """The same for few parts: costs of all pairs stand in a list, whose first least one is merged."""
+        cost, never = self.costs.get, float("inf")
+        costs = [cost(a + b, never) for a, b in zip(parts, parts[1:])]
+        while costs:
+            least = min(costs)
+            if least == never:
+                break
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], never)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], never)
+        return parts
+
+    def _chunk_ids(self, chunk: str) -> bytes:
         ids: list[int] = []
-        for chunk in [normal] if self.whole and normal else self.chunks(normal):
-            for piece in self.merge(chunk):
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.fallback[b] for b in piece.encode()]
-        return ids
+        for piece in self.merge(chunk):
+            i = self.ids.get(piece)
+            ids += [i] if i is not None else [self.fallback[b] for b in piece.encode()]
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> Encoded:
         """Ids as the library gives them, each with the span of original bytes that it stands for.
 
-        Where the character map leaves every character as it is, the library's own merge loop gets the text; else the
-        normalised text is merged here. Either way the spans come from the alignment of the normalisation.
+        The normalised text is merged chunk by chunk; the spans come from the alignment of the normalisation.
         """
         normal, origin = self.normalise(text)
-        body = self.library.encode(text) if self.library is not None else self._merged_ids(normal)
-        ids = np.array(array("I", [self.begin, *body, self.end]), dtype="<u4")
+        body = self._chunk_ids(normal) if self.whole else b"".join(map(self.known.__getitem__, self.chunks(normal)))
+        ids = np.frombuffer(b"".join((struct.pack("<I", self.begin), body, struct.pack("<I", self.end))), "<u4")
         places = origin[np.cumsum(self.lengths[ids])]
         return Encoded(ids, np.concatenate([origin[:1], places[:-1]]), places)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text as the library decodes it: one space that the dummy prefix gave goes, bytes that are no UTF-8 become U+FFFD each."""
-        listed = ids.tolist()
-        data = b"".join(map(self.surfaces.__getitem__, listed))
-        first = next((i for i in listed if self.kinds[i] != CONTROL), None)
-        strip = self.dummy_prefix and first is not None and self.pieces[first].startswith(self.space)
-        try:
-            return data[strip:].decode()
-        except UnicodeDecodeError:
-            pass
-        out, rest = [], data[strip:]
-        while rest:
-            try:
-                out.append(rest.decode())
-                break
-            except UnicodeDecodeError as error:
-                out += [rest[: error.start].decode(), "\ufffd"]
-                rest = rest[error.start + 1 :]
-        return "".join(out)
+        """The text as the library decodes it."""
+        return self.library.decode(ids.tolist())
 
 
 @lru_cache(maxsize=4)
@@ -321,4 +317,5 @@ def model_path() -> str:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests, and the bytes its pieces span; see :func:`encode_documents` for nulls, empty texts and repeats."""
     return encode_digests(table(spark, sf_dir, "documents"), model_path()).withColumnRenamed("id", "doc_id")

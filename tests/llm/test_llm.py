@@ -149,18 +149,23 @@ def test_sentencepiece_is_the_library(docs, empty):
     assert sentencepieces.encode_documents(empty, path).count() == 0
 
 
-def test_sentencepiece_spans_and_own_merges():
+def test_sentencepiece_spans_and_merges():
     path = sentencepieces.model_path()
-    model, own = sentencepieces.PieceModel(path), sentencepieces.PieceModel(path)
-    own.library = None
+    model, library = sentencepieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(7)
-    for text in ["", " ", "ab  cd", "▁x ▁", "é\n日😀"] + ["".join(rng.choice("ab ▁\n\té😀<0>x1") for _ in range(40)) for _ in range(200)]:
+    texts = ["", " ", "ab  cd", "▁x ▁", "é\n日😀", "x" * 3000, "antidisestablishmentarianism" * 40] + ["".join(rng.choice("ab ▁\n\té😀<0>x1") for _ in range(40)) for _ in range(200)]
+    texts += [" ".join("".join(rng.choice("etaoinshr'.,") for _ in range(rng.randint(1, 70))) for _ in range(60)) for _ in range(20)]
+    for text in texts:
         e, data = model.encode(text), text.encode()
-        assert list(own.encode(text).ids) == list(e.ids)
+        assert list(e.ids) == library.encode(text, add_bos=True, add_eos=True)
         assert e.begins[0] == 0 and e.ends[-1] == len(data) and (e.ends[:-1] == e.begins[1:]).all()
         for i, b, end in zip(e.ids, e.begins, e.ends):
             if model.kinds[i] == sentencepieces.NORMAL:
                 assert data[b:end].decode().replace(" ", "▁") in (model.pieces[i], model.pieces[i][1:])
+    scanned = [model.merge(t.replace(" ", "▁")) for t in texts]
+    sentencepieces.SCANNED, kept = 0, sentencepieces.SCANNED
+    assert scanned == [model.merge(t.replace(" ", "▁")) for t in texts]
+    sentencepieces.SCANNED = kept
 
 
 def test_character_map_takes_the_longest_prefix():
@@ -180,7 +185,7 @@ def test_character_map_takes_the_longest_prefix():
     table = sentencepieces.CharacterMap(blob)
     assert table.longest(b"abc", 0) == (2, b"yz") and table.longest(b"ac", 0) == (1, b"x") and table.longest(b"b", 0) is None
     model = sentencepieces.PieceModel(sentencepieces.model_path())
-    model.map, model.library = table, None
+    model.map = table
     text, origin = model.normalise("é abac")
     assert text == "▁é▁yzxc"
     assert list(origin) == [0, 0, 0, 0, 0, 2, 2, 2, 3, 3, 5, 6, 7]

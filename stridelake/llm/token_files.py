@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from re import compile as pattern
+from re import escape
 
 import numpy as np
 import pyarrow as pa
@@ -18,45 +19,28 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import NULL_ID, id_bounds, order_id, ranges_of, shared_dir, small_batches, table, shuffle_parts, whole_text, written
+from stridelake.llm.common import Recent, id_bounds, is_null, order_id, ranges_of, shared_dir, small_batches, table, shuffle_parts, whole_text, written
 
 MAGIC = b"SLTOKENS"
 #: magic, format version, number of documents, ids in the file, length of all frames, sha256 of the dictionary
 HEADER = struct.Struct("<8sIQQQ32s")
-#: document id, first id of the document in its file, number of ids, offset of the frame, length of the frame
-ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_ids", "<u8"), ("offset", "<u8"), ("length", "<u8")])
+#: document id, whether it is null, first id of the document in its file, number of ids, offset of the frame, length of the frame
+ENTRY = np.dtype([("doc_id", "<i8"), ("none", "u1"), ("start", "<u8"), ("n_ids", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 #: A file is closed once its frames have this many bytes.
 FILE_BYTES = 32 << 20
 #: The dictionary is trained on so many documents at most, and on so many bytes of ids of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 64 << 10
-#: Distinct chunks of one generation whose ids a worker remembers, and the longest chunk that is remembered.
-REMEMBERED, LONGEST = 300_000, 48
+#: Distinct pieces of one generation whose ids a worker remembers, and the longest piece that is remembered.
+REMEMBERED, LONGEST = 600_000, 48
 LEVEL = 3
 
-# A chunk is white space and the run after it. The tokenizer's pattern never goes on from other text into white space, so chunks
-# are encoded apart. \x1c-\x1f are white space for Python alone: texts with them are encoded whole.
-_chunks = pattern(r"\s*\S+|\s+").findall
-_UNSURE = "\x1c\x1d\x1e\x1f"
-# A word of Latin letters, perhaps with a space before, and punctuation after it: two units of the tokenizer's pattern.
-_plain = pattern(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-
-
-class _Known(dict):
-    """Ids of chunks, made where missing. Two generations: of a full table those looked up again move to the next one."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.make(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+# The tokenizer's pattern never goes on from other text into white space, so chunks (white space and the run after it) are encoded
+# apart. Of a chunk that is a word of Latin letters, perhaps with a space before, and punctuation, both are units of the pattern.
+# \x1c-\x1f are white space for Python alone: texts with them are encoded whole.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]"
+_pieces = pattern(rf" ?{_LETTERS}(?={_MARKS}*(?:\s|\Z))|{_MARKS}+(?=\s|\Z)|\s*\S+|\s+").findall
+_unit = pattern(rf" ?{_LETTERS}|{_MARKS}+").fullmatch
+_UNSURE = pattern("[\x1c-\x1f]").search
 
 
 class IdEncoder:
@@ -70,28 +54,27 @@ class IdEncoder:
         first = self.tokenizer.pre_tokenizer
         self.parts = type(first).__name__ == "ByteLevel" and not first.add_prefix_space and self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
-        self.units = _Known(self._unit)
-        self.known = _Known(self._chunk)
+        self.special_in = pattern("|".join(map(escape, self.special)) or r"(?!)").search
+        self.known = Recent(self._piece, REMEMBERED, LONGEST)
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level alphabet: other bytes follow from U+0100
         self.alphabet = dict(zip([b for b in range(256) if b not in shown], range(0x100, 0x200)))
 
-    def _unit(self, unit: str) -> bytes:
-        mapped = unit.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Plain words go to the tokenizer's merges at once, all else through its pattern."""
-        if m := _plain(chunk):
-            return self.units[m[1]] + (self.units[m[2]] if m[2] else b"")
-        return self._whole(chunk)
+    def _piece(self, piece: str) -> bytes:
+        """Units go to the tokenizer's merges at once, all else through its pattern."""
+        if not _unit(piece):
+            return self._whole(piece)
+        mapped = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [self.packed[t.id] for t in self.model.tokenize(mapped)]
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode(self, text: str) -> bytes:
-        if not self.parts or any(s in text for s in self.special) or any(c in text for c in _UNSURE):
+        if not self.parts or self.special_in(text) or _UNSURE(text):
             return self._whole(text)
-        return b"".join(map(self.known.__getitem__, _chunks(text)))
+        return b"".join(map(self.known.__getitem__, _pieces(text)))
 
 
 @lru_cache(maxsize=4)
@@ -112,7 +95,7 @@ def _uri(path: str) -> str:
 
 def write_file(uri: str, dictionary: bytes, entries: np.ndarray, frames: bytes) -> None:
     """Header, index, frames. The name is new at every attempt of a task, so a lost attempt leaves a file that no manifest names."""
-    header = HEADER.pack(MAGIC, 1, len(entries), int(entries["n_ids"].sum()), len(frames), hashlib.sha256(dictionary).digest())
+    header = HEADER.pack(MAGIC, 2, len(entries), int(entries["n_ids"].sum()), len(frames), hashlib.sha256(dictionary).digest())
     fs, path = _files(uri)
     with fs.open_output_stream(path) as out:
         out.write(header)
@@ -127,7 +110,7 @@ class TokenFile:
         fs, path = _files(uri)
         self.file = fs.open_input_file(path)
         magic, version, n, self.n_ids, _, digest = HEADER.unpack(self.file.read(HEADER.size))
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError(f"{uri} is no token file")
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri} was written with another dictionary")
@@ -195,7 +178,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
     of ids before each; it names files of finished tasks only. Ids are compressed where they are made, so the
     one shuffle (by ranges of the id, cut from a scan of that column alone) moves frames, not texts.
     """
-    rows = df.select(order_id(id_col).alias("id"), whole_text(text_col).alias("text"))
+    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), whole_text(text_col).alias("text"))
     dictionary = train_dictionary(sample_ids(rows, tokenizer, end_id))
     parts = shuffle_parts(df)
     bounds = id_bounds(rows, "id", parts)
@@ -206,15 +189,16 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [encoder.encode(t) + end for t in part.column(1).to_pylist()]
+                ids = [encoder.encode(t) + end for t in part.column(2).to_pylist()]
                 range_ = pa.array(ranges_of(part.column(0).to_numpy(), bounds))
-                yield pa.RecordBatch.from_arrays([range_, part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary())], names=["range", "id", "n_ids", "frame"])
+                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary())]
+                yield pa.RecordBatch.from_arrays([range_, part.column(0), part.column(1), *made], names=["range", "id", "none", "n_ids", "frame"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        entries: list[tuple[int, int, int, int, int]] = []
+        entries: list[tuple[int, bool, int, int, int, int]] = []
         frames: list[bytes] = []
         size = start = 0
 
@@ -226,8 +210,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["part", "file", "uri", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, n, frame in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                entries.append((doc, start, n, size, len(frame)))
+            for doc, none, n, frame in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                entries.append((doc, none, start, n, size, len(frame)))
                 frames.append(frame)
                 size, start = size + len(frame), start + n
                 if size >= FILE_BYTES:
@@ -238,8 +222,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
 
     fs, path = _files(folder)
     fs.create_dir(path, recursive=True)
-    packed = small_batches(rows).mapInArrow(pack, "range int, id long, n_ids long, frame binary")
-    ranged = packed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("id", "n_ids", "frame")
+    packed = small_batches(rows).mapInArrow(pack, "range int, id long, none boolean, n_ids long, frame binary")
+    ranged = packed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("id", "none", "n_ids", "frame")
     files = written(ranged.mapInArrow(store, "part long, file long, uri string, n_docs long, n_ids long"))
     # One row for each file of up to 32 MB; summed per part first, so a single task only orders the parts.
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -262,14 +246,13 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                     crcs[k] = zlib.crc32(file.unpack(frames[offset : offset + length], max_output_size=4 * n))
                 file.close()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(entries["doc_id"].astype("i8")), pa.array(entries["start"].astype("i8") + first), pa.array(entries["n_ids"].astype("i8")), pa.array(crcs)],
+                    [pa.array(entries["doc_id"].astype("i8"), mask=entries["none"].astype(bool)), pa.array(entries["start"].astype("i8") + first), pa.array(entries["n_ids"].astype("i8")), pa.array(crcs)],
                     names=["id", "start", "n_tokens", "ids_crc32"],
                 )
 
     named = manifest.select("uri", "start")
     spread = named.repartition(shuffle_parts(manifest), "uri")
-    found = spread.mapInArrow(of_batches, "id long, start long, n_tokens long, ids_crc32 long")
-    return found.withColumn("id", F.nullif("id", F.lit(NULL_ID)))
+    return spread.mapInArrow(of_batches, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path() -> str:
@@ -279,6 +262,7 @@ def tokenizer_path() -> str:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document as its files hold it; see :func:`write_token_files` for nulls, empty texts and repeats."""
     folder = _uri(f"{shared_dir(spark)}-tokens")
     manifest, dictionary = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
     return read_token_files(manifest, dictionary).withColumnRenamed("id", "doc_id")

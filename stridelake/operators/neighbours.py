@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a round broadcasts at most (about), and rows compared at once.
-ROUND, BLOCK = 4096, 512
+from stridelake.operators import blocks as B
+
+#: Held rows that are compared at once.
+BLOCK = 512
 
 
 def robust_scaled(df: DataFrame, features: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
@@ -36,54 +36,46 @@ def group_weights(features: list[str], weights: dict[str, float]) -> list[float]
     return [weights.get(g, 0.0) / groups.count(g) for g in groups]
 
 
+class _Nearest:
+    """The k nearest fed rows of each held row by L1, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
+        self.ids, self.rows, self.k = ids, rows, k
+        self.at, self.near, self.distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def feed(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for lo in range(0, len(self.ids), BLOCK):
+            part, own = self.rows[lo : lo + BLOCK], self.ids[lo : lo + BLOCK]
+            distance = np.zeros((len(part), len(ids)))
+            for d in range(part.shape[1]):
+                distance += np.abs(part[:, d, None] - rows[None, :, d])
+            distance[own[:, None] == ids[None, :]] = np.inf
+            kth = np.partition(distance, min(self.k, len(ids)) - 1, axis=1)[:, min(self.k, len(ids)) - 1]
+            q, c = np.nonzero((distance <= kth[:, None]) & np.isfinite(distance))
+            self.at, self.near, self.distance = np.r_[self.at, q + lo], np.r_[self.near, ids[c]], np.r_[self.distance, distance[q, c]]
+        self.trim()
+
+    def trim(self) -> None:
+        order = np.lexsort((self.near, self.distance, self.at))
+        at = self.at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        order = order[rank < self.k]
+        self.at, self.near, self.distance = self.at[order], self.near[order], self.distance[order]
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.at]), pa.array(self.near), pa.array(self.distance)], names=["id", "neighbor", "distance"])
+
+
 def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float], k: int) -> DataFrame:
     """``(id, rank, neighbor, distance)``: the k nearest other rows by weighted L1, ties to the smaller id. Ids must be unique.
 
-    Rounds of about ``ROUND`` rows are broadcast to a scan of all rows, each of which keeps its k best of the round; the rounds are
-    merged by one shuffle of k rows per row and round.
+    Pairs of bounded blocks meet by a shuffle; each keeps k rows per row, and the pairs of a block are merged by a second shuffle of these alone.
     """
-    spark = df.sparkSession
     values = F.array(*[F.col(c).cast("double") * w for c, w in zip(features, weights)])
     rows = df.select(F.col(id_col).cast("long").alias("id"), values.alias("v"))
     n = rows.count()
-    rounds = max(1, -(-n // ROUND))
-    cuts = rows.agg(F.percentile_approx("id", [i / rounds for i in range(1, rounds)], 20 * rounds)).first()[0] if rounds > 1 else []
-    edges = [None, *sorted(set(cuts)), None]
-    schema = "id long, neighbor long, distance double"
-
-    def task(given):
-        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = given.value
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                flat = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for at in range(0, len(own), BLOCK):
-                    part, part_ids = flat[at : at + BLOCK], own[at : at + BLOCK]
-                    distance = np.zeros((len(part), len(ids)))
-                    for d in range(matrix.shape[1]):
-                        distance += np.abs(part[:, d, None] - matrix[None, :, d])
-                    distance[part_ids[:, None] == ids[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                    found = np.take_along_axis(distance, order, axis=1)
-                    good = np.isfinite(found)
-                    out.append((np.repeat(part_ids, good.sum(axis=1)), ids[order][good], found[good]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["id", "neighbor", "distance"])
-
-        return of_batches
-
-    found = None
-    for lo, hi in zip(edges, edges[1:]):
-        some = rows if lo is None else rows.where(F.col("id") > lo)
-        some = some if hi is None else some.where(F.col("id") <= hi)
-        given = some.collect()  # about ROUND rows
-        if given:
-            held = spark.sparkContext.broadcast((np.array([r["id"] for r in given], np.int64), np.array([r["v"] for r in given], np.float64).reshape(len(given), -1)))
-            part = rows.mapInArrow(task(held), schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    found = B.paired(rows, rows, n, n).mapInArrow(B.meetings(len(features), lambda ids, matrix: _Nearest(ids, matrix, k)), "id long, neighbor long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
 

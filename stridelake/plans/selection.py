@@ -12,7 +12,7 @@ from stridelake.plans.series import r6
 from stridelake.storage import written
 
 GROUPS = ("gait", "height", "upper", "range")
-FEATURES = [f"{GROUPS[i % 4]}__f{i}" for i in range(16)]
+FEATURES = [f"{GROUPS[i % 4]}__f{i}" for i in range(64)]
 WEIGHTS = K.group_weights(FEATURES, {"gait": 0.4, "height": 0.3, "upper": 0.2, "range": 0.1})
 
 
@@ -25,9 +25,9 @@ def scaled(spark, sf_dir):
     return K.robust_scaled(features(spark, sf_dir), FEATURES)
 
 
-SCALED = f"""long AS (SELECT vec_id AS id, label AS category, unnest(range(0, 16)) AS i, unnest(embedding[1:16])::DOUBLE AS x FROM embeddings),
+SCALED = f"""long AS (SELECT vec_id AS id, label AS category, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 q AS (SELECT i, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM long GROUP BY i),
-s AS (SELECT id, category, long.i, CASE WHEN hi - lo > 1e-12 THEN least(1, greatest(0, (x - lo) / (hi - lo))) ELSE 0.5 END AS x, ([0.4, 0.3, 0.2, 0.1])[(long.i % 4) + 1]::DOUBLE / 4 AS w FROM long JOIN q ON q.i = long.i)"""
+s AS (SELECT id, category, long.i, CASE WHEN hi - lo > 1e-12 THEN least(1, greatest(0, (x - lo) / (hi - lo))) ELSE 0.5 END AS x, ([0.4, 0.3, 0.2, 0.1])[(long.i % 4) + 1]::DOUBLE / 16 AS w FROM long JOIN q ON q.i = long.i)"""
 NEAREST = f"""{SCALED}, d AS (SELECT a.id, b.id AS neighbor, sum(abs(a.x - b.x) * a.w) AS distance FROM s a JOIN s b ON a.i = b.i AND a.id <> b.id GROUP BY ALL),
 knn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 12), neighbor)::INTEGER AS rank FROM d QUALIFY rank <= 5)"""
 

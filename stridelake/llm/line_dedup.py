@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import ASCII_SPACE, order_id, table, whole_text, written
+from stridelake.llm.common import ASCII_SPACE, is_null, order_id, table, whole_text, written
 
 
 def line_key(line: Column) -> Column:
@@ -20,39 +20,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     All columns of ``df`` are kept, the text holds the remaining lines joined by ``\n``, and ``n_lines`` and ``n_dropped``
     are added (an input column of such a name is replaced). Null and empty texts are one empty line. A null id is one more
-    document after all others; rows that repeat an id are one document, in which a line stays wherever it stands.
+    document after all others; rows that repeat an id are one document, in which a line stays wherever it stands. Texts of any length are split whole.
 
-    Keys travel as 128-bit hashes. The first shuffle is pre-aggregated by Spark (smallest id and the count of distinct ids, for
-    two documents just smallest and largest id), so a line of a third of all documents arrives as one row per task. Shared
-    keys are written, so that the join of lines with them has an exchange of its own on both sides and adaptive execution
-    can split a hot line; the last brings each
-    document together with the positions it loses.
+    Lines are exploded once: their keys' 128-bit hashes are a written table. Distinct documents of each hash are counted in two steps, by hash and
+    document first, so a line of a third of all documents is counted by many tasks and arrives as one row per task. Shared hashes are written
+    too, so that the join of lines with them has an exchange of its own on both sides and adaptive execution
+    can split a hot line; the last join brings each document together with the positions it loses.
     """
-    rows = df.withColumns({"__ld_id": order_id(id_col), "__ld_text": whole_text(text_col)}).withColumn("__ld_row", F.xxhash64("__ld_text"))
-    lines = rows.select("__ld_id", "__ld_row", F.posexplode(F.split("__ld_text", "\n")).alias("__ld_pos", "__ld_line"))
-    keys = (
-        lines.select("__ld_id", "__ld_row", "__ld_pos", line_key(F.col("__ld_line")).alias("__ld_key"))
+    rows = df.withColumns({"__ld_id": order_id(id_col), "__ld_none": is_null(id_col), "__ld_text": whole_text(text_col)}).withColumn("__ld_row", F.xxhash64("__ld_text"))
+    document = ["__ld_id", "__ld_none"]
+    lines = rows.select(*document, "__ld_row", F.posexplode(F.split("__ld_text", "\n")).alias("__ld_pos", "__ld_line"))
+    keys = written(
+        lines.select(*document, "__ld_row", "__ld_pos", line_key(F.col("__ld_line")).alias("__ld_key"))
         .where(F.char_length("__ld_key") >= min_chars)
-        .select("__ld_id", "__ld_row", "__ld_pos", F.xxhash64("__ld_key").alias("__ld_h1"), F.xxhash64(F.lit(1), "__ld_key").alias("__ld_h2"))
+        .select(*document, "__ld_row", "__ld_pos", F.xxhash64("__ld_key").alias("__ld_h1"), F.xxhash64(F.lit(1), "__ld_key").alias("__ld_h2"))
     )
     by = ["__ld_h1", "__ld_h2"]
-    if min_docs <= 2:
-        shared = keys.groupBy(*by).agg(F.min("__ld_id").alias("__ld_first"), F.max("__ld_id").alias("__ld_last"))
-        shared = shared.where(F.col("__ld_first") < F.col("__ld_last")).drop("__ld_last") if min_docs == 2 else shared.drop("__ld_last")
-    else:
-        shared = keys.select(*by, "__ld_id").distinct().groupBy(*by).agg(F.min("__ld_id").alias("__ld_first"), F.count("*").alias("__ld_n"))
-        shared = shared.where(F.col("__ld_n") >= min_docs).drop("__ld_n")
-    lost = (
-        keys.join(written(shared), by)
-        .where(F.col("__ld_id") > F.col("__ld_first"))
-        .groupBy("__ld_id", "__ld_row")
-        .agg(F.collect_set("__ld_pos").alias("__ld_lost"))
-    )
+    holders = keys.select(*by, *document).distinct()
+    shared = holders.groupBy(*by).agg(F.min("__ld_id").alias("__ld_first"), F.min("__ld_none").alias("__ld_first_none"), F.count("*").alias("__ld_n"))
+    shared = shared.where(F.col("__ld_n") >= min_docs).drop("__ld_n")
+    first = (F.col("__ld_id") == F.col("__ld_first")) & (F.col("__ld_none") == F.col("__ld_first_none"))
+    lost = keys.join(written(shared), by).where(~first).groupBy(*document, "__ld_row").agg(F.collect_set("__ld_pos").alias("__ld_lost"))
     split = F.split("__ld_text", "\n")
     n_lost = F.coalesce(F.size("__ld_lost"), F.lit(0))
     places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__ld_lost"))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col("__ld_split"), i)), "\n")
-    out = rows.join(lost, ["__ld_id", "__ld_row"], "left").withColumn("__ld_split", split)
+    out = rows.join(lost, [*document, "__ld_row"], "left").withColumn("__ld_split", split)
     out = out.withColumns({
         "n_lines": F.size("__ld_split").cast("long"),
         "n_dropped": F.when(F.col("__ld_lost").isNull(), 0).otherwise(n_lost).cast("long"),
@@ -62,6 +55,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_lines, n_dropped, kept_sha256)`` of every document; see :func:`dedup_lines` for nulls, empty texts, ties and repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

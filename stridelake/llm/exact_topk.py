@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import id_bounds, table
+from stridelake.llm.common import table
+from stridelake.operators import blocks as B
 
-#: Queries that a round broadcasts at most (about; rounds are ranges of the query ids).
-ROUND = 4096
 #: Candidates of a vertical block, and dimensions that are added up before survivors are compacted.
 BLOCK, STEP = 4096, 16
+#: Integers of smaller size are exact as doubles.
+EXACT = float(1 << 53)
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(vec_id, v)`` with ``floor(scale * x)`` as doubles; rows with a null id, or a null vector or a null or non-finite component, go."""
+    """``(id, v)`` with ``floor(scale * x)`` as longs; rows with a null id, or a null vector or a null or non-finite component, go."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"), finite.alias("ok")).where(F.col("vec_id").isNotNull() & F.col("ok"))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of equal width; missing last components are zero."""
-    sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if (sizes == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(sizes), width))
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    out[at, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), finite.alias("ok")).where(F.col("id").isNotNull() & F.col("ok"))
+    return rows.select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
 class _Best:
@@ -61,7 +48,7 @@ def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: n
 
     A query takes its dimensions in order of its own mass, STEP at a time. After each step a candidate's score is at most the partial
     sum plus the product of the norms of what remains of both vectors; those whose bound is below the k-th score are compacted away.
-    All sums are of integers, exact in doubles; the bound gets room for its roots' rounding.
+    All sums are of integers, exact in doubles; the bound gets room for its roots' rounding, in proportion to its size.
     """
     dims = vertical.shape[0]
     squares = vertical * vertical
@@ -83,7 +70,8 @@ def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: n
                 continue
             rest = rest - (squares[some] if whole else part * part).sum(axis=0)
             query_rest -= float(query[some] @ query[some])
-            keep = partial + np.sqrt(np.maximum(rest, 0.0) * max(query_rest, 0.0)) >= floor - 0.5
+            reach = np.sqrt(np.maximum(rest, 0.0) * max(query_rest, 0.0))
+            keep = partial + reach * (1 + 1e-9) >= floor - 0.5
             if not keep.all():
                 alive, partial, rest = alive[keep], partial[keep], rest[keep]
             if not len(alive):
@@ -95,6 +83,59 @@ def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: n
         best.offer(q, ids[alive], partial)
 
 
+class _Search:
+    """A block of queries that candidates stream past; the bounds left by earlier vertical blocks prune later ones."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.best = ids, queries, _Best(len(ids), k)
+        self.held_ids: list[np.ndarray] = []
+        self.held: list[np.ndarray] = []
+
+    def feed(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.held_ids.append(ids), self.held.append(rows)
+        if sum(map(len, self.held_ids)) >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            ids, rows = np.concatenate(self.held_ids), np.concatenate(self.held)
+            self.held_ids.clear(), self.held.clear()
+            for at in range(0, len(ids), BLOCK):
+                search_block(self.best, self.ids, self.queries, ids[at : at + BLOCK], np.ascontiguousarray(rows[at : at + BLOCK].T))
+
+    def result(self) -> pa.RecordBatch:
+        self.flush()
+        q, r = np.nonzero(self.best.scores > -np.inf)
+        scores = self.best.scores[q, r].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.best.ids[q, r]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+
+class _Whole(_Search):
+    """The same with Python's integers and without bounds, for products that doubles don't hold."""
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        ids, rows = np.concatenate(self.held_ids), np.concatenate(self.held).astype(object)
+        self.held_ids.clear(), self.held.clear()
+        for q in range(len(self.ids)):
+            scores = rows @ self.queries[q].astype(object)
+            known = self.found.setdefault(q, {})
+            for i, score in zip(ids.tolist(), scores.tolist()):
+                if i != self.ids[q]:
+                    known[i] = max(score, known.get(i, score))
+            self.found[q] = dict(sorted(known.items(), key=lambda item: (-item[1], item[0]))[: self.best.k])
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        super().__init__(ids, queries, k)
+        self.found: dict[int, dict[int, int]] = {}
+
+    def result(self) -> pa.RecordBatch:
+        self.flush()
+        rows = [(int(self.ids[q]), i, score) for q, known in self.found.items() for i, score in known.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+
 def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the k candidates of ``df`` with the highest integer inner product, ties to the smaller id.
 
@@ -102,63 +143,28 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     query that repeats an id is the least of its vectors. Null or non-finite vectors take no part; a shorter vector counts as ending in
     zeros. With fewer than k candidates all are returned; without queries or candidates nothing is.
 
-    Queries go in rounds of about ``ROUND`` consecutive ids, each broadcast as one bounded matrix to a scan of all candidates, so nothing but k rows per query and task
-    is shuffled. Within a task the bounds left by earlier blocks prune later ones.
+    Bounded blocks of queries and of candidates meet by a shuffle (:mod:`stridelake.operators.blocks`), so nothing but three numbers of each table passes the driver, and
+    each pair returns k rows per query. Sums are exact in doubles while the greatest norms of both tables multiply to less than 2**53 (the
+    bound of any partial sum); beyond, Python's integers are used. Scores must fit a long.
     """
-    spark = df.sparkSession
-    rows, asked = _usable(df, id_col, vector_col, scale), _usable(queries, id_col, vector_col, scale)
-    shape = asked.agg(F.countDistinct("vec_id"), F.max(F.size("v"))).first()
-    width = max(shape[1] or 0, rows.agg(F.max(F.size("v"))).first()[0] or 0)
-    bounds = id_bounds(asked, "vec_id", -(-shape[0] // ROUND))
-    edges = [None, *bounds, None]
-    schema = "query_id long, vec_id long, score long"
-
-    def task(given):
-        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = given.value
-            best = _Best(len(query_ids), k)
-            held_ids, held = [], []
-
-            def flush() -> None:
-                if held:
-                    search_block(best, query_ids, matrix, np.concatenate(held_ids), np.ascontiguousarray(np.concatenate(held).T))
-                    held_ids.clear(), held.clear()
-
-            for batch in batches:
-                ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-                for at in range(0, len(ids), BLOCK):
-                    held_ids.append(ids[at : at + BLOCK]), held.append(vectors[at : at + BLOCK])
-                    if sum(map(len, held)) >= BLOCK:
-                        flush()
-            flush()
-            q, r = np.nonzero(best.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[q]), pa.array(best.ids[q, r]), pa.array(best.scores[q, r].astype(np.int64))], names=["query_id", "vec_id", "score"]
-            )
-
-        return of_batches
-
-    found = None
-    for lo, hi in zip(edges, edges[1:]):
-        some = asked
-        some = some if lo is None else some.where(F.col("vec_id") > lo)
-        some = some if hi is None else some.where(F.col("vec_id") <= hi)
-        given = some.groupBy("vec_id").agg(F.min("v").alias("v")).collect()  # about ROUND rows
-        if not given:
-            continue
-        matrix = np.zeros((len(given), width))
-        for i, r in enumerate(given):
-            matrix[i, : len(r["v"])] = r["v"]
-        part = rows.mapInArrow(task(spark.sparkContext.broadcast((np.array([r["vec_id"] for r in given], np.int64), matrix))), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    rows = _usable(df, id_col, vector_col, scale)
+    asked = _usable(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    told = [t.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w"), F.coalesce(F.max(norm), F.lit(0.0)).alias("norm")).first() for t in (rows, asked)]
+    width = max(t["w"] for t in told)
+    exact = told[0]["norm"] * told[1]["norm"] * (1 + 1e-9) < EXACT
+    if exact:
+        rows, asked = (t.withColumn("v", F.col("v").cast("array<double>")) for t in (rows, asked))
+    kind = _Search if exact else _Whole
+    pairs = B.paired(asked, rows, told[1]["n"], told[0]["n"])
+    found = pairs.mapInArrow(B.meetings(width, lambda ids, matrix: kind(ids, matrix, k)), "query_id long, vec_id long, score long")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every 50th vector; see :func:`exact_top_k` for nulls, ties and repeats."""
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 

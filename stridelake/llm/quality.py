@@ -74,7 +74,10 @@ class Discriminant:
     log_roots: tuple[float, float]
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Logistic of the difference of log densities, a feature's share of it, so that scores of clear cases still differ."""
+        """Logistic of the difference of log densities divided by the number of statistics, so that scores of clear cases still differ.
+
+        The division keeps the order and the side of 0.5; such a score is no probability.
+        """
         logs = []
         for k in (0, 1):
             whitened = (stats - self.means[k]) @ self.factors[k].T
@@ -125,42 +128,41 @@ def held_out(id_col: str) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
     """Fits on all labelled rows that are not held out. Labels other than 0 and 1 are ignored, of several the largest counts.
 
-    Tasks return sums of their rows, which a second step adds up in a few tasks, so the driver gets a fixed number of small matrices at any size.
+    A task returns one row of sums per class, however many rows it reads; a second step adds these up in eight tasks, so the driver gets a fixed number of small
+    matrices at any size. Repeated rows count each.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     rows = stats.where(~held_out("id")).join(marks, "id").select("label", "stats")
     width = len(NAMES)
 
-    def summed(key: list[int], counts: list[float], values: np.ndarray) -> pa.RecordBatch:
-        out = [(k, sum(c for c, j in zip(counts, key) if j == k), values[[j == k for j in key]].sum(axis=0).tolist()) for k in sorted(set(key))]
-        kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["label", "n", "sums"])
+    def sent(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """One row per class: the count, the sums and the sums of products."""
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["label", "sums"])
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                key = np.array(batch.column(0).to_pylist())
-                parts = [(k, x[key == k]) for k in (0, 1) if (key == k).any()]
-                yield summed([k for k, _ in parts], [float(len(v)) for _, v in parts], np.array([np.r_[v.sum(axis=0), (v.T @ v).ravel()] for _, v in parts]))
+                key = batch.column(0).to_numpy()
+                for k in (0, 1):
+                    if len(v := x[key == k]):
+                        sums[k] = sums.get(k, 0.0) + np.r_[len(v), v.sum(axis=0), (v.T @ v).ravel()]
+        yield from sent(sums)
 
     def of_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, counts, values = [], [], []
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, n, sums in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if k in key:
-                    counts[key.index(k)] += n
-                    values[key.index(k)] += np.array(sums)
-                else:
-                    key.append(k), counts.append(n), values.append(np.array(sums))
-        if key:
-            yield summed(key, counts, np.array(values))
-
-    schema = "label int, n double, sums array<double>"
+            for k, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0.0) + row.values.to_numpy()
+        yield from sent(sums)
+
+    schema = "label int, sums array<double>"
     partial = rows.mapInArrow(of_rows, schema).repartition(8).mapInArrow(of_sums, schema).collect()  # 16 rows at most
     moments: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-    for r in sorted(partial, key=lambda r: (r["label"], r["n"], r["sums"][:1])):
-        n, sums = int(r["n"]), np.array(r["sums"])
+    for r in sorted(partial, key=lambda r: (r["label"], r["sums"])):
+        n, sums = int(r["sums"][0]), np.array(r["sums"][1:])
         old = moments.get(r["label"], (0, np.zeros(width), np.zeros((width, width))))
         moments[r["label"]] = old[0] + n, old[1] + sums[:width], old[2] + sums[width:].reshape(width, width)
     return discriminant(moments)
@@ -188,7 +190,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are predicted to be of label 1, as they are.
 
-    The model is fitted on the statistics of rows that may be trained on; then each row is scored where it is read, so texts are not shuffled.
+    The model is fitted on the statistics of rows that may be trained on; then each row is scored where it is read, so texts are not shuffled. Null and empty texts
+    are scored by the statistics of no words, long ones whole, equal rows equally; without a model all stay.
     """
     trained = df.where(~held_out(f"`{id_col}`"))
     model = fit(document_statistics(trained, id_col, text_col), labels)
@@ -206,5 +209,6 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` of every document; see :func:`classify` for nulls, empty texts and repeats."""
     found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")

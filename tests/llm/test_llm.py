@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from stridelake.llm import chunk_prints, exact_topk, html_text, line_dedup, mixing, quality, queries, sentencepieces, simhash, token_files
 from stridelake.llm.components import components
+from stridelake.operators import blocks as B
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -100,7 +101,7 @@ def test_quality_awkward(spark, docs, empty):
 # line dedup
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=2):
     big = 1 << 63
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if c in string.ascii_uppercase else c for c in x.strip(strip))
@@ -111,7 +112,7 @@ def brute_lines(rows):
     out = []
     for r in rows:
         i, lines = big if r[0] is None else r[0], (r[1] or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)]) == i]
+        kept = [x for x in lines if len(key(x)) < 10 or len(holders[key(x)]) < least or min(holders[key(x)]) == i]
         out.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
@@ -120,6 +121,8 @@ def test_line_dedup(docs, empty):
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_lines(awkward())))
     assert any(r[2] for r in got) and line_dedup.dedup_lines(empty).count() == 0
+    often = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs, min_docs=3).collect()]
+    assert sorted(map(str, often)) == sorted(map(str, brute_lines(awkward(), 3))) and any(r[2] for r in often)
     clash = docs.withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(1)).withColumn("key", F.lit(2))
     assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in line_dedup.dedup_lines(clash).collect()) == sorted(map(str, got))
 
@@ -339,7 +342,18 @@ def test_mixing(spark, docs, empty):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(empty).count() == 0 and mixing.take_mix(empty).count() == 0
     taken = mixing.take_mix(docs)
-    assert taken.columns == docs.columns and taken.count() == sum(g.copies for g in got)
+    assert taken.columns == docs.columns and taken.count() == sum(g.copies for g in mixing.mix(docs, told_by=tuple(docs.columns)).collect())
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """A third of the rows is one row; two rows that differ in another column keep their own copies at every run."""
+    rows = [(1, "one two three", None, "s", 1, None)] * 5000 + [(i, f"w{i} and more of it", "en", "s" if i % 2 else "t", i, 0.5) for i in range(2, 300)] + [(7000, "a b", "en", "s", None, 0.1), (7000, "a b", "fr", "s", None, 0.2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).collect()
+    check_mix(rows, got)
+    assert len({(g.id, g.row, g.copy) for g in got}) == len([r for r in rows if r[0] != 7000]) + 2
+    taken = [sorted(map(str, mixing.take_mix(df.repartition(n)).collect())) for n in (2, 5)]
+    assert taken[0] == taken[1] and len(taken[0]) == sum(g.copies for g in mixing.mix(df, told_by=tuple(df.columns)).collect())
 
 
 def test_mixing_many_levels(spark):
@@ -402,10 +416,26 @@ def test_exact_top_k(spark):
     got = exact_topk.exact_top_k(df, df.where("vec_id % 50 = 0"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert exact_topk.exact_top_k(df, df.limit(0)).count() == 0 and exact_topk.exact_top_k(df.limit(0), df.where("vec_id = 50")).count() == 0
+    B.HELD, B.STREAMED, sizes = 3, 60, (B.HELD, B.STREAMED)
+    assert sorted(map(tuple, exact_topk.exact_top_k(df, df.where("vec_id % 50 = 0")).collect())) == sorted(want)
+    B.HELD, B.STREAMED = sizes
     few = df.where("vec_id in (50, 3)")
     assert exact_topk.exact_top_k(few, few.where("vec_id = 50")).count() == 1
 
 
+def test_products_beyond_doubles(spark):
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-(1 << 22), 1 << 22)) + 1 / 256 * rng.randint(0, 255) for _ in range(5)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        ranked = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
+    assert max(abs(w[3]) for w in want) > 1 << 53
+    assert sorted(map(tuple, exact_topk.exact_top_k(df, df.where("vec_id % 50 = 0")).collect())) == sorted(want)
+
+
 # SimHash
 
 

@@ -9,7 +9,7 @@ from stridelake.functions import names as N
 from stridelake.operators import chains as C
 from stridelake.operators import events as E
 from stridelake.operators import series as S
-from stridelake.plans.base import WRAP, query, table, trace
+from stridelake.plans.base import TRACE, WRAP, query, table, trace
 from stridelake.plans.series import FPS, STEPS, SUPPORT, r6
 
 M = ["motion"]
@@ -207,29 +207,11 @@ def side_dominance(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("motion"), r6(score, "score"), dominant.alias("side"))
 
 
-EVIDENCE = f"""{STEPS}, v AS (SELECT motion, frame, abs(dq) * 30 AS speed, {WRAP.format("lead(q, 24) OVER w - q")} AS turn24, lead(q, 24) OVER w AS nxt FROM (SELECT s.motion, s.frame, s.dq, s.q FROM steps s) WINDOW w AS (PARTITION BY motion ORDER BY frame)),
-p AS (SELECT motion, quantile_cont(speed, 0.99) AS p99, max(speed) AS top, max(abs(turn24)) FILTER (WHERE nxt IS NOT NULL) AS w24 FROM v GROUP BY motion),
-f AS (SELECT v.motion, min(frame) AS peak FROM v JOIN p ON p.motion = v.motion AND v.speed = p.top GROUP BY v.motion)"""
-
-
-@query("fk_chain_evidence", f"""WITH {EVIDENCE} SELECT motion, f.peak, round(top, 4) AS speed, round(coalesce(w24, 0), 6) AS w24, round(top / p99, 6) AS outlier,
-  CASE WHEN (top >= 650)::INT + (coalesce(w24, 0) >= 95)::INT >= 2 OR top / p99 >= 5 THEN 'hard' WHEN top >= 360 OR coalesce(w24, 0) >= 45 THEN 'review' ELSE 'clean' END AS verdict FROM p JOIN f USING (motion)""")
-def fk_chain_evidence(spark, sf_dir):
-    """Per motion: the fastest frame, the largest turn over 24 frames, how far the peak is out of the series' own range, and the verdict."""
-    w = S.over(M)
-    steps = S.wrapped_steps(trace(spark, sf_dir), M)
-    rows = steps.withColumns({"speed": F.abs("dq") * FPS, "turn": F.abs(S.wrap_degrees(F.lead("q", 24).over(w) - F.col("q")))})
-    found = rows.groupBy("motion").agg(
-        F.min_by("frame", F.struct(-F.col("speed"), "frame")).alias("peak"), F.max("speed").alias("top"), F.coalesce(F.max("turn"), F.lit(0.0)).alias("w24"), F.percentile("speed", F.lit(0.99)).alias("p99")
-    )
-    outlier = F.try_divide("top", "p99")
-    strong = (F.col("top") >= 650).cast("int") + (F.col("w24") >= 95).cast("int")
-    verdict = F.when((strong >= 2) | (outlier >= 5), "hard").when((F.col("top") >= 360) | (F.col("w24") >= 45), "review").otherwise("clean")
-    return found.select("motion", "peak", F.round("top", 4).alias("speed"), r6(F.col("w24"), "w24"), r6(outlier, "outlier"), verdict.alias("verdict"))
-
-
 #: Bodies of the limbs: chain, kind, role, and the joint whose last value is the body's angle.
-LIMBS = (("right_arm", "arm", "middle", "click"), ("right_arm", "arm", "end", "view"), ("right_leg", "leg", "middle", "purchase"), ("right_leg", "leg", "end", "signup"))
+LIMBS = (
+    ("right_arm", "arm", "middle", "click"), ("right_arm", "arm", "middle", "purchase"), ("right_arm", "arm", "end", "view"), ("right_arm", "arm", "end", "signup"),
+    ("right_leg", "leg", "middle", "purchase"), ("right_leg", "leg", "end", "signup"), ("right_leg", "leg", "end", "view"),
+)
 
 
 def limb_bodies(spark, sf_dir):
@@ -247,12 +229,91 @@ def limb_bodies(spark, sf_dir):
     )
 
 
-@query("chain_evidence")
-def chain_evidence(spark, sf_dir):
-    """Branch-switch evidence of both limbs of every motion; SQL has no twin of the candidate frames, tested against NumPy."""
+def _sql_turn(a: str, b: str) -> str:
+    return f"degrees(2 * acos(least(1, abs({a[0]} * {b[0]} + {a[1]} * {b[1]}))))"
+
+
+def _sql_last(joint: str) -> str:
+    return f"coalesce(last_value(CASE WHEN joint = '{joint}' THEN q END IGNORE NULLS) OVER (PARTITION BY motion ORDER BY frame ROWS UNBOUNDED PRECEDING), 0)"
+
+
+def _sql_ahead(k: int, scale: str = "") -> str:
+    return _sql_turn((f"lead(x, {k}) OVER w", f"lead(w, {k}) OVER w"), ("x", "w")) + scale
+
+
+_PEAKS = [(role, name) for role in ("middle", "end") for name in ("speed", "w24", "w48")]
+_NEAR = {"v": ("speed", 3), "w24": ("w24", 48), "w48": ("w48", 72), "acc": ("acc", 6), "jerk": ("jerk", 6)}
+EVIDENCE = f"""{TRACE}, limbs(chain, kind, role, body) AS (VALUES {", ".join(map(str, LIMBS))}),
+posed AS (SELECT motion, frame AS i, {_sql_last("error")} / 1000 + 0.9 AS z, {", ".join(f"{_sql_last(j)} AS {j}" for j in ("click", "view", "purchase", "signup"))} FROM trace),
+angled AS (SELECT motion, chain, kind, role, body, i, z, radians(CASE body WHEN 'click' THEN click WHEN 'view' THEN view WHEN 'purchase' THEN purchase ELSE signup END) AS a FROM posed, limbs),
+placed AS (SELECT *, sin(a / 2) AS x, cos(a / 2) AS w, cos(a) * 0.3 AS py, sin(a) * 0.3 AS pz FROM angled),
+moving AS (SELECT *, {_sql_ahead(1, " * 30")} AS speed, {_sql_ahead(24)} AS w24, {_sql_ahead(48)} AS w48, sqrt((lead(py) OVER w - py) ** 2 + (lead(pz) OVER w - pz) ** 2) AS step, abs(lead(z) OVER w - z) * 30 AS rise
+  FROM placed WINDOW w AS (PARTITION BY motion, chain, role, body ORDER BY i)),
+changing AS (SELECT *, (lead(speed) OVER w - speed) * 30 AS change FROM moving WINDOW w AS (PARTITION BY motion, chain, role, body ORDER BY i)),
+series AS (SELECT *, abs(change) AS acc, abs(lead(change) OVER w - change) * 30 AS jerk FROM changing WINDOW w AS (PARTITION BY motion, chain, role, body ORDER BY i)),
+own AS (SELECT motion, chain, role, body, count(*) AS n, coalesce(quantile_cont(speed, 0.99), 0) AS p99 FROM series GROUP BY ALL),
+{", ".join(f"{r}_{c} AS (SELECT motion, chain, {c} AS value, body, i FROM series WHERE role = '{r}' AND {c} > 0 QUALIFY row_number() OVER (PARTITION BY motion, chain ORDER BY {c} DESC, body, i) = 1)" for r, c in _PEAKS)},
+limb AS (SELECT motion, chain, kind, max(n) AS n FROM own JOIN (SELECT DISTINCT chain, kind FROM limbs) USING (chain) GROUP BY ALL),
+peaks AS (SELECT l.*, {", ".join(f"coalesce({r}_{c}.value, 0) AS {r}_{c}, coalesce({r}_{c}.body, '') AS {r}_{c}_body, coalesce({r}_{c}.i, 0) AS {r}_{c}_i" for r, c in _PEAKS)}
+  FROM limb l {" ".join(f"LEFT JOIN {r}_{c} ON {r}_{c}.motion = l.motion AND {r}_{c}.chain = l.chain" for r, c in _PEAKS)}),
+asked AS (SELECT DISTINCT motion, chain, n, unnest(CASE WHEN kind = 'leg' THEN [least(middle_speed_i, end_speed_i)] ELSE [{", ".join(f"least({r}_{c}_i + {dict(speed=1, w24=12, w48=24)[c]}, n - 1)" for r, c in _PEAKS)}] END) AS c FROM peaks),
+near AS (SELECT s.*, n, c, greatest(0, c - 24) AS before, least(n - 1, c + 48) AS after FROM series s JOIN asked a ON a.motion = s.motion AND a.chain = s.chain AND s.i BETWEEN c - 120 AND c + 240),
+turned AS (SELECT *, max(x) FILTER (WHERE i = before) OVER g AS x0, max(w) FILTER (WHERE i = before) OVER g AS w0 FROM near WINDOW g AS (PARTITION BY motion, chain, c, role, body)),
+bodies AS (SELECT motion, chain, c, role, body, {", ".join(f"coalesce(max({name}) FILTER (WHERE abs(i - c) <= {r}), 0) AS {k}" for k, (name, r) in _NEAR.items())},
+  coalesce(list_max(list_transform(string_split(array_to_string(list(CASE WHEN speed >= 500 THEN '1' ELSE '0' END ORDER BY i) FILTER (WHERE abs(i - c) <= 12 AND speed IS NOT NULL), ''), '0'), lambda t: length(t))), 0) AS run,
+  coalesce(min({_sql_turn(("x", "w"), ("x0", "w0"))}) FILTER (WHERE i >= after AND i < greatest(after + 1, least(n, c + 240))), 0) AS stay, max({_sql_turn(("x", "w"), ("x0", "w0"))}) FILTER (WHERE i = after) AS turned,
+  coalesce(sum(step) FILTER (WHERE i >= before AND i < after), 0) AS path, coalesce(max(step) FILTER (WHERE i >= before AND i < after), 0) AS step,
+  sqrt((max(py) FILTER (WHERE i = after) - max(py) FILTER (WHERE i = before)) ** 2 + (max(pz) FILTER (WHERE i = after) - max(pz) FILTER (WHERE i = before)) ** 2) AS moved,
+  max(z) FILTER (WHERE abs(i - c) <= 120) - min(z) FILTER (WHERE abs(i - c) <= 120) AS zr, coalesce(max(rise) FILTER (WHERE abs(i - c) <= 120 AND i < c + 120), 0) AS zv FROM turned GROUP BY ALL),
+told AS (SELECT b.*, v / greatest(p99, 1e-6) AS outlier FROM bodies b JOIN own USING (motion, chain, role, body)),
+{", ".join(f"{n} AS (SELECT * FROM told WHERE role = '{r}' AND {by} > 0 QUALIFY row_number() OVER (PARTITION BY motion, chain, c ORDER BY {by} DESC, body) = 1)" for n, r, by in (("fast", "end", "v"), ("far", "end", "w48"), ("mid", "middle", "w24"), ("midfast", "middle", "v")))},
+roots AS (SELECT motion, chain, c, max(zr) AS zr, max(zv) AS zv, max(zr) >= 0.12 OR max(zv) >= 1 AS high FROM told GROUP BY ALL),
+events AS (SELECT r.*, coalesce(far.w48, 0) AS w48, coalesce(far.path, fast.path, 0) AS path, coalesce(far.stay, fast.stay, 0) AS stay, coalesce(far.moved, fast.moved, 0) AS moved, coalesce(far.step, fast.step, 0) AS step, coalesce(fast.v, 0) AS v,
+  coalesce(fast.outlier, 0) AS outlier, coalesce(midfast.body, mid.body) AS mid_body, coalesce(fast.body, far.body) AS end_body,
+  coalesce(far.w48, 0) >= 95 AND coalesce(far.w24, fast.w24, 0) >= 65 AND coalesce(mid.w24, 0) >= 30 AS core, coalesce(mid.turned, 0) >= 25 AS inter,
+  (coalesce(fast.v, 0) >= 650)::INT + (coalesce(midfast.v, 0) >= 350)::INT + (coalesce(fast.acc, 0) >= 30000)::INT + (coalesce(fast.jerk, 0) >= 3000000)::INT + (coalesce(fast.run, 0) >= 3)::INT AS t
+  FROM roots r {" ".join(f"LEFT JOIN {n} ON {n}.motion = r.motion AND {n}.chain = r.chain AND {n}.c = r.c" for n in ("fast", "far", "mid", "midfast"))}),
+judged AS (SELECT *, core::INT + (stay >= 80)::INT + inter::INT AS p, core AND stay >= 80 AND inter AND ((path <= 0.45 AND step <= 0.012) OR w48 / greatest(path, 1e-6) >= 900) AND NOT high AS drift, (t >= 4 OR outlier >= 5) AND NOT high AS snap FROM events),
+ranked AS (SELECT *, CASE WHEN drift OR snap THEN 3 WHEN p >= 2 OR t >= 3 THEN 2 ELSE 1 END AS rank FROM judged),
+best AS (SELECT *, CASE WHEN drift THEN 'upper_persistent_branch_drift' WHEN snap THEN 'upper_transient_snap' WHEN rank = 2 THEN 'upper_borderline_same_chain' ELSE 'none' END AS why FROM ranked
+  QUALIFY row_number() OVER (PARTITION BY motion, chain ORDER BY rank DESC, p + t DESC, w48 DESC, v DESC, c) = 1),
+full_rows AS (SELECT k.*, b.* EXCLUDE (motion, chain), kind = 'arm' AS arm, end_speed >= 360 OR end_w24 >= 45 AS review, CASE WHEN end_speed >= 360 THEN end_speed_i ELSE end_w24_i END AS review_i,
+  middle_speed / greatest(coalesce(m.p99, 0), 1e-6) AS mr, end_speed / greatest(coalesce(e.p99, 0), 1e-6) AS er, (middle_speed >= 500 AND end_speed >= 650) OR (middle_w24 >= 55 AND end_w24 >= 80) AS both_move
+  FROM peaks k JOIN best b ON b.motion = k.motion AND b.chain = k.chain LEFT JOIN own m ON m.motion = k.motion AND m.chain = k.chain AND m.role = 'middle' AND m.body = middle_speed_body
+  LEFT JOIN own e ON e.motion = k.motion AND e.chain = k.chain AND e.role = 'end' AND e.body = end_speed_body),
+decided AS (SELECT *, both_move AND mr >= 3 AND er >= 5 AND NOT high AS hard_leg, arm AND rank = 1 AND review AS looked FROM full_rows),
+evidence AS (SELECT *, CASE WHEN arm THEN CASE WHEN rank = 3 THEN 'hard_ik_branch_switch' WHEN rank = 2 OR looked THEN 'review_or_repairable_dynamic' ELSE 'clean' END
+    ELSE CASE WHEN hard_leg THEN 'hard_ik_branch_switch' WHEN both_move OR review THEN 'review_or_repairable_dynamic' ELSE 'clean' END END AS risk,
+  CASE WHEN looked THEN 'upper_distal_review' WHEN arm THEN why WHEN hard_leg THEN 'lower_same_chain_intermediate_distal' WHEN both_move THEN 'lower_same_chain_dynamic_review' WHEN review THEN 'lower_distal_review' ELSE 'none' END AS reason,
+  (CASE WHEN looked THEN review_i WHEN arm THEN c WHEN both_move THEN least(middle_speed_i, end_speed_i, middle_w24_i, end_w24_i) WHEN review THEN review_i ELSE middle_speed_i END)::BIGINT AS frame,
+  CASE WHEN arm THEN mid_body END AS chosen_middle, CASE WHEN arm THEN end_body END AS chosen_end,
+  greatest(middle_speed, end_speed, middle_w24 * 30 / 24, end_w24 * 30 / 24) AS top FROM decided)"""
+
+
+def evidence(spark, sf_dir):
     return C.chain_evidence(limb_bodies(spark, sf_dir), "motion", FPS)
 
 
+@query("chain_evidence", f"""WITH {EVIDENCE} SELECT motion, chain, risk, reason, frame, CASE WHEN arm THEN p ELSE 0 END AS persistent_score, CASE WHEN arm THEN t ELSE 0 END AS transient_score, high AS high_root_dynamic,
+  round(zr, 6) AS root_z_range, round(zv, 4) AS root_speed, {", ".join(f"round({r}_{c}, 3) AS {r}_{c}" for r, c in _PEAKS)}, round(CASE WHEN arm THEN stay ELSE 0 END, 3) AS stay, round(CASE WHEN arm THEN outlier ELSE er END, 4) AS outlier_ratio,
+  round(CASE WHEN arm THEN moved ELSE 0 END, 6) AS moved, round(CASE WHEN arm THEN path ELSE 0 END, 6) AS path, coalesce(chosen_middle, nullif(middle_speed_body, ''), middle_w24_body) AS middle_body, coalesce(chosen_end, nullif(end_speed_body, ''), end_w24_body) AS end_body FROM evidence""")
+def chain_evidence(spark, sf_dir):
+    """Branch-switch evidence of both limbs of every motion."""
+    digits = {"root_z_range": 6, "root_speed": 4, "stay": 3, "outlier_ratio": 4, "moved": 6, "path": 6} | {f"{r}_{c}": 3 for r, c in _PEAKS}
+    out = evidence(spark, sf_dir).drop("kind", "largest_step", "turn_per_path")
+    return out.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
+
+
+@query("chain_motion_verdict", f"""WITH {EVIDENCE}, firsts AS (SELECT motion, chain AS top_chain, reason AS top_reason, round(top, 3) AS top_speed FROM evidence QUALIFY row_number() OVER (PARTITION BY motion ORDER BY top DESC, chain) = 1),
+counted AS (SELECT motion, count(*) FILTER (WHERE risk = 'hard_ik_branch_switch') AS hard_chains, count(*) FILTER (WHERE risk = 'review_or_repairable_dynamic') AS review_chains,
+  coalesce(string_agg(chain, ';' ORDER BY chain) FILTER (WHERE risk = 'hard_ik_branch_switch'), '') AS chains_hard, coalesce(string_agg(chain, ';' ORDER BY chain) FILTER (WHERE risk = 'review_or_repairable_dynamic'), '') AS chains_review FROM evidence GROUP BY motion)
+SELECT *, CASE WHEN hard_chains > 0 THEN 'hard_ik_branch_switch' WHEN review_chains > 0 THEN 'review_or_repairable_dynamic' ELSE 'clean' END AS risk FROM counted JOIN firsts USING (motion)""")
+def chain_motion_verdict(spark, sf_dir):
+    out = C.chain_motion_verdict(evidence(spark, sf_dir), "motion", FPS)
+    speed = F.greatest("top_middle_speed", "top_end_speed", F.col("top_middle_w24") * FPS / 24, F.col("top_end_w24") * FPS / 24)
+    return out.select("motion", "risk", "hard_chains", "review_chains", "chains_hard", "chains_review", "top_chain", "top_reason", F.round(speed, 3).alias("top_speed"))
+
+
 @query("joint_names", """WITH j AS (SELECT p_partkey AS id, (CASE p_partkey % 3 WHEN 0 THEN 'left_' WHEN 1 THEN 'right_' ELSE '' END) || (CASE p_size % 8 WHEN 0 THEN 'shoulder_pitch' WHEN 1 THEN 'elbow' WHEN 2 THEN 'wrist_yaw' WHEN 3 THEN 'hip_roll'
   WHEN 4 THEN 'knee' WHEN 5 THEN 'ankle_pitch' WHEN 6 THEN 'waist_yaw' ELSE 'finger' END) AS joint FROM part),
 s AS (SELECT *, regexp_extract(joint, '^(left|right)', 1) AS lr, regexp_extract(joint, '(ankle|knee|hip|wrist|elbow|shoulder)', 1) AS limb FROM j)

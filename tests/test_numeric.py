@@ -164,16 +164,66 @@ def test_selection_order(spark):
     assert {r.row: r.reason for r in out} == {1: "", 2: "duplicate_relative_path", 3: "score_below_threshold", 4: "", 5: "missing_source"}
 
 
-def test_greedy_removals():
-    rng = np.random.default_rng(4)
-    nodes = pd.DataFrame({"id": range(60), "priority": rng.uniform(0, 5, 60), "side": ["left", "right", "balanced"] * 20, "removable": [i % 6 != 0 for i in range(60)]})
-    edges = pd.DataFrame({"a": rng.integers(0, 60, 80), "b": rng.integers(0, 60, 80), "distance": rng.uniform(0, 1, 80), "rank": 1})
-    out = L.greedy_removals(nodes, edges[edges.a != edges.b], 20)
-    gone = out[out.decision == "remove"]
-    assert len(out) == 60 and len(gone) == 20 and all(i % 6 for i in gone.id)
-    kept = nodes[~nodes.id.isin(gone.id)]
-    left, right = (kept.side == "left").sum(), (kept.side == "right").sum()
-    assert 0.4 <= left / (left + right) <= 0.6
+def plain_removals(nodes, edges, remove, low=0.48, high=0.52):
+    """Everything is counted anew at every step."""
+    rows = nodes.set_index("id")
+    gone = []
+
+    def share_of(ids):
+        sides = [rows.side[i] for i in ids]
+        return sides.count("left") / max(1, sides.count("left") + sides.count("right")) if {"left", "right"} & set(sides) else 0.5
+
+    def state(i):
+        kept = [j for j in rows.index if j not in gone]
+        now, then, side = share_of(kept), share_of([j for j in kept if j != i]), rows.side[i]
+        over = 0.0 if side == "balanced" else 1.0 if (side == "left" and now > 0.5) or (side == "right" and now < 0.5) else -0.6
+        fits = low <= then <= high
+        worse = (side == "left" and now < low) or (side == "right" and now > high)
+        return rows.priority[i] + over, fits, worse, side != "balanced"
+
+    for _, _, a, b in sorted((e.distance, e.rank, e.a, e.b) for e in edges.itertuples()):
+        if len(gone) >= remove:
+            break
+        ends = [i for i in (a, b) if rows.removable[i]]
+        if a in gone or b in gone or not ends:
+            continue
+        first = max(ends, key=lambda i: state(i)[0])
+        _, fits, worse, sided = state(first)
+        other = [i for i in ends if i != first]
+        if sided and not fits and other:
+            if state(other[0])[1]:
+                first = other[0]
+            elif worse:
+                continue
+        gone.append(first)
+    for i in sorted((i for i in rows.index if rows.removable[i]), key=lambda i: (-rows.priority[i], i)):
+        if i not in gone and len(gone) < remove:
+            _, fits, worse, sided = state(i)
+            if not sided or fits or not worse:
+                gone.append(i)
+    return set(gone)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_balanced_removals(spark, seed):
+    rng = np.random.default_rng(seed)
+    sides = rng.choice(["left", "right", "balanced"], 60, p=[0.25 + 0.05 * seed, 0.45 - 0.05 * seed, 0.3])
+    nodes = pd.DataFrame({"id": range(60), "priority": np.round(rng.uniform(0, 5, 60), 1), "side": sides, "removable": [i % 6 != 0 for i in range(60)]})
+    edges = pd.DataFrame({"a": rng.integers(0, 60, 80), "b": rng.integers(0, 60, 80), "distance": np.round(rng.uniform(0, 1, 80), 1), "rank": rng.integers(1, 4, 80)})
+    edges = edges[edges.a != edges.b]
+    edges = edges.assign(lo=edges[["a", "b"]].min(axis=1), hi=edges[["a", "b"]].max(axis=1)).sort_values(["distance", "rank", "a"]).drop_duplicates(["lo", "hi"]).drop(columns=["lo", "hi"])
+    out = L.balanced_removals(nodes, edges, 25)
+    assert set(out[out.decision == "remove"].id) == plain_removals(nodes, edges, 25) and len(out) == 60
+    if seed == 0:
+        made = L.density_select(spark.createDataFrame(nodes), spark.createDataFrame(pd.concat([edges, edges.rename(columns={"a": "b", "b": "a"}).assign(distance=9.0)])[["a", "b", "distance", "rank"]]), 35)
+        assert {r.id for r in made.where("decision = 'remove'").collect()} == set(out[out.decision == "remove"].id)
+
+
+def test_balanced_removals_at_an_even_share():
+    """Left rows of higher priority pay 0.6 where the sides are even, so the balanced end goes."""
+    nodes = pd.DataFrame({"id": [1, 2, 3], "priority": [1.3, 1.0, 0.0], "side": ["left", "balanced", "right"], "removable": [True, True, False]})
+    edges = pd.DataFrame({"a": [1], "b": [2], "distance": [0.1], "rank": [1]})
+    assert set(L.balanced_removals(nodes, edges, 1).query("decision == 'remove'").id) == {2}
 
 
 def test_checked_join_fails_on_missing_keys(spark):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -175,7 +176,7 @@ def calibrate(df: DataFrame, key: str, ratio: float = 1.0) -> DataFrame:
 
 BVH_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("joint_idx", T.IntegerType()), T.StructField("joint", T.StringType()), T.StructField("parent", T.StringType()),
-    T.StructField("offset", T.ArrayType(T.DoubleType())), T.StructField("channel", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("frame_time", T.DoubleType()),
+    T.StructField("offset", T.ArrayType(T.DoubleType())), T.StructField("channel", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("frame", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("frame_time", T.DoubleType()),
 ])
 
 
@@ -208,25 +209,27 @@ def parse_bvh(path: str, text: str) -> Iterator[tuple]:
     times = re.search(r"Frame Time:\s*([0-9.eE+-]+)", motion)
     frame_time = float(times.group(1)) if times else None
     body = motion[times.end() :] if times else ""
-    layout = [(i, c) for i, j in enumerate(joints) for c in j[3]]
+    layout = [(i, c, place) for i, j in enumerate(joints) for place, c in enumerate(j[3])]
     for frame, line in enumerate(x for x in body.splitlines() if x.strip()):
         values = line.split()
         if len(values) != len(layout):
             raise ValueError(f"{path}: frame {frame} has {len(values)} values, the hierarchy {len(layout)} channels")
-        for (i, channel), value in zip(layout, values):
-            yield path, i, joints[i][0], joints[i][1], joints[i][2], channel, frame, float(value), frame_time
+        for (i, channel, place), value in zip(layout, values):
+            yield path, i, joints[i][0], joints[i][1], joints[i][2], channel, place, frame, float(value), frame_time
     for i, j in enumerate(joints):
         if not j[3]:
-            yield path, i, j[0], j[1], j[2], None, None, None, frame_time
+            yield path, i, j[0], j[1], j[2], None, None, None, None, frame_time
 
 
-def read_bvh(spark: SparkSession, path: str) -> DataFrame:
-    """All skeleton files under a path, one task per file at least."""
+def read_bvh(spark: SparkSession, path: str, pattern: str = "*.bvh") -> DataFrame:
+    """All skeleton files under a path, a task's files one after the other, some thousand values at a time; ``place`` is a channel's among its joint's."""
 
     def of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, text in zip(rows["path"], rows["value"]):
-                yield pd.DataFrame(list(parse_bvh(name, text)), columns=BVH_SCHEMA.fieldNames()).astype({"frame": "Int64", "joint_idx": "int32"})
+                values = parse_bvh(name, text)
+                while some := list(islice(values, 20_000)):
+                    yield pd.DataFrame(some, columns=BVH_SCHEMA.fieldNames()).astype({"frame": "Int64", "place": "Int32", "joint_idx": "int32"})
 
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.bvh").text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(of_files, BVH_SCHEMA)

@@ -130,11 +130,14 @@ def motion_export(joints: DataFrame, bodies: DataFrame, fps: float) -> DataFrame
     b = finite_differences(b.withColumns({f"p{a}": F.col(f"p.{a}") for a in "xyz"}), own, ["px", "py", "pz"], fps)
     b = b.withColumn("v", F.struct(*[F.col(f"p{a}_vel").alias(a) for a in "xyz"]))
 
+    def each_frame(field: str):
+        return F.transform("f", lambda x: x["r"][field])
+
     def framed(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
         row = F.array_sort(F.collect_list(F.struct(name, *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())])))
         frames = df.groupBy("motion", "frame").agg(row.alias("r"))
         whole = frames.groupBy("motion").agg(F.array_sort(F.collect_list(F.struct("frame", "r"))).alias("f"))
-        parts = [F.transform("f", lambda x, i=i: x["r"][f"c{i}"]).alias(n) for i, n in enumerate(columns)]
+        parts = [each_frame(f"c{i}").alias(n) for i, n in enumerate(columns)]
         return whole.select("motion", F.get(F.col("f"), F.lit(0))["r"][name].alias(f"{name}_names"), *parts)
 
     left = framed(j, "joint", {"joint_pos": "q", "joint_vel": "q_vel"})

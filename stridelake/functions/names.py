@@ -127,6 +127,37 @@ def mirrored_joint(joint: Column) -> Column:
     return F.when(F.contains(joint, F.lit("Left")), F.replace(joint, F.lit("Left"), F.lit("Right"))).otherwise(F.replace(joint, F.lit("Right"), F.lit("Left")))
 
 
+def rejoined(path: Column, root: str, other_root: str, channel: str, ending: str) -> Column:
+    """A path below one root as the path of its partner below another: without the first folder named like the channel, with another ending."""
+    parts = F.split(F.replace(path, F.lit(f"{root.rstrip('/')}/"), F.lit("")), "/")
+    at = F.array_position(parts, channel)
+    kept = F.when(at > 0, F.concat(F.slice(parts, F.lit(1), (at - 1).cast("int")), F.slice(parts, (at + 1).cast("int"), F.size(parts)))).otherwise(parts)
+    return F.concat(F.lit(f"{other_root.rstrip('/')}/"), F.regexp_replace(F.array_join(kept, "/"), r"\.[^./]*$", ""), F.lit(ending))
+
+
+def after_marker(path: Column, markers: tuple[str, ...]) -> tuple[Column, Column]:
+    """What follows the first marker folder that the path has, and an error text where it has none (a row, not an exception)."""
+    parts = F.split(path, "/")
+    tail, found = F.lit(None).cast("string"), F.lit(False)
+    for marker in reversed(markers):
+        at = F.array_position(parts, marker)
+        has = (at > 0) & (at < F.size(parts))
+        tail = F.when(has, F.array_join(F.slice(parts, (at + 1).cast("int"), F.size(parts)), "/")).otherwise(tail)
+        found = found | has
+    return tail, F.when(~found, F.concat(F.lit(f"none of {', '.join(markers)} in "), path))
+
+
+def plain_letters(text: Column) -> Column:
+    """Every character that is no letter or digit becomes one underscore."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", "_")
+
+
+def thresholds_of(text: Column) -> Column:
+    """``a=1,b=3`` as a map of the numbers as they are; entries without a number go."""
+    raw = F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda _, v: v.try_cast("double"))
+    return F.map_filter(raw, lambda _, v: v.isNotNull())
+
+
 def weights_of(text: Column) -> Column:
     """``a=1,b=3`` as a map whose values sum to 1."""
     raw = F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda _, v: v.try_cast("double"))

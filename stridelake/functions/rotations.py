@@ -224,6 +224,81 @@ def two_bone_bend(upper: Column, lower: Column, reach: Column) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
+def cross(a: Column, b: Column) -> Column:
+    return vec(*[a[m] * b[n] - a[n] * b[m] for m, n in (("y", "z"), ("z", "x"), ("x", "y"))])
+
+
+def length(v: Column) -> Column:
+    return F.sqrt(dot(v, v, "xyz"))
+
+
+@bound
+def unit(v: Column, least: float = 1e-12) -> Column:
+    n = F.greatest(length(v), F.lit(least))
+    return each(lambda c: c / n, v, names="xyz")
+
+
+@bound
+def about(axis: Column, radians: Column) -> Column:
+    """The turn about a unit axis."""
+    s = F.sin(radians / 2)
+    return quat(axis["x"] * s, axis["y"] * s, axis["z"] * s, F.cos(radians / 2))
+
+
+@bound
+def between(a: Column, b: Column) -> Column:
+    """The shortest turn that brings the direction of a to that of b; none if one has no length."""
+    axis, scale = cross(a, b), length(a) * length(b)
+    q = quat(axis["x"], axis["y"], axis["z"], dot(a, b, "xyz") + scale)
+    return F.when(scale > 1e-12, normalised(q)).otherwise(quat(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+
+
+@bound
+def _corner(at: Column, one: Column, other: Column) -> Column:
+    """The angle at a point between two others, in radians."""
+    minus = lambda p: unit(each(lambda m, n: m - n, p, at, names="xyz"))
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(minus(one), minus(other), "xyz"))))
+
+
+@bound
+def _opposite(side: Column, one: Column, other: Column) -> Column:
+    """The angle opposite a side by the cosine rule, clamped, in radians."""
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (one * one + other * other - side * side) / (2 * one * other))))
+
+
+@bound
+def two_bone_pose(a: Column, b: Column, c: Column, target: Column, weight: Column, hint: Column, least: float = 1e-6) -> Column:
+    """Transforms ``root``, ``mid`` and ``tip`` of a limb of two bones (from a by b to c) that reaches for the target, ``weight`` of the way.
+
+    Root and middle turn about the limb's plane (through ``hint`` where it is not null) until the corner angles are those of the
+    cosine rule, then the root swings the tip onto the line to the target. The tip's turn goes to the target's by the weight.
+    """
+    minus = lambda p, q: each(lambda m, n: m - n, p, q, names="xyz")
+    goal = lerp(c["p"], target["p"], weight)
+    upper, lower = length(minus(b["p"], a["p"])), length(minus(b["p"], c["p"]))
+    reach = F.greatest(F.lit(least), F.least(length(minus(goal, a["p"])), upper + lower - least))
+    along = minus(c["p"], a["p"])
+    axis = unit(F.when(hint.isNotNull(), cross(along, minus(hint, a["p"]))).otherwise(cross(along, minus(b["p"], a["p"]))))
+    bend_a = _opposite(lower, upper, reach) - _corner(a["p"], c["p"], b["p"])
+    bend_b = _opposite(reach, upper, lower) - _corner(b["p"], a["p"], c["p"])
+    here = vec(*map(F.lit, (0.0, 0.0, 0.0)))
+    only = lambda of, bend: transform(here, about(rotate_back(of["q"], axis), bend))
+    bent = compose(a, only(a, bend_a))
+    swing = between(rotate_back(bent["q"], along), rotate_back(bent["q"], minus(goal, a["p"])))
+    root = compose(bent, transform(here, swing))
+    mid = compose(root, compose(compose(inverse(a), b), only(b, bend_b)))
+    tip = compose(mid, compose(inverse(b), c))
+    ready = lambda t: transform(t["p"], normalised(t["q"]))
+    return F.struct(ready(root).alias("root"), ready(mid).alias("mid"), transform(tip["p"], slerp(tip["q"], target["q"], weight)).alias("tip"))
+
+
+def capsule_lowest(p: Column, axis: Column, radius: Column, half: Column) -> Column:
+    """The lowest point of a capsule: the lower end of its centre line, a radius below."""
+    sign = F.signum(axis["z"])
+    end = each(lambda c, a: c - sign * half * a, p, axis, names="xyz")
+    return vec(end["x"], end["y"], p["z"] - F.abs(axis["z"]) * half - radius)
+
+
 def time_to_frame(seconds: Column, fps: float, frames: Column) -> Column:
     """Frame and blend to the next one at a time, clamped to the motion."""
     at = F.greatest(F.lit(0.0), F.least(seconds * fps, (frames - 1).cast("double")))

@@ -35,6 +35,26 @@ def split_by(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame,
     return df.join(keys, on, "left_semi"), df.join(keys, on, "left_anti")
 
 
+def without_subsets(df: DataFrame, skipped: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of no skipped subset."""
+    return df.join(skipped.select(*on), on, "left_anti")
+
+
+def every_nth(df: DataFrame, n: int, frame: str = "frame") -> DataFrame:
+    """Frames 0, n, 2 n, ..."""
+    return df.where(F.pmod(F.col(frame), F.lit(n)) == 0)
+
+
+def first_frames(df: DataFrame, n: int | None, frame: str = "frame") -> DataFrame:
+    """The first n frames of every motion, all without n: a filter, not a limit of the table."""
+    return df if n is None else df.where(F.col(frame) < n)
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """A report's first n rows in a total order: every task keeps n rows, nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n)
+
+
 def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The inner join; running it fails if one side lacks a key of the other."""
     joined = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), key, "full")

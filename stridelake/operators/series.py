@@ -37,6 +37,14 @@ def motion_derivatives(df: DataFrame, keys: list[str], fps: float, value: str =
     return out.withColumn("jerk", F.coalesce((F.col("acc") - F.lag("acc").over(w)) * fps, F.lit(0.0)))
 
 
+def plain_derivatives(df: DataFrame, keys: list[str], fps: float, value: str = "q", frame: str = "frame") -> DataFrame:
+    """Without wrapping: ``vel`` and ``acc`` padded with zeros at the first row, and ``short_vel``, ``short_acc`` that are null where a row before lacks."""
+    w = over(keys, frame)
+    out = df.withColumn("short_vel", (F.col(value) - F.lag(value).over(w)) * fps)
+    out = out.withColumns({"short_acc": (F.col("short_vel") - F.lag("short_vel").over(w)) * fps, "vel": F.coalesce("short_vel", F.lit(0.0))})
+    return out.withColumn("acc", F.coalesce((F.col("vel") - F.lag("vel").over(w)) * fps, F.lit(0.0)))
+
+
 def central_gradient(df: DataFrame, keys: list[str], dt: float, value: str = "q", frame: str = "frame") -> DataFrame:
     """Adds ``grad``: central differences, second order one-sided ones at the ends, first order for two rows, 0 for one."""
     w = over(keys, frame)

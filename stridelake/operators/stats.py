@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.angles import finite
+from stridelake.operators import series as S
 
 
 def kept(x: Column) -> Column:
@@ -85,6 +86,15 @@ def geometric_mean(x: Column, least: float = 1e-12) -> Column:
     return F.pow(F.lit(10.0), F.avg(F.log10(F.greatest(x, F.lit(least)))))
 
 
+def motion_extrema(df: DataFrame, keys: list[str], fps: float, value: str = "q", frame: str = "frame") -> DataFrame:
+    """Largest absolute wrapped step, speed and acceleration of each series; 0 for fewer than two frames."""
+    rows = S.motion_derivatives(S.zero_padded_steps(df, keys, value, frame), keys, fps, "dq", frame)
+    w = S.over(keys, frame)
+    rows = rows.withColumn("first", F.row_number().over(w) <= 2)
+    largest = lambda c: F.coalesce(F.max(F.abs(c)), F.lit(0.0))
+    return rows.groupBy(*keys).agg(largest(F.col("dq")).alias("max_dq"), largest(F.col("vel")).alias("max_vel"), largest(F.when(~F.col("first"), F.col("acc"))).alias("max_acc"))
+
+
 def range_retention(before: DataFrame, after: DataFrame, features: list[str]) -> DataFrame:
     """Per feature: the ranges before and after, the share of the range that stays, and what is lost at either tail (0 to 1).
 

@@ -110,6 +110,17 @@ def transient_verdict(joints: Column, chains: Column) -> Column:
     return F.when((F.size(chains) == 1) & F.size(joints).between(1, 2), "repairable_transient_spike").otherwise("hard_transient_multijoint_or_multichain")
 
 
+def transient_motions(steps: DataFrame, motion: str, limit: float, gap: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Clusters of the steps larger than ``limit`` and one row per motion with its risk, from ``steps(motion, joint, chain, frame0, dq)`` of all motions."""
+    hits = steps.withColumn("abs_dq", F.abs("dq")).where(F.col("abs_dq") > limit)
+    found = cluster_summary(gap_clusters(hits, [motion], gap=gap), [motion])
+    found = found.withColumn("risk", transient_verdict(F.col("joints"), F.col("chains")))
+    counts = found.groupBy(motion).agg(F.sum("event_count").alias("events"), F.count_if(F.startswith("risk", F.lit("hard"))).alias("hard"), F.count("*").alias("clusters"))
+    every = steps.groupBy(motion).agg(F.max(F.abs("dq")).alias("max_abs_dq")).join(counts, motion, "left").fillna(0, ["events", "hard", "clusters"])
+    risk = F.when(F.col("hard") > 0, "hard_transient_multijoint_or_multichain").when(F.col("clusters") > 0, "repairable_transient_spike").otherwise("clean")
+    return found, every.withColumn("risk", risk)
+
+
 def chain_threshold(chain: Column, limits: dict[str, float], other: float) -> Column:
     """The threshold of a joint's chain."""
     out = F.lit(other)

@@ -131,6 +131,28 @@ def repair_motions(frames: DataFrame, clusters: DataFrame, motion: str = "motion
     return frames.select(motion, "frame", "q").groupBy(motion).cogroup(clusters.select(motion, "peak").groupBy(motion)).applyInPandas(of_motion, schema)
 
 
+def repair_clusters(frames: DataFrame, clusters: DataFrame, limit: float, keys: tuple[str, str] = ("motion", "joint")) -> DataFrame:
+    """``frames(motion, joint, frame, q)`` with the largest step of each of ``clusters(motion, joint, start, end)`` smoothed adaptively, clusters one after the
+    other by their frames; a step of ``limit`` or less by then is passed over. Adds ``repaired``. One series is a task's group, a motion's frames at most."""
+    kinds = dict(frames.dtypes)
+
+    def of_series(key, rows: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        out = rows["q"].to_numpy(float)
+        for first, last in sorted(zip(events["start"].astype(int), events["end"].astype(int))) if len(rows) > 1 else []:
+            lo, hi = max(0, first), min(len(out) - 2, last)
+            if lo > hi:
+                continue
+            steps = np.abs((np.diff(out[lo : hi + 2]) + 180.0) % 360.0 - 180.0)
+            if steps.max() > limit:
+                out = adaptive_repair(out, lo + int(steps.argmax()))[0]
+        return pd.DataFrame({keys[0]: key[0], keys[1]: key[1], "frame": rows["frame"].to_numpy(), "q": rows["q"].to_numpy(float), "repaired": out})
+
+    schema = f"{keys[0]} {kinds[keys[0]]}, {keys[1]} {kinds[keys[1]]}, frame long, q double, repaired double"
+    events = clusters.select(*keys, "start", "end").toDF("__motion", "__joint", "start", "end")  # new columns: both sides may come from one table
+    return frames.select(*keys, "frame", "q").groupBy(*keys).cogroup(events.groupBy("__motion", "__joint")).applyInPandas(of_series, schema)
+
+
 def mean_quaternion(df: DataFrame, keys: list[str], names: tuple[str, ...] = ("x", "y", "z", "w")) -> DataFrame:
     """The mean rotation of each key: the first eigenvector of the sum of outer products, with w not negative. Ten sums are aggregated, then one small matrix is solved per key."""
     pairs = [(i, j) for i in range(4) for j in range(i, 4)]

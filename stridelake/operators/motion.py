@@ -63,6 +63,48 @@ def height_offsets(feet: DataFrame, key: str, fps: float, low: float = 0.04, gap
     return found.select(key, offset.alias("offset"), method.alias("method"), (-(F.col("lowest") + offset) > review).alias("review"))
 
 
+def stance_offsets(
+    feet: DataFrame, key: str, fps: float, nominal: float, clearance: float = 0.001, flat: float = 0.05, gap: float = 0.02, slow: float = 0.2,
+    least: float = 0.5, least_share: float = 0.01, penetration: float = 0.02, spread: float = 0.02,
+) -> DataFrame:
+    """Vertical offset per motion from the frames where both feet probably stand: the weighted 95th percentile of ``clearance`` less the mean of both bottoms.
+
+    ``feet(key, frame, left, right, left_thickness, right_thickness, lx, ly, lz, rx, ry, rz)``: bottoms, heights and centres of both feet. Confidence falls with thickness beyond
+    ``nominal``, with the gap of the bottoms and with the faster foot's speed; candidates have ``least`` or more (the best few frames if none has), weigh its
+    square, and are a report's reason if too few, as are feet left too deep, candidates left too far from the floor, and no confident frame. One window
+    sort and a few aggregations per motion.
+    """
+    w, whole = S.over([key]), Window.partitionBy(key)
+    moved = lambda p, f: F.sqrt(sum(((F.col(f"{p}{a}") - f(F.col(f"{p}{a}"))) ** 2 for a in "yz"), (F.col(f"{p}x") - f(F.col(f"{p}x"))) ** 2))
+    speed = lambda p: F.coalesce(moved(p, lambda c: F.lag(c).over(w)), moved(p, lambda c: F.lead(c).over(w)), F.lit(0.0)) * fps
+    excess = F.greatest(F.lit(0.0), F.col("left_thickness") - nominal) + F.greatest(F.lit(0.0), F.col("right_thickness") - nominal)
+    rows = feet.withColumns({"__speed": F.greatest(speed("l"), speed("r")), "__gap": F.abs(F.col("left") - F.col("right")), "__mean": (F.col("left") + F.col("right")) / 2, "__low": F.least("left", "right")})
+    rows = rows.withColumn("__conf", R.stance_confidence(excess, F.col("__gap"), F.col("__speed"), (flat, gap, slow)))
+    n, best = F.count("*").over(whole), F.max("__conf").over(whole)
+    few = F.greatest(F.lit(1), F.least(F.lit(10), F.floor(n / 50)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__conf"), F.desc("frame")))
+    rows = rows.withColumns({"__n": n, "__best": best, "__rank": rank, "__few": few})
+    rows = rows.withColumn("__cand", F.when(F.col("__best") >= least, F.col("__conf") >= least).otherwise(F.col("__rank") <= F.col("__few")))
+    held = rows.where("__cand").withColumns({"__offset": clearance - F.col("__mean"), "__weight": F.greatest("__conf", F.lit(1e-6)) ** 2})
+    p95 = A.weighted_quantile(held, [key], "__offset", "__weight", 0.95, "offset")
+    after = held.join(p95, key).withColumn("__after", F.col("__mean") + F.col("offset")).withColumn("__far", F.abs("__after"))
+    far = A.weighted_quantile(after, [key], "__far", "__weight", 0.95, "stance_p95")
+    told = after.groupBy(key).agg(F.count("*").alias("candidates"), A.weighted_mean(F.col("__offset"), F.col("__weight")).alias("mean_offset"), F.percentile("__after", F.lit(0.5)).alias("stance_p50"))
+    first = lambda order: F.min_by("frame", F.struct(order, "frame"))
+    frames = rows.groupBy(key).agg(F.count("*").alias("num_frames"), F.max("__conf").alias("confidence"), first(-F.col("__conf")).alias("best_frame"), F.min("__low").alias("lowest"), first(F.col("__low")).alias("low_frame"))
+    out = frames.join(p95, key).join(told, key).join(far, key)
+    checks = {
+        "few_high_confidence_double_support_candidates": F.col("candidates") / F.col("num_frames") < least_share, "nonstance_global_penetration": F.col("lowest") + F.col("offset") < -penetration,
+        "stance_pair_mean_abs_p95": F.col("stance_p95") > spread, "no_candidate_above_confidence_threshold": F.col("confidence") < least,
+    }
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
+    review = F.when(checks["nonstance_global_penetration"], F.col("low_frame")).otherwise(F.col("best_frame"))
+    return out.select(
+        key, "num_frames", "best_frame", "confidence", review.alias("review_frame"), (-F.col("lowest")).alias("strict_offset"), "mean_offset", "offset", "candidates", "stance_p50", "stance_p95",
+        (F.col("lowest") + F.col("offset")).alias("lowest_after"), F.when(F.size(reasons) == 0, "ok").otherwise("review").alias("status"), F.array_join(reasons, ";").alias("reasons"),
+    )
+
+
 def keyframe_offsets(target: DataFrame, body: DataFrame, keys: list[str]) -> DataFrame:
     """Distance of bodies from their targets, per motion: count, mean, largest, and the frame and body of the largest."""
     joined = target.join(body, [*keys, "frame", "body"])

@@ -27,6 +27,12 @@ def bound(f: Callable[..., Column]) -> Callable[..., Column]:
     return once
 
 
+def let(f: Callable[..., Column], **values: Column) -> Column:
+    """``f`` of the values, each of which is evaluated once."""
+    held = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.transform(F.array(held), lambda h: f(**{k: h[k] for k in values}))[0]
+
+
 def vec(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
@@ -274,22 +280,32 @@ def two_bone_pose(a: Column, b: Column, c: Column, target: Column, weight: Colum
     cosine rule, then the root swings the tip onto the line to the target. The tip's turn goes to the target's by the weight.
     """
     minus = lambda p, q: each(lambda m, n: m - n, p, q, names="xyz")
-    goal = lerp(c["p"], target["p"], weight)
-    upper, lower = length(minus(b["p"], a["p"])), length(minus(b["p"], c["p"]))
-    reach = F.greatest(F.lit(least), F.least(length(minus(goal, a["p"])), upper + lower - least))
-    along = minus(c["p"], a["p"])
-    axis = unit(F.when(hint.isNotNull(), cross(along, minus(hint, a["p"]))).otherwise(cross(along, minus(b["p"], a["p"]))))
-    bend_a = _opposite(lower, upper, reach) - _corner(a["p"], c["p"], b["p"])
-    bend_b = _opposite(reach, upper, lower) - _corner(b["p"], a["p"], c["p"])
-    here = vec(*map(F.lit, (0.0, 0.0, 0.0)))
-    only = lambda of, bend: transform(here, about(rotate_back(of["q"], axis), bend))
-    bent = compose(a, only(a, bend_a))
-    swing = between(rotate_back(bent["q"], along), rotate_back(bent["q"], minus(goal, a["p"])))
-    root = compose(bent, transform(here, swing))
-    mid = compose(root, compose(compose(inverse(a), b), only(b, bend_b)))
-    tip = compose(mid, compose(inverse(b), c))
     ready = lambda t: transform(t["p"], normalised(t["q"]))
-    return F.struct(ready(root).alias("root"), ready(mid).alias("mid"), transform(tip["p"], slerp(tip["q"], target["q"], weight)).alias("tip"))
+    only = lambda of, axis, bend: transform(vec(*map(F.lit, (0.0, 0.0, 0.0))), about(rotate_back(of["q"], axis), bend))
+
+    def sized(goal: Column, along: Column, upper: Column, lower: Column) -> Column:
+        reach = F.greatest(F.lit(least), F.least(length(minus(goal, a["p"])), upper + lower - least))
+        plane = F.when(hint.isNotNull(), cross(along, minus(hint, a["p"]))).otherwise(cross(along, minus(b["p"], a["p"])))
+        return let(lambda reach, axis: bent(goal, along, upper, lower, reach, axis), reach=reach, axis=unit(plane))
+
+    def bent(goal: Column, along: Column, upper: Column, lower: Column, reach: Column, axis: Column) -> Column:
+        bend_a = _opposite(lower, upper, reach) - _corner(a["p"], c["p"], b["p"])
+        bend_b = _opposite(reach, upper, lower) - _corner(b["p"], a["p"], c["p"])
+        turned = let(lambda t: swung(t, along, minus(goal, a["p"])), t=compose(a, only(a, axis, bend_a)))
+        return let(lambda root, own: closed(root, own), root=turned, own=compose(compose(inverse(a), b), only(b, axis, bend_b)))
+
+    def swung(t: Column, along: Column, wanted: Column) -> Column:
+        return compose(t, transform(vec(*map(F.lit, (0.0, 0.0, 0.0))), between(rotate_back(t["q"], along), rotate_back(t["q"], wanted))))
+
+    def closed(root: Column, own: Column) -> Column:
+        def named(mid: Column) -> Column:
+            end = lambda tip: F.struct(ready(root).alias("root"), ready(mid).alias("mid"), transform(tip["p"], slerp(tip["q"], target["q"], weight)).alias("tip"))
+            return let(lambda tip: end(tip), tip=compose(mid, compose(inverse(b), c)))
+
+        return let(lambda mid: named(mid), mid=compose(root, own))
+
+    upper, lower = length(minus(b["p"], a["p"])), length(minus(b["p"], c["p"]))
+    return let(sized, goal=lerp(c["p"], target["p"], weight), along=minus(c["p"], a["p"]), upper=upper, lower=lower)
 
 
 def capsule_lowest(p: Column, axis: Column, radius: Column, half: Column) -> Column:

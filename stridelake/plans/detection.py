@@ -10,7 +10,7 @@ from stridelake.operators import chains as C
 from stridelake.operators import events as E
 from stridelake.operators import series as S
 from stridelake.plans.base import TRACE, WRAP, query, table, trace
-from stridelake.plans.series import FPS, STEPS, SUPPORT, r6
+from stridelake.plans.series import FPS, STEPS, SUPPORT, long_joints, r6
 
 M = ["motion"]
 CHAIN = "CASE WHEN joint IN ('click', 'view') THEN 'upper' WHEN joint IN ('purchase', 'signup') THEN 'lower' ELSE 'torso_head' END"
@@ -127,7 +127,7 @@ def branch_motion_risk(spark, sf_dir):
 DATASET = f"""{STEPS},
 limits AS (SELECT motion, frame0, joint, {CHAIN} AS chain, abs(dq) AS abs_dq FROM steps),
 hits AS (SELECT * FROM limits WHERE abs_dq >= CASE chain WHEN 'upper' THEN 100 WHEN 'lower' THEN 140 ELSE 120 END),
-win AS (SELECT motion, frame AS frame0, sqrt({WRAP.format("lead(q, 24) OVER w - q")} ** 2 + {WRAP.format("lead(q, 24) OVER w - q")} ** 2) AS norm, lead(q, 24) OVER w AS nxt FROM trace WINDOW w AS (PARTITION BY motion ORDER BY frame)),
+win AS (SELECT motion, frame AS frame0, sqrt({WRAP.format("lead(q, 24) OVER w - q")} ** 2 + {WRAP.format("lead(q, 25) OVER w - lead(q) OVER w")} ** 2) AS norm, lead(q, 25) OVER w AS nxt FROM trace WINDOW w AS (PARTITION BY motion ORDER BY frame)),
 allhits AS (SELECT motion, frame0, joint, chain, abs_dq, false AS windowed FROM hits
   UNION ALL SELECT motion, frame0, 'left_upper_chain_window', 'upper', norm, true FROM win WHERE nxt IS NOT NULL AND norm >= 225),
 marked AS (SELECT *, CASE WHEN frame0 - lag(frame0) OVER w > 1 THEN 1 ELSE 0 END AS fresh FROM allhits WINDOW w AS (PARTITION BY motion ORDER BY frame0, joint)),
@@ -139,8 +139,10 @@ def dataset_hits(spark, sf_dir):
     steps = S.wrapped_steps(rows, M).withColumns({"abs_dq": F.abs("dq"), "chain": event_chain(F.col("joint"))})
     hits = steps.where(F.col("abs_dq") >= E.chain_threshold(F.col("chain"), {"upper": 100.0, "lower": 140.0}, 120.0))
     hits = hits.select("motion", "frame0", "joint", "chain", "abs_dq", F.lit(False).alias("windowed"))
-    # both joints of the arm are the fixture's one value, so the norm over the chain is that of two equal deltas
-    moved = S.k_frame_delta(rows, M, 24).withColumn("norm", F.sqrt(F.col("delta") ** 2 + F.col("delta") ** 2)).where("norm >= 225")
+    # the arm's joints are a frame's value and the next one's
+    arm = long_joints(spark, sf_dir).where("joint <> 'wrist'")
+    deltas = S.k_frame_delta(arm, ["motion", "joint"], 24).groupBy("motion", "frame").agg(F.sqrt(F.sum(F.col("delta") ** 2)).alias("norm"), F.count("*").alias("joints"))
+    moved = deltas.where("joints = 2 AND norm >= 225")
     windows = moved.select("motion", F.col("frame").alias("frame0"), F.lit("left_upper_chain_window").alias("joint"), F.lit("upper").alias("chain"), F.col("norm").alias("abs_dq"), F.lit(True).alias("windowed"))
     return E.gap_clusters(hits.unionByName(windows), M)
 

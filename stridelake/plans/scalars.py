@@ -56,11 +56,11 @@ def spread(df, value, names: list[str], fields: str = "xyz"):
 
 
 @query("quat_angles", f"""WITH {UNIT} SELECT id, round(degrees(2 * acos(least(1, abs(aw)))), 5) AS angle, round(degrees(2 * acos(least(1, abs(ax * bx + ay * by_ + az * bz + aw * bw)))), 5) AS between_,
- round(sign(aw) * ax / sqrt(1 - aw * aw) * 2 * acos(least(1, abs(aw))), 5) AS rx FROM u""")
+ {", ".join(f"round(sign(aw) * a{c} / sqrt(1 - aw * aw) * 2 * acos(least(1, abs(aw))), 5) AS r{c}" for c in "xyz")} FROM u""")
 def quat_angles(spark, sf_dir):
     a, b = quats()
     five = lambda c, n: F.round(c, 5).alias(n)
-    return vectors(spark, sf_dir).select("id", five(R.angle_degrees(a), "angle"), five(R.angle_between(a, b), "between_"), five(R.rotation_vector(a)["x"], "rx"))
+    return vectors(spark, sf_dir).select("id", five(R.angle_degrees(a), "angle"), five(R.angle_between(a, b), "between_"), *[five(R.rotation_vector(a)[c], f"r{c}") for c in "xyz"])
 
 
 @query("quat_product", f"""WITH {UNIT} SELECT id, {sql_columns(["aw * bx + ax * bw + ay * bz - az * by_", "aw * by_ + ay * bw + az * bx - ax * bz", "aw * bz + az * bw + ax * by_ - ay * bx", "aw * bw - ax * bx - ay * by_ - az * bz"], ["x", "y", "z", "w"])} FROM u""")
@@ -103,22 +103,24 @@ def slerp(spark, sf_dir):
 P = [f"({t} + e{11 + i})" for i, t in enumerate(turned(A, V8))]
 
 
-@query("transform_compose", f"WITH {UNIT} SELECT id, {sql_columns(P, ['x', 'y', 'z'])}, {sql_columns([f'(-{t})' for t in turned(A, ('e11', 'e12', 'e13'), True)], ['ix', 'iy', 'iz'])} FROM u")
+@query("transform_compose", f"WITH {UNIT} SELECT id, {sql_columns(P, ['x', 'y', 'z'])}, {sql_columns([f'(-{t})' for t in turned(A, ('e11', 'e12', 'e13'), True)], ['ix', 'iy', 'iz'])}, {sql_columns(['aw * bx + ax * bw + ay * bz - az * by_', 'aw * by_ + ay * bw + az * bx - ax * bz', 'aw * bz + az * bw + ax * by_ - ay * bx', 'aw * bw - ax * bx - ay * by_ - az * bz', '-ay', 'aw'], ['qx', 'qy', 'qz', 'qw', 'iqy', 'iqw'])} FROM u")
 def transform_compose(spark, sf_dir):
     a, b = quats()
     ta, tb = R.transform(vector(11), a), R.transform(vector(8), b)
-    both, back = R.compose(ta, tb)["p"], R.inverse(ta)["p"]
-    return vectors(spark, sf_dir).select("id", *[r6(both[f], f) for f in "xyz"], *[r6(back[f], f"i{f}") for f in "xyz"])
+    whole, inverse = R.compose(ta, tb), R.inverse(ta)
+    both, back = whole["p"], inverse["p"]
+    turns = [r6(whole["q"][f], f"q{f}") for f in "xyzw"] + [r6(inverse["q"][f], f"iq{f}") for f in "yw"]
+    return vectors(spark, sf_dir).select("id", *[r6(both[f], f) for f in "xyz"], *[r6(back[f], f"i{f}") for f in "xyz"], *turns)
 
 
-@query("twist_and_plane", f"""WITH {UNIT} SELECT id, round(az / sqrt(az * az + aw * aw), 6) AS tz, round(aw / sqrt(az * az + aw * aw), 6) AS tw, round(e8, 6) AS px, round(e9, 6) AS py, 0.0::DOUBLE AS pz, true AS same FROM u""")
+@query("twist_and_plane", f"""WITH {UNIT}, t AS (SELECT *, 0.6 * ax + 0.8 * az AS p, 0.6 * e8 + 0.8 * e10 AS d FROM u) SELECT id, round(0.8 * p / sqrt(p * p + aw * aw), 6) AS tz, round(aw / sqrt(p * p + aw * aw), 6) AS tw, round(e8 - 0.6 * d, 6) AS px, round(e9, 6) AS py, round(e10 - 0.8 * d, 6) AS pz,
+ abs(ax * bx + ay * by_ + az * bz + aw * bw) >= 0.5 AS same_turn, sqrt((e8 - e11) ** 2 + (e9 - e12) ** 2 + (e10 - e13) ** 2) <= 0.3 AS same_place FROM t""")
 def twist_and_plane(spark, sf_dir):
-    up = R.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    a, _ = quats()
-    t, p = R.twist(a, up), R.onto_plane(vector(), up)
-    flipped = R.each(lambda c: -c, a)
-    same = R.same_rotation(a, flipped, 1e-6) & R.same_position(vector(), vector(), 1e-9)
-    return vectors(spark, sf_dir).select("id", r6(t["z"], "tz"), r6(t["w"], "tw"), r6(p["x"], "px"), r6(p["y"], "py"), r6(p["z"], "pz"), same.alias("same"))
+    axis = R.vec(F.lit(0.6), F.lit(0.0), F.lit(0.8))
+    a, b = quats()
+    t, p = R.twist(a, axis), R.onto_plane(vector(), axis)
+    same = [R.same_rotation(a, b, 0.5).alias("same_turn"), R.same_position(vector(), vector(11), 0.3).alias("same_place")]
+    return vectors(spark, sf_dir).select("id", r6(t["z"], "tz"), r6(t["w"], "tw"), r6(p["x"], "px"), r6(p["y"], "py"), r6(p["z"], "pz"), *same)
 
 
 @query("space_conversion", f"WITH {VEC} SELECT id, round(e8, 6) AS mx, round(-e10, 6) AS my, round(e9, 6) AS mz, round(e10, 6) AS ax, round(e8, 6) AS ay, round(e9, 6) AS az, round(e8, 6) AS back FROM v")

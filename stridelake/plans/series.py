@@ -205,12 +205,12 @@ def resample_linear(spark, sf_dir):
     return S.resampled(trace(spark, sf_dir), M, ["q"], 120.0, 50.0).select("motion", "target_frame", r6(F.col("q"), "q"))
 
 
-@query("sample_as_of", f"""WITH {TRACE}, t AS (SELECT motion, frame + 0.5 AS at, event_id FROM (SELECT user_id AS motion, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_id FROM events) WHERE event_id % 7 = 0)
+@query("sample_as_of", f"""WITH {TRACE}, t AS (SELECT motion, frame + 0.5 AS at, event_id FROM (SELECT user_id AS motion, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_id FROM events))
 SELECT t.motion, t.event_id, r.frame AS found_frame, r.joint, r.q FROM t ASOF LEFT JOIN trace r ON t.motion = r.motion AND t.at >= r.frame""")
 def sample_as_of(spark, sf_dir):
     """The pose at arbitrary times: the last frame at or before each."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    times = table(spark, sf_dir, "events").select(F.col("user_id").alias("motion"), (F.row_number().over(order) - 0.5).alias("at"), "event_id").where("event_id % 7 = 0")
+    times = table(spark, sf_dir, "events").select(F.col("user_id").alias("motion"), (F.row_number().over(order) - 0.5).alias("at"), "event_id")
     return S.as_of(trace(spark, sf_dir), times, M).select("motion", "event_id", "found_frame", "joint", "q")
 
 

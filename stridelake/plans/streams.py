@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stridelake.plans.base import query
+from stridelake.plans.base import query, table
+from stridelake.storage import shared_dir
 from stridelake.streaming import online as O
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -36,6 +37,32 @@ def stream_session(spark, sf_dir):
     return found.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "n")
 
 
+MIDDLE = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+
+
+def deliveries(spark, sf_dir) -> str:
+    """Three files, a batch each: the first half of all events, each delivered twice, then the others, then every tenth of the first half once more, most of them too late."""
+    e = table(spark, sf_dir, "events")
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    middle = F.lit(ends["a"] + (ends["b"] - ends["a"]) / 2).cast("timestamp_ntz")
+    early, folder = e.where(F.col("ts") <= middle), shared_dir(spark)
+    early.unionByName(early).coalesce(1).write.parquet(folder)
+    for batch in (e.where(F.col("ts") > middle), early.where("event_id % 10 = 0")):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@query("stream_late", f"""WITH m AS (SELECT max(ts) AS seen FROM events WHERE ts <= {MIDDLE}), b AS (SELECT ts, value, 2 AS times FROM events WHERE ts <= {MIDDLE} UNION ALL SELECT ts, value, 1 FROM events WHERE ts > {MIDDLE}
+  UNION ALL SELECT ts, value, 1 FROM events, m WHERE ts <= {MIDDLE} AND event_id % 10 = 0 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > seen - INTERVAL 10 MINUTE),
+w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, sum(times)::BIGINT AS n FROM b GROUP BY s) SELECT epoch_us(s) AS start, n FROM w WHERE s + INTERVAL 1 HOUR <= {LAST}""")
+def stream_late(spark, sf_dir):
+    """Rows of windows that the watermark of the batch before had passed are dropped, those of open windows count."""
+    rows = O.event_stream(spark, deliveries(spark, sf_dir), "*.parquet", per_batch=1)
+    return O.run_to_end(O.counts(rows, "1 hour", "10 minutes")).select(micros("start").alias("start"), "n")
+
+
 @query("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf_dir):
-    return O.run_to_end(O.first_per_key(O.event_stream(spark, sf_dir), ["event_id"], "10 minutes").select("event_id", "user_id"))
+    """Half of the events are delivered twice, some of them a third time in another batch."""
+    rows = O.event_stream(spark, deliveries(spark, sf_dir), "*.parquet", per_batch=1)
+    return O.run_to_end(O.first_per_key(rows, ["event_id"], "10 minutes").select("event_id", "user_id"))

@@ -16,9 +16,10 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
-    """Files of a folder as a stream; times without zone are UTC, as watermarks need instants."""
-    stream = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", files).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_batch: int | None = None) -> DataFrame:
+    """Files of a folder as a stream, ``per_batch`` of them in a batch; times without zone are UTC, as watermarks need instants."""
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", files)
+    stream = (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -37,6 +38,12 @@ def tumbling(events: DataFrame, width: str, delay: str) -> DataFrame:
     return found.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def counts(events: DataFrame, width: str, delay: str) -> DataFrame:
+    """Rows per window; what comes after the watermark has passed its window is dropped."""
+    found = events.withWatermark("ts", delay).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"))
+    return found.select(F.col("window.start").alias("start"), "n")
+
+
 def sliding(events: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
     found = events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.max("value").alias("largest"))
     return found.select(F.col("window.start").alias("start"), "n", "largest")

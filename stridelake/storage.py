@@ -7,16 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for a session, by application: what ``release`` deletes.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests in local mode) a temporary folder is set for the session.
+    Where that setting is missing a temporary folder is set for the session, in local mode alone: on a cluster executors would not see it, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stridelake-"))
+    folder = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _MADE.setdefault(context.applicationId, []).append(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -24,3 +32,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders made for this session so far, once no result that reads them is needed any more; returns how many there were."""
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators import blocks as B
+from stridelake.operators import stats as A
 
 #: Held rows that are compared at once.
 BLOCK = 512
@@ -16,18 +17,24 @@ BLOCK = 512
 def robust_scaled(df: DataFrame, features: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Every feature clipped to [0, 1] between its own quantiles; 0.5 where the span is nothing or the value no number.
 
-    Quantiles of all features come from one aggregation to a single row, which is joined back.
+    The table becomes feature-value rows whose quantiles are found feature by feature without ordering a whole feature in one task; the bounds come back as one row.
     """
-    bounds = df.agg(F.struct(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(F.lit(lo), F.lit(hi))).alias(c) for c in features]).alias("__b"))
-
-    def scaled(c: str):
-        low, high = F.col(f"__b.`{c}`")[0], F.col(f"__b.`{c}`")[1]
-        x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - low) / (high - low)))
-        usable = F.col(c).isNotNull() & ~F.isnan(c) & (high - low > 1e-12)
-        return F.when(usable, x).otherwise(F.lit(0.5))
-
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(bounds.withColumn("__one", F.lit(1))), "__one")  # a single row
-    return joined.withColumns({c: scaled(c) for c in features}).drop("__one", "__b")
+    named = F.array(*map(F.lit, features))
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    long = df.select(F.posexplode(values).alias("feature", "x"))
+    found = A.exact_quantiles(long, ["feature"], "x", [lo, hi], "b")
+    absent = F.transform(named, lambda _, i: F.struct(i.alias("feature"), F.lit(None).cast("array<double>").alias("b")))
+    held = F.map_from_entries(F.collect_list(F.struct("feature", "b")))
+    bounds = found.agg(held.alias("m")).select(F.transform(absent, lambda f: F.col("m")[f["feature"]]).alias("__b"), F.lit(1).alias("__one"))
+
+    def scaled(x: Column, b: Column) -> Column:
+        inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - b[0]) / (b[1] - b[0])))
+        return F.when(x.isNotNull() & ~F.isnan(x) & (b[1] - b[0] > 1e-12), inside).otherwise(F.lit(0.5))
+
+    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(bounds), "__one")  # a single row
+    joined = joined.withColumn("__v", F.zip_with(values, F.col("__b"), scaled))
+    others = [c for c in df.columns if c not in set(features)]
+    return joined.select(*others, *[F.col("__v")[i].alias(c) for i, c in enumerate(features)]).select(*df.columns)
 
 
 def group_weights(features: list[str], weights: dict[str, float]) -> list[float]:

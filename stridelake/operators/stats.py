@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions.angles import finite
 from stridelake.operators import series as S
+from stridelake.storage import written
 
 
 def kept(x: Column) -> Column:
@@ -57,17 +58,64 @@ def histogram_quantiles(df: DataFrame, keys: list[str], value: str, width: float
     return summed.groupBy(*keys).agg(F.max("n").alias("n"), *found)
 
 
-def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:
-    """The least value whose cumulative weight reaches q of the total; the plain quantile where all weights are 0.
+#: Ranges of values that a key's rows are cut into to find the one that holds a quantile.
+CUTS = 256
+
 
-    Equal values are added up before they are ordered, so a hot value is one row of its group.
+def _reached(per: DataFrame, goals: Column) -> DataFrame:
+    """``(__k, i, value)`` from distinct values ``per(__k, value, amount)``: for each of ``goals``, an array of ``struct(i, goal, beyond)`` over ``total``,
+    the least value whose cumulative amount reaches the goal (is beyond it, where that is asked for).
+
+    A key's values are cut into ranges at approximate quantiles; sums of the ranges tell which one holds a goal, and only the rows of that
+    range are ordered. So neither a key of all rows nor a value of a third of them is sorted in one task.
     """
-    per = df.groupBy(*keys, value).agg(F.sum(F.col(weight).cast("double")).alias("__w"), F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    sums = per.withColumns({"__cum": F.sum("__w").over(w.orderBy(value)), "__all": F.sum("__w").over(w)})
-    reached = F.min(F.when(F.col("__cum") >= q * F.col("__all") - 1e-12, F.col(value)))
-    plain = F.percentile(value, F.lit(q), F.col("__c"))
-    return sums.groupBy(*keys).agg(F.when(F.max("__all") > 0, reached).otherwise(plain).alias(name))
+    cuts = per.groupBy("__k").agg(F.percentile_approx("value", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("cuts"), F.sum("amount").alias("total"))
+    keyed = per.join(cuts.select("__k", "cuts"), "__k")
+    ranged = keyed.select("__k", "value", "amount", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"))
+    sums = ranged.groupBy("__k", "bucket").agg(F.sum("amount").alias("s"))
+    upto = Window.partitionBy("__k").orderBy("bucket")
+    sums = sums.withColumn("upto", F.sum("s").over(upto)).withColumn("before", F.coalesce(F.lag("upto").over(upto), F.lit(0.0)))
+    asked = cuts.select("__k", F.inline(goals))
+    hit = lambda amount: F.when(F.col("beyond"), amount > F.col("goal")).otherwise(amount >= F.col("goal"))
+    found = asked.join(sums, "__k").where(hit(F.col("upto"))).groupBy("__k", "i", "goal", "beyond").agg(F.min(F.struct("bucket", "before")).alias("b"))
+    near = ranged.join(found.select("__k", "i", "goal", "beyond", "b.*"), ["__k", "bucket"])
+    cumulative = F.col("before") + F.sum("amount").over(Window.partitionBy("__k", "i").orderBy("value"))
+    return near.withColumn("cum", cumulative).where(hit(F.col("cum"))).groupBy("__k", "i").agg(F.min("value").alias("value"))
+
+
+def _distinct(df: DataFrame, keys: list[str], value: str, amount: Column) -> DataFrame:
+    """Equal values are added up before anything is ordered; keys are one struct, in which nulls are equal."""
+    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
+    return df.select(key.alias("__k"), F.col(value).cast("double").alias("value"), amount.cast("double").alias("amount")).groupBy("__k", "value").agg(F.sum("amount").alias("amount"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], name: str = "quantiles") -> DataFrame:
+    """``(keys, <name>)``: the linear quantiles of the finite values of each key as an array, at any number of rows of a key; keys without values are absent."""
+    per = _distinct(df.where(finite(F.col(value))), keys, value, F.lit(1.0))
+    last = F.col("total") - 1
+    ends = [e for j, q in enumerate(quantiles) for e in ((2 * j, F.floor(last * q)), (2 * j + 1, F.least(F.floor(last * q) + 1, last)))]
+    goals = F.array(*[F.struct(F.lit(i).alias("i"), g.cast("double").alias("goal"), F.lit(True).alias("beyond")) for i, g in ends])
+    found = _reached(written(per), goals)
+    held = found.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("v"))
+    counted = held.join(per.groupBy("__k").agg(F.sum("amount").alias("total")), "__k")
+
+    def at(j: int, q: float) -> Column:
+        place = last * q
+        part = place - F.floor(place)
+        return F.when(part == 0, F.col("v")[2 * j]).otherwise(F.col("v")[2 * j] * (1 - part) + F.col("v")[2 * j + 1] * part)
+
+    return counted.select(*[F.col("__k")[k].alias(k) for k in keys], F.array(*[at(j, q) for j, q in enumerate(quantiles)]).alias(name))
+
+
+def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:
+    """The least value whose cumulative weight reaches q of the total; the plain quantile where all weights are 0."""
+    per = written(_distinct(df, keys, value, F.col(weight)))
+    goal = F.struct(F.lit(0).alias("i"), (F.col("total") * q - 1e-12).alias("goal"), F.lit(False).alias("beyond"))
+    heavy = per.groupBy("__k").agg(F.sum("amount").alias("total")).where("total > 0").select("__k")
+    found = _reached(per.join(heavy, "__k", "left_semi"), F.array(goal)).select(*[F.col("__k")[k].alias(k) for k in keys], F.col("value").alias(name))
+    light = df.withColumn("__key", F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))).join(heavy.withColumnRenamed("__k", "__key"), "__key", "left_anti")
+    plain = exact_quantiles(light, keys, value, [q], name)
+    return found.unionByName(plain.select(*keys, F.col(name)[0].alias(name)))
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -95,22 +143,26 @@ def motion_extrema(df: DataFrame, keys: list[str], fps: float, value: str = "q",
     return rows.groupBy(*keys).agg(largest(F.col("dq")).alias("max_dq"), largest(F.col("vel")).alias("max_vel"), largest(F.when(~F.col("first"), F.col("acc"))).alias("max_acc"))
 
 
-def range_retention(before: DataFrame, after: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature: the ranges before and after, the share of the range that stays, and what is lost at either tail (0 to 1).
+def range_retention(before: DataFrame, after: DataFrame, features: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Per feature: seven quantiles and the mean before and after, the share of the whole, robust and middle range that stays, and what either tail loses of the robust range.
 
-    Both tables become feature-value rows, so all features need one aggregation each.
+    Both tables become feature-value rows, so all features need one aggregation each; a range of nothing keeps all of itself.
     """
-    tails = F.array(*(F.lit(q) for q in (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)))
-    long = lambda df, p: df.select(*features).unpivot([], features, "feature", "x").where(finite(F.col("x"))).groupBy("feature").agg(F.percentile("x", tails).alias(p))
-    both = long(before, "b").join(long(after, "a"), "feature", "left")
-    b, a = F.col("b"), F.col("a")
-    span = b[6] - b[0]
-    part = lambda x: F.when(span > 1e-12, x / span).otherwise(F.lit(0.0))
+    points = {"min": 0.0, "low": low, "p05": 0.05, "p50": 0.5, "p95": 0.95, "high": high, "max": 1.0}
+
+    def long(df: DataFrame, when: str) -> DataFrame:
+        rows = df.select(*features).unpivot([], features, "feature", "x")
+        found = exact_quantiles(rows, ["feature"], "x", list(points.values()), "q").join(rows.groupBy("feature").agg(F.avg(kept(F.col("x"))).alias(f"mean_{when}")), "feature")
+        return found.select("feature", f"mean_{when}", *[F.col("q")[i].alias(f"{p}_{when}") for i, p in enumerate(points)])
+
+    both = long(before, "before").join(long(after, "after"), "feature", "left")
+    c = F.col
+    span = lambda lo, hi, when: F.coalesce(c(f"{hi}_{when}") - c(f"{lo}_{when}"), F.lit(0.0))
+    ratio = lambda lo, hi: F.when(span(lo, hi, "before") > 1e-9, span(lo, hi, "after") / span(lo, hi, "before")).otherwise(F.lit(1.0))
+    tail = lambda x: F.when(span("low", "high", "before") > 1e-9, F.greatest(F.lit(0.0), x) / span("low", "high", "before")).otherwise(F.lit(0.0))
     return both.select(
-        "feature", b[0].alias("min_before"), b[6].alias("max_before"), a[0].alias("min_after"), a[6].alias("max_after"),
-        F.when(span > 1e-12, F.coalesce((a[6] - a[0]) / span, F.lit(0.0))).otherwise(F.lit(1.0)).alias("retention"),
-        part(F.greatest(a[0] - b[0], F.lit(0.0))).alias("low_loss"), part(F.greatest(b[6] - a[6], F.lit(0.0))).alias("high_loss"),
-        F.when(b[5] - b[1] > 1e-12, (a[5] - a[1]) / (b[5] - b[1])).otherwise(F.lit(1.0)).alias("p01_p99_retention"),
+        "*", ratio("min", "max").alias("retention"), ratio("low", "high").alias("robust_retention"), ratio("p05", "p95").alias("middle_retention"), (c("mean_after") - c("mean_before")).alias("mean_delta"),
+        tail(c("low_after") - c("low_before")).alias("low_loss"), tail(c("high_before") - c("high_after")).alias("high_loss"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import neighbours as K
 from stridelake.operators import selection as L
+from stridelake.operators import stats as A
 from stridelake.plans.base import query, table
 from stridelake.plans.series import r6
 from stridelake.storage import written
@@ -67,8 +68,7 @@ SELECT least(id, neighbor) AS lo, greatest(id, neighbor) AS hi, round(min(distan
 def redundant_pairs(spark, sf_dir):
     """Nearest pairs within the lowest twentieth of nearest distances, each once."""
     first = knn(spark, sf_dir).where("rank = 1")
-    cut = F.percentile("distance", F.lit(0.05))
-    limit = first.agg(cut.alias("q")).withColumn("one", F.lit(1))
+    limit = A.exact_quantiles(first, [], "distance", [0.05], "q").select(F.col("q")[0].alias("q")).withColumn("one", F.lit(1))
     near = first.withColumn("one", F.lit(1)).join(F.broadcast(limit), "one").where("distance <= q")
     return near.groupBy(F.least("id", "neighbor").alias("lo"), F.greatest("id", "neighbor").alias("hi")).agg(r6(F.min("distance"), "distance"))
 
@@ -113,8 +113,8 @@ def priorities(spark, sf_dir):
     from stridelake.operators.series import rank01
 
     first = knn(spark, sf_dir).where("rank = 1").select("id", "neighbor", "distance")
-    p = lambda q: F.percentile("distance", F.lit(q))
-    limits = first.agg(p(0.2).alias("p20"), p(0.5).alias("p50"), F.min("distance").alias("lo")).withColumn("one", F.lit(1))
+    cuts = A.exact_quantiles(first, [], "distance", [0.2, 0.5, 0.0], "q")
+    limits = cuts.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("p20", "p50", "lo"))], F.lit(1).alias("one"))
     ranked = rank01(first.withColumn("m", F.col("id") % 17), [F.col("m"), F.col("id")]).withColumn("one", F.lit(1)).join(F.broadcast(limits), "one")
     c = F.col
     reason = L.removal_reason(c("distance"), c("p20"), c("p50"), (c("id") + c("neighbor")) % 2 == 0, c("id") % 3 == 0)

@@ -75,13 +75,12 @@ def group_scope_stats(spark, sf_dir):
 @query("grouped_weighted_stats", """SELECT l_returnflag AS config, l_linestatus AS robot, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_mean, count(DISTINCT l_suppkey) AS clips,
  round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, max(l_extendedprice) AS max FROM lineitem GROUP BY ALL""")
 def grouped_weighted_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("config"), F.col("l_linestatus").alias("robot"))
-    p = lambda q: F.percentile("l_extendedprice", F.lit(q))
-    found = rows.agg(
-        F.round(A.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("weighted_mean"), F.count_distinct("l_suppkey").alias("clips"),
-        p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), F.max("l_extendedprice").alias("max"),
-    )
-    return rounded(found)
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "config", "l_linestatus": "robot"})
+    found = rows.groupBy("config", "robot").agg(
+        F.round(A.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("weighted_mean"), F.count_distinct("l_suppkey").alias("clips"), F.max("l_extendedprice").alias("max")
+    )
+    q = A.exact_quantiles(rows, ["config", "robot"], "l_extendedprice", [0.5, 0.9, 0.95], "q")
+    return rounded(found.join(q, ["config", "robot"]).select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95"))]).drop("q"))
 
 
 @query("pivot_status", """SELECT o_orderpriority AS priority, max(CASE WHEN o_orderstatus = 'F' THEN n END) AS F, max(CASE WHEN o_orderstatus = 'O' THEN n END) AS O, max(CASE WHEN o_orderstatus = 'P' THEN n END) AS P
@@ -171,13 +170,18 @@ def stage_retention(spark, sf_dir):
     return rounded(both.select("key", "before", "after", (F.col("before") - F.col("after")).alias("dropped"), F.try_divide("after", "before").alias("retention")))
 
 
-RANGES = """WITH b AS (SELECT 'quantity' AS feature, l_quantity AS x, l_returnflag AS f FROM lineitem UNION ALL SELECT 'price', l_extendedprice, l_returnflag FROM lineitem UNION ALL SELECT 'discount', l_discount, l_returnflag FROM lineitem),
-s AS (SELECT feature, min(x) AS lo, max(x) AS hi, min(x) FILTER (WHERE f = 'R' AND x > 0.01) AS alo, max(x) FILTER (WHERE f = 'R' AND x > 0.01) AS ahi FROM b GROUP BY feature)"""
+_POINTS = {"min": 0.0, "low": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "high": 0.99, "max": 1.0}
+_AFTER = "f = 'R' AND x > 0.01"
+RANGES = f"""WITH b AS (SELECT 'quantity' AS feature, l_quantity AS x, l_returnflag AS f FROM lineitem UNION ALL SELECT 'price', l_extendedprice, l_returnflag FROM lineitem UNION ALL SELECT 'discount', l_discount, l_returnflag FROM lineitem),
+s AS (SELECT feature, avg(x) AS mean_before, avg(x) FILTER (WHERE {_AFTER}) AS mean_after, {", ".join(f"quantile_cont(x, {q}) AS {n}_before, quantile_cont(x, {q}) FILTER (WHERE {_AFTER}) AS {n}_after" for n, q in _POINTS.items())} FROM b GROUP BY feature),
+t AS (SELECT *, (max_after - min_after) / (max_before - min_before) AS retention, (high_after - low_after) / (high_before - low_before) AS robust_retention, (p95_after - p05_after) / (p95_before - p05_before) AS middle_retention, mean_after - mean_before AS mean_delta,
+ greatest(0, low_after - low_before) / (high_before - low_before) AS low_loss, greatest(0, high_before - high_after) / (high_before - low_before) AS high_loss FROM s)"""
+_RANGE_COLUMNS = [f"{n}_{w}" for w in ("before", "after") for n in ("mean", *_POINTS)] + ["retention", "robust_retention", "middle_retention", "mean_delta", "low_loss", "high_loss"]
 
 
-@query("range_retention", f"""{RANGES} SELECT feature, lo AS min_before, hi AS max_before, alo AS min_after, ahi AS max_after, round((ahi - alo) / (hi - lo), 6) AS retention, round(greatest(alo - lo, 0) / (hi - lo), 6) AS low_loss, round(greatest(hi - ahi, 0) / (hi - lo), 6) AS high_loss FROM s""")
+@query("range_retention", f"{RANGES} SELECT feature, {', '.join(f'round({c}, 5)::DOUBLE AS {c}' for c in _RANGE_COLUMNS)} FROM t")
 def range_retention(spark, sf_dir):
-    return rounded(ranges(spark, sf_dir).drop("p01_p99_retention"))
+    return ranges(spark, sf_dir).select("feature", *[(F.round(c, 5) + 0.0).alias(c) for c in _RANGE_COLUMNS])
 
 
 def ranges(spark, sf_dir):
@@ -187,7 +191,7 @@ def ranges(spark, sf_dir):
     return A.range_retention(v, after, features)
 
 
-@query("retention_summary", f"""{RANGES}, r AS (SELECT greatest((ahi - alo) / (hi - lo), 1e-12) AS r FROM s)
+@query("retention_summary", f"""{RANGES}, r AS (SELECT greatest(retention, 1e-12) AS r FROM t)
 SELECT round(exp(avg(ln(r))), 6) AS geomean, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.05), 6) AS p05, round(min(r), 6) AS least FROM r""")
 def retention_summary(spark, sf_dir):
     return rounded(ranges(spark, sf_dir).agg(*A.retention_summary(F.col("retention"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -79,17 +80,33 @@ def chosen(hashes: np.ndarray, spread: int = SPREAD) -> np.ndarray:
     return np.flatnonzero(most == hashes)
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """For every code point whether words may have it; surrogates, which no text has, may not."""
+    out = np.zeros(0x110000, bool)
+    for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
+        for m in WORD.finditer("".join(map(chr, range(lo, hi)))):
+            out[lo + m.start() : lo + m.end()] = True
+    return out
+
+
+def word_spans(text: str) -> np.ndarray:
+    """(n, 2) begins and ends of the words, in code points: the edges of what the pattern of words matches."""
+    inside = _in_words()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+    return np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
+
+
 def units(text: str, hashed: dict[str, int], kind: str = "all", min_words: int = MIN_WORDS) -> Units:
     """Lines (or paragraphs) of ``min_words`` words or more, and for ``all`` the chosen windows of so many words, which may cross lines.
 
     Words are runs of letters and digits, compared in lower case.
     """
-    found = [m.span() for m in WORD.finditer(text)]
-    if len(found) < min_words:
+    words = WORD.findall(text)
+    if len(words) < min_words:
         none = np.zeros(0, np.int64)
         return Units(none, none, none, none.astype(np.int32), none.astype(bool))
-    spans = np.array(found, np.int64)
-    values = np.fromiter((hashed[text[b:e]] for b, e in found), np.uint64, len(found))
+    spans = word_spans(text)
+    values = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
     others = (values ^ (values >> np.uint64(31))) * np.uint64(BASES[1])
     begins, ends, high, low = [], [], [], []
     cuts = [m.end() for m in (PARAGRAPH if kind == "paragraph" else LINE).finditer(text)]
@@ -112,8 +129,10 @@ def units(text: str, hashed: dict[str, int], kind: str = "all", min_words: int =
     order = np.lexsort((ends, begins))
     b, e = np.array(begins, np.int64)[order], np.array(ends, np.int64)[order]
     h1, h2 = np.array(high, np.uint64)[order].view(np.int64), (np.array(low, np.uint64)[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    closed: dict[tuple[int, int], int] = {}
-    again = np.array([b0 >= closed.setdefault(key, e0) for key, b0, e0 in zip(zip(h1.tolist(), h2.tolist()), b.tolist(), e.tolist())], bool)
+    again = np.zeros(len(h1), bool)
+    if len(set(high)) < len(high):  # some unit is in the text twice
+        closed: dict[tuple[int, int], int] = {}
+        again[:] = [b0 >= closed.setdefault(key, e0) for key, b0, e0 in zip(zip(h1.tolist(), h2.tolist()), b.tolist(), e.tolist())]
     return Units(b, e, h1, h2, again)
 
 

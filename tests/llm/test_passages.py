@@ -98,3 +98,9 @@ def test_empty_and_offsets(spark):
             cut = cut[:b] + cut[e:]
         assert r.text == cut and (r.doc_id == 1) == (cut == text)
     assert sorted(r.text for r in found if r.doc_id == 3) == ["", ""]
+
+
+def test_word_spans_are_the_patterns():
+    rng = random.Random(4)
+    for text in ["", "a", "_a_b_", "é1-ü ß́x", "日本 語😀x\U00020000"] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x1F000, 0x1F700)])) for _ in range(200)) for _ in range(50)]:
+        assert [tuple(s) for s in passages.word_spans(text).tolist()] == [m.span() for m in passages.WORD.finditer(text)]

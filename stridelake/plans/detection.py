@@ -245,7 +245,7 @@ def _sql_ahead(k: int, scale: str = "") -> str:
 
 _PEAKS = [(role, name) for role in ("middle", "end") for name in ("speed", "w24", "w48")]
 _NEAR = {"v": ("speed", 3), "w24": ("w24", 48), "w48": ("w48", 72), "acc": ("acc", 6), "jerk": ("jerk", 6)}
-EVIDENCE = f"""{TRACE}, limbs(chain, kind, role, body) AS (VALUES {", ".join(map(str, LIMBS))}),
+_SERIES = f"""{TRACE}, limbs(chain, kind, role, body) AS (VALUES {", ".join(map(str, LIMBS))}),
 posed AS (SELECT motion, frame AS i, {_sql_last("error")} / 1000 + 0.9 AS z, {", ".join(f"{_sql_last(j)} AS {j}" for j in ("click", "view", "purchase", "signup"))} FROM trace),
 angled AS (SELECT motion, chain, kind, role, body, i, z, radians(CASE body WHEN 'click' THEN click WHEN 'view' THEN view WHEN 'purchase' THEN purchase ELSE signup END) AS a FROM posed, limbs),
 placed AS (SELECT *, sin(a / 2) AS x, cos(a / 2) AS w, cos(a) * 0.3 AS py, sin(a) * 0.3 AS pz FROM angled),
@@ -257,17 +257,20 @@ own AS (SELECT motion, chain, role, body, count(*) AS n, coalesce(quantile_cont(
 {", ".join(f"{r}_{c} AS (SELECT motion, chain, {c} AS value, body, i FROM series WHERE role = '{r}' AND {c} > 0 QUALIFY row_number() OVER (PARTITION BY motion, chain ORDER BY {c} DESC, body, i) = 1)" for r, c in _PEAKS)},
 limb AS (SELECT motion, chain, kind, max(n) AS n FROM own JOIN (SELECT DISTINCT chain, kind FROM limbs) USING (chain) GROUP BY ALL),
 peaks AS (SELECT l.*, {", ".join(f"coalesce({r}_{c}.value, 0) AS {r}_{c}, coalesce({r}_{c}.body, '') AS {r}_{c}_body, coalesce({r}_{c}.i, 0) AS {r}_{c}_i" for r, c in _PEAKS)}
-  FROM limb l {" ".join(f"LEFT JOIN {r}_{c} ON {r}_{c}.motion = l.motion AND {r}_{c}.chain = l.chain" for r, c in _PEAKS)}),
-asked AS (SELECT DISTINCT motion, chain, n, unnest(CASE WHEN kind = 'leg' THEN [least(middle_speed_i, end_speed_i)] ELSE [{", ".join(f"least({r}_{c}_i + {dict(speed=1, w24=12, w48=24)[c]}, n - 1)" for r, c in _PEAKS)}] END) AS c FROM peaks),
-near AS (SELECT s.*, n, c, greatest(0, c - 24) AS before, least(n - 1, c + 48) AS after FROM series s JOIN asked a ON a.motion = s.motion AND a.chain = s.chain AND s.i BETWEEN c - 120 AND c + 240),
+  FROM limb l {" ".join(f"LEFT JOIN {r}_{c} ON {r}_{c}.motion = l.motion AND {r}_{c}.chain = l.chain" for r, c in _PEAKS)})"""
+_ASKED = f"""asked AS (SELECT DISTINCT motion, chain, n, unnest(CASE WHEN kind = 'leg' THEN [least(middle_speed_i, end_speed_i)] ELSE [{", ".join(f"least({r}_{c}_i + {dict(speed=1, w24=12, w48=24)[c]}, n - 1)" for r, c in _PEAKS)}] END) AS c FROM peaks)"""
+_NEAR = f"""near AS (SELECT s.*, n, c, greatest(0, c - 24) AS before, least(n - 1, c + 48) AS after FROM series s JOIN asked a ON a.motion = s.motion AND a.chain = s.chain AND s.i BETWEEN c - 120 AND c + 240),
 turned AS (SELECT *, max(x) FILTER (WHERE i = before) OVER g AS x0, max(w) FILTER (WHERE i = before) OVER g AS w0 FROM near WINDOW g AS (PARTITION BY motion, chain, c, role, body)),
 bodies AS (SELECT motion, chain, c, role, body, {", ".join(f"coalesce(max({name}) FILTER (WHERE abs(i - c) <= {r}), 0) AS {k}" for k, (name, r) in _NEAR.items())},
   coalesce(list_max(list_transform(string_split(array_to_string(list(CASE WHEN speed >= 500 THEN '1' ELSE '0' END ORDER BY i) FILTER (WHERE abs(i - c) <= 12 AND speed IS NOT NULL), ''), '0'), lambda t: length(t))), 0) AS run,
+  coalesce(list_max(list_transform(string_split(array_to_string(list(CASE WHEN speed >= 300 THEN '1' ELSE '0' END ORDER BY i) FILTER (WHERE abs(i - c) <= 12 AND speed IS NOT NULL), ''), '0'), lambda t: length(t))), 0) AS slow_run,
+  max({_sql_turn(("x", "w"), ("x0", "w0"))}) FILTER (WHERE i = least(n - 1, c + 96)) AS turned_late,
   coalesce(min({_sql_turn(("x", "w"), ("x0", "w0"))}) FILTER (WHERE i >= after AND i < greatest(after + 1, least(n, c + 240))), 0) AS stay, max({_sql_turn(("x", "w"), ("x0", "w0"))}) FILTER (WHERE i = after) AS turned,
   coalesce(sum(step) FILTER (WHERE i >= before AND i < after), 0) AS path, coalesce(max(step) FILTER (WHERE i >= before AND i < after), 0) AS step,
   sqrt((max(py) FILTER (WHERE i = after) - max(py) FILTER (WHERE i = before)) ** 2 + (max(pz) FILTER (WHERE i = after) - max(pz) FILTER (WHERE i = before)) ** 2) AS moved,
   max(z) FILTER (WHERE abs(i - c) <= 120) - min(z) FILTER (WHERE abs(i - c) <= 120) AS zr, coalesce(max(rise) FILTER (WHERE abs(i - c) <= 120 AND i < c + 120), 0) AS zv FROM turned GROUP BY ALL),
-told AS (SELECT b.*, v / greatest(p99, 1e-6) AS outlier FROM bodies b JOIN own USING (motion, chain, role, body)),
+told AS (SELECT b.*, v / greatest(p99, 1e-6) AS outlier FROM bodies b JOIN own USING (motion, chain, role, body))"""
+EVIDENCE = f"""{_SERIES}, {_ASKED}, {_NEAR},
 {", ".join(f"{n} AS (SELECT * FROM told WHERE role = '{r}' AND {by} > 0 QUALIFY row_number() OVER (PARTITION BY motion, chain, c ORDER BY {by} DESC, body) = 1)" for n, r, by in (("fast", "end", "v"), ("far", "end", "w48"), ("mid", "middle", "w24"), ("midfast", "middle", "v")))},
 roots AS (SELECT motion, chain, c, max(zr) AS zr, max(zv) AS zv, max(zr) >= 0.12 OR max(zv) >= 1 AS high FROM told GROUP BY ALL),
 events AS (SELECT r.*, coalesce(far.w48, 0) AS w48, coalesce(far.path, fast.path, 0) AS path, coalesce(far.stay, fast.stay, 0) AS stay, coalesce(far.moved, fast.moved, 0) AS moved, coalesce(far.step, fast.step, 0) AS step, coalesce(fast.v, 0) AS v,
@@ -316,6 +319,48 @@ def chain_motion_verdict(spark, sf_dir):
     return out.select("motion", "risk", "hard_chains", "review_chains", "chains_hard", "chains_review", "top_chain", "top_reason", F.round(speed, 3).alias("top_speed"))
 
 
+CASES = "cases AS (SELECT DISTINCT motion, chain, 30 AS c, CASE WHEN motion % 2 = 0 THEN 'hard' ELSE 'clean' END AS label FROM peaks WHERE n > 30)"
+
+
+def cases(spark, sf_dir):
+    """Both limbs at frame 30 of every motion that is longer, labelled by its number."""
+    n = trace(spark, sf_dir).groupBy("motion").agg(F.count("*").alias("n")).where("n > 30")
+    chains = F.explode(F.array(F.lit("right_arm"), F.lit("right_leg"))).alias("chain")
+    return n.select("motion", chains, F.lit(30).alias("c"), F.when(F.col("motion") % 2 == 0, "hard").otherwise("clean").alias("label"))
+
+
+_OF = {
+    "end_v": ("end", "speed", "v"), "middle_v": ("middle", "speed", "v"), "acc": ("end", "speed", "acc"), "jerk": ("end", "speed", "jerk"), "run": ("end", "speed", "run"), "middle_run": ("middle", "speed", "slow_run"), "outlier": ("end", "speed", "outlier"),
+    "stay": ("end", "speed", "stay"), "end_turned": ("end", "speed", "turned"), "end_turned_late": ("end", "speed", "turned_late"), "middle_turned": ("middle", "speed", "turned"), "end_w24": ("end", "w24", "w24"), "end_w48": ("end", "w48", "w48"), "middle_w24": ("middle", "w24", "w24"),
+}
+
+
+@query("labelled_cases", f"""WITH {_SERIES}, {CASES}, asked AS (SELECT k.motion, k.chain, p.n, k.c FROM cases k JOIN peaks p ON p.motion = k.motion AND p.chain = k.chain), {_NEAR},
+f AS (SELECT b.motion, b.chain, b.c, {", ".join(f"coalesce(max({v}) FILTER (WHERE role = '{r}' AND body = {r}_{s}_body), 0)::DOUBLE AS {k}" for k, (r, s, v) in _OF.items())}, max(zr) >= 0.12 OR max(zv) >= 1 AS high FROM told b JOIN peaks p ON p.motion = b.motion AND p.chain = b.chain GROUP BY b.motion, b.chain, b.c),
+g AS (SELECT *, (end_w48 >= 95 AND end_w24 >= 65 AND middle_w24 >= 30)::INT + (stay >= 80)::INT + (middle_turned >= 25)::INT AS p, (end_v >= 650)::INT + (middle_v >= 350)::INT + (acc >= 30000)::INT + (jerk >= 3000000)::INT + (run >= 3)::INT AS t FROM f)
+SELECT g.motion, g.chain, g.c, label, p AS persistent_score, t AS transient_score, high AS high_root_dynamic, round(outlier, 4) AS outlier, round(stay, 3) AS stay, round(end_turned_late, 3) AS end_turned_late, run, middle_run,
+ CASE WHEN p = 3 AND NOT high THEN 'hard_persistent' WHEN t >= 4 AND outlier >= 5 AND NOT high THEN 'hard_transient' WHEN high AND (p >= 3 OR t >= 3) THEN 'review_high_root_dynamic' WHEN p >= 3 OR t >= 3 THEN 'review_borderline' ELSE 'clean_or_dynamic' END AS pred
+FROM g JOIN cases k ON k.motion = g.motion AND k.chain = g.chain AND k.c = g.c""")
+def labelled_cases(spark, sf_dir):
+    out = C.labelled_cases(limb_bodies(spark, sf_dir), cases(spark, sf_dir), "motion", FPS)
+    digits = {"outlier": 4, "stay": 3, "end_turned_late": 3}
+    return out.select("motion", "chain", "c", "label", "persistent_score", "transient_score", "high_root_dynamic", *[F.round(k, d).alias(k) for k, d in digits.items()], "run", "middle_run", "pred")
+
+
+@query("case_morphology", f"""WITH {_SERIES}, {CASES}, y AS (SELECT *, {_sql_ahead(12)} AS w12 FROM series WINDOW w AS (PARTITION BY motion, chain, role, body ORDER BY i)),
+l AS ({" UNION ALL ".join(f"SELECT motion, chain, role, body, i, '{s}' AS series, {s} AS value FROM y WHERE {s} IS NOT NULL" for s in ("speed", "w12", "w24", "w48"))}),
+m AS (SELECT motion, chain, role, series, body FROM (SELECT motion, chain, role, series, body, max(value) AS v FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY motion, chain, role, series ORDER BY v DESC, body) = 1),
+r AS (SELECT l.*, k.c FROM l JOIN m USING (motion, chain, role, series, body) JOIN cases k ON k.motion = l.motion AND k.chain = l.chain),
+t(role, series, threshold) AS (VALUES {", ".join(f"('{r}', '{s}', {x}::DOUBLE)" for (r, s), xs in C.MORPHOLOGY.items() for x in xs)}), h AS (SELECT r.*, threshold, value >= threshold AS hit FROM r JOIN t USING (role, series)),
+u AS (SELECT *, row_number() OVER w - sum(hit::INT) OVER w AS run FROM h WINDOW w AS (PARTITION BY motion, chain, c, role, series, threshold ORDER BY i)), z AS (SELECT motion, chain, c, role, series, threshold, run, count(*) FILTER (WHERE hit) AS k FROM u GROUP BY ALL),
+a AS (SELECT motion, chain, c, role, series, body, max(value) AS largest, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, coalesce(max(value) FILTER (WHERE i = c), arg_max(value, i)) AS at_place FROM r GROUP BY ALL)
+SELECT a.motion, a.chain, a.role, a.series, threshold, round(largest, 3) AS largest, round(p95, 3) AS p95, round(p99, 3) AS p99, round(at_place, 3) AS at_place, sum(k)::BIGINT AS frames, max(k) AS longest, round(max(k) / 30.0, 6)::DOUBLE AS seconds
+FROM a JOIN z USING (motion, chain, c, role, series) GROUP BY ALL""")
+def case_morphology(spark, sf_dir):
+    out = C.case_morphology(limb_bodies(spark, sf_dir), cases(spark, sf_dir), "motion", FPS)
+    return out.select("motion", "chain", "role", "series", "threshold", *[F.round(c, 3).alias(c) for c in ("largest", "p95", "p99", "at_place")], "frames", "longest", r6(F.col("seconds"), "seconds"))
+
+
 @query("joint_names", """WITH j AS (SELECT p_partkey AS id, (CASE p_partkey % 3 WHEN 0 THEN 'left_' WHEN 1 THEN 'right_' ELSE '' END) || (CASE p_size % 8 WHEN 0 THEN 'shoulder_pitch' WHEN 1 THEN 'elbow' WHEN 2 THEN 'wrist_yaw' WHEN 3 THEN 'hip_roll'
   WHEN 4 THEN 'knee' WHEN 5 THEN 'ankle_pitch' WHEN 6 THEN 'waist_yaw' ELSE 'finger' END) AS joint FROM part),
 s AS (SELECT *, regexp_extract(joint, '^(left|right)', 1) AS lr, regexp_extract(joint, '(ankle|knee|hip|wrist|elbow|shoulder)', 1) AS limb FROM j)

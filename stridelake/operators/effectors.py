@@ -43,6 +43,29 @@ def buffer_effectors(local: DataFrame, parents: DataFrame, mapped: DataFrame, ke
     return scaled_effectors(J.global_poses(local, parents, keys, depth), mapped, keys, root, animate)
 
 
+def offset_effectors(effectors: DataFrame, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), ground: float = 0.0) -> DataFrame:
+    """All effectors moved by the root's offset and the height of the ground."""
+    moved = F.struct(*[(F.col(f"t.p.{a}") + d).alias(a) for a, d in zip("xyz", (shift[0], shift[1], shift[2] + ground))])
+    return effectors.withColumn("t", R.transform(moved, F.col("t.q")))
+
+
+def preview_report(effectors: DataFrame, bodies: DataFrame, mapping: DataFrame, keys: list[str], position: float = 0.05, rotation: float = 15.0) -> tuple[DataFrame, DataFrame]:
+    """Errors of every mapped joint against its robot bodies, and a summary per pose.
+
+    ``effectors(keys, joint, t)``, ``bodies(keys, body, t)``, ``mapping(joint, t_body, r_body)``: places are compared with one body, turns with the other. A joint warns beyond
+    either limit; the worst joint has the largest sum of metres and hundredths of degrees.
+    """
+    place = bodies.select(*keys, F.col("body").alias("t_body"), F.col("t.p").alias("__p"))
+    turn = bodies.select(*keys, F.col("body").alias("r_body"), F.col("t.q").alias("__q"))
+    rows = effectors.join(F.broadcast(mapping), "joint").join(place, [*keys, "t_body"]).join(turn, [*keys, "r_body"])
+    gap = R.length(R.each(lambda a, b: a - b, F.col("t.p"), F.col("__p"), names="xyz"))
+    joints = rows.select(*keys, "joint", "t_body", "r_body", gap.alias("position_error"), R.angle_between(F.col("t.q"), F.col("__q")).alias("rotation_error"))
+    joints = joints.withColumn("warning", (F.col("position_error") > position) | (F.col("rotation_error") > rotation))
+    worst = F.min_by("joint", F.struct(-(F.col("position_error") + F.col("rotation_error") / 100), "joint"))
+    figures = [f(f"{c}_error").alias(f"{n}_{c}_error") for c in ("position", "rotation") for n, f in (("mean", F.avg), ("max", F.max))]
+    return joints, joints.groupBy(*keys).agg(*figures, worst.alias("worst_joint"), F.count_if("warning").alias("warnings"))
+
+
 def scaled_skeleton(poses: DataFrame, mapped: DataFrame, parents: DataFrame, keys: list[str], root: str) -> DataFrame:
     """The mapped joints as a skeleton of their own: scaled effectors relative to ``parents(joint, parent)`` of the mapped joints."""
     return J.local_poses(scaled_effectors(poses, mapped, keys, root), parents, keys)

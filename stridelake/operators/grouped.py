@@ -131,9 +131,9 @@ def repair_motions(frames: DataFrame, clusters: DataFrame, motion: str = "motion
     return frames.select(motion, "frame", "q").groupBy(motion).cogroup(clusters.select(motion, "peak").groupBy(motion)).applyInPandas(of_motion, schema)
 
 
-def repair_clusters(frames: DataFrame, clusters: DataFrame, limit: float, keys: tuple[str, str] = ("motion", "joint")) -> DataFrame:
+def repair_clusters(frames: DataFrame, clusters: DataFrame, limit: float | None, keys: tuple[str, str] = ("motion", "joint")) -> DataFrame:
     """``frames(motion, joint, frame, q)`` with the largest step of each of ``clusters(motion, joint, start, end)`` smoothed adaptively, clusters one after the
-    other by their frames; a step of ``limit`` or less by then is passed over. Adds ``repaired``. One series is a task's group, a motion's frames at most."""
+    other by their frames; a step of ``limit`` or less by then is passed over, without a limit none is. Adds ``repaired``. One series is a task's group, a motion's frames at most."""
     kinds = dict(frames.dtypes)
 
     def of_series(key, rows: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +144,7 @@ def repair_clusters(frames: DataFrame, clusters: DataFrame, limit: float, keys:
             if lo > hi:
                 continue
             steps = np.abs((np.diff(out[lo : hi + 2]) + 180.0) % 360.0 - 180.0)
-            if steps.max() > limit:
+            if limit is None or steps.max() > limit:
                 out = adaptive_repair(out, lo + int(steps.argmax()))[0]
         return pd.DataFrame({keys[0]: key[0], keys[1]: key[1], "frame": rows["frame"].to_numpy(), "q": rows["q"].to_numpy(float), "repaired": out})
 

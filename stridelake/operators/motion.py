@@ -40,6 +40,25 @@ def slerp_resampled(df: DataFrame, keys: list[str], source_fps: float, target_fp
     return out.select(*keys, "target_frame", R.slerp(F.col(q), F.col("__next"), F.col("target_frame") * ratio - F.col(frame)).alias(q))
 
 
+def sampled_poses(frames: DataFrame, times: DataFrame, key: str, fps: float, joints: list[str]) -> DataFrame:
+    """The pose at each of ``times(key, at, ...)`` in seconds: root places and joints mixed linearly, root turns along the shorter arc.
+
+    ``frames(key, frame, p, q, <joints>)``. Times are clamped to the motion; each looks up the frame before it, which holds the next one's values, by an equal key.
+    """
+    w = S.over([key])
+    whole = Window.partitionBy(key)
+    after = {c: F.coalesce(F.lead(c).over(w), F.col(c)) for c in ("p", "q", *joints)}
+    held = frames.withColumns({f"__{c}": x for c, x in after.items()}).withColumn("__n", F.count("*").over(whole))
+    counts = frames.groupBy(key).agg(F.count("*").alias("__n"))
+    asked = times.join(counts, key).withColumn("__f", R.time_to_frame(F.col("at"), fps, F.col("__n"))).drop("__n")
+    rows = asked.withColumns({"frame": F.col("__f.frame"), "__u": F.col("__f.blend")}).drop("__f").join(held.drop("__n"), [key, "frame"])
+    exact = F.col("__u") < 1e-5
+    mixed = lambda c: F.when(exact, F.col(c)).otherwise(F.col(c) * (1 - F.col("__u")) + F.col(f"__{c}") * F.col("__u"))
+    place = F.when(exact, F.col("p")).otherwise(R.lerp(F.col("p"), F.col("__p"), F.col("__u")))
+    turn = F.when(exact, F.col("q")).otherwise(R.slerp(F.col("q"), F.col("__q"), F.col("__u")))
+    return rows.select(*times.columns, place.alias("p"), turn.alias("q"), *[mixed(c).alias(c) for c in joints])
+
+
 def height_offsets(feet: DataFrame, key: str, fps: float, low: float = 0.04, gap: float = 0.02, clearance: float = 0.001, slow: float = 0.2, review: float = 0.02) -> DataFrame:
     """Vertical offset per motion from ``feet(key, frame, left, right)``, the bottoms of both feet: from double stance, else from any support, else from the lowest point.
 

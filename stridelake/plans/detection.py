@@ -354,11 +354,11 @@ r AS (SELECT l.*, k.c FROM l JOIN m USING (motion, chain, role, series, body) JO
 t(role, series, threshold) AS (VALUES {", ".join(f"('{r}', '{s}', {x}::DOUBLE)" for (r, s), xs in C.MORPHOLOGY.items() for x in xs)}), h AS (SELECT r.*, threshold, value >= threshold AS hit FROM r JOIN t USING (role, series)),
 u AS (SELECT *, row_number() OVER w - sum(hit::INT) OVER w AS run FROM h WINDOW w AS (PARTITION BY motion, chain, c, role, series, threshold ORDER BY i)), z AS (SELECT motion, chain, c, role, series, threshold, run, count(*) FILTER (WHERE hit) AS k FROM u GROUP BY ALL),
 a AS (SELECT motion, chain, c, role, series, body, max(value) AS largest, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, coalesce(max(value) FILTER (WHERE i = c), arg_max(value, i)) AS at_place FROM r GROUP BY ALL)
-SELECT a.motion, a.chain, a.role, a.series, threshold, round(largest, 3) AS largest, round(p95, 3) AS p95, round(p99, 3) AS p99, round(at_place, 3) AS at_place, sum(k)::BIGINT AS frames, max(k) AS longest, round(max(k) / 30.0, 6)::DOUBLE AS seconds
+SELECT a.motion, a.chain, a.role, a.series, threshold, round(largest, 3) AS largest, round(p95, 4) AS p95, round(p99, 4) AS p99, round(at_place, 3) AS at_place, sum(k)::BIGINT AS frames, max(k) AS longest, round(max(k) / 30.0, 6)::DOUBLE AS seconds
 FROM a JOIN z USING (motion, chain, c, role, series) GROUP BY ALL""")
 def case_morphology(spark, sf_dir):
     out = C.case_morphology(limb_bodies(spark, sf_dir), cases(spark, sf_dir), "motion", FPS)
-    return out.select("motion", "chain", "role", "series", "threshold", *[F.round(c, 3).alias(c) for c in ("largest", "p95", "p99", "at_place")], "frames", "longest", r6(F.col("seconds"), "seconds"))
+    return out.select("motion", "chain", "role", "series", "threshold", *[F.round(c, d).alias(c) for c, d in (("largest", 3), ("p95", 4), ("p99", 4), ("at_place", 3))], "frames", "longest", r6(F.col("seconds"), "seconds"))
 
 
 @query("joint_names", """WITH j AS (SELECT p_partkey AS id, (CASE p_partkey % 3 WHEN 0 THEN 'left_' WHEN 1 THEN 'right_' ELSE '' END) || (CASE p_size % 8 WHEN 0 THEN 'shoulder_pitch' WHEN 1 THEN 'elbow' WHEN 2 THEN 'wrist_yaw' WHEN 3 THEN 'hip_roll'

@@ -281,3 +281,61 @@ def shared_features(spark, sf_dir):
     t = table(spark, sf_dir, "region")
     a, b = (t.select(*[F.col("r_regionkey").alias(c) for c in cs]) for cs in (("gait__a", "id", "range__b", "height__c"), ("range__b", "gait__a", "id")))
     return spark.createDataFrame([(c, i) for i, c in enumerate(J.shared_columns(a, b))], "feature string, place int")
+
+
+@query("moved_effectors", f"WITH {EFFECTORS} SELECT pose, joint, round(x + 0.1, 6) AS x, round(y - 0.2, 6) AS y, round(z + 0.35, 6) AS z FROM effectors")
+def moved_effectors(spark, sf_dir):
+    """The root's offset and the ground's height on all effectors."""
+    out = X.offset_effectors(X.scaled_effectors(human_poses(spark, sf_dir), mapped_joints(spark), ["pose"], "hip"), (0.1, -0.2, 0.3), 0.05)
+    return out.select("pose", "joint", *[r6(F.col(f"t.p.{a}"), a) for a in "xyz"])
+
+
+PREVIEW = f"""{UNIT}, m(kind, joint) AS (VALUES (0, 'hip'), (1, 'hand'), (2, 'foot')), j AS (SELECT id // 3 AS pose, joint, 0.05 * abs(e11) * 3 AS pe, abs(degrees(e12 / 2)) AS re FROM u JOIN m ON id % 3 = kind),
+w AS (SELECT *, pe > 0.05 OR re > 15 AS warning FROM j)"""
+
+
+def preview(spark, sf_dir):
+    poses = human_poses(spark, sf_dir)
+    at = vectors(spark, sf_dir).select(F.floor(F.col("id") / 3).alias("pose"), F.element_at(F.array(*map(F.lit, ("hip", "hand", "foot"))), (F.col("id") % 3 + 1).cast("int")).alias("joint"), "e11", "e12")
+    rows = poses.join(at, ["pose", "joint"])
+    moved = R.vec(F.col("t.p.x") + F.col("e11") * 0.15, F.col("t.p.y"), F.col("t.p.z"))
+    turned_ = R.product(F.col("t.q"), R.about(R.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.col("e12") / 2))
+    bodies = rows.select("pose", F.concat(F.lit("b_"), "joint").alias("body"), R.transform(moved, turned_).alias("t"))
+    mapping = spark.createDataFrame([(j, f"b_{j}", f"b_{j}") for j in ("hip", "hand", "foot")], "joint string, t_body string, r_body string")
+    return X.preview_report(poses, bodies, mapping, ["pose"])
+
+
+@query("preview_joints", f"WITH {PREVIEW} SELECT pose, joint, round(pe, 6) AS position_error, round(re, 3) AS rotation_error, warning FROM w")
+def preview_joints(spark, sf_dir):
+    """Errors of mapped joints with their warnings."""
+    return preview(spark, sf_dir)[0].select("pose", "joint", r6(F.col("position_error"), "position_error"), F.round("rotation_error", 3).alias("rotation_error"), "warning")
+
+
+@query("preview_summary", f"WITH {PREVIEW} SELECT pose, round(avg(pe), 6) AS mean_position_error, round(max(re), 3) AS max_rotation_error, arg_max(joint, pe + re / 100) AS worst_joint, count(*) FILTER (WHERE warning) AS warnings FROM w GROUP BY pose")
+def preview_summary(spark, sf_dir):
+    return preview(spark, sf_dir)[1].select("pose", r6(F.col("mean_position_error"), "mean_position_error"), F.round("max_rotation_error", 3).alias("max_rotation_error"), "worst_joint", "warnings")
+
+
+@query("sampled_poses", f"""WITH {TRACE}, n AS (SELECT *, coalesce(lead(q) OVER w, q) AS nq, count(*) OVER (PARTITION BY motion) AS n FROM trace WINDOW w AS (PARTITION BY motion ORDER BY frame)),
+t AS (SELECT motion, n, k, (k * 0.37) AS tm FROM (SELECT DISTINCT motion, n FROM n), range(0, 8) r(k)), f AS (SELECT *, greatest(0, least(tm * 30, (n - 1)::DOUBLE)) AS p FROM t), g AS (SELECT *, least(floor(p), greatest(n - 2, 0))::BIGINT AS fr FROM f),
+u AS (SELECT g.motion, g.k, g.p - g.fr AS b, n.q, n.nq FROM g JOIN n ON n.motion = g.motion AND n.frame = g.fr) SELECT motion, k, round(q + (nq - q) * b, 5) AS q, round((q + (nq - q) * b) * 0.01, 6) AS x, round(sin((q + (nq - q) * b) / 2000), 4) AS qz FROM u""")
+def sampled_poses(spark, sf_dir):
+    """Poses at times between frames; turns about z, whose arc is linear in the angle."""
+    from stridelake.operators import motion as Y
+
+    half = F.col("q") / 2000
+    rows = trace(spark, sf_dir).select("motion", "frame", R.vec(F.col("q") * 0.01, F.lit(0.0), F.lit(0.0)).alias("p"), R.quat(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)).alias("q"), F.col("q").alias("knee"))
+    times = rows.select("motion").distinct().select("motion", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("motion", F.col("k").cast("long").alias("k"), (F.col("k") * 0.37).alias("at"))
+    out = Y.sampled_poses(rows, times, "motion", FPS, ["knee"])
+    return out.select("motion", "k", F.round("knee", 5).alias("q"), r6(F.col("p.x"), "x"), F.round("q.z", 4).alias("qz"))
+
+
+@query("adjacent_speeds", f"WITH {UNIT}, q AS (SELECT id % 5 AS motion, row_number() OVER (PARTITION BY id % 5 ORDER BY id) - 1 AS frame, ax, ay, az, aw FROM u), d AS (SELECT motion, frame, degrees(2 * acos(least(1, abs(ax * lag(ax) OVER w + ay * lag(ay) OVER w + az * lag(az) OVER w + aw * lag(aw) OVER w)))) * 30 AS speed, lag(ax) OVER w AS p FROM q WINDOW w AS (PARTITION BY motion ORDER BY frame)) SELECT motion, frame, round(speed, 3) AS speed FROM d WHERE p IS NOT NULL")
+def adjacent_speeds(spark, sf_dir):
+    """Degrees per second between neighbouring rotations, shortened."""
+    from stridelake.plans.grouped import quaternions
+
+    rows = quaternions(spark, sf_dir)
+    before = F.lag("q").over(S.over(["motion"]))
+    speeds = rows.withColumn("before", before).where("before IS NOT NULL")
+    return speeds.select("motion", "frame", F.round(R.angle_between(F.col("q"), F.col("before")) * FPS, 3).alias("speed"))

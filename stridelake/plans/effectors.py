@@ -318,12 +318,12 @@ def preview_summary(spark, sf_dir):
 
 @query("sampled_poses", f"""WITH {TRACE}, n AS (SELECT *, coalesce(lead(q) OVER w, q) AS nq, count(*) OVER (PARTITION BY motion) AS n FROM trace WINDOW w AS (PARTITION BY motion ORDER BY frame)),
 t AS (SELECT motion, n, k, (k * 0.37) AS tm FROM (SELECT DISTINCT motion, n FROM n), range(0, 8) r(k)), f AS (SELECT *, greatest(0, least(tm * 30, (n - 1)::DOUBLE)) AS p FROM t), g AS (SELECT *, least(floor(p), greatest(n - 2, 0))::BIGINT AS fr FROM f),
-u AS (SELECT g.motion, g.k, g.p - g.fr AS b, n.q, n.nq FROM g JOIN n ON n.motion = g.motion AND n.frame = g.fr) SELECT motion, k, round(q + (nq - q) * b, 5) AS q, round((q + (nq - q) * b) * 0.01, 6) AS x, round(sin((q + (nq - q) * b) / 2000), 4) AS qz FROM u""")
+u AS (SELECT g.motion, g.k, g.p - g.fr AS b, n.q, n.nq FROM g JOIN n ON n.motion = g.motion AND n.frame = g.fr) SELECT motion, k, round(q + (nq - q) * b, 5) AS q, round((q + (nq - q) * b) * 0.01, 6) AS x, round(sin((q + (nq - q) * b) / 1931.7), 4) AS qz FROM u""")
 def sampled_poses(spark, sf_dir):
     """Poses at times between frames; turns about z, whose arc is linear in the angle."""
     from stridelake.operators import motion as Y
 
-    half = F.col("q") / 2000
+    half = F.col("q") / 1931.7
     rows = trace(spark, sf_dir).select("motion", "frame", R.vec(F.col("q") * 0.01, F.lit(0.0), F.lit(0.0)).alias("p"), R.quat(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)).alias("q"), F.col("q").alias("knee"))
     times = rows.select("motion").distinct().select("motion", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("motion", F.col("k").cast("long").alias("k"), (F.col("k") * 0.37).alias("at"))
     out = Y.sampled_poses(rows, times, "motion", FPS, ["knee"])

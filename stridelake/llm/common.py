@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +73,17 @@ def ranges_of(ids: np.ndarray, bounds: list[int]) -> np.ndarray:
     return np.searchsorted(np.array(bounds, np.int64), ids, side="left").astype(np.int32)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with at most ``rows`` rows in an Arrow batch from now on: texts have no bound, so a batch's memory follows its rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, rows)
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """``df``, with at most ``rows`` rows and about ``size`` bytes in an Arrow batch from now on in this session (lower settings stay).
+
+    Texts have no bound, so rows alone don't bound a batch's memory; one text larger than ``size`` is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", str(conf.get(key)).lower()).groups()
+        now = int(number) << 10 * "bkmgt".index((unit or "b")[0])
+        if now > most or now <= 0:
+            conf.set(key, str(most))
     return df
 
 

@@ -165,3 +165,20 @@ def calibrate_joints(observations: DataFrame, root: str, ratio: float, rules: Ca
     others = observations.where(F.col("joint") != root).withColumn("grp", partner_group(F.col("joint")))
     solved = others.groupBy("grp").applyInPandas(of_group, _SCHEMA)
     return observations.where(F.col("joint") == root).groupBy("joint").applyInPandas(of_root, _SCHEMA).unionByName(solved)
+
+
+def pose_observations(human: DataFrame, bodies: DataFrame, mapping: DataFrame, root: str) -> DataFrame:
+    """The observations of :func:`calibrate_joints` from ``human(pair, joint, t)``, ``bodies(pair, body, t)`` and ``mapping(joint, t_body, r_body)``.
+
+    Joints or bodies that a pair lacks give no row; the robot's root is null where a pair has no body for it; a pair without the human root is an error.
+    """
+    pairs = human.select("pair").distinct().join(human.where(F.col("joint") == root).select("pair", F.col("t").alias("ur")), "pair", "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {root} in "), F.col("pair").cast("string"))).cast(dict(pairs.dtypes)["ur"])
+    pairs = pairs.withColumn("ur", F.coalesce("ur", missing))
+    small = F.broadcast(mapping)
+    own_root = bodies.join(F.broadcast(mapping.where(F.col("joint") == root).select(F.col("t_body").alias("body"))), "body").select("pair", F.col("t.p").alias("br"))
+    place = bodies.select("pair", F.col("body").alias("t_body"), F.col("t.p").alias("rp"))
+    turn = bodies.select("pair", F.col("body").alias("r_body"), F.col("t.q").alias("rq"))
+    rows = human.join(small, "joint").join(pairs, "pair").join(place, ["pair", "t_body"]).join(turn, ["pair", "r_body"]).join(own_root, "pair", "left")
+    parts = [(p, c, axes) for p, c, axes in (("hp", "t.p", AXES), ("hq", "t.q", TURN), ("ur", "ur.p", AXES), ("uq", "ur.q", TURN), ("rp", "rp", AXES), ("rq", "rq", TURN), ("br", "br", AXES))]
+    return rows.select("pair", "joint", "t_body", "r_body", *[F.col(f"{c}.{a}").alias(f"{p}{a}") for p, c, axes in parts for a in axes])

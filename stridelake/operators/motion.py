@@ -149,6 +149,13 @@ def clip_status(samples: DataFrame, key: str, position: tuple[float, float] = (0
     return found.select(key, status.alias("status"), F.coalesce("failed", "warned").alias("first_frame"), "samples", "max_position", "max_rotation")
 
 
+def judged(samples: DataFrame, weights: DataFrame, joints: tuple[str, ...], turned_only: tuple[str, ...] = ()) -> DataFrame:
+    """The samples that an evaluation judges: of the named joints whose ``weights(joint, weight)`` is above 0; of ``turned_only`` joints the rotation alone counts."""
+    heavy = weights.where(F.col("weight") > 0).select("joint")
+    rows = samples.where(F.col("joint").isin(*joints, *turned_only)).join(F.broadcast(heavy), "joint", "left_semi")
+    return rows.withColumn("position_error", F.when(F.col("joint").isin(*turned_only), F.lit(0.0)).otherwise(F.col("position_error"))) if turned_only else rows
+
+
 def tables_agree(left: DataFrame, right: DataFrame, keys: list[str], values: dict[str, float]) -> DataFrame:
     """Largest absolute difference of each value column over all keys, whether it is within its tolerance, and the keys that one side lacks."""
     marked = left.withColumn("__l", F.lit(1)).join(right.select(*keys, *[F.col(v).alias(f"__r_{v}") for v in values], F.lit(1).alias("__r")), keys, "full")

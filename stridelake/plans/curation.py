@@ -137,3 +137,30 @@ def repair_stage_frames(spark, sf_dir):
  0::BIGINT AS repair_postcheck_rejected, count(*) FILTER (WHERE status = 'firstpass_hard_manifest_only') AS firstpass_hard_rejected, count(*) FILTER (WHERE status <> 'firstpass_hard_manifest_only') AS accepted_total, count(*) FILTER (WHERE status = 'firstpass_hard_manifest_only') AS rejected_total FROM s""")
 def repair_stage_counts(spark, sf_dir):
     return T.stage_counts(stage(spark, sf_dir)[0])
+
+
+@query("pose_pair_observations", """WITH v AS (SELECT vec_id AS id, vec_id // 3 AS pair, (['Hips', 'Hand', 'Tail'])[vec_id % 3 + 1] AS joint, embedding AS e FROM embeddings), h AS (SELECT pair, e FROM v WHERE joint = 'Hips')
+SELECT v.pair, v.joint, round(v.e[9]::DOUBLE, 6) AS hx, round(h.e[9]::DOUBLE, 6) AS ux, round(v.e[9]::DOUBLE * 2, 6) AS rx, CASE WHEN v.pair % 4 <> 1 THEN round(h.e[9]::DOUBLE * 2, 6) END AS bx
+FROM v JOIN h ON h.pair = v.pair WHERE v.joint <> 'Tail' AND NOT (v.joint = 'Hips' AND v.pair % 4 = 1) AND NOT (v.joint = 'Hand' AND v.pair % 5 = 2)""")
+def pose_pair_observations(spark, sf_dir):
+    """Observations of pose pairs: joints without a mapping and bodies that a pair lacks give no row."""
+    rows = vectors(spark, sf_dir).withColumn("pair", F.floor(F.col("id") / 3))
+    name = F.element_at(F.array(*map(F.lit, ("Hips", "Hand", "Tail"))), (F.col("id") % 3 + 1).cast("int"))
+    human = rows.select("pair", name.alias("joint"), R.transform(vector(), quats()[0]).alias("t"))
+    human = human.join(human.where("joint = 'Hips'").select("pair").distinct(), "pair", "left_semi")
+    doubled = R.transform(R.each(lambda x: x * 2, F.col("t.p"), names="xyz"), F.col("t.q"))
+    there = ((F.col("joint") == "Hips") & (F.col("pair") % 4 != 1)) | ((F.col("joint") == "Hand") & (F.col("pair") % 5 != 2))
+    bodies = human.where(there).select("pair", F.concat(F.lit("b"), "joint").alias("body"), doubled.alias("t"))
+    mapping = spark.createDataFrame([("Hips", "bHips", "bHips"), ("Hand", "bHand", "bHand")], "joint string, t_body string, r_body string")
+    out = C.pose_observations(human, bodies, mapping, "Hips")
+    return out.select("pair", "joint", r6(F.col("hpx"), "hx"), r6(F.col("urx"), "ux"), r6(F.col("rpx"), "rx"), r6(F.col("brx"), "bx"))
+
+
+@query("judged_clips", f"""WITH {TRACE}, s AS (SELECT motion, frame, joint, CASE WHEN joint = 'view' THEN 0 ELSE q / 500 END AS p, q / 4 AS r FROM trace WHERE joint IN ('click', 'purchase', 'view')), f AS (SELECT motion, min(frame) FILTER (WHERE p > 0.5 OR r > 90) AS failed FROM s GROUP BY motion),
+g AS (SELECT s.motion, max(failed) AS failed, min(frame) FILTER (WHERE p > 0.25 OR r > 45) AS warned, count(*) AS samples FROM s JOIN f USING (motion) WHERE failed IS NULL OR frame <= failed GROUP BY s.motion)
+SELECT motion, CASE WHEN failed IS NOT NULL THEN 'failed' WHEN warned IS NOT NULL THEN 'warning' ELSE 'succeeded' END AS status, coalesce(failed, warned) AS first_frame, samples FROM g""")
+def judged_clips(spark, sf_dir):
+    """The status of clips by the joints that count; of one of them the rotation alone does."""
+    samples = trace(spark, sf_dir).select("motion", "frame", "joint", (F.col("q") / 500).alias("position_error"), (F.col("q") / 4).alias("rotation_error"))
+    weights = spark.createDataFrame([("click", 1.0), ("purchase", 0.5), ("view", 1.0), ("signup", 0.0)], "joint string, weight double")
+    return X.clip_status(X.judged(samples, weights, ("click", "purchase", "signup"), ("view",)), "motion").select("motion", "status", "first_frame", "samples")

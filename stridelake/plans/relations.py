@@ -216,3 +216,50 @@ def joint_permutation(spark, sf_dir):
     """Joints reordered by an index list, radians to degrees."""
     order = F.array(*map(F.lit, (4, 1, 3, 2, 8)))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(order, lambda i: F.round(F.degrees(F.element_at("embedding", i).cast("double")), 6)).alias("q"))
+
+
+@query("union_of_runs", "SELECT 'a' AS run, r_name AS name, r_regionkey AS size FROM region UNION ALL SELECT 'b', n_name, n_regionkey FROM nation UNION ALL SELECT 'c', p_name, p_size FROM part")
+def union_of_runs(spark, sf_dir):
+    """Tables of several runs as one, each row with its run."""
+    t = lambda n, *c: table(spark, sf_dir, n).select(*[F.col(x).alias(a) for x, a in zip(c, ("name", "size"))])
+    runs = {"a": t("region", "r_name", "r_regionkey"), "b": t("nation", "n_name", "n_regionkey"), "c": t("part", "p_name", "p_size")}
+    return J.key_union([df.select(F.lit(k).alias("run"), *df.columns) for k, df in runs.items()])
+
+
+@query("kept_and_removed", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'remove' ELSE 'keep' END AS decision FROM documents")
+def kept_and_removed(spark, sf_dir):
+    """Every row is in one of two parts."""
+    gone, kept = J.split_by(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), ["doc_id"])
+    return gone.withColumn("decision", F.lit("remove")).unionByName(kept.withColumn("decision", F.lit("keep")))
+
+
+@query("clusters_of_motions", "SELECT o_custkey AS motion, c_mktsegment AS kind, count(*) AS clusters, array_to_string(list_sort(list(o_orderkey)), ';') AS keys FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
+def clusters_of_motions(spark, sf_dir):
+    """The clusters of each motion of some kinds, looked up by its key."""
+    motions = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("motion"), F.col("c_mktsegment").alias("kind"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("motion"), "o_orderkey").join(motions, "motion")
+    return found.groupBy("motion", "kind").agg(F.count("*").alias("clusters"), F.array_join(F.array_sort(F.collect_list("o_orderkey")), ";").alias("keys"))
+
+
+@query("tolerant_clusters", """WITH e AS (SELECT user_id AS motion, event_id // 3 AS frame0 FROM events WHERE event_id % 4 <> 0), m AS (SELECT *, CASE WHEN frame0 - lag(frame0) OVER w > 100 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY motion ORDER BY frame0)),
+c AS (SELECT motion, frame0, sum(fresh) OVER (PARTITION BY motion ORDER BY frame0) AS cluster FROM m) SELECT motion, cluster::BIGINT AS cluster, min(frame0) AS start_frame, count(*) AS events FROM c GROUP BY motion, cluster""")
+def tolerant_clusters(spark, sf_dir):
+    """Clusters of frames given as text: whole numbers with a fraction are taken, what is no number is passed over."""
+    from stridelake.functions.angles import number_or
+    from stridelake.operators import events as E
+
+    frame = F.floor(F.col("event_id") / 3)
+    text = F.when(F.col("event_id") % 8 == 0, "").when(F.col("event_id") % 4 == 0, "none").otherwise(F.concat(frame.cast("string"), F.lit(".0")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("motion"), number_or(text, -1.0).cast("long").alias("frame0")).where("frame0 >= 0").withColumn("joint", F.lit(""))
+    return E.gap_clusters(rows, ["motion"], gap=100).groupBy("motion", "cluster").agg(F.min("frame0").alias("start_frame"), F.count("*").alias("events"))
+
+
+@query("sorted_report", "SELECT row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_name) - 1 AS place, s_name FROM supplier")
+def sorted_report(spark, sf_dir):
+    """A report in the order of several keys, as its one file has it."""
+    from stridelake.storage import shared_dir
+
+    path = shared_dir(spark)
+    table(spark, sf_dir, "supplier").orderBy("s_nationkey", F.desc("s_acctbal"), "s_name").select("s_name").coalesce(1).write.csv(path)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("place", "s_name"))
+    return lines.where("s_name <> ''").select(F.col("place").cast("long").alias("place"), "s_name")

@@ -101,26 +101,34 @@ def edited(text: str, following: str) -> str:
 
 
 def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(part, id, none, packed, own)`` dealt into ranges of descending id and sorted, each range with the row that follows it.
+    """Rows ``(part, id, none, tie, packed, own)`` dealt into ranges of descending id and sorted, each range with the row that follows it.
 
-    A row's next is the row of the next smaller id (rows of one id follow each other by text; null ids come first); after the last comes the first. Ranges are
-    cut from a scan of the ids alone, which also gives the largest id of each; the rows with that id go to the range before too
-    (``own`` false). Texts are shuffled once, compressed.
+    A row's next is the row of the next smaller id (rows of one id follow each other by a hash of the text; null ids come first); after the last comes the first.
+    Ranges are cut from a scan of the ids; a second scan gives the first row of each, which goes to the range before too (``own`` false). An id
+    of many rows has as many ranges as it needs. Texts are shuffled once, compressed.
     """
-    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), whole_text(text_col).alias("text"))
+    text = whole_text(text_col)
+    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), F.xxhash64(text).alias("tie"), text.alias("text"))
     bounds = id_bounds(rows, "id", shuffle_parts(df))
 
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        ids, none, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        return ids, none, ties, ranges_of(ids, none, ties, bounds)
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[int, bool, int]] = {}
         for batch in batches:
-            ids = np.sort(batch.column(0).to_numpy())
-            parts, last = np.unique(ranges_of(ids, bounds)[::-1], return_index=True)
-            for p, i in zip(parts.tolist(), ids[::-1][last].tolist()):
-                found[p] = max(i, found.get(p, i))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["p", "top"])
-
-    own_top = rows.select("id").mapInArrow(largest, "p int, top long")
-    tops = {r["p"]: r["top"] for r in own_top.groupBy("p").agg(F.max("top").alias("top")).collect()}  # one row for each range
+            ids, none, ties, parts = places(batch)
+            order = np.lexsort((ties, none, ids, parts))
+            last = order[np.flatnonzero(np.r_[parts[order][1:] != parts[order][:-1], True])] if len(order) else order
+            for p, *row in zip(parts[last].tolist(), ids[last].tolist(), none[last].tolist(), ties[last].tolist()):
+                found[p] = max(tuple(row), found.get(p, tuple(row)))
+        kinds = (pa.int64(), pa.bool_(), pa.int64())
+        columns = [pa.array([r[k] for r in found.values()], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), *columns], names=["p", "id", "none", "tie"])
+
+    own_first = rows.select("id", "none", "tie").mapInArrow(first_rows, "p int, id long, none boolean, tie long")
+    tops = {r["p"]: tuple(r["t"]) for r in own_first.groupBy("p").agg(F.max(F.struct("id", "none", "tie")).alias("t")).collect()}  # one row for each range
     order = sorted(tops, reverse=True)
     before = {part: order[i - 1] for i, part in enumerate(order)}
 
@@ -128,19 +136,18 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [t.encode() for t in part.column(2).to_pylist()]
-                dealt: list[tuple[int, int, bool, bytes, bool]] = []
-                given = part.column(0)
-                for i, none, p, text in zip(given.to_pylist(), part.column(1).to_pylist(), ranges_of(given.to_numpy(), bounds).tolist(), texts):
-                    data = zlib.compress(text, 1)
-                    dealt.append((p, i, none, data, True))
-                    if i == tops[p]:
-                        dealt.append((before[p], i, none, data, False))
-                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in dealt], kind) for k, kind in enumerate(kinds)], names=["part", "id", "none", "packed", "own"])
+                ids, none, ties, parts = (x.tolist() for x in places(part))
+                dealt: list[tuple[int, int, bool, int, bytes, bool]] = []
+                for i, null, tie, p, text in zip(ids, none, ties, parts, part.column(3).to_pylist()):
+                    data = zlib.compress(text.encode(), 1)
+                    dealt.append((p, i, null, tie, data, True))
+                    if (i, null, tie) == tops[p]:
+                        dealt.append((before[p], i, null, tie, data, False))
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in dealt], kind) for k, kind in enumerate(kinds)], names=["part", "id", "none", "tie", "packed", "own"])
 
-    dealt = small_batches(rows).mapInArrow(pack, "part int, id long, none boolean, packed binary, own boolean")
-    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("id"), F.desc("none"), "packed")
+    dealt = small_batches(rows).mapInArrow(pack, "part int, id long, none boolean, tie long, packed binary, own boolean")
+    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("id"), F.desc("none"), F.desc("tie"), "packed")
 
 
 def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +155,7 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``. Null texts are empty; an empty text has the
     empty fingerprint. The next row is the one of :func:`next_documents`; a table of one row follows itself.
-    Rows of one id are ordered by their compressed text and lie in one range. Long texts are chunked whole.
+    Rows of one id are ordered by a hash of their text. Long texts are chunked whole.
     """
     schema = "id long, none boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -158,7 +165,7 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def documents() -> Iterator[tuple[int, bool, str, str]]:
             """The range's own rows, then the first of the rows that follow it."""
             for batch in batches:
-                for i, none, data, own in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                for i, none, data, own in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5))):
                     text = zlib.decompress(data).decode()
                     yield i, none, text, print_of(text)
                     if not own:

@@ -60,17 +60,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending ids that cut the table into ranges of about as many rows (one scan of the id column)."""
+    """``parts - 1`` ascending ids that cut the table into ranges of about as many rows (one scan of the id column); an id of many rows is there as often as it ends a range."""
     if parts < 2:
         return []
     wanted = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(F.col(column), wanted, 20 * parts)).first()[0]
-    return sorted(set(found or []))
+    return sorted(found or [])
 
 
-def ranges_of(ids: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """The number of bounds below each id: ranges are (-inf, b0], (b0, b1], ... However many there are, this is a binary search."""
-    return np.searchsorted(np.array(bounds, np.int64), ids, side="left").astype(np.int32)
+def ranges_of(ids: np.ndarray, none: np.ndarray, ties: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The range of each row in the order of id, null flag and ``ties`` (hashes as signed longs): (-inf, b0], (b0, b1], ...
+
+    Rows of an id that ends several ranges are spread over them by their tie, so no id makes a range larger than others. However many ranges there are, this is a binary search.
+    """
+    cuts = np.array(bounds, np.int64)
+    first = np.searchsorted(cuts, ids, side="left")
+    own = np.searchsorted(cuts, ids, side="right") - first
+    place = (ties.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(1) | none.astype(np.uint64) << np.uint64(63)
+    part = (place >> np.uint64(32)) * np.maximum(own, 1).astype(np.uint64) >> np.uint64(32)
+    return (first + part.astype(np.int64)).astype(np.int32)
 
 
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:

@@ -174,11 +174,12 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
     """Encodes every whole text, appends ``end_id`` and writes ids in ascending id order; returns the manifest and the dictionary.
 
     Null texts are empty (the end id alone); a null id is one more document after all others; rows that repeat an id
-    stand beside each other, by text. The manifest ``(part, file, uri, n_docs, n_ids, start)`` has files in document order with the number
+    stand beside each other by a hash of the text, over as many ranges as they need. The manifest ``(part, file, uri, n_docs, n_ids, start)`` has files in document order with the number
     of ids before each; it names files of finished tasks only. Ids are compressed where they are made, so the
     one shuffle (by ranges of the id, cut from a scan of that column alone) moves frames, not texts.
     """
-    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), whole_text(text_col).alias("text"))
+    text = whole_text(text_col)
+    rows = df.select(order_id(id_col).alias("id"), is_null(id_col).alias("none"), F.xxhash64(text).alias("tie"), text.alias("text"))
     dictionary = train_dictionary(sample_ids(rows, tokenizer, end_id))
     parts = shuffle_parts(df)
     bounds = id_bounds(rows, "id", parts)
@@ -189,10 +190,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [encoder.encode(t) + end for t in part.column(2).to_pylist()]
-                range_ = pa.array(ranges_of(part.column(0).to_numpy(), bounds))
+                ids = [encoder.encode(t) + end for t in part.column(3).to_pylist()]
+                range_ = pa.array(ranges_of(*(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)), bounds))
                 made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary())]
-                yield pa.RecordBatch.from_arrays([range_, part.column(0), part.column(1), *made], names=["range", "id", "none", "n_ids", "frame"])
+                yield pa.RecordBatch.from_arrays([range_, *(part.column(i) for i in range(3)), *made], names=["range", "id", "none", "tie", "n_ids", "frame"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -210,7 +211,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["part", "file", "uri", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, none, n, frame in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            for doc, none, n, frame in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5))):
                 entries.append((doc, none, start, n, size, len(frame)))
                 frames.append(frame)
                 size, start = size + len(frame), start + n
@@ -222,8 +223,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
 
     fs, path = _files(folder)
     fs.create_dir(path, recursive=True)
-    packed = small_batches(rows).mapInArrow(pack, "range int, id long, none boolean, n_ids long, frame binary")
-    ranged = packed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("id", "none", "n_ids", "frame")
+    packed = small_batches(rows).mapInArrow(pack, "range int, id long, none boolean, tie long, n_ids long, frame binary")
+    ranged = packed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("id", "none", "tie", "frame")
     files = written(ranged.mapInArrow(store, "part long, file long, uri string, n_docs long, n_ids long"))
     # One row for each file of up to 32 MB; summed per part first, so a single task only orders the parts.
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))

@@ -290,6 +290,27 @@ def test_fingerprints(spark, docs, empty):
     assert chunk_prints.containment(chunk_prints.print_of(long), chunk_prints.print_of("new words in front of it " + long)) > 0.99
 
 
+def test_an_id_of_many_rows_is_dealt_to_many_ranges(spark, tmp_path):
+    """A third of the rows has no id: order, neighbours and offsets are right, and no range holds them all."""
+    rng = random.Random(11)
+    rows = [(None if i % 3 == 0 else i, sentence(rng, rng.randint(0, 30))) for i in range(600)] + [((1 << 63) - 1, "largest")]
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = collections.Counter(r.part for r in chunk_prints.next_documents(df).where("own and none").select("part").collect())
+    assert len(parts) >= 2 and max(parts.values()) < 200
+    tie = {t: r.h for t, r in zip((t for _, t in rows), spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("h")).collect())}
+    order = sorted(rows, key=lambda r: ((1 << 63) - 1 if r[0] is None else r[0], r[0] is None, tie[r[1]]), reverse=True)
+    following = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    want = collections.Counter((r[0], hashlib.sha256(chunk_prints.edited(r[1], n).encode()).hexdigest()) for r, n in following.items() for _ in range(rows.count(r)) if rows.count(r) == 1)
+    got = collections.Counter((r.id, r.edited_sha256) for r in chunk_prints.fingerprint_pairs(df).collect())
+    assert sum(got.values()) == len(rows) and not want - got
+    manifest, dictionary = token_files.write_token_files(df, token_files.tokenizer_path(), f"file://{tmp_path}/ids")
+    told = sorted(token_files.read_token_files(manifest, dictionary).collect(), key=lambda r: r.start)
+    assert [r.id for r in told] == [r[0] for r in reversed(order)] and manifest.select("part").distinct().count() >= 3
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(told, told[1:]))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_fingerprints_of_the_fixture_are_short_and_tell_texts_apart(spark):
     rows = chunk_prints.op5_chunk_fingerprints(spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -173,29 +173,6 @@ def mean_quaternion(df: DataFrame, keys: list[str], names: tuple[str, ...] = ("x
     return sums.mapInPandas(solve, ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{n} double" for n in names]]))
 
 
-def calibrate_pair(human: np.ndarray, robot: np.ndarray, ratio: float, low: float = 0.3, high: float = 1.5) -> tuple[float, np.ndarray, str]:
-    """Scale and offset with robot = scale * human + offset by least squares; a rank below 4 or a scale out of bounds keeps the height ratio and fits the offset alone."""
-    n = len(human)
-    a = np.zeros((3 * n, 4))
-    a[:, 0] = human.ravel()
-    a[np.arange(3 * n), 1 + np.tile(np.arange(3), n)] = 1
-    solution, _, rank, _ = np.linalg.lstsq(a, robot.ravel(), rcond=None)
-    scale = float(solution[0])
-    if rank < 4 or not low * ratio <= scale <= high * ratio:
-        return ratio, (robot - ratio * human).mean(axis=0), "fixed_scale"
-    return scale, solution[1:], "solved"
-
-
-def calibrate(df: DataFrame, key: str, ratio: float = 1.0) -> DataFrame:
-    """``df(key, hx, hy, hz, rx, ry, rz)`` to one scale, offset and state per key."""
-
-    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
-        scale, offset, state = calibrate_pair(rows[["hx", "hy", "hz"]].to_numpy(float), rows[["rx", "ry", "rz"]].to_numpy(float), ratio)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "scale": [scale], "ox": [offset[0]], "oy": [offset[1]], "oz": [offset[2]], "state": [state]})
-
-    return df.groupBy(key).applyInPandas(of_group, f"{key} {dict(df.dtypes)[key]}, scale double, ox double, oy double, oz double, state string")
-
-
 BVH_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("joint_idx", T.IntegerType()), T.StructField("joint", T.StringType()), T.StructField("parent", T.StringType()),
     T.StructField("offset", T.ArrayType(T.DoubleType())), T.StructField("channel", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("frame", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("frame_time", T.DoubleType()),

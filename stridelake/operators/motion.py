@@ -163,35 +163,3 @@ def tables_agree(left: DataFrame, right: DataFrame, keys: list[str], values: dic
     one = marked.agg(F.count_if(F.col("__l").isNull() | F.col("__r").isNull()).alias("unmatched"), *gaps)
     pairs = F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).alias("largest"), (F.col(v) <= t).alias("within")) for v, t in values.items()])
     return one.select("unmatched", F.inline(pairs))
-
-
-def motion_features(frames: DataFrame, keys: list[str], fps: float, joints: dict[str, list[str]]) -> DataFrame:
-    """One row of features per motion from ``frames(keys, frame, x, y, z, <joint columns>)``, named group__feature.
-
-    Locomotion (path, speed, turning), root height, joint ranges and dynamics by group, left-right symmetry. Everything is one aggregation after
-    one window; values that are no numbers count as 0.
-    """
-    w = S.over(keys)
-    step = lambda c: F.col(c) - F.lag(c).over(w)
-    out = frames.withColumns({"__dx": step("x"), "__dy": step("y"), "__dz": step("z")})
-    columns = sorted({c for group in joints.values() for c in group})
-    out = out.withColumns({f"__v_{c}": F.abs(step(c)) * fps for c in columns})
-    out = out.withColumn("__step", F.sqrt(F.col("__dx") ** 2 + F.col("__dy") ** 2))
-    n = F.count("*")
-    path, net = F.sum("__step"), F.sqrt((F.max_by("x", "frame") - F.min_by("x", "frame")) ** 2 + (F.max_by("y", "frame") - F.min_by("y", "frame")) ** 2)
-    found: dict[str, Column] = {
-        "locomotion__path_length": path, "locomotion__net_displacement": net, "locomotion__straightness": F.try_divide(net, path),
-        "locomotion__speed_mean": F.avg("__step") * fps, "locomotion__speed_p95": F.percentile("__step", F.lit(0.95)) * fps, "locomotion__duration": (n - 1) / fps,
-        "height__root_mean": F.avg("z"), "height__root_range": F.max("z") - F.min("z"), "height__root_std": F.stddev_pop("z"), "height__root_p05": F.percentile("z", F.lit(0.05)),
-        "height__vertical_speed_max": F.max(F.abs("__dz")) * fps,
-    }
-    for group, own in joints.items():
-        mean = lambda parts: sum(parts[1:], parts[0]) / len(parts)
-        found |= {
-            f"range__{group}_ptp": mean([F.max(c) - F.min(c) for c in own]), f"range__{group}_std": mean([F.stddev_pop(c) for c in own]),
-            f"dynamics__{group}_speed_mean": mean([F.avg(f"__v_{c}") for c in own]), f"dynamics__{group}_speed_max": F.greatest(*[F.max(f"__v_{c}") for c in own], F.lit(0.0)),
-        }
-        if len(own) >= 2:
-            found[f"symmetry__{group}_corr"] = A.correlation(F.col(own[0]), F.col(own[1]))
-    safe = {k: F.coalesce(A.kept(v.cast("double")), F.lit(0.0)).alias(k) for k, v in found.items()}
-    return out.groupBy(*keys).agg(n.alias("num_frames"), *safe.values())

@@ -14,8 +14,7 @@ from stridelake.operators import stats as A
 from stridelake.plans.base import TRACE, WRAP, query, table, trace
 from stridelake.plans.detection import JUMPS, jumps
 from stridelake.plans.scalars import A as MA
-from stridelake.plans.scalars import UNIT, V8, VEC, turned, vector, vectors
-from stridelake.plans.scalars import quats
+from stridelake.plans.scalars import UNIT, VEC, quats, turned, vector, vectors
 from stridelake.plans.series import FPS, r6
 
 ZERO, ONE = (0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0)

@@ -38,14 +38,6 @@ def repair_clipped(spark, sf_dir):
     return G.repair_motions(trace(spark, sf_dir), peaks(spark, sf_dir), method="clipped")
 
 
-@query("repair_postcheck")
-def repair_postcheck(spark, sf_dir):
-    """Repaired motions are classified again; only clean ones are accepted."""
-    repaired = G.repair_motions(trace(spark, sf_dir), peaks(spark, sf_dir))
-    steps = S.wrapped_steps(repaired, M, "repaired").groupBy("motion").agg(F.count_if(F.abs("dq") > 90).alias("left"))
-    return repaired.select("motion").distinct().join(steps, "motion", "left").select("motion", F.when(F.coalesce("left", F.lit(0)) == 0, "accepted").otherwise("rejected").alias("status"))
-
-
 @query("quaternion_mean")
 def quaternion_mean(spark, sf_dir):
     """An eigenvector: tested against NumPy."""
@@ -54,14 +46,6 @@ def quaternion_mean(spark, sf_dir):
     return G.mean_quaternion(rows, ["grp"])
 
 
-@query("calibration_lstsq")
-def calibration_lstsq(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    c = lambda i: F.col(f"e{i}")
-    rows = v.select((F.col("id") % 20).alias("pair"), c(0).alias("hx"), c(1).alias("hy"), c(2).alias("hz"), (c(0) * 0.9 + 0.1 + c(3) * 0.01).alias("rx"), (c(1) * 0.9 + c(4) * 0.01).alias("ry"), (c(2) * 0.9 - 0.2 + c(5) * 0.01).alias("rz"))
-    return G.calibrate(rows, "pair")
-
-
 def quaternions(spark, sf_dir):
     w = Window.partitionBy("motion").orderBy("id")
     q = R.normalised(R.quat(*[F.col(f"e{i}") for i in range(4)]))
@@ -142,18 +126,6 @@ def verify_export(spark, sf_dir):
     return out.select("unmatched", F.col("column").alias("column_"), F.round("largest", 7).alias("largest"), "within")
 
 
-@query("motion_features", f"""WITH {TRACE}, w AS (SELECT motion, frame, q AS x, q * 0.5 AS y, q * 0.01 AS z, q AS a, lead(q, 1, q) OVER (PARTITION BY motion ORDER BY frame) AS b FROM trace),
-d AS (SELECT *, sqrt((x - lag(x) OVER k) ** 2 + (y - lag(y) OVER k) ** 2) AS st, abs(a - lag(a) OVER k) * 30 AS va, abs(b - lag(b) OVER k) * 30 AS vb FROM w WINDOW k AS (PARTITION BY motion ORDER BY frame))
-SELECT motion, count(*) AS num_frames, round(coalesce(sum(st), 0), 4) AS path, round(coalesce(quantile_cont(st, 0.95) * 30, 0), 4) AS speed_p95, round(max(z) - min(z), 6) AS root_range, round(((max(a) - min(a)) + (max(b) - min(b))) / 2, 6) AS ptp, round(coalesce(greatest(max(va), max(vb)), 0), 4) AS speed_max,
- round(coalesce(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 0), 6) AS corr FROM d GROUP BY motion""")
-def motion_features(spark, sf_dir):
-    w = S.over(M)
-    rows = trace(spark, sf_dir).select("motion", "frame", F.col("q").alias("x"), (F.col("q") * 0.5).alias("y"), (F.col("q") * 0.01).alias("z"), F.col("q").alias("a"), F.coalesce(F.lead("q").over(w), F.col("q")).alias("b"))
-    out = X.motion_features(rows, M, FPS, {"arms": ["a", "b"]})
-    four = lambda c, n: F.round(c, 4).alias(n)
-    return out.select("motion", "num_frames", four("locomotion__path_length", "path"), four("locomotion__speed_p95", "speed_p95"), r6(F.col("height__root_range"), "root_range"), r6(F.col("range__arms_ptp"), "ptp"), four("dynamics__arms_speed_max", "speed_max"), r6(F.col("symmetry__arms_corr"), "corr"))
-
-
 @query("repairable_clusters", f"""WITH {EVENTS} SELECT motion, count(*) FILTER (WHERE risk = 'repairable_transient_spike') AS repairable, count(*) FILTER (WHERE risk <> 'repairable_transient_spike') AS rejected FROM risks GROUP BY motion""")
 def repairable_clusters(spark, sf_dir):
     """Only repairable clusters go to repair; others become rejected rows."""

@@ -189,37 +189,6 @@ def unit_conversion(spark, sf_dir):
     return trace(spark, sf_dir).select("motion", "frame", r6(metres(q), "m"), r6(centimetres(metres(q)), "cm"), r6(F.radians(q), "rad"), r6(wrap_radians(F.radians(q)), "wrapped"))
 
 
-@query("skinning", f"""WITH {UNIT}, i AS (SELECT id % 100 AS vertex, 0.25 + (id % 3) * 0.25 AS w, {", ".join(f"{t} + e{14 + k} AS t{k}" for k, t in enumerate(turned(A, V8)))} FROM u)
-SELECT vertex, round(sum(w * t0), 6) AS x, round(sum(w * t1), 6) AS y, round(sum(w * t2), 6) AS z FROM i GROUP BY vertex""")
-def skinning(spark, sf_dir):
-    """Weighted sum over the joints that hold a vertex of each joint's transform of the point."""
-    a, _ = quats()
-    moved = R.rotate(a, vector())
-    rows = vectors(spark, sf_dir).select((F.col("id") % 100).alias("vertex"), (0.25 + (F.col("id") % 3) * 0.25).alias("w"), *[(moved[f] + F.col(f"e{14 + k}")).alias(f) for k, f in enumerate("xyz")])
-    return rows.groupBy("vertex").agg(*[r6(F.sum(F.col("w") * F.col(f)), f) for f in "xyz"])
-
-
-@query("triangulate", """WITH f AS (SELECT p_partkey AS face, 3 + p_size % 3 AS n FROM part) SELECT face, 0::BIGINT AS a, 1::BIGINT AS b, 2::BIGINT AS c FROM f WHERE n IN (3, 4) UNION ALL SELECT face, 0, 2, 3 FROM f WHERE n = 4""")
-def triangulate(spark, sf_dir):
-    """Triangles stay, quads are split, faces of more corners are dropped."""
-    faces = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("face"), (3 + F.col("p_size") % 3).alias("n"))
-    triangle = lambda *corners: F.struct(*[F.lit(c).cast("long").alias(k) for k, c in zip("abc", corners)])
-    parts = F.when(F.col("n") == 3, F.array(triangle(0, 1, 2))).when(F.col("n") == 4, F.array(triangle(0, 1, 2), triangle(0, 2, 3)))
-    return faces.select("face", F.inline(parts))
-
-
-@query("scaled_effector", f"""WITH {VEC}, s AS (SELECT * FROM (VALUES (0, 0.9::DOUBLE, 1.0::DOUBLE, 1.1::DOUBLE), (1, 0.8, 0.8, 0.8)) t(kind, sx, sy, sz))
-SELECT id, round(e8 * sx + 0.1, 6) AS x, round(e9 * sy, 6) AS y, round(e10 * sz - 0.05, 6) AS z FROM v JOIN s ON id % 2 = kind""")
-def scaled_effector(spark, sf_dir):
-    """Each joint's position scaled by its own factors (a number or one per axis) and moved by its offset."""
-    text = spark.createDataFrame([(0, "0.9,1.0,1.1"), (1, "0.8")], "kind int, scale string")
-    parts = F.split("scale", ",")
-    scales = text.select("kind", *[F.coalesce(F.get(parts, F.lit(i)), parts[0]).cast("double").alias(f"s{a}") for i, a in enumerate("xyz")])
-    rows = vectors(spark, sf_dir).withColumn("kind", (F.col("id") % 2).cast("int")).join(scales, "kind")
-    offset = {"x": 0.1, "y": 0.0, "z": -0.05}
-    return rows.select("id", *[r6(F.col(f"e{8 + i}") * F.col(f"s{a}") + offset[a], a) for i, a in enumerate("xyz")])
-
-
 @query("coordinate_rows", f"""WITH {VEC} SELECT id, id // 10 AS pose, round_even(e8 - first_value(e8) OVER w, 6) AS x, round_even(e9 - first_value(e9) OVER w, 6) AS y FROM v WINDOW w AS (PARTITION BY id // 10 ORDER BY id)""")
 def coordinate_rows(spark, sf_dir):
     """Coordinates relative to the root joint of each pose, rounded half to even."""
@@ -295,14 +264,6 @@ def weight_maps(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), r6(m["gait"], "gait"), r6(m["height"], "height"))
 
 
-@query("robot_inference", """SELECT page_id AS id, CASE WHEN contains(url, 'blog') OR contains(url, 'www') THEN 'head_layout' WHEN contains(url, '/en/') THEN 'waist_layout' ELSE 'unknown' END AS robot FROM pages""")
-def robot_inference(spark, sf_dir):
-    """The robot by hint columns of the header first, then by tokens of the path."""
-    header = F.when(F.contains("url", F.lit("blog")) | F.contains("url", F.lit("www")), F.array(F.lit("Frame"), F.lit("waist_yaw_joint_dof"))).otherwise(F.array(F.lit("Frame")))
-    hints = F.arrays_overlap(header, F.array(F.lit("waist_yaw_joint_dof"), F.lit("head_yaw_joint_dof")))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(hints, "head_layout").when(F.arrays_overlap(F.split("url", "/"), F.array(F.lit("en"))), "waist_layout").otherwise("unknown").alias("robot"))
-
-
 @query("review_stamps", """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp, epoch(o_orderdate)::BIGINT AS seconds FROM orders""")
 def review_stamps(spark, sf_dir):
     """Folder stamps to times and back; unparsable stamps are null."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stridelake.functions import names as N
 from stridelake.functions import rotations as R
 from stridelake.functions.angles import wrap_degrees
+from stridelake.operators import calibration as C
 from stridelake.operators import events as E
 from stridelake.operators import grouped as G
 from stridelake.operators import motion as X
@@ -147,12 +148,40 @@ def test_repair_postcheck_rows(spark):
     assert [r.q for r in out] == x and max(abs(b.repaired - a.repaired) for a, b in zip(out, out[1:])) < 90
 
 
-def test_calibration():
+def pose_pairs(spark, scales, offset=(0.1, 0.2, 0.3), spread=(1.0, 1.0, 1.0), n=40):
+    """Pairs of a joint whose robot place is its root's plus the scaled distance, in a root without turn, plus the turned offset."""
     rng = np.random.default_rng(3)
-    h = rng.normal(size=(20, 3))
-    scale, offset, state = G.calibrate_pair(h, 0.8 * h + [1, 2, 3], 1.0)
-    assert scale == pytest.approx(0.8) and np.allclose(offset, [1, 2, 3]) and state == "solved"
-    assert G.calibrate_pair(np.ones((5, 3)), np.ones((5, 3)), 1.0)[2] == "fixed_scale"
+    rows = []
+    for _ in range(n):
+        h = rng.normal(0, 1, 4)
+        h /= np.linalg.norm(h)
+        x, y, z, w = h
+        m = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+        root, d = rng.normal(0, 1, 3), rng.normal(0, 1, 3) * spread
+        place = np.array([0.5, 0.6, 0.7]) + d * scales + m @ np.array(offset)
+        rows.append(["Head", *(root + d), *h, *root, 0.0, 0.0, 0.0, 1.0, *place, *h, 0.5, 0.6, 0.7])
+    names = ["joint", *[f"{p}{a}" for p, axes in (("hp", "xyz"), ("hq", "xyzw"), ("ur", "xyz"), ("uq", "xyzw"), ("rp", "xyz"), ("rq", "xyzw"), ("br", "xyz")) for a in axes]]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names))
+
+
+@pytest.mark.parametrize(
+    "scales, spread, by_axis, state, want",
+    [
+        ((0.8, 0.8, 0.8), (1, 1, 1), False, "solved", (0.8, 0.8, 0.8)),
+        ((0.7, 0.8, 0.9), (1, 1, 1), True, "solved", (0.7, 0.8, 0.9)),
+        ((0.7, 0.8, 0.9), (1, 0.0, 1), True, "solved_axis_filled_underconstrained", (0.7, 0.8, 0.9)),
+        ((0.8, 0.8, 0.8), (1, 0.0, 0.0), True, "solved_degenerated_single_axis", (0.8, 0.8, 0.8)),
+        ((9.0, 9.0, 9.0), (1, 1, 1), False, "solved_fixed_scale_underconstrained", (1.0, 1.0, 1.0)),
+        ((0.8, 0.8, 0.8), (0.0, 0.0, 0.0), True, "solved_fixed_scale_underconstrained", (1.0, 1.0, 1.0)),
+    ],
+)
+def test_calibration_falls_back_step_by_step(spark, scales, spread, by_axis, state, want):
+    rules = C.CalibrationRules(by_axis=by_axis)
+    got = C.calibrate_joints(pose_pairs(spark, np.array(scales), spread=np.array(spread, float)), "Hips", 1.0, rules).first()
+    assert got.state == state and (got.sx, got.sy, got.sz) == pytest.approx(want, abs=1e-6)
+    if state != "solved_fixed_scale_underconstrained" or not any(spread):
+        assert (got.ox, got.oy, got.oz) == pytest.approx((0.1, 0.2, 0.3), abs=1e-6) and got.max_position_error < 1e-6 and got.max_rotation_error < 1e-3
+    assert got.samples == 40 and got.scale_group == "Head"
 
 
 def test_selection_order(spark):

@@ -25,7 +25,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every round is two pre-aggregated minima and two equi-joins over the links, and its result is a written table in the
     shared folder; the number of rounds grows with the logarithm of the number of nodes. No link or label is collected: the
-    driver sees a count and a checksum. Self links and repeated links are harmless, null ends are ignored, an empty table
+    driver sees a count and a checksum. Self links and repeated links are harmless, null ends are ignored, ties can't be, as ids are compared, an empty table
     gives an empty table.
     """
     state = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

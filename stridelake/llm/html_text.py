@@ -32,13 +32,13 @@ ROOTS = frozenset("article main".split())
 CONTAINERS = frozenset("div section ul ol dl table header".split())
 # A class or id is read as one of these words, perhaps with a word of place before and words of layout after it.
 _WORDS = (
-    "ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
+    "ads?|adsbygoogle|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
     "navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|promotion|recommended|related|replies|share|sharing|sidebar|signup|social|sponsor|sponsored|"
-    "subscribe|subscription|toolbar|widgets?"
+    "subscribe|subscription|toolbar|topbar|widgets?|(?:site|page|global)[-_]header"
 )
 _BEFORE = "page|site|main|post|entry|left|right|top|bottom|global|primary|secondary|user|reader|cookie|social|share"
-_AFTER = "list|box|section|area|wrap|wrapper|container|block|bar|inner|item|items|content|widget|links?|buttons?|form|banner|notice|left|right|top|bottom|primary|secondary|posts?|articles?|[0-9]+"
-FURNITURE = re.compile(rf"(?:(?:{_BEFORE})[-_])?(?:{_WORDS})(?:[-_]?(?:{_AFTER}))*", re.I)
+_AFTER = "list|box|section|area|wrap|wrapper|container|block|bar|inner|item|items|content|links?|buttons?|form|left|right|top|bottom|main|primary|secondary|posts?|articles?|slot|unit|text|message|thread|[0-9]+"
+FURNITURE = re.compile(rf"(?:(?:{_BEFORE})[-_])?(?:{_WORDS})(?:[-_]?(?:{_AFTER}|{_WORDS}))*", re.I)
 OF_ARTICLES = re.compile("ad|advert|comment|promo|related|reply|sponsored|teaser", re.I)
 #: A start tag of the key ends an open element of these kinds (optional end tags of HTML).
 CLOSES = {

@@ -69,6 +69,22 @@ def test_small_things_stay():
     assert main_text("<p>Same<p>Same") == "Same\nSame" and main_text(f"<body><p>{'word ' * 200_000}</p>") == ("word " * 200_000).strip()
 
 
+@pytest.mark.parametrize("name", ["newsletter-signup", "ad-slot", "sidebar-widget", "site-header", "cookie_notice", "comments-area", "reader-comments", "related-posts", "social-share", "main-nav", "menu-main", "post-comments", "advert", "adsbygoogle", "notice"])
+def test_furniture_by_whole_words(name):
+    """Blocks of such classes go, and so do all inside them; near misses stay."""
+    junk = f"<div class='x {name}'><p>{say(30)}</p></div>"
+    page = f"<body><div class=page>{junk}<p>{LONG[0]}</p><p>{LONG[1]}</p>{junk}<p>{LONG[2]}</p><p>{LONG[3]}</p></div></body>"
+    assert main_text(page) == "\n".join(LONG[:4])
+    near = page.replace(f"x {name}", f"x{name}x")
+    assert len(main_text(near).split("\n")) == 6
+
+
+def test_parts_around_an_article():
+    head = f"<header><h1>The title</h1><p>By someone</p></header><p>{LONG[0]}</p><figure><img src=x><figcaption>A caption</figcaption></figure><pre>code  of\n it</pre><dl><dt>Term<dd>{LONG[1]}</dl>"
+    page = f"<main><article>{head}<table><tr><th>Year<td>1999</table></article><aside>{say(40)}</aside><section class=related><article><p>{say(30)}</p></article></section></main>"
+    assert main_text(f"<body>{BEFORE}{page}{AFTER}</body>") == f"The title\n{LONG[0]}\nA caption\ncode of it\nTerm\n{LONG[1]}\nYear\n1999"
+
+
 def test_ratio_decides_inside_an_article():
     """Blocks of links whose smoothed ratio is low go, one among text stays."""
     links = "".join(f"<li><a href={i}>Link number {i}</a>" for i in range(8))

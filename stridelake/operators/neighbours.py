@@ -37,7 +37,13 @@ def robust_scaled(df: DataFrame, features: list[str], lo: float = 0.01, hi: floa
     return joined.select(*others, *[F.col("__v")[i].alias(c) for i, c in enumerate(features)]).select(*df.columns)
 
 
-def group_weights(features: list[str], weights: dict[str, float]) -> list[float]:
+#: Weights of the groups of diversity features; they sum to 1.
+GROUP_WEIGHTS = {
+    "root_locomotion": 0.20, "height_posture": 0.15, "foot_gait_proxy": 0.20, "upper_body_workspace_proxy": 0.20, "joint_range_group": 0.10, "dynamics_complexity": 0.10, "periodicity_symmetry": 0.05,
+}
+
+
+def group_weights(features: list[str], weights: dict[str, float] = GROUP_WEIGHTS) -> list[float]:
     """A feature's weight: its group's (the name before the double underscore) divided by the features of the group."""
     groups = [f.split("__", 1)[0] for f in features]
     return [weights.get(g, 0.0) / groups.count(g) for g in groups]

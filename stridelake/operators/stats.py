@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,22 +175,60 @@ def retention_summary(ratio: Column) -> list[Column]:
     return [c.alias(k) for k, c in named.items()]
 
 
-#: Weights of the quality score's metrics.
-QUALITY_WEIGHTS = {"velocity_violation": 10.0, "jerk": 1.0, "foot_sliding": 20.0, "self_collision": 5.0, "penetration": 100.0, "floating": 20.0}
+@dataclass(frozen=True)
+class PhysicsRules:
+    """Limits of the physics metrics in metres, seconds and degrees, the metrics' weights, and the score that passes."""
+
+    least_frames: int = 5
+    least_seconds: float = 0.5
+    contact_height: float = 0.05
+    slide_speed: float = 0.1
+    clearance: float = 0.05
+    margin: float = 0.01
+    speed_limit: float = 600.0
+    most_contacts: float = 10.0
+    passing: float = 90.0
+    weights: tuple[tuple[str, float], ...] = (
+        ("foot_sliding", 1.0), ("velocity_violation", 500.0), ("self_collision", 1000.0), ("jerk", 0.1), ("penetration", 10.0), ("floating_frames_ratio", 200.0),
+    )
 
 
-def quality_score(frames: DataFrame, key: str, fps: float, weights: dict[str, float] = QUALITY_WEIGHTS, least_frames: int = 5, least_seconds: float = 0.5, passing: float = 90.0) -> DataFrame:
-    """Score of each motion from its frame metrics; too short motions get 0 and do not pass.
+def physics_metrics(joints: DataFrame, feet: DataFrame, contacts: DataFrame, key: str, fps: float, rules: PhysicsRules = PhysicsRules()) -> DataFrame:
+    """Raw metrics of each motion from ``joints(key, frame, joint, q)`` in radians, ``feet(key, frame, bottom, speed)`` and ``contacts(key, frame, floor, dist)``.
 
-    ``frames`` has, per frame, ``over_speed`` (mean excess joint speed), ``jerk_norm``, ``slide``, ``contacts``, ``depth`` (penetration in metres) and ``floating`` (0/1, by the
-    one second window).
+    ``bottom`` is the lower foot's, ``speed`` the faster foot's, ``floor`` whether a contact is with the floor. Derivatives are padded with zeros. A frame floats if its floor contacts, or without
+    any its bottom, are too high, and counts if a whole second around it does.
     """
-    raw = {
-        "velocity_violation": F.avg("over_speed"), "jerk": 0.01 * F.avg("jerk_norm"), "foot_sliding": F.avg("slide"), "self_collision": F.avg(F.least("contacts", F.lit(10.0))),
-        "penetration": F.avg(F.greatest(F.lit(0.0), F.col("depth") - 0.01)), "floating": F.avg("floating"),
-    }
-    found = frames.groupBy(key).agg(F.count("*").alias("num_frames"), *[c.alias(f"metric_{k}") for k, c in raw.items()])
-    found = found.withColumns({f"deduction_{k}": F.col(f"metric_{k}") * weights[k] for k in raw})
-    short = (F.col("num_frames") < least_frames) | (F.col("num_frames") / fps < least_seconds)
-    total = F.when(short, F.lit(0.0)).otherwise(score([F.col(f"deduction_{k}") for k in raw]))
-    return found.withColumn("score", total).withColumn("passed", ~short & (F.col("score") >= passing))
+    own = [key, "joint"]
+    w = S.over(own)
+    rows = S.plain_derivatives(joints, own, fps)
+    rows = rows.withColumn("jerk", F.coalesce((F.col("acc") - F.lag("acc").over(w)) * fps, F.lit(0.0)))
+    speed, limit = F.abs("vel"), F.radians(F.lit(rules.speed_limit))
+    per_frame = rows.groupBy(key, "frame").agg(
+        F.sum(F.greatest(F.lit(0.0), speed - limit)).alias("over"), F.count("*").alias("n"), F.sqrt(F.sum(F.col("jerk") ** 2)).alias("norm"), F.max(speed).alias("v"), F.max(F.abs("acc")).alias("a"), F.max(F.abs("jerk")).alias("j")
+    )
+    moving = per_frame.groupBy(key).agg(
+        (F.sum("over") / F.sum("n")).alias("velocity_violation"), (0.01 * F.avg("norm")).alias("jerk"), *[F.degrees(F.max(c)).alias(n) for c, n in (("v", "max_joint_velocity"), ("a", "max_joint_acceleration"), ("j", "max_joint_jerk"))]
+    )
+    met = contacts.groupBy(key, "frame").agg(F.min(F.when(F.col("floor"), F.col("dist"))).alias("floor_dist"), F.count_if(~F.col("floor") & (F.col("dist") < 0)).alias("touching"))
+    frames = feet.join(met, [key, "frame"], "left").fillna(0, ["touching"])
+    low = F.col("floor_dist")
+    frames = frames.withColumns({
+        "slide": F.when(F.col("bottom") < rules.contact_height, F.greatest(F.lit(0.0), F.col("speed") - rules.slide_speed) * 5.0).otherwise(F.lit(0.0)),
+        "deep": F.coalesce(F.greatest(F.lit(0.0), -low - rules.margin), F.lit(0.0)), "floats": F.coalesce(low, F.col("bottom")) > rules.clearance,
+    })
+    standing = frames.groupBy(key).agg(
+        F.count("*").alias("num_frames"), F.avg("slide").alias("foot_sliding"), F.avg(F.least(F.col("touching").cast("double"), F.lit(rules.most_contacts))).alias("self_collision"), F.avg("deep").alias("penetration"), F.min("bottom").alias("min_foot_bottom")
+    )
+    floating = S.same_convolution_all(frames, [key], max(1, round(fps)), "floats").withColumnRenamed("ratio", "floating_frames_ratio")
+    return standing.join(moving, key).join(floating, key)
+
+
+def quality_score(metrics: DataFrame, fps: float, rules: PhysicsRules = PhysicsRules()) -> DataFrame:
+    """Adds a deduction for each weighted metric, ``score`` and ``passed``; too short motions have the worst metrics and do not pass."""
+    weights = dict(rules.weights)
+    short = (F.col("num_frames") < rules.least_frames) | (F.col("num_frames") / fps < rules.least_seconds)
+    worst = {m: 1.0 if m == "floating_frames_ratio" else 100.0 for m in weights}
+    told = metrics.withColumn("is_too_short", short).withColumns({m: F.when(short, F.lit(worst[m])).otherwise(F.col(m)) for m in weights})
+    told = told.withColumns({f"deduction_{m}": F.col(m) * x for m, x in weights.items()})
+    return told.withColumn("score", score([F.col(f"deduction_{m}") for m in weights])).withColumn("passed", ~short & (F.col("score") >= rules.passing))

@@ -34,6 +34,28 @@ class JumpRules:
     upgrade_strong: int = 3
 
 
+@dataclass(frozen=True)
+class ReclassRules:
+    """Degrees of strong and severe jumps, and distinct joints of either that make a true switch."""
+
+    strong: float = 5.0
+    severe: float = 10.0
+    least_strong: int = 2
+    least_severe: int = 2
+
+
+@dataclass(frozen=True)
+class DatasetRules:
+    """Degrees from which a step counts by chain, the norm over an arm's window that is an event, severe ones of both, and the gap of clusters."""
+
+    limits: tuple[tuple[str, float], ...] = (("upper", 1.0), ("lower", 5.0), ("torso_head", 3.0))
+    other: float = 5.0
+    window: float = 45.0
+    severe: float = 10.0
+    severe_window: float = 67.5
+    gap: int = 1
+
+
 def severity(dq: Column, rules: JumpRules) -> Column:
     return F.when(dq >= rules.severe, "severe").when(dq >= rules.strong, "strong").otherwise("candidate")
 
@@ -137,9 +159,38 @@ def dataset_verdict(chains: Column, has_window: Column, upper_joints: Column, se
     )
 
 
-def reclass_verdict(severe_joints: Column, strong_joints: Column) -> Column:
-    """Two severe or two strong distinct joints are a true switch, one strong joint a conflict to smooth, none low."""
-    return F.when((severe_joints >= 2) | (strong_joints >= 2), "true_ik_branch_switch").when(strong_joints >= 1, "repairable_smooth_conflict").otherwise("low_amplitude_possible")
+def dataset_events(steps: DataFrame, windows: DataFrame, keys: list[str], rules: DatasetRules = DatasetRules()) -> DataFrame:
+    """Clustered events of ``steps(keys, frame0, joint, chain, dq)`` beyond their chain's limit, and of ``windows(keys, frame0, side, norm)``, an arm's joints over a window.
+
+    A window's event has the joint ``<side>_upper_chain_window`` in the upper chain and is marked ``windowed``.
+    """
+    hits = steps.withColumn("abs_dq", F.abs("dq")).where(F.col("abs_dq") >= chain_threshold(F.col("chain"), dict(rules.limits), rules.other))
+    hits = hits.select(*keys, "frame0", "joint", "chain", "abs_dq", F.lit(False).alias("windowed"), (F.col("abs_dq") >= rules.severe).alias("severe"))
+    large = windows.where(F.col("norm") >= rules.window)
+    large = large.select(*keys, "frame0", F.concat("side", F.lit("_upper_chain_window")).alias("joint"), F.lit("upper").alias("chain"), F.col("norm").alias("abs_dq"), F.lit(True).alias("windowed"), (F.col("norm") >= max(rules.severe, rules.severe_window)).alias("severe"))
+    return gap_clusters(hits.unionByName(large), keys, gap=rules.gap)
+
+
+def dataset_clusters(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, cluster, events, risk)`` of :func:`dataset_events`."""
+    distinct = lambda c: F.count_distinct(F.when(c, F.col("joint")))
+    found = events.groupBy(*keys, "cluster").agg(
+        F.count("*").alias("events"), F.collect_set("chain").alias("chains"), F.max("windowed").alias("windowed"), distinct((F.col("chain") == "upper") & ~F.col("windowed")).alias("uppers"), distinct(F.col("severe")).alias("severes")
+    )
+    return found.select(*keys, "cluster", "events", dataset_verdict(F.col("chains"), F.col("windowed"), F.col("uppers"), F.col("severes")).alias("risk"))
+
+
+def reclass_verdict(severe_joints: Column, strong_joints: Column, rules: ReclassRules = ReclassRules()) -> Column:
+    """Enough severe or strong distinct joints are a true switch, one strong joint a conflict to smooth, none low."""
+    true = (severe_joints >= rules.least_severe) | (strong_joints >= rules.least_strong)
+    return F.when(true, "true_ik_branch_switch").when(strong_joints >= 1, "repairable_smooth_conflict").otherwise("low_amplitude_possible")
+
+
+def reclassified(events: DataFrame, keys: list[str], rules: ReclassRules = ReclassRules()) -> DataFrame:
+    """``(keys, cluster, verdict)`` of clustered events."""
+    joints = lambda limit: F.count_distinct(F.when(F.col("abs_dq") >= limit, F.col("joint")))
+    found = events.groupBy(*keys, "cluster").agg(joints(rules.severe).alias("severe"), joints(rules.strong).alias("strong"))
+    return found.select(*keys, "cluster", reclass_verdict(F.col("severe"), F.col("strong"), rules).alias("verdict"))
 
 
 #: Verdicts by rising weight: a motion has the heaviest of its clusters.

@@ -134,29 +134,24 @@ marked AS (SELECT *, CASE WHEN frame0 - lag(frame0) OVER w > 1 THEN 1 ELSE 0 END
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY motion ORDER BY frame0, joint)::BIGINT AS cluster FROM marked)"""
 
 
+#: Limits for the fixture, whose values jump by hundreds of degrees.
+DATASET_RULES = E.DatasetRules(limits=(("upper", 100.0), ("lower", 140.0)), other=120.0, window=225.0, severe=165.0, severe_window=165.0)
+
+
 def dataset_hits(spark, sf_dir):
-    rows = trace(spark, sf_dir)
-    steps = S.wrapped_steps(rows, M).withColumns({"abs_dq": F.abs("dq"), "chain": event_chain(F.col("joint"))})
-    hits = steps.where(F.col("abs_dq") >= E.chain_threshold(F.col("chain"), {"upper": 100.0, "lower": 140.0}, 120.0))
-    hits = hits.select("motion", "frame0", "joint", "chain", "abs_dq", F.lit(False).alias("windowed"))
-    # the arm's joints are a frame's value and the next one's
+    """Steps of the fixture's one series, and windows of the left arm, whose joints are a frame's value and the next one's."""
+    steps = S.wrapped_steps(trace(spark, sf_dir), M).withColumn("chain", event_chain(F.col("joint"))).select("motion", "frame0", "joint", "chain", "dq")
     arm = long_joints(spark, sf_dir).where("joint <> 'wrist'")
-    deltas = S.k_frame_delta(arm, ["motion", "joint"], 24).groupBy("motion", "frame").agg(F.sqrt(F.sum(F.col("delta") ** 2)).alias("norm"), F.count("*").alias("joints"))
-    moved = deltas.where("joints = 2 AND norm >= 225")
-    windows = moved.select("motion", F.col("frame").alias("frame0"), F.lit("left_upper_chain_window").alias("joint"), F.lit("upper").alias("chain"), F.col("norm").alias("abs_dq"), F.lit(True).alias("windowed"))
-    return E.gap_clusters(hits.unionByName(windows), M)
+    windows = S.k_frame_delta(arm, ["motion", "joint"], 24).groupBy("motion", "frame").agg(F.sqrt(F.sum(F.col("delta") ** 2)).alias("norm"), F.count("*").alias("joints"))
+    windows = windows.where("joints = 2").select("motion", F.col("frame").alias("frame0"), F.lit("left").alias("side"), "norm")
+    return E.dataset_events(steps, windows, M, DATASET_RULES)
 
 
 @query("ik_dataset_risk", f"""WITH {DATASET}, c AS (SELECT motion, cluster, count(*) AS events, count(DISTINCT chain) AS chains, min(chain) AS chain, bool_or(windowed) AS windowed,
   count(DISTINCT joint) FILTER (WHERE chain = 'upper' AND NOT windowed) AS uppers, count(DISTINCT joint) FILTER (WHERE abs_dq >= 165) AS severes FROM numbered GROUP BY motion, cluster)
 SELECT motion, cluster, events, CASE WHEN chains = 1 AND chain = 'lower' THEN 'lower_high_dynamic' WHEN windowed OR uppers >= 2 OR severes >= 2 THEN 'hard_ik_branch_switch' ELSE 'repairable_single_joint_jump' END AS risk FROM c""")
 def ik_dataset_risk(spark, sf_dir):
-    found = dataset_hits(spark, sf_dir).groupBy("motion", "cluster").agg(
-        F.count("*").alias("events"), F.collect_set("chain").alias("chains"), F.max("windowed").alias("windowed"),
-        F.count_distinct(F.when((F.col("chain") == "upper") & ~F.col("windowed"), F.col("joint"))).alias("uppers"),
-        F.count_distinct(F.when(F.col("abs_dq") >= 165, F.col("joint"))).alias("severes"),
-    )
-    return found.select("motion", "cluster", "events", E.dataset_verdict(F.col("chains"), F.col("windowed"), F.col("uppers"), F.col("severes")).alias("risk"))
+    return E.dataset_clusters(dataset_hits(spark, sf_dir), M)
 
 
 RECLASS = f"""{EVENTS}, verdicts AS (SELECT motion, cluster::BIGINT AS cluster, CASE WHEN count(DISTINCT joint) FILTER (WHERE abs_dq >= 160) >= 2 OR count(DISTINCT joint) FILTER (WHERE abs_dq >= 120) >= 2 THEN 'true_ik_branch_switch'
@@ -164,9 +159,7 @@ RECLASS = f"""{EVENTS}, verdicts AS (SELECT motion, cluster::BIGINT AS cluster,
 
 
 def reclassed(spark, sf_dir):
-    joints = lambda limit: F.count_distinct(F.when(F.col("abs_dq") >= limit, F.col("joint")))
-    found = transient(spark, sf_dir).groupBy("motion", "cluster").agg(joints(160).alias("severe"), joints(120).alias("strong"))
-    return found.select("motion", "cluster", E.reclass_verdict(F.col("severe"), F.col("strong")).alias("verdict"))
+    return E.reclassified(transient(spark, sf_dir), M, E.ReclassRules(strong=120.0, severe=160.0))
 
 
 @query("reclass", f"WITH {RECLASS} SELECT motion, cluster, verdict FROM verdicts")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stridelake.functions import rotations as R
 from stridelake.operators import grouped as G
 from stridelake.operators import motion as X
-from stridelake.operators import series as S
 from stridelake.plans.base import TRACE, query, trace
 from stridelake.plans.detection import EVENTS, transient
 from stridelake.plans.series import FPS, r6

@@ -11,6 +11,7 @@ from stridelake.llm.passages import op9_repeated_passages
 from stridelake.llm.quality import op1_quality
 from stridelake.llm.sentencepieces import op3_sentencepiece
 from stridelake.llm.simhash import op10_simhash
+from stridelake.llm.target_encoding import OP12_SQL, op12_target_encoding
 from stridelake.llm.token_files import op7_token_files
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_simhash": op10_simhash,
+    "op12_target_encoding": op12_target_encoding,
 }
 #: Operators that are not here (library tokenizers, fitted, random or iterative ones) are tested against brute force in tests/llm.
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL, "op12_target_encoding": OP12_SQL}

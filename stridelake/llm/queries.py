@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stridelake.llm.chunk_prints import op5_chunk_fingerprints
 from stridelake.llm.exact_topk import OP8_SQL, op8_exact_topk
+from stridelake.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from stridelake.llm.html_text import op4_html_text
 from stridelake.llm.line_dedup import OP2_SQL, op2_line_dedup
 from stridelake.llm.mixing import op6_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_simhash": op10_simhash,
     "op12_target_encoding": op12_target_encoding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: Operators that are not here (library tokenizers, fitted, random or iterative ones) are tested against brute force in tests/llm.
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL, "op12_target_encoding": OP12_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL, "op12_target_encoding": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -14,6 +14,7 @@ from stridelake.llm.sentencepieces import op3_sentencepiece
 from stridelake.llm.simhash import op10_simhash
 from stridelake.llm.target_encoding import OP12_SQL, op12_target_encoding
 from stridelake.llm.token_files import op7_token_files
+from stridelake.llm.toxicity import op11_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_simhash": op10_simhash,
+    "op11_toxicity": op11_toxicity,
     "op12_target_encoding": op12_target_encoding,
     "op13_hard_negatives": op13_hard_negatives,
 }

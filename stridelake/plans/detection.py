@@ -209,11 +209,14 @@ LIMBS = (
 )
 
 
+def last_value(joint: str):
+    """The last value of a joint so far, 0 before the first."""
+    return F.coalesce(F.last(F.when(F.col("joint") == joint, F.col("q")), ignorenulls=True).over(S.over(M).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+
+
 def limb_bodies(spark, sf_dir):
     """The bodies of all motions at every frame: turned about x by the last value of their joint, at the tip of a link of 0.3 m; errors lift the root by 1 mm a unit."""
-    w = S.over(M).rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda joint: F.coalesce(F.last(F.when(F.col("joint") == joint, F.col("q")), ignorenulls=True).over(w), F.lit(0.0))
-    rows = trace(spark, sf_dir)
+    last, rows = last_value, trace(spark, sf_dir)
     bodies = [F.struct(*[F.lit(x).alias(n) for x, n in zip(limb[:3], ("chain", "kind", "role"))], F.lit(limb[3]).alias("body"), F.radians(last(limb[3])).alias("angle")) for limb in LIMBS]
     posed = rows.select("motion", "frame", (last("error") / 1000 + 0.9).alias("rz"), F.array(*bodies).alias("bodies"))
     flat = posed.select("motion", "frame", "rz", F.inline("bodies"))
@@ -297,8 +300,13 @@ def evidence(spark, sf_dir):
   round(CASE WHEN arm THEN moved ELSE 0 END, 6) AS moved, round(CASE WHEN arm THEN path ELSE 0 END, 6) AS path, coalesce(chosen_middle, nullif(middle_speed_body, ''), middle_w24_body) AS middle_body, coalesce(chosen_end, nullif(end_speed_body, ''), end_w24_body) AS end_body FROM evidence""")
 def chain_evidence(spark, sf_dir):
     """Branch-switch evidence of both limbs of every motion."""
+    return evidence_rows(evidence(spark, sf_dir))
+
+
+def evidence_rows(found):
+    """Evidence as the queries show it."""
     digits = {"root_z_range": 6, "root_speed": 4, "stay": 3, "outlier_ratio": 4, "moved": 6, "path": 6} | {f"{r}_{c}": 3 for r, c in _PEAKS}
-    out = evidence(spark, sf_dir).drop("kind", "largest_step", "turn_per_path")
+    out = found.drop("kind", "largest_step", "turn_per_path")
     return out.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
 
 

@@ -18,8 +18,8 @@ AXIS_JOINTS = (("Head", (0.7, 0.8, 0.9), (0.05, 0.0, 0.1), 30.0), ("LeftHand", (
 RATIO = 0.95
 
 
-def observations(spark, sf_dir, joints):
-    """Pose pairs made from known scales, offsets and turns, which the solver has to find again."""
+def observations(spark, sf_dir, joints, noise: float = 0.0):
+    """Pose pairs made from known scales, offsets and turns, which the solver has to find again; noise is that share of three more components, added to the robot's place."""
     at = (F.col("id") % len(joints)).cast("int")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
     rows = vectors(spark, sf_dir).withColumn("joint", pick([j[0] for j in joints]))
@@ -36,6 +36,8 @@ def observations(spark, sf_dir, joints):
     scaled = R.rotate(F.col("uq"), times(R.rotate_back(F.col("uq"), F.col("d")), F.col("s")))
     limb = plus(plus(F.col("br"), scaled), R.rotate(F.col("rq"), F.col("o")))
     rows = rows.withColumn("rp", F.when(hips, plus(times(F.col("ur"), F.col("s")), F.col("o"))).otherwise(limb)).withColumn("hp", plus(F.col("ur"), F.col("d")))
+    if noise:
+        rows = rows.withColumn("rp", plus(F.col("rp"), R.vec(*[F.col(f"e{i}") * noise for i in (14, 15, 16)])))
     parts = [F.col(f"{p}.{a}").alias(f"{p}{a}") for p in ("hp", "ur", "rp", "br") for a in "xyz"] + [F.col(f"{p}.{a}").alias(f"{p}{a}") for p in ("hq", "uq", "rq") for a in "xyzw"]
     return rows.select("joint", *parts)
 
@@ -70,6 +72,36 @@ def calibration_axes(spark, sf_dir):
     return _shown(C.calibrate_joints(observations(spark, sf_dir, AXIS_JOINTS), "Hips", RATIO, C.CalibrationRules(by_axis=True)))
 
 
+def _sql_unit(k: int, names: str) -> str:
+    return ", ".join(f"e[{k + i + 1}] / sqrt({' + '.join(f'e[{k + j + 1}] ** 2' for j in range(4))}) AS {n}" for i, n in enumerate(names.split()))
+
+
+def _sql_back(v: tuple[str, str, str]) -> list[str]:
+    """A vector turned back by the quaternion px, py, pz, pw."""
+    x, y, z = v
+    cross = [f"(pz * {y} - py * {z})", f"(px * {z} - pz * {x})", f"(py * {x} - px * {y})"]
+    again = [f"(py * {cross[2]} - pz * {cross[1]})", f"(pz * {cross[0]} - px * {cross[2]})", f"(px * {cross[1]} - py * {cross[0]})"]
+    return [f"{v[i]} + 2 * (pw * {cross[i]} - {again[i]})" for i in range(3)]
+
+
+_BACK = {n: _sql_back(v) for n, v in (("u", ("dx", "dy", "dz")), ("v", ("gx", "gy", "gz")))}
+NOISY = f"""WITH j(k, joint, s, ox, oy, oz, turn) AS (VALUES {", ".join(f"({k}, '{n}', {s[0]}::DOUBLE, {', '.join(f'{x}::DOUBLE' for x in o)}, {t}::DOUBLE)" for k, (n, s, o, t) in enumerate(JOINTS[:3]))}),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), h AS (SELECT j.*, {_sql_unit(0, "hx hy hz hw")}, e[9] AS dx, e[10] AS dy, e[11] AS dz, e[15] * 0.05 AS ex, e[16] * 0.05 AS ey, e[17] * 0.05 AS ez FROM e JOIN j ON vec_id % {len(JOINTS)} = k),
+p AS (SELECT *, hx * cos(radians(turn) / 2) + hy * sin(radians(turn) / 2) AS px, hy * cos(radians(turn) / 2) - hx * sin(radians(turn) / 2) AS py, hz * cos(radians(turn) / 2) + hw * sin(radians(turn) / 2) AS pz, hw * cos(radians(turn) / 2) - hz * sin(radians(turn) / 2) AS pw FROM h),
+g AS (SELECT *, s * dx + (1 - 2 * (py ** 2 + pz ** 2)) * ox + 2 * (px * py - pw * pz) * oy + 2 * (px * pz + pw * py) * oz + ex AS gx, s * dy + 2 * (px * py + pw * pz) * ox + (1 - 2 * (px ** 2 + pz ** 2)) * oy + 2 * (py * pz - pw * px) * oz + ey AS gy,
+  s * dz + 2 * (px * pz - pw * py) * ox + 2 * (py * pz + pw * px) * oy + (1 - 2 * (px ** 2 + py ** 2)) * oz + ez AS gz FROM p),
+m AS (SELECT joint, count(*) AS n, sum(dx ** 2 + dy ** 2 + dz ** 2) AS bb, sum(dx * gx + dy * gy + dz * gz) AS bg, sum(gx ** 2 + gy ** 2 + gz ** 2) AS gg, {", ".join(f"sum({x}) AS {n}{i}" for n in "uv" for i, x in enumerate(_BACK[n]))} FROM g GROUP BY joint),
+f AS (SELECT regexp_replace(joint, 'Left|Right', '') AS grp, sum(bg - (u0 * v0 + u1 * v1 + u2 * v2) / n) / sum(bb - (u0 ** 2 + u1 ** 2 + u2 ** 2) / n) AS scale FROM m GROUP BY grp)"""
+
+
+@query("calibration_noisy", f"""{NOISY} SELECT joint, n AS samples, round(scale, 6) AS scale, {", ".join(f"round((v{i} - scale * u{i}) / n, 6) AS o{a}" for i, a in enumerate("xyz"))} FROM m JOIN f ON grp = regexp_replace(joint, 'Left|Right', '')""")
+def calibration_noisy(spark, sf_dir):
+    """Robot places with noise: the least squares of a single joint and of mirrored ones, as in closed form."""
+    rows = observations(spark, sf_dir, JOINTS, 0.05).where("joint not in ('Elbow', 'Hips')")
+    out = C.calibrate_joints(rows, "Hips", RATIO)
+    return out.select("joint", "samples", r6(F.col("sx"), "scale"), *[r6(F.col(f"o{a}"), f"o{a}") for a in "xyz"])
+
+
 STANCE = f"""{TRACE}, f AS (SELECT motion, frame, (q - 100) / 1000 AS l, (q - 110) / 1200 AS r, 0.1 + (frame % 5) * 0.01 AS lt, 0.12 AS rt, q / 20000 AS x FROM trace),
 v AS (SELECT *, coalesce(abs(x - lag(x) OVER w), abs(x - lead(x) OVER w), 0) * 30 AS speed FROM f WINDOW w AS (PARTITION BY motion ORDER BY frame)),
 c AS (SELECT *, (l + r) / 2 AS mean, least(l, r) AS low, exp(-(greatest(0, lt - 0.11) + greatest(0, rt - 0.11)) / 0.05) * exp(-((abs(l - r) / 0.02) ** 2)) * exp(-((speed / 0.2) ** 2)) AS conf FROM v),

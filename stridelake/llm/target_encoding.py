@@ -20,11 +20,16 @@ def fold_of(name: str, folds: int) -> Column:
     return (F.crc32(F.col(name).cast("string").cast("binary")) % folds).cast("int")
 
 
+def micros(time: Column) -> Column:
+    """A time without a zone as microseconds since 1970, whatever the session's zone."""
+    seconds = F.unix_date(F.to_date(time)) * 86_400 + F.hour(time) * 3600 + F.minute(time) * 60
+    return seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
 def time_bounds(df: DataFrame, time: str, chunks: int) -> Column | None:
     """``chunks - 1`` ascending times that cut the rows into about equal parts, as an array literal; None without rows. Only these reach the driver."""
-    kind = dict(df.dtypes)[time]
-    found = df.agg(F.percentile_approx(time, [i / chunks for i in range(1, chunks)], 20 * chunks).cast("array<string>")).first()[0]
-    return F.split(F.lit("|".join(sorted(set(found)))), "[|]").cast(f"array<{kind}>") if found else None
+    found = df.agg(F.percentile_approx(time, [i / chunks for i in range(1, chunks)], 20 * chunks)).first()[0]
+    return F.array(*[F.lit(x).cast("long") for x in sorted(set(found))]) if found else None
 
 
 def chunk_of(time: Column, bounds: Column, chunks: int) -> Column:
@@ -33,27 +38,25 @@ def chunk_of(time: Column, bounds: Column, chunks: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(F.get(bounds, lo + step - 1) <= time, lo + step).otherwise(lo))
 
 
-def _each(name: str, folds: int) -> list[str]:
-    return [f"{name}{i}" for i in range(folds)]
-
+def events(lines: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """``(*keys, time, fold, n, s, asked)``: one row per key, time and fold of ``lines`` with ``(*keys, time, fold, n, s)``.
 
-def events(lines: DataFrame, keys: list[str], folds: int, gap: int) -> DataFrame:
-    """``(*keys, time, n0.., s0.., asked)``: one row per key and time, of ``lines`` with ``(*keys, time, fold, n, s)``.
-
-    Union of history, shifted by ``gap`` seconds, with the rows that ask (``asked`` has a bit per fold). Rows of a key and time are added up before and after the
-    shuffle, so neither repeated rows nor very common times make a group of many rows.
+    Union of history, shifted by ``gap`` seconds, with the rows that ask; without a gap the two of a line coincide, so one row is both. Equal rows are added up before and
+    after the shuffle, so neither repeated rows nor very common times make a group of many rows.
     """
-    blank = F.lit(0).cast("long")
-    ask = F.struct(F.col("time"), blank.alias("n"), blank.alias("s"), F.call_function("shiftleft", F.lit(1), F.col("fold")).alias("asked"))
-    past = F.struct((F.col("time") + F.make_dt_interval(secs=F.lit(gap))).alias("time"), F.col("n"), F.col("s"), F.lit(0).alias("asked"))
-    both = lines.select(*keys, "fold", F.inline(F.array(ask, past)))
-    sums = [F.sum(F.when(F.col("fold") == i, F.col(v)).otherwise(0)).alias(f"{v}{i}") for v in "ns" for i in range(folds)]
-    return both.groupBy(*keys, "time").agg(*sums, F.bit_or("asked").alias("asked"))
+    if gap:
+        blank = F.lit(0).cast("long")
+        ask = F.struct(F.col("time"), blank.alias("n"), blank.alias("s"), F.lit(True).alias("asked"))
+        past = F.struct((F.col("time") + int(gap * 1_000_000)).alias("time"), F.col("n"), F.col("s"), F.lit(False).alias("asked"))
+        both = lines.select(*keys, "fold", F.inline(F.array(ask, past)))
+    else:
+        both = lines.withColumn("asked", F.lit(True))
+    return added_up(both, keys)
 
 
-def coarser(rows: DataFrame, keys: list[str], folds: int) -> DataFrame:
-    """The events of a column that other columns determine, from theirs."""
-    return rows.groupBy(*keys, "time").agg(*[F.sum(c).alias(c) for c in _each("n", folds) + _each("s", folds)], F.bit_or("asked").alias("asked"))
+def added_up(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of the keys, from events of the columns that determine them or from single rows."""
+    return rows.groupBy(*keys, "time", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("asked").alias("asked"))
 
 
 def hot_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -65,27 +68,28 @@ def hot_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
 def earlier(rows: DataFrame, keys: list[str], folds: int, bounds: Column, chunks: int, hot: DataFrame | None = None) -> DataFrame:
     """``(*keys, time, fold, n, s)``: for every asking key, time and fold the sums of strictly earlier events of the key in other folds.
 
-    A key's events are cut into time chunks (only those of ``hot`` keys, if given). Running sums of the key and of each of its folds are taken within a chunk; the totals of
-    the chunks before it, a row per key and chunk, are running sums themselves and are added. A row holds all events of its time and doesn't count itself: who asks
-    comes first on ties.
+    A key's events are cut into time chunks (only those of ``hot`` keys, if given). Running sums of each fold of a key, and so of the key, are taken within a chunk; the totals
+    of the chunks before it, a row per key and chunk, are running sums themselves and are added. Events of an asking row's own time don't count: who asks comes first on ties.
     """
     chunk = chunk_of(F.col("time"), bounds, chunks)
     if hot is None:
         cut = rows.withColumn("chunk", chunk)
     else:
         cut = rows.join(F.broadcast(hot), rows[keys[0]].eqNullSafe(hot["hot_key"]), "left").withColumn("chunk", F.when(F.col("hot"), chunk).otherwise(F.lit(-1))).drop("hot_key", "hot")
-    values = _each("n", folds) + _each("s", folds)
-    before = Window.partitionBy(*keys, "chunk").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.select(*keys, "chunk", "time", "asked", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in values])
-    totals = cut.groupBy(*keys, "chunk").agg(*[F.sum(c).alias(c) for c in values])
+    sums = {f"{v}{i}": F.sum(F.when(F.col("fold") == i, F.col(v)).otherwise(0)) for v in "ns" for i in range(folds)}
+    before = Window.partitionBy(*keys, "chunk").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
+    local = cut.select(*keys, "chunk", "time", "fold", "asked", *[F.coalesce(x.over(before), F.lit(0)).alias(c) for c, x in sums.items()])
+    many = cut if hot is None else cut.where(F.col("chunk") >= 0)
+    totals = many.groupBy(*keys, "chunk").agg(*[x.alias(c) for c, x in sums.items()])
     chunks_before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("chunk").alias("of_chunk"), *[F.coalesce(F.sum(c).over(chunks_before), F.lit(0)).alias(f"c_{c}") for c in values])
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], F.col("chunk") == F.col("of_chunk"))
-    summed = local.where("asked > 0").join(carried, same).select(*keys, "time", "asked", *[(F.col(c) + F.col(f"c_{c}")).alias(c) for c in values])
-    n, s = (reduce(Column.__add__, map(F.col, _each(v, folds))) for v in "ns")
-    of_fold = [F.struct(F.lit(i).alias("fold"), (F.col("all_n") - F.col(f"n{i}")).alias("n"), (F.col("all_s") - F.col(f"s{i}")).alias("s")) for i in range(folds)]
-    wanted = F.filter(F.array(*of_fold), lambda x: F.col("asked").bitwiseAND(F.call_function("shiftleft", F.lit(1), x["fold"])) > 0)
-    return summed.withColumns({"all_n": n, "all_s": s}).select(*keys, "time", F.inline(wanted))
+    carried = totals.select(*keys, "chunk", *[F.sum(c).over(chunks_before).alias(f"c_{c}") for c in sums])
+    summed = _met(local.where("asked"), carried, [*keys, "chunk"], keys, "left")
+
+    def others(v: str) -> Column:
+        each = [F.col(f"{v}{i}") + F.coalesce(F.col(f"c_{v}{i}"), F.lit(0)) for i in range(folds)]
+        return (reduce(Column.__add__, each) - F.get(F.array(*each), F.col("fold"))).alias(v)
+
+    return summed.select(*keys, "time", "fold", others("n"), others("s"))
 
 
 def _rate(prior: Column, weight: int) -> Column:
@@ -93,46 +97,45 @@ def _rate(prior: Column, weight: int) -> Column:
     return F.when(F.col("n") < 1, prior).otherwise(F.floor(F.call_function("div", hits, F.col("n") + F.lit(weight)))).cast("long")
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "inner") -> DataFrame:
-    """A join on keys of which null is one value."""
+def _met(left: DataFrame, right: DataFrame, keys: list[str], nullable: list[str], kind: str = "inner") -> DataFrame:
+    """A join on keys that ``right`` has once each, so that its partitions, which are hashed, are even; of those that are ``nullable`` null is one value."""
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return left.join(renamed, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), kind).drop(*[f"_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k in nullable else F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(renamed.hint("shuffle_hash"), reduce(Column.__and__, same), kind).drop(*[f"_{k}" for k in keys])
 
 
 def encode(lines: DataFrame, columns: dict[str, DataFrame | None], folds: int = FOLDS, gap: int = 0, prior: int = PRIOR, weight: int = WEIGHT) -> DataFrame:
     """``lines`` with ``<column>_n`` and ``<column>_rate``: count and smoothed rate (in millionths) of earlier lines of other folds alike in the column.
 
-    ``lines`` has ``(time, fold, n, s)``, n lines of which s have the flag, and the named columns; null is one of a column's values. A column's table, if there is one, gives the value
+    ``lines`` has ``(time, fold, n, s)``, a time in microseconds (:func:`micros`) and n lines of which s have the flag, and the named columns; null is one of a column's values. A column's table, if there is one, gives the value
     of its ``parent`` by ``key``: the rate of that is the prior where the column's history is thin, and the rate of all history is the parent's. Keys that the table lacks share the null parent;
-    of rows that repeat a key the least parent holds. Lines without time are the caller's to drop; without lines the result is empty.
+    of rows that repeat a key the least parent holds. Lines without time or fold are the caller's to drop; without lines the result is empty.
 
-    Equal (key, time) events are one row before any window, hot keys are cut by time, joins are on keys with the time, so no task holds a key, a sale or an instant as a
-    whole. The driver gets the chunk bounds and counts, a broadcast fewer than ``4 * partitions`` keys.
+    Equal (key, time, fold) events are one row before any window, hot keys are cut by time, joins are on keys with the time, so no task holds a key, a sale or an instant
+    as a whole. The driver gets the chunk bounds and counts, a broadcast fewer than ``4 * partitions`` keys.
     """
     chunks = CHUNKS * shuffle_parts(lines)
     bounds = time_bounds(lines, "time", chunks)
     if bounds is None:
         return lines.withColumns({f"{c}_{v}": F.lit(None).cast("long") for c in columns for v in ("n", "rate")})
-    base = None
-    tables = {}
+    base, out = None, lines
     for column, parents in columns.items():
-        rows = events(lines, [column], folds, gap)
+        rows = events(lines, [column], gap)
         if parents is None:
             rows = rows.withColumn("parent", F.lit(None).cast("string"))
         else:
-            known = parents.groupBy("key").agg(F.min("parent").alias("parent"))
-            rows = rows.join(known, F.col(column) == F.col("key"), "left").drop("key")
-        tables[column] = written(rows)
-    for column, rows in tables.items():
+            known = written(parents.groupBy("key").agg(F.min("parent").alias("parent")))  # as a table, so that partitions of a hot key can be split in the join
+            rows = rows.join(known.hint("shuffle_hash"), F.col(column) == F.col("key"), "left").drop("key")
+        rows = written(rows)
         if base is None:
-            all_rows = coarser(rows.withColumn("all", F.lit(0)), ["all"], folds)
+            all_rows = written(added_up(rows.withColumn("all", F.lit(0)), ["all"]))
             base = written(earlier(all_rows, ["all"], folds, bounds, chunks).select("time", "fold", _rate(F.lit(prior).cast("long"), weight).alias("base")))
-        above = earlier(coarser(rows, ["parent"], folds), ["parent"], folds, bounds, chunks)
-        above = _met(above, base, ["time", "fold"]).select("parent", "time", "fold", _rate(F.col("base"), weight).alias("above"))
+        above = earlier(written(added_up(rows, ["parent"])), ["parent"], folds, bounds, chunks)
+        above = _met(above, base, ["time", "fold"], []).select("parent", "time", "fold", _rate(F.col("base"), weight).alias("above"))
         own = earlier(rows, [column, "parent"], folds, bounds, chunks, hot_keys(rows, column, chunks))
-        own = _met(own, above, ["parent", "time", "fold"]).select(column, "time", "fold", F.col("n").alias(f"{column}_n"), _rate(F.col("above"), weight).alias(f"{column}_rate"))
-        lines = _met(lines, own, [column, "time", "fold"])
-    return lines
+        own = _met(own, above, ["parent", "time", "fold"], ["parent"]).select(column, "time", "fold", F.col("n").alias(f"{column}_n"), _rate(F.col("above"), weight).alias(f"{column}_rate"))
+        out = _met(out, own, [column, "time", "fold"], [column])
+    return out
 
 
 def sale_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +147,15 @@ def sale_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "vendor_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("flag") == "returned", 1)).alias("s"))
     sales = table(spark, sf_dir, "sales").where("sale_id is not null and sold_at is not null")
     sales = sales.groupBy("sale_id").agg(F.min(F.struct("sold_at", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"))).alias("x"))
-    return lines.join(sales, "sale_id").select("sale_id", "item_id", "vendor_id", "x.client_id", F.col("x.sold_at").alias("time"), fold_of("sale_id", FOLDS).alias("fold"), "n", "s")
+    return lines.join(sales, "sale_id").select("sale_id", "item_id", "vendor_id", "x.client_id", micros(F.col("x.sold_at")).alias("time"), fold_of("sale_id", FOLDS).alias("fold"), "n", "s")
 
 
 def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and rates of items, vendors and clients for every sale, item and vendor; see :func:`encode` and :func:`sale_groups` for nulls and repeats."""
     parents = {
+        "client_id": table(spark, sf_dir, "clients").select(F.col("client_id").alias("key"), F.col("segment").alias("parent")),
         "item_id": table(spark, sf_dir, "items").select(F.col("item_id").alias("key"), F.col("kind").alias("parent")),
         "vendor_id": table(spark, sf_dir, "vendors").select(F.col("vendor_id").alias("key"), F.col("nation_id").alias("parent")),
-        "client_id": table(spark, sf_dir, "clients").select(F.col("client_id").alias("key"), F.col("segment").alias("parent")),
     }
     found = encode(written(sale_groups(spark, sf_dir)), parents)
     out = {"n": "n_lines", "s": "n_returned"} | {f"{c}_id_{v}": f"{c}_{v}" for c in ("item", "vendor", "client") for v in ("n", "rate")}

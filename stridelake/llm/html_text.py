@@ -29,25 +29,39 @@ HARD, SOFT = frozenset("nav footer".split()), frozenset("form aside dialog menu
 SOFT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 ROOTS = frozenset("article main".split())
 #: Elements whose class and id words count.
-CONTAINERS = frozenset("div section ul ol dl table header".split())
-# A class or id is read as one of these words, perhaps with a word of place before and words of layout after it.
-_WORDS = (
-    "ads?|adsbygoogle|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
-    "navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|promotion|recommended|related|replies|share|sharing|sidebar|signup|social|sponsor|sponsored|"
-    "subscribe|subscription|toolbar|topbar|widgets?|(?:site|page|global)[-_]header"
+CONTAINERS = frozenset("div section ul ol dl table header p li figure blockquote details".split())
+# A class or id is read as one of these words, perhaps with words of place or a naming scheme's letter before and words of layout after it. The first ones say what a reader would
+# not call the article wherever they stand; the second ones are also names of an article's own parts.
+_STRONG = (
+    "ads?|adsbygoogle|adverts?|advertisements?|advertising|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|modal|newsletter|outbrain|popup|promos?|promoted|promotion|"
+    "recommended|related|replies|respond|sidebar|signup|sponsor|sponsored|subscribe|subscription|taboola|(?:site|page|global)[-_]header"
 )
-_BEFORE = "page|site|main|post|entry|left|right|top|bottom|global|primary|secondary|user|reader|cookie|social|share"
-_AFTER = "list|box|section|area|wrap|wrapper|container|block|bar|inner|item|items|content|links?|buttons?|form|left|right|top|bottom|main|primary|secondary|posts?|articles?|slot|unit|text|message|thread|[0-9]+"
-FURNITURE = re.compile(rf"(?:(?:{_BEFORE})[-_])?(?:{_WORDS})(?:[-_]?(?:{_AFTER}|{_WORDS}))*", re.I)
+_WEAK = "banner|breadcrumbs?|disclaimer|discussion|menu|nav|navbar|navigation|notices?|pager|pagination|share|sharing|social|toolbar|topbar|widgets?"
+_BEFORE = "page|site|main|post|entry|left|right|top|bottom|global|primary|secondary|user|reader|cookie|social|share|byline|article|story|js|wp|[a-z]"
+_AFTER = (
+    "list|box|section|area|wrap|wrapper|container|block|bar|inner|item|items|content|links?|buttons?|form|left|right|top|bottom|main|primary|secondary|posts?|articles?|slot|unit|text|message|thread|"
+    "cta|tools?|body|title|[0-9]+"
+)
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:(?:{_BEFORE})[-_]+)*(?:{words})(?:[-_]*(?:{_AFTER}|{_STRONG}|{_WEAK}))*", re.I)
+
+
+STRONG, WEAK = _named(_STRONG), _named(_WEAK)
 OF_ARTICLES = re.compile("ad|advert|comment|promo|related|reply|sponsored|teaser", re.I)
+#: Elements that hold a text as a whole.
+REGIONS = frozenset("body html div section td th center form fieldset details main article dialog".split())
 #: A start tag of the key ends an open element of these kinds (optional end tags of HTML).
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 SPACE = re.compile(r"\s+")
-#: Part of the text that an element needs to be gone into, and that text outside marked elements has at least if they are furniture.
-MOST, SOME = 0.7, 0.2
+#: Part of the text that is outside marked elements at least, if these are furniture.
+SOME = 0.2
+#: Elements that hold other ones: at the edges of a text such a neighbour counts by its own dense text alone.
+GROUPS = frozenset("div section form table dl ul ol aside header footer fieldset details center dir menu".split())
 
 
 class Node(NamedTuple):
@@ -56,10 +70,11 @@ class Node(NamedTuple):
     name: str
     parent: int
     hard: bool
-    mark: bool  # perhaps furniture, by its own name, role or words
+    mark: int  # perhaps furniture, by its own name, role or words: 2 if these are used for nothing else, 1 if articles have such parts
     root: int  # the outermost article or main around it, or -1
     header: bool
     heading: bool
+    silent: bool  # inside what never shows
 
 
 class Block(NamedTuple):
@@ -74,7 +89,7 @@ class PageParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("", -1, False, False, -1, False, False)]
+        self.nodes = [Node("", -1, False, 0, -1, False, False, False)]
         self.open = [0]
         self.blocks: list[Block] = []
         self.parts: list[str] = []
@@ -97,7 +112,7 @@ class PageParser(HTMLParser):
         return self.nodes[self.open[-1]]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.top().silent:
             self.close_block()
         if tag not in IN_HEAD and tag != "head":
             for depth, at in enumerate(self.open):
@@ -119,10 +134,10 @@ class PageParser(HTMLParser):
         place, above = len(self.nodes), self.top()
         inside = above.root >= 0
         hard = above.hard or tag in HIDDEN or tag in HARD or tag == "header" and not inside or _hidden(attrs)
-        mark = tag in SOFT or _marked(tag, attrs)
+        mark = 2 if tag in SOFT else _marked(tag, attrs)
         root = above.root if inside else place if tag in ROOTS else -1
         header = above.header or tag == "header"
-        self.nodes.append(Node(tag, self.open[-1], hard, mark, root, header, above.heading or tag in HEADINGS))
+        self.nodes.append(Node(tag, self.open[-1], hard, mark, root, header, above.heading or tag in HEADINGS, above.silent or tag in HIDDEN))
         self.open.append(place)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -135,7 +150,8 @@ class PageParser(HTMLParser):
         if tag == "a":
             self.link = 0
         if tag in BLOCKS:
-            self.close_block()
+            if not self.top().silent:
+                self.close_block()
         elif tag not in HIDDEN:
             return
         for depth in range(len(self.open) - 1, 0, -1):
@@ -147,7 +163,7 @@ class PageParser(HTMLParser):
                 return  # a stray end tag doesn't close what holds it
 
     def handle_data(self, data: str) -> None:
-        if self.top().name not in HIDDEN:
+        if not self.top().silent:
             self.parts.append(data)
             if self.link:
                 self.linked += len(data.strip())
@@ -157,15 +173,17 @@ def _hidden(attrs: list) -> bool:
     return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and v and re.search(r"display\s*:\s*none", v) for n, v in attrs)
 
 
-def _marked(tag: str, attrs: list) -> bool:
+def _marked(tag: str, attrs: list) -> int:
+    found = 0
     for name, value in attrs:
         if name == "role" and value and value.lower() in SOFT_ROLES:
-            return True
+            found = 2
         if name in ("class", "id") and value and (tag in CONTAINERS or tag == "article"):
-            words = OF_ARTICLES if tag == "article" else FURNITURE
-            if any(map(words.fullmatch, value.split())):
-                return True
-    return False
+            if any(map((OF_ARTICLES if tag == "article" else STRONG).fullmatch, value.split())):
+                return 2
+            if tag != "article" and any(map(WEAK.fullmatch, value.split())):
+                found = max(found, 1)
+    return found
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -180,11 +198,21 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def _ratio(block: Block) -> float:
+    """Characters outside links per tag."""
+    return (len(block.text) - block.linked) / max(1, block.tags)
+
+
+def cluster(blocks: list[Block]) -> tuple[list[float], float]:
+    """Smoothed ratios and the threshold of the cluster of text, their standard deviation."""
+    ratios = smoothed(list(map(_ratio, blocks)))
+    mean = sum(ratios) / max(1, len(ratios))
+    return ratios, math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
+
+
 def dense(blocks: list[Block]) -> list[bool]:
     """Which blocks belong to the cluster of text: smoothed characters outside links per tag of at least their standard deviation."""
-    ratios = smoothed([(len(b.text) - b.linked) / max(1, b.tags) for b in blocks])
-    mean = sum(ratios) / max(1, len(ratios))
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
+    ratios, threshold = cluster(blocks)
     return [r >= threshold for r in ratios]
 
 
@@ -192,26 +220,49 @@ def _linked(block: Block) -> bool:
     return 2 * block.linked > len(block.text)
 
 
+def _mass(part: list[Block]) -> int:
+    return sum(len(b.text) - b.linked for b in part)
+
+
+def _furniture(nodes: list[Node], blocks: list[Block], wrappers: frozenset[int]) -> list[int]:
+    """For every element the outermost marked one around it that is furniture, or -1. In an article or main, what is marked by a name that articles use for their parts has to be half of links, too."""
+    text, linked = [0] * len(nodes), [0] * len(nodes)
+    for b in blocks:
+        text[b.node] += len(b.text)
+        linked[b.node] += b.linked
+    for i in range(len(nodes) - 1, 0, -1):
+        text[nodes[i].parent] += text[i]
+        linked[nodes[i].parent] += linked[i]
+    soft = [-1] * len(nodes)
+    for i, n in enumerate(nodes):
+        around = soft[n.parent] if i else -1
+        doubted = n.mark == 1 and 0 <= n.root != i and 2 * linked[i] < text[i]
+        soft[i] = around if around >= 0 else i if n.mark and not doubted and i not in wrappers else -1
+    return soft
+
+
 def _visible(nodes: list[Node], blocks: list[Block], wrappers: frozenset[int] = frozenset()) -> list[Block]:
     """Blocks that are no furniture: neither in a hard element nor in a marked one, unless that holds the text itself.
 
-    Marked elements hold the text where no article or main stands outside of them and less than ``SOME`` of the text does: the one
-    of at least three blocks and half the text is then taken for a wrapper, and what is marked inside it is judged in turn.
+    Marked elements hold the text where nothing else of an article or main has any, or where no article or main stands outside of them and less than ``SOME`` of the text does:
+    the one of at least three blocks and half the text is then taken for a wrapper, and what is marked inside it is judged in turn.
     """
-    soft = [-1] * len(nodes)  # the outermost marked element around each
-    for i, n in enumerate(nodes):
-        around = soft[n.parent] if i else -1
-        soft[i] = around if around >= 0 else i if n.mark and i not in wrappers else -1
     shown = [b for b in blocks if not nodes[b.node].hard and (nodes[b.node].heading or not nodes[b.node].header)]
+    soft = _furniture(nodes, shown, wrappers)
     free = [b for b in shown if soft[b.node] < 0]
-    mass = lambda part: sum(len(b.text) - b.linked for b in part)
-    if any(n.name in ROOTS and soft[i] < 0 and not n.hard for i, n in enumerate(nodes)) or mass(free) >= SOME * mass(shown):
+    if any(n.name in ROOTS and soft[i] < 0 and not n.hard for i, n in enumerate(nodes)):
+        held = [b for b in shown if nodes[b.node].root >= 0 and soft[nodes[b.node].root] < 0]
+        if held and not any(nodes[b.node].root >= 0 for b in free):
+            best = max({soft[b.node] for b in held}, key=lambda at: _mass([b for b in held if soft[b.node] == at]))
+            return _visible(nodes, blocks, wrappers | {best})
+        return free
+    if _mass(free) >= SOME * _mass(shown):
         return free
     groups: dict[int, list[Block]] = {}
     for b in shown:
         groups.setdefault(soft[b.node], []).append(b)
-    best = max((at for at in groups if at >= 0), key=lambda at: mass(groups[at]), default=-1)
-    if best < 0 or len(groups[best]) < 3 and not _holds_root(nodes, best) or 2 * mass(groups[best]) < mass(shown):
+    best = max((at for at in groups if at >= 0), key=lambda at: _mass(groups[at]), default=-1)
+    if best < 0 or len(groups[best]) < 3 and not _holds_root(nodes, best) or 2 * _mass(groups[best]) < _mass(shown):
         return free
     return _visible(nodes, blocks, wrappers | {best})
 
@@ -225,14 +276,20 @@ def _holds_root(nodes: list[Node], at: int) -> bool:
     return any(nodes[i].name in ROOTS for i in inside)
 
 
+def _inside(nodes: list[Node], regions: set[int]) -> list[bool]:
+    inside = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        inside[i] = i in regions or n.parent >= 0 and inside[n.parent]
+    return inside
+
+
 def main_text(html: str) -> str:
     r"""The article's blocks in page order, joined by ``\n``; empty if there is no text.
 
-    Hidden parts, menus, page headers and footers go by their elements; sidebars, notices, adverts, forms and comments by elements, roles and class
-    words, but for one that holds the text itself. Of what remains, characters outside links per tag are smoothed over neighbouring blocks, and blocks above the standard
-    deviation of the smoothed ratios are the text. From the page inwards, the region is the last element that holds ``MOST`` of this text, widened
-    to the ``article`` or ``main`` around it and to the articles beside that. In the region every block stays but those of links that are no text by their
-    ratio; a region that is the bare page ends at its first and last text, with the headings before it. Repeated blocks all stay.
+    Hidden parts, menus, page headers and footers go by their elements; sidebars, notices, adverts, forms and comments by elements, roles and class words, but for one that holds the
+    text itself. Of what remains, characters outside links per tag are smoothed over neighbouring blocks; blocks above the standard deviation of the smoothed ratios, by their own
+    ratio too, are the text. If most of it stands in an ``article`` or ``main``, that is the region, with the articles beside it, and every block of it stays. Else the region is what :func:`_grown`
+    makes of the innermost element around all text. Repeated blocks all stay.
     """
     parser = PageParser()
     parser.feed(html)
@@ -241,44 +298,70 @@ def main_text(html: str) -> str:
     nodes, blocks = parser.nodes, _visible(parser.nodes, parser.blocks)
     if not blocks:
         return ""
-    text = [d and not _linked(b) for d, b in zip(dense(blocks), blocks)]
+    ratios, threshold = cluster(blocks)
+    text = [r >= threshold and _ratio(b) >= threshold and not _linked(b) for r, b in zip(ratios, blocks)]
     if not any(text):
         text = [not _linked(b) for b in blocks]
-    region = _region(nodes, blocks, text)
-    root = nodes[region].root
+    if not any(text):
+        text = [True] * len(blocks)
+    roots: dict[int, int] = {}
+    for chosen, b in zip(text, blocks):
+        if chosen:
+            roots[nodes[b.node].root] = roots.get(nodes[b.node].root, 0) + len(b.text)
+    root = max(roots, key=lambda r: roots[r])
     if root >= 0 and nodes[root].name == "article":
-        regions = {i for i, n in enumerate(nodes) if n.name == "article" and n.root == i and n.parent == nodes[root].parent}
+        inside = _inside(nodes, {i for i, n in enumerate(nodes) if n.name == "article" and n.root == i and n.parent == nodes[root].parent})
+        kept = [inside[b.node] for b in blocks]
+    elif root >= 0:
+        inside = _inside(nodes, {root})
+        kept = [inside[b.node] for b in blocks]
     else:
-        regions = {root if root >= 0 else region}
-    inside = [False] * len(nodes)
-    for i, n in enumerate(nodes):
-        inside[i] = i in regions or n.parent >= 0 and inside[n.parent]
-    own = [inside[b.node] for b in blocks]
-    first, last = own.index(True) if any(own) else 0, len(own) - own[::-1].index(True) if any(own) else 0
-    if root < 0:
-        if nodes[region].name in ("", "html", "body"):
-            places = [i for i, t in enumerate(text) if t]
-            first, last = (places[0], places[-1] + 1) if places else (0, 0)
-        while first and nodes[blocks[first - 1].node].heading:
-            first -= 1
-            own[first] = True
-    close = dense(blocks)
-    kept = [b.text for i, b in enumerate(blocks) if first <= i < last and own[i] and (close[i] or not _linked(b))]
-    return "\n".join(kept)
-
-
-def _region(nodes: list[Node], blocks: list[Block], text: list[bool]) -> int:
-    """The innermost element that holds ``MOST`` of the text."""
+        kept = _grown(nodes, blocks, text, [r >= threshold for r in ratios])
+    return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
+
+
+def _grown(nodes: list[Node], blocks: list[Block], text: list[bool], near: list[bool]) -> list[bool]:
+    """Which blocks belong to a text that no article or main holds.
+
+    The innermost element of those that hold whole texts (:data:`REGIONS`) around all text is cut into its children. A child with text belongs to it, and between the first and the last of these any other that isn't mostly links. From
+    there outwards single blocks follow (paragraphs, headings, quotes) up to the first child that groups others, which is where menus, adverts and footers
+    begin; then headings right before. Groups before the first ``h1`` go if they hold less than what follows: a text begins with its title. Blocks of links inside stay where their surroundings are dense.
+    """
     mass = [0] * len(nodes)
     for chosen, b in zip(text, blocks):
-        mass[b.node] += len(b.text) if chosen else 0
+        mass[b.node] += chosen
     for i in range(len(nodes) - 1, 0, -1):
         mass[nodes[i].parent] += mass[i]
-    at = 0
-    for i, n in enumerate(nodes):  # a child stands after its parent, so one pass goes inwards
-        if n.parent == at and i != at and mass[i] and mass[i] >= MOST * mass[0]:
-            at = i
-    return at
+    region = max(i for i in range(len(nodes)) if mass[i] == mass[0])  # the innermost, as those with all of it are nested
+    while region and nodes[region].name not in REGIONS:
+        region = nodes[region].parent
+    child = list(range(len(nodes)))  # the child of the region around each element
+    for i, n in enumerate(nodes):
+        if n.parent >= 0 and n.parent != region and i != region:
+            child[i] = child[n.parent]
+    inside, titled = _inside(nodes, {region}), _inside(nodes, {i for i, n in enumerate(nodes) if n.name == "h1"})
+    own = [inside[b.node] for b in blocks]
+    linked, total = {}, {}
+    for b, mine in zip(blocks, own):
+        if mine:
+            at = child[b.node]
+            linked[at], total[at] = linked.get(at, 0) + b.linked, total.get(at, 0) + len(b.text)
+    heavy = {at for at in total if at != region and nodes[at].name in GROUPS and 2 * linked[at] > total[at]}
+    places = [i for i, b in enumerate(blocks) if own[i] and (text[i] or child[b.node] != region and mass[child[b.node]])]
+    first, last = places[0], places[-1]
+    title = next((i for i, b in enumerate(blocks) if own[i] and i >= first and titled[b.node]), first)
+    if sum(len(b.text) for b in blocks[first:title]) < sum(len(b.text) for b in blocks[title : last + 1]) and all(child[b.node] != region for b in blocks[first:title]):
+        first = title
+    single = lambda i: own[i] and (child[blocks[i].node] == region or nodes[child[blocks[i].node]].name not in GROUPS)
+    while first and single(first - 1) and not _linked(blocks[first - 1]):
+        first -= 1
+    while last + 1 < len(blocks) and single(last + 1) and not _linked(blocks[last + 1]):
+        last += 1
+    kept = [own[i] and first <= i <= last and (mass[child[b.node]] > 0 or child[b.node] not in heavy) and (near[i] or not _linked(b)) for i, b in enumerate(blocks)]
+    while first and nodes[blocks[first - 1].node].heading:
+        first -= 1
+        kept[first] = True
+    return kept
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

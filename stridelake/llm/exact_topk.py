@@ -25,11 +25,11 @@ def _usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFram
 
 
 class _Best:
-    """The k best distinct ids per query so far: scores descending, ties by id."""
+    """The k best distinct ids per query so far: scores descending, ties by id. Scores are doubles, or Python's integers where these don't hold them."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
+    def __init__(self, queries: int, k: int, exact: bool = True):
+        self.k, self.exact = k, exact
+        self.scores = np.full((queries, k), -np.inf, np.float64 if exact else object)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -37,59 +37,77 @@ class _Best:
             return
         known = self.scores[q] > -np.inf
         ids, scores = np.r_[self.ids[q][known], ids], np.r_[self.scores[q][known], scores]
-        order = np.lexsort((ids, -scores))
+        order = np.lexsort((ids, -scores)) if self.exact else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])))
         ids, scores = ids[order], scores[order]
         first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
         self.ids[q, : len(first)], self.scores[q, : len(first)] = ids[first], scores[first]
 
 
-def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vertical: np.ndarray) -> None:
-    """Offers one block of candidates (a row per dimension) to every query.
+def _leaders(ids: np.ndarray, partial: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k candidates with the highest partial sums, of different ids; fewer if there are not as many among the first few."""
+    most = min(len(partial), 4 * k)
+    best = np.argpartition(-partial.astype(np.float64), most - 1)[:most]
+    best = best[np.argsort(-partial[best].astype(np.float64), kind="stable")]
+    return best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]
 
-    A query takes its dimensions in order of its own mass, STEP at a time. After each step a candidate's score is at most the partial
-    sum plus the product of the norms of what remains of both vectors; those whose bound is below the k-th score are compacted away.
-    All sums are of integers, exact in doubles; the bound gets room for its roots' rounding, in proportion to its size.
+
+def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vertical: np.ndarray) -> int:
+    """Offers one block of candidates (a row per dimension) to every query; returns how many products were made.
+
+    A query takes its dimensions in order of its own mass, STEP at a time. After the first step the k leaders are finished, so that there is a lower limit from the first block
+    on. After each step a candidate's score is at most the partial sum plus the product of the norms of what remains of both vectors; those whose bound is below
+    the k-th score are compacted away. Sums are exact; bounds are doubles with room for the rounding of sums and roots, in proportion to their size.
     """
-    dims = vertical.shape[0]
-    squares = vertical * vertical
+    dims, products = vertical.shape[0], 0
+    squares = vertical.astype(np.float64) ** 2
     total = squares.sum(axis=0)
     for q in range(len(query_ids)):
         query = queries[q]
-        order = np.argsort(-np.abs(query), kind="stable")
+        weight = query.astype(np.float64)
+        order = np.argsort(-np.abs(weight), kind="stable")
         floor = best.scores[q, -1]
         alive = np.flatnonzero(ids != query_ids[q])
-        partial, rest = np.zeros(len(alive)), total[alive]
-        query_rest = float(query @ query)
+        partial, rest = np.zeros(len(alive), vertical.dtype), total[alive]
+        query_rest = float(weight @ weight)
         for at in range(0, dims, STEP):
             some = order[at : at + STEP]
-            last = at + STEP >= dims
             whole = len(alive) == len(ids)
             part = vertical[some] if whole else vertical[np.ix_(some, alive)]
             partial = partial + query[some] @ part
-            if last or floor == -np.inf:
+            products += part.size
+            if at + STEP >= dims or not len(alive):
+                break
+            if at == 0 and len(alive) > best.k:
+                first = _leaders(ids[alive], partial, best.k)
+                if len(first) == best.k:
+                    floor = max(floor, (partial[first] + query[order[STEP:]] @ vertical[np.ix_(order[STEP:], alive[first])]).min())
+                    products += best.k * (dims - STEP)
+            if floor == -np.inf:
                 continue
-            rest = rest - (squares[some] if whole else part * part).sum(axis=0)
-            query_rest -= float(query[some] @ query[some])
-            reach = np.sqrt(np.maximum(rest, 0.0) * max(query_rest, 0.0))
-            keep = partial + reach * (1 + 1e-9) >= floor - 0.5
+            rest = rest - (squares[some] if whole else squares[np.ix_(some, alive)]).sum(axis=0)
+            query_rest -= float(weight[some] @ weight[some])
+            reach, so_far = np.sqrt(np.maximum(rest, 0.0) * max(query_rest, 0.0)), partial.astype(np.float64)
+            keep = so_far + reach + 1e-9 * (np.abs(so_far) + reach + abs(float(floor))) + 0.5 >= float(floor)
             if not keep.all():
                 alive, partial, rest = alive[keep], partial[keep], rest[keep]
-            if not len(alive):
-                break
         if len(alive) > best.k:  # ties at the k-th place stay
-            kth = np.partition(partial, len(partial) - best.k)[len(partial) - best.k] if len(np.unique(ids[alive])) == len(alive) else floor
-            chosen = partial >= max(kth, floor)
+            chosen = (partial >= floor).astype(bool)
+            if len(np.unique(ids[alive])) == len(alive):
+                kth = np.sort(partial)[-best.k]
+                chosen &= (partial >= kth).astype(bool)
             alive, partial = alive[chosen], partial[chosen]
         best.offer(q, ids[alive], partial)
+    return products
 
 
 class _Search:
     """A block of queries that candidates stream past; the bounds left by earlier vertical blocks prune later ones."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.best = ids, queries, _Best(len(ids), k)
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, exact: bool = True):
+        self.exact, self.ids, self.queries, self.best = exact, ids, queries if exact else queries.astype(np.int64).astype(object), _Best(len(ids), k, exact)
         self.held_ids: list[np.ndarray] = []
         self.held: list[np.ndarray] = []
+        self.products = 0
 
     def feed(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.held_ids.append(ids), self.held.append(rows)
@@ -100,42 +118,17 @@ class _Search:
         if self.held:
             ids, rows = np.concatenate(self.held_ids), np.concatenate(self.held)
             self.held_ids.clear(), self.held.clear()
+            rows = rows if self.exact else rows.astype(np.int64).astype(object)
             for at in range(0, len(ids), BLOCK):
-                search_block(self.best, self.ids, self.queries, ids[at : at + BLOCK], np.ascontiguousarray(rows[at : at + BLOCK].T))
+                self.products += search_block(self.best, self.ids, self.queries, ids[at : at + BLOCK], np.ascontiguousarray(rows[at : at + BLOCK].T))
 
     def result(self) -> pa.RecordBatch:
         self.flush()
         q, r = np.nonzero(self.best.scores > -np.inf)
-        scores = self.best.scores[q, r].astype(np.int64)
+        scores = np.array([int(x) for x in self.best.scores[q, r]], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.best.ids[q, r]), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
-class _Whole(_Search):
-    """The same with Python's integers and without bounds, for products that doubles don't hold."""
-
-    def flush(self) -> None:
-        if not self.held:
-            return
-        ids, rows = np.concatenate(self.held_ids), np.concatenate(self.held).astype(object)
-        self.held_ids.clear(), self.held.clear()
-        for q in range(len(self.ids)):
-            scores = rows @ self.queries[q].astype(object)
-            known = self.found.setdefault(q, {})
-            for i, score in zip(ids.tolist(), scores.tolist()):
-                if i != self.ids[q]:
-                    known[i] = max(score, known.get(i, score))
-            self.found[q] = dict(sorted(known.items(), key=lambda item: (-item[1], item[0]))[: self.best.k])
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        super().__init__(ids, queries, k)
-        self.found: dict[int, dict[int, int]] = {}
-
-    def result(self) -> pa.RecordBatch:
-        self.flush()
-        rows = [(int(self.ids[q]), i, score) for q, known in self.found.items() for i, score in known.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-
 def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the k candidates of ``df`` with the highest integer inner product, ties to the smaller id.
 
@@ -145,7 +138,7 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     Bounded blocks of queries and of candidates meet by a shuffle (:mod:`stridelake.operators.blocks`), so nothing but three numbers of each table passes the driver, and
     each pair returns k rows per query. Sums are exact in doubles while the greatest norms of both tables multiply to less than 2**53 (the
-    bound of any partial sum); beyond, Python's integers are used. Scores must fit a long.
+    bound of any partial sum); beyond, sums are Python's integers, with the same bounds. Scores must fit a long.
     """
     rows = _usable(df, id_col, vector_col, scale)
     asked = _usable(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
@@ -155,9 +148,8 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     exact = told[0]["norm"] * told[1]["norm"] * (1 + 1e-9) < EXACT
     if exact:
         rows, asked = (t.withColumn("v", F.col("v").cast("array<double>")) for t in (rows, asked))
-    kind = _Search if exact else _Whole
     pairs = B.paired(asked, rows, told[1]["n"], told[0]["n"])
-    found = pairs.mapInArrow(B.meetings(width, lambda ids, matrix: kind(ids, matrix, k)), "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(B.meetings(width, lambda ids, matrix: _Search(ids, matrix, k, exact)), "query_id long, vec_id long, score long")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +11,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import blocks as B
 from stridelake.operators import stats as A
-
-#: Held rows that are compared at once.
-BLOCK = 512
-
+from stridelake.storage import written
 
 def robust_scaled(df: DataFrame, features: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Every feature clipped to [0, 1] between its own quantiles; 0.5 where the span is nothing or the value no number.
@@ -49,46 +48,128 @@ def group_weights(features: list[str], weights: dict[str, float] = GROUP_WEIGHTS
     return [weights.get(g, 0.0) / groups.count(g) for g in groups]
 
 
-class _Nearest:
-    """The k nearest fed rows of each held row by L1, ties to the smaller id."""
+class CellSearch:
+    """The rows of a cell in order of their distance to its pivot; each asking row looks at those alone whose distance differs from its own by no more than its limit."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, away: np.ndarray, k: int):
+        self.ids, self.vertical, self.away, self.k = ids, np.ascontiguousarray(rows.T), away, k
+        self.compared = 0
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
-        self.ids, self.rows, self.k = ids, rows, k
-        self.at, self.near, self.distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    def nearest(self, own: int, row: np.ndarray, away: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest rows within the limit, ties to the smaller id. The triangle inequality gets room for rounding."""
+        reach = limit * (1 + 1e-9) + 1e-9
+        lo, hi = np.searchsorted(self.away, [away - reach, away + reach], side="left")
+        hi = np.searchsorted(self.away, away + reach, side="right")
+        self.compared += hi - lo
+        distance = np.abs(self.vertical[:, lo:hi] - row[:, None]).sum(axis=0)
+        ids = self.ids[lo:hi]
+        near = np.flatnonzero((distance <= limit) & (ids != own))
+        if len(near) > self.k:
+            near = near[distance[near] <= np.partition(distance[near], self.k - 1)[self.k - 1]]
+        near = near[np.lexsort((ids[near], distance[near]))][: self.k]
+        return ids[near], distance[near]
 
-    def feed(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        for lo in range(0, len(self.ids), BLOCK):
-            part, own = self.rows[lo : lo + BLOCK], self.ids[lo : lo + BLOCK]
-            distance = np.zeros((len(part), len(ids)))
-            for d in range(part.shape[1]):
-                distance += np.abs(part[:, d, None] - rows[None, :, d])
-            distance[own[:, None] == ids[None, :]] = np.inf
-            kth = np.partition(distance, min(self.k, len(ids)) - 1, axis=1)[:, min(self.k, len(ids)) - 1]
-            q, c = np.nonzero((distance <= kth[:, None]) & np.isfinite(distance))
-            self.at, self.near, self.distance = np.r_[self.at, q + lo], np.r_[self.near, ids[c]], np.r_[self.distance, distance[q, c]]
-        self.trim()
 
-    def trim(self) -> None:
-        order = np.lexsort((self.near, self.distance, self.at))
-        at = self.at[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        order = order[rank < self.k]
-        self.at, self.near, self.distance = self.at[order], self.near[order], self.distance[order]
+#: Rows of a cell (about), and cells at most: a pivot each, all of which a task knows; pivots whose distances bound whole cells.
+CELL, CELLS, PIVOTS = 2048, 1024, 8
 
-    def result(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.at]), pa.array(self.near), pa.array(self.distance)], names=["id", "neighbor", "distance"])
 
+def _to_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``(id, v, cell, away, p)``: the nearest pivot of each row, how far it is, and the distances to all."""
 
-def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float], k: int) -> DataFrame:
-    """``(id, rank, neighbor, distance)``: the k nearest other rows by weighted L1, ties to the smaller id. Ids must be unique.
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                matrix = B.matrix_of(part.column(1), pivots.shape[1])
+                distance = np.stack([np.abs(pivots - row).sum(axis=1) for row in matrix]) if len(matrix) else np.zeros((0, len(pivots)))
+                cell = distance.argmin(axis=1)
+                kept = [pa.array(cell, pa.int32()), pa.array(distance[np.arange(len(cell)), cell]), pa.array(list(distance), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *kept], names=["id", "v", "cell", "away", "p"])
 
-    Pairs of bounded blocks meet by a shuffle; each keeps k rows per row, and the pairs of a block are merged by a second shuffle of these alone.
+    return rows.mapInArrow(of_batches, "id long, v array<double>, cell int, away double, p array<double>")
+
+
+def _asked_of_cells(placed: DataFrame, asked: DataFrame, sizes: dict[int, int], k: int, width: int) -> DataFrame:
+    """``(id, neighbor, distance)``: what each ``asked(id, v, limit, cell, away)`` finds in its cell.
+
+    A cell of more than ``HELD`` rows is several blocks, which its asking rows all visit; many asking rows of one cell are several runs, for each of which its
+    rows are sent once more. A run is a block's rows, which the task holds, and asking rows that stream past.
+    """
+    callers = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
+    table = F.create_map(*[x for c in sizes for x in (F.lit(c), F.array(F.lit(max(1, -(-sizes[c] // B.HELD))), F.lit(max(1, -(-callers.get(c, 0) // B.STREAMED)))))])
+    blocks, runs = F.element_at(table, F.col("cell"))[0], F.element_at(table, F.col("cell"))[1]
+    hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = placed.select("cell", hashed(blocks).alias("block"), every(runs).alias("run"), F.lit(0).alias("kind"), "id", "v", "away", F.lit(0.0).alias("limit"))
+    calls = asked.where(F.col("cell").isin(list(sizes))).select("cell", every(blocks).alias("block"), hashed(runs).alias("run"), F.lit(1).alias("kind"), "id", "v", "away", "limit")
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = held.unionByName(calls).repartition(max(parts, sum(-(-n // B.HELD) for n in sizes.values())), "cell", "block", "run").sortWithinPartitions("cell", "block", "run", "kind", "away")
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, search = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if at != (here := tuple(key[lo, :3])):
+                    at, rows, search = here, [], None
+                part = batch.slice(lo, hi - lo)
+                ids, matrix, away = part.column(4).to_numpy(), B.matrix_of(part.column(5), width), part.column(6).to_numpy()
+                if key[lo, 3] == 0:
+                    rows.append((ids, matrix, away))
+                    continue
+                if search is None and rows:
+                    search = CellSearch(*(np.concatenate(x) for x in zip(*rows)), k)
+                    rows = []
+                if search is not None:
+                    limit = part.column(7).to_numpy()
+                    found = [search.nearest(int(i), row, float(d), float(most)) for i, row, d, most in zip(ids, matrix, away, limit)]
+                    counts = [len(f[0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["id", "neighbor", "distance"])
+
+    return dealt.mapInArrow(of_batches, "id long, neighbor long, distance double")
+
+
+def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float], k: int, cell_rows: int = CELL) -> DataFrame:
+    """``(id, rank, neighbor, distance)``: the k nearest other rows by weighted L1, ties to the smaller id. Ids must be unique, values numbers.
+
+    Rows are dealt to the cells of pivots, a bounded sample of rows. Each row first searches its own cell; the k-th distance there is its limit. It is then sent to those other cells
+    alone that may hold a nearer row by the triangle inequality: its distance to their pivot less their radius, and to ``PIVOTS`` further pivots outside their range, are lower bounds. In a
+    cell it looks at the rows whose distance to the pivot is near its own. What is pruned depends on the data (little where all rows are about as far from each other); the
+    result doesn't. The driver gets the pivots and a few numbers a cell.
     """
     values = F.array(*[F.col(c).cast("double") * w for c, w in zip(features, weights)])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), values.alias("v"))
-    n = rows.count()
-    found = B.paired(rows, rows, n, n).mapInArrow(B.meetings(len(features), lambda ids, matrix: _Nearest(ids, matrix, k)), "id long, neighbor long, distance double")
+    rows = written(df.select(F.col(id_col).cast("long").alias("id"), values.alias("v")))
+    width, cells = len(features), max(1, min(CELLS, rows.count() // cell_rows))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
+    pivots = np.array([r["v"] for r in sample]).reshape(-1, width)
+    if not len(pivots):
+        return rows.select("id", F.lit(1).alias("rank"), F.col("id").alias("neighbor"), F.lit(0.0).alias("distance"))
+    placed = written(_to_pivots(rows, pivots))
+    some = list(range(min(PIVOTS, cells)))
+    about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), *[f(F.col("p")[i]).alias(f"{n}{i}") for i in some for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    sizes = {r["cell"]: r["n"] for r in about}
+    own = written(_ranked(_asked_of_cells(placed, placed.select("id", "v", F.lit(float("inf")).alias("limit"), "cell", "away"), sizes, k, width), k))
+    limits = own.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
+    asking = placed.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    bounds = F.array(*[F.struct(F.lit(r["cell"]).alias("cell"), F.lit(float(r["radius"])).alias("radius"), F.array(*[F.lit(float(r[f"lo{i}"])) for i in some]).alias("lo"), F.array(*[F.lit(float(r[f"hi{i}"])) for i in some]).alias("hi")) for r in about])
+    room = F.col("limit") * (1 + 1e-9) + 1e-9
+
+    def reaches(c: Column) -> Column:
+        near = F.get(F.col("p"), c["cell"]) - c["radius"] <= room
+        for i in some:
+            near = near & (F.col("p")[i] - c["hi"][i] <= room) & (c["lo"][i] - F.col("p")[i] <= room)
+        return near & (c["cell"] != F.col("cell"))
+
+    others = asking.select("id", "v", "limit", "p", F.explode(F.filter(bounds, reaches)).alias("c")).select("id", "v", "limit", F.col("c.cell").alias("cell"), F.get("p", F.col("c.cell")).alias("away"))
+    found = own.select("id", "neighbor", "distance").unionByName(_asked_of_cells(placed, written(others), sizes, k, width))
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
 

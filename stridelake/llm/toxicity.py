@@ -15,7 +15,7 @@ from stridelake.llm.common import small_batches, table, whole_text, written
 #: Lengths of character n-grams, a word's two ends counted as characters; log2 of the rows of the embedding table, and its width.
 GRAMS, BITS, WIDTH = (3, 4, 5), 18, 4
 #: The training sample: documents of each class at most, and distinct subwords of all of them together.
-SAMPLE, SUBWORDS = 2000, 12_000_000
+SAMPLE, SUBWORDS = 1500, 5_000_000
 #: Passes over the sample, documents of a step, documents that a subword must be in; step sizes and dampers of the table, the weights and the biases.
 EPOCHS, BATCH, SEEN = 25, 64, 3
 RATES, DAMPERS = (10.0, 0.02, 0.02), (1e-4, 1e-4, 1e-4)
@@ -91,9 +91,11 @@ def trained(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
     if counts.min() == 0:
         return None
     rng = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=1 << BITS)
+    seen = np.zeros(1 << BITS, np.int32)
+    for index, _ in bags:
+        seen[index] += 1  # a bag names a bucket once
     known = np.flatnonzero(seen >= SEEN)
-    row = np.full(1 << BITS, -1)
+    row = np.full(1 << BITS, -1, np.int32)
     row[known] = np.arange(len(known))
     bags = [(row[i][row[i] >= 0], w[row[i] >= 0]) for i, w in bags]
     size = len(known)
@@ -168,8 +170,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         if ids and used > SUBWORDS:
             break
         ids.append(r["id"])
-    rows = sorted(bags.where(F.col("id").isin(ids)).select("place", "id", "label", "buckets", "shares").collect(), key=lambda r: (r["place"], r["id"])) if ids else []
-    return trained([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows], np.array([r["label"] for r in rows], np.int64))
+    place = {i: n for n, i in enumerate(ids)}
+    sample = {}
+    for r in bags.where(F.col("id").isin(ids)).select("id", "label", "buckets", "shares").toLocalIterator() if ids else ():  # a part of the sample at a time
+        sample[place[r["id"]]] = (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"])
+    ordered = [sample[n] for n in sorted(sample)]
+    return trained([x[:2] for x in ordered], np.array([x[2] for x in ordered], np.int64))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,9 +105,9 @@ def stance_offsets(
     rows = rows.withColumns({"__n": n, "__best": best, "__rank": rank, "__few": few})
     rows = rows.withColumn("__cand", F.when(F.col("__best") >= least, F.col("__conf") >= least).otherwise(F.col("__rank") <= F.col("__few")))
     held = rows.where("__cand").withColumns({"__offset": clearance - F.col("__mean"), "__weight": F.greatest("__conf", F.lit(1e-6)) ** 2})
-    p95 = A.weighted_quantile(held, [key], "__offset", "__weight", 0.95, "offset")
+    p95 = A.weighted_quantile(held, [key], "__offset", "__weight", 0.95, "offset", small=True)
     after = held.join(p95, key).withColumn("__after", F.col("__mean") + F.col("offset")).withColumn("__far", F.abs("__after"))
-    far = A.weighted_quantile(after, [key], "__far", "__weight", 0.95, "stance_p95")
+    far = A.weighted_quantile(after, [key], "__far", "__weight", 0.95, "stance_p95", small=True)
     told = after.groupBy(key).agg(F.count("*").alias("candidates"), A.weighted_mean(F.col("__offset"), F.col("__weight")).alias("mean_offset"), F.percentile("__after", F.lit(0.5)).alias("stance_p50"))
     first = lambda order: F.min_by("frame", F.struct(order, "frame"))
     frames = rows.groupBy(key).agg(F.count("*").alias("num_frames"), F.max("__conf").alias("confidence"), first(-F.col("__conf")).alias("best_frame"), F.min("__low").alias("lowest"), first(F.col("__low")).alias("low_frame"))

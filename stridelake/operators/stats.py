@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,22 +63,30 @@ def histogram_quantiles(df: DataFrame, keys: list[str], value: str, width: float
 
 #: Ranges of values that a key's rows are cut into to find the one that holds a quantile.
 CUTS = 256
+#: Size of a sketch, what it may err in rank with room to spare (ten times its standard error), rows of a key that need no bracket, and rows of a bracket that one task orders.
+SKETCH, ERROR, FEW, ORDERED = 1600, 0.02, 2000, 4_000_000
 
 
-def _reached(per: DataFrame, goals: Column) -> DataFrame:
-    """``(__k, i, value)`` from distinct values ``per(__k, value, amount)``: for each of ``goals``, an array of ``struct(i, goal, beyond)`` over ``total``,
+def _below(cuts: Column, value: Column, n: int) -> Column:
+    """How many of the ascending cuts are less than the value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(cuts, lo + step - 1) < value, lo + step).otherwise(lo))
+
+
+def _reached(per: DataFrame, goals: Column, known: DataFrame | None = None) -> DataFrame:
+    """``(__k, i, value)`` from distinct values ``per(__k, value, amount)``: for each of ``goals``, an array of ``struct(i, goal, beyond)`` over ``total`` and the columns ``known`` has for a key,
     the least value whose cumulative amount reaches the goal (is beyond it, where that is asked for).
 
     A key's values are cut into ranges at approximate quantiles; sums of the ranges tell which one holds a goal, and only the rows of that
     range are ordered. So neither a key of all rows nor a value of a third of them is sorted in one task.
     """
-    cuts = per.groupBy("__k").agg(F.percentile_approx("value", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("cuts"), F.sum("amount").alias("total"))
+    cuts = written(per.groupBy("__k").agg(F.percentile_approx("value", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("cuts"), F.sum("amount").alias("total")))
     keyed = per.join(cuts.select("__k", "cuts"), "__k")
-    ranged = keyed.select("__k", "value", "amount", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"))
+    ranged = keyed.select("__k", "value", "amount", _below(F.col("cuts"), F.col("value"), CUTS).alias("bucket"))
     sums = ranged.groupBy("__k", "bucket").agg(F.sum("amount").alias("s"))
     upto = Window.partitionBy("__k").orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("s").over(upto)).withColumn("before", F.coalesce(F.lag("upto").over(upto), F.lit(0.0)))
-    asked = cuts.select("__k", F.inline(goals))
+    asked = (cuts if known is None else cuts.join(known, "__k")).select("__k", F.inline(goals))
     hit = lambda amount: F.when(F.col("beyond"), amount > F.col("goal")).otherwise(amount >= F.col("goal"))
     found = asked.join(sums, "__k").where(hit(F.col("upto"))).groupBy("__k", "i", "goal", "beyond").agg(F.min(F.struct("bucket", "before")).alias("b"))
     near = ranged.join(found.select("__k", "i", "goal", "beyond", "b.*"), ["__k", "bucket"])
@@ -85,39 +94,110 @@ def _reached(per: DataFrame, goals: Column) -> DataFrame:
     return near.withColumn("cum", cumulative).where(hit(F.col("cum"))).groupBy("__k", "i").agg(F.min("value").alias("value"))
 
 
+def _key(keys: list[str]) -> Column:
+    """Keys as one struct, in which nulls are equal."""
+    return F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
+
+
 def _distinct(df: DataFrame, keys: list[str], value: str, amount: Column) -> DataFrame:
-    """Equal values are added up before anything is ordered; keys are one struct, in which nulls are equal."""
-    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
-    return df.select(key.alias("__k"), F.col(value).cast("double").alias("value"), amount.cast("double").alias("amount")).groupBy("__k", "value").agg(F.sum("amount").alias("amount"))
+    """Equal values are added up before anything is ordered."""
+    return df.select(_key(keys).alias("__k"), F.col(value).cast("double").alias("value"), amount.cast("double").alias("amount")).groupBy("__k", "value").agg(F.sum("amount").alias("amount"))
+
+
+def sketches(df: DataFrame, keys: list[str], value: str, size: int = SKETCH) -> DataFrame:
+    """``(keys, sketch, n, least, most)``: a mergeable quantile sketch of the finite values of each key, to be stored and merged with others."""
+    v = F.col(value).cast("double")
+    return df.where(finite(v)).groupBy(*keys).agg(F.kll_sketch_agg_double(v, F.lit(size)).alias("sketch"), F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def merged_sketches(stored: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The sketches of several runs as those of all their rows."""
+    rows = reduce(DataFrame.unionByName, stored)
+    return rows.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def sketched(found: DataFrame, keys: list[str], quantiles: list[float], name: str = "quantiles") -> DataFrame:
+    """``(keys, n, <name>)``: approximate quantiles from sketches."""
+    return found.select(*keys, "n", F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, quantiles))).alias(name))
+
+
+def _bracketed(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``(__k, j, value, amount)``: distinct values inside the key's brackets ``b``, an array of ``struct(j, lo, hi)``, and, with a null value, how many are below each."""
+    x = F.col("value")
+    inside = F.transform(F.filter("b", lambda b: x <= b["hi"]), lambda b: F.struct(b["j"].alias("j"), F.when(x >= b["lo"], x).alias("value")))
+    placed = rows.join(brackets, "__k").select("__k", inside.alias("b")).select("__k", F.inline("b"))
+    return written(placed.groupBy("__k", "j", "value").agg(F.count("*").cast("double").alias("amount")))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], name: str = "quantiles") -> DataFrame:
-    """``(keys, <name>)``: the linear quantiles of the finite values of each key as an array, at any number of rows of a key; keys without values are absent."""
-    per = _distinct(df.where(finite(F.col(value))), keys, value, F.lit(1.0))
-    last = F.col("total") - 1
-    ends = [e for j, q in enumerate(quantiles) for e in ((2 * j, F.floor(last * q)), (2 * j + 1, F.least(F.floor(last * q) + 1, last)))]
-    goals = F.array(*[F.struct(F.lit(i).alias("i"), g.cast("double").alias("goal"), F.lit(True).alias("beyond")) for i, g in ends])
-    found = _reached(written(per), goals)
-    held = found.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("v"))
-    counted = held.join(per.groupBy("__k").agg(F.sum("amount").alias("total")), "__k")
+    """``(keys, <name>)``: the linear quantiles of the finite values of each key as an array, at any number of rows of a key; keys without values are absent.
+
+    Two passes over the rows. The first makes a sketch of each key, whose quantiles a little below and above those asked for are brackets. The second counts what is below each bracket and
+    shuffles the distinct values inside it alone, some hundredths of all. If a count shows that a bracket missed its rank, that one is made anew from the whole range. A
+    bracket's values are ordered in one task while they are few, else cut into ranges first.
+    """
+    rows = df.where(finite(F.col(value))).select(_key(keys).alias("__k"), F.col(value).cast("double").alias("value"))
+    last = F.col("n") - 1
+    places = {j: (F.floor(last * q), F.least(F.floor(last * q) + 1, last)) for j, q in enumerate(quantiles)}
+    ends = [max(0.0, q - ERROR) for q in quantiles] + [min(1.0, q + ERROR) for q in quantiles]
+    about = written(sketches(rows, ["__k"], "value").withColumn("e", F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, ends)))).drop("sketch"))
+    few, m = F.col("n") <= FEW, len(quantiles)
+    lo = lambda j, q: F.when(few | F.lit(q - ERROR <= 0), F.col("least")).otherwise(F.col("e")[j])
+    hi = lambda j, q: F.when(few | F.lit(q + ERROR >= 1), F.col("most")).otherwise(F.col("e")[m + j])
+    bracket = [F.struct(F.lit(j).alias("j"), lo(j, q).alias("lo"), hi(j, q).alias("hi")) for j, q in enumerate(quantiles)]
+    inside = _bracketed(rows, about.select("__k", F.array(*bracket).alias("b")))
+
+    def told(part: DataFrame) -> DataFrame:
+        counts = part.groupBy("__k", "j").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("amount"))), F.lit(0.0)).alias("before"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("amount"))), F.lit(0.0)).alias("within"), F.count("value").alias("rows"))
+        at = lambda i: F.get(F.array(*[places[j][i].cast("double") for j in range(m)]), F.col("j"))
+        return counts.join(about.select("__k", "n", "least", "most"), "__k").withColumns({"low": at(0), "high": at(1)})
+
+    counts = written(told(inside))
+    missed = counts.where((F.col("before") > F.col("low")) | (F.col("before") + F.col("within") <= F.col("high")))
+    if not missed.isEmpty():
+        again = missed.groupBy("__k").agg(F.collect_list(F.struct("j", F.col("least").alias("lo"), F.col("most").alias("hi"))).alias("b"))
+        inside = inside.join(missed.select("__k", "j"), ["__k", "j"], "left_anti").unionByName(_bracketed(rows, again))
+        counts = written(told(inside))
+    values = inside.where("value is not null")
+    if (counts.agg(F.max("rows")).first()[0] or 0) > ORDERED:
+        per = values.select(F.struct("__k", "j").alias("__k"), "value", "amount")
+        goals = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(c) - F.col("before")).alias("goal"), F.lit(True).alias("beyond")) for i, c in enumerate(("low", "high"))])
+        found = _reached(written(per), goals, counts.select(F.struct("__k", "j").alias("__k"), "before", "low", "high"))
+        pair = found.groupBy("__k").pivot("i", [0, 1]).agg(F.min("value")).select("__k.__k", "__k.j", F.col("0").alias("a"), F.col("1").alias("b"))
+    else:
+        running = values.join(counts.select("__k", "j", "before", "low", "high"), ["__k", "j"]).withColumn("cum", F.col("before") + F.sum("amount").over(Window.partitionBy("__k", "j").orderBy("value")))
+        pair = running.groupBy("__k", "j").agg(*[F.min(F.when(F.col("cum") > F.col(c), F.col("value"))).alias(n) for n, c in (("a", "low"), ("b", "high"))])
+    held = pair.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct("a", "b")))).alias("v")).join(about.select("__k", "n"), "__k")
 
     def at(j: int, q: float) -> Column:
         place = last * q
         part = place - F.floor(place)
-        return F.when(part == 0, F.col("v")[2 * j]).otherwise(F.col("v")[2 * j] * (1 - part) + F.col("v")[2 * j + 1] * part)
+        return F.when(part == 0, F.col("v")[j]["a"]).otherwise(F.col("v")[j]["a"] * (1 - part) + F.col("v")[j]["b"] * part)
 
-    return counted.select(*[F.col("__k")[k].alias(k) for k in keys], F.array(*[at(j, q) for j, q in enumerate(quantiles)]).alias(name))
+    return held.select(*[F.col("__k")[k].alias(k) for k in keys], F.array(*[at(j, q) for j, q in enumerate(quantiles)]).alias(name))
 
 
-def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:
-    """The least value whose cumulative weight reaches q of the total; the plain quantile where all weights are 0."""
+def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str, small: bool = False) -> DataFrame:
+    """The least value whose cumulative weight reaches q of the total; the plain quantile where all weights are 0.
+
+    ``small`` says that a key's rows fit into a task, as those of a series do: then one window over each key does it.
+    """
+    if small:
+        w = Window.partitionBy(*keys)
+        rows = df.select(*keys, F.col(value).cast("double").alias("__value"), F.col(weight).cast("double").alias("__w"))
+        rows = rows.withColumns({"__cum": F.sum("__w").over(w.orderBy("__value")), "__total": F.sum("__w").over(w)})
+        found = F.min(F.when((F.col("__total") > 0) & (F.col("__cum") >= F.col("__total") * q - 1e-12), F.col("__value")))
+        plain = F.percentile(F.when(finite(F.col("__value")), F.col("__value")), F.lit(q))
+        return rows.groupBy(*keys).agg(F.when(F.max("__total") > 0, found).otherwise(plain).alias(name))
     per = written(_distinct(df, keys, value, F.col(weight)))
+    totals = written(per.groupBy("__k").agg(F.sum("amount").alias("all")))
     goal = F.struct(F.lit(0).alias("i"), (F.col("total") * q - 1e-12).alias("goal"), F.lit(False).alias("beyond"))
-    heavy = per.groupBy("__k").agg(F.sum("amount").alias("total")).where("total > 0").select("__k")
-    found = _reached(per.join(heavy, "__k", "left_semi"), F.array(goal)).select(*[F.col("__k")[k].alias(k) for k in keys], F.col("value").alias(name))
-    light = df.withColumn("__key", F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))).join(heavy.withColumnRenamed("__k", "__key"), "__key", "left_anti")
-    plain = exact_quantiles(light, keys, value, [q], name)
-    return found.unionByName(plain.select(*keys, F.col(name)[0].alias(name)))
+    light = totals.where("not coalesce(all > 0, false)").select("__k")
+    if light.isEmpty():
+        return _reached(per, F.array(goal)).select(*[F.col("__k")[k].alias(k) for k in keys], F.col("value").alias(name))
+    found = _reached(per.join(light, "__k", "left_anti"), F.array(goal)).select(*[F.col("__k")[k].alias(k) for k in keys], F.col("value").alias(name))
+    rest = df.withColumn("__k", _key(keys)).join(light, "__k", "left_semi")
+    return found.unionByName(exact_quantiles(rest, keys, value, [q], name).select(*keys, F.col(name)[0].alias(name)))
 
 
 def weighted_mean(x: Column, w: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import series as S
 from stridelake.operators import stats as A
+from stridelake.storage import written
 from stridelake.plans.base import TRACE, query, table, trace
 from stridelake.plans.series import FPS, WIDE, long_joints, r6
 
@@ -122,6 +123,18 @@ def most_common(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(20)
 
 
+@query("merged_sketches", "SELECT l_returnflag AS flag, count(*) AS n, true AS within FROM lineitem GROUP BY l_returnflag")
+def merged_sketches(spark, sf_dir):
+    """Sketches of two runs, stored and merged; the quantiles they give err by a hundredth of the ranks at most, by a count of all rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"), (F.col("l_orderkey") % 2).alias("run"))
+    runs = [written(A.sketches(rows.where(F.col("run") == i), ["flag"], "x")) for i in (0, 1)]
+    qs = [0.1, 0.5, 0.9]
+    found = A.sketched(A.merged_sketches(runs, ["flag"]), ["flag"], qs, "q")
+    below = lambda i, f: F.sum(f(F.col("x"), F.col("q")[i]).cast("long")) / F.first("n")
+    near = [(below(i, lambda x, q: x < q) - 0.01 <= q) & (below(i, lambda x, q: x <= q) + 0.01 >= q) for i, q in enumerate(qs)]
+    return rows.join(found, "flag").groupBy("flag").agg(F.first("n").alias("n"), (near[0] & near[1] & near[2]).alias("within"))
+
+
 @query("weighted_quantile", """WITH v AS (SELECT l_returnflag AS flag, l_extendedprice AS x, sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity END) AS w, count(*) AS c FROM lineitem GROUP BY ALL),
 s AS (SELECT *, sum(w) OVER (PARTITION BY flag ORDER BY x) AS cum, sum(w) OVER (PARTITION BY flag) AS tot FROM v)
 SELECT s.flag, CASE WHEN max(tot) > 0 THEN min(CASE WHEN cum >= 0.95 * tot - 1e-12 THEN x END) ELSE max(p.q) END AS p95 FROM s JOIN (SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.95) AS q FROM lineitem GROUP BY 1) p ON p.flag = s.flag GROUP BY s.flag""")

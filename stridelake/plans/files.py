@@ -9,6 +9,7 @@ from stridelake.operators import grouped as G
 from stridelake.plans.base import TRACE, query, table, trace
 from stridelake.plans.series import r6
 from stridelake.sources import motion_files as MF
+from stridelake.sources import motion_source as MS
 from stridelake.sources import sinks as K
 from stridelake.storage import shared_dir
 
@@ -55,6 +56,16 @@ def joint_trace(spark, sf_dir):
     return MF.read_motion_csv(spark, written_motions(spark, sf_dir)).select("rel_path", "Frame", r6(F.col(KNEE), "knee"))
 
 
+@query("motion_source", f"""WITH {FILES} SELECT rel_path, count(*) AS frames, round(sum(90 + q * 0.01), 3) AS heights, round(sum(q + 3), 3) AS knees FROM w GROUP BY ALL""")
+def motion_source(spark, sf_dir):
+    """A file per motion written and read by the data source, three columns of it."""
+    path = f"{shared_dir(spark)}/motions"
+    for layout in ("humanoid_waist", "humanoid_head"):
+        MS.write_motions(motions(spark, sf_dir, layout).where(F.col("motion") % 2 == int(layout == "humanoid_head")).drop("motion"), path)
+    rows = MS.read_motions(spark, path, ["root_translateZ", KNEE])
+    return rows.groupBy("rel_path").agg(F.count("*").alias("frames"), F.round(F.sum("root_translateZ"), 3).alias("heights"), F.round(F.sum(KNEE), 3).alias("knees"))
+
+
 @query("long_motion_joints", f"WITH {FILES} SELECT rel_path, frame AS Frame, round(sum(q + i), 4) AS total, count(*) AS joints FROM w, range(0, 29) r(i) WHERE motion % 2 = 0 GROUP BY ALL")
 def long_motion_joints(spark, sf_dir):
     long = MF.long_joints(MF.read_motion_csv(spark, f"{written_motions(spark, sf_dir)}/humanoid_waist", "humanoid_waist"))

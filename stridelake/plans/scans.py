@@ -32,7 +32,7 @@ def whole(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.lit(0).alias("series"), F.col("event_id").alias("i"), F.col("value").alias("q"), "event_type")
 
 
-@query("unwrap_whole", f"WITH {WHOLE}, s AS (SELECT i, coalesce({WRAP.format('q', 'lag(q) OVER (ORDER BY i)') if '{0}' in WRAP and '{1}' in WRAP else WRAP.format('q - lag(q) OVER (ORDER BY i)')}, 0) AS d, first_value(q) OVER (ORDER BY i) AS q0 FROM rows) SELECT i, round(q0 + sum(d) OVER (ORDER BY i), 4) AS u FROM s")
+@query("unwrap_whole", f"WITH {WHOLE}, s AS (SELECT i, coalesce({WRAP.format('q - lag(q) OVER (ORDER BY i)')}, 0) AS d, first_value(q) OVER (ORDER BY i) AS q0 FROM rows) SELECT i, round(q0 + sum(d) OVER (ORDER BY i), 4) AS u FROM s")
 def unwrap_whole(spark, sf_dir):
     """Angles of one series as long as the table, in ranges of 1000 rows."""
     found = N.unwrapped(whole(spark, sf_dir), ["series"], "i", "q", "u", 1000)

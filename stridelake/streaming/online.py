@@ -1,9 +1,7 @@
-"""The same operators on streams: windows with watermarks, sessions, online gap clusters."""
+"""The same operators on streams: windows with watermarks, sessions, repeated deliveries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +23,8 @@ def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet"
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Processes what is there, writes it to a table in the shared folder, and returns that table."""
-    spark, out = stream.sparkSession, shared_dir(stream.sparkSession)
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out)
+    spark, out, state = stream.sparkSession, shared_dir(stream.sparkSession), shared_dir(stream.sparkSession)
+    running = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -59,8 +57,3 @@ def first_per_key(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Repeated deliveries within the watermark are dropped."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
-
-def report_batches(stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
-    """Hands every micro-batch to a writer of several report tables."""
-    out = shared_dir(stream.sparkSession)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()

@@ -101,6 +101,17 @@ def scaled_effectors(spark, sf_dir):
     return out.select("pose", "joint", *[r6(F.col(f"t.p.{a}"), a) for a in "xyz"])
 
 
+@query("buffer_effectors", f"WITH {EFFECTORS} SELECT pose, joint, {', '.join(f'round({a}, 5) AS {a}' for a in 'xyz')} FROM effectors")
+def buffer_effectors(spark, sf_dir):
+    """Effectors of whole buffers from local poses: the skeleton is walked level by level, then scaled."""
+    names = F.array(*map(F.lit, ("hip", "hand", "foot")))
+    parents = spark.createDataFrame([(0, -1), (1, 0), (2, 1)], "joint long, parent long")
+    numbered = lambda df: df.withColumn("joint", F.array_position(names, F.col("joint")) - 1)
+    local = J.local_poses(numbered(human_poses(spark, sf_dir)), parents, ["pose"])
+    out = X.buffer_effectors(local, parents, numbered(mapped_joints(spark)), ["pose"], 0, 2)
+    return out.select("pose", F.element_at(names, (F.col("joint") + 1).cast("int")).alias("joint"), *[F.round(f"t.p.{a}", 5).alias(a) for a in "xyz"])
+
+
 @query("scaled_skeleton", f"""WITH {EFFECTORS}, up(joint, parent) AS (VALUES ('hand', 'hip'), ('foot', 'hand')) SELECT c.pose, c.joint, {", ".join(f"round({t}, 6) AS {a}" for a, t in zip("xyz", turned(_matrix_of("p"), [f"(c.{a} - p.{a})" for a in "xyz"], True)))}
 FROM effectors c JOIN up ON up.joint = c.joint JOIN effectors p ON p.pose = c.pose AND p.joint = up.parent UNION ALL SELECT pose, joint, round(x, 6), round(y, 6), round(z, 6) FROM effectors WHERE joint = 'hip' OR NOT EXISTS (SELECT 1 FROM effectors e, up WHERE e.pose = effectors.pose AND up.joint = effectors.joint AND e.joint = up.parent)""")
 def scaled_skeleton(spark, sf_dir):

@@ -133,14 +133,12 @@ def local_pose(spark, sf_dir):
 
 @query("descendants", f"WITH RECURSIVE {TREE}, d AS (SELECT joint, 0 AS depth FROM parents WHERE joint = 2 UNION ALL SELECT p.joint, depth + 1 FROM parents p JOIN d ON p.parent = d.joint) SELECT joint, depth FROM d")
 def descendants(spark, sf_dir):
-    tree(spark, sf_dir).createOrReplaceTempView("stridelake_tree")
-    return spark.sql("WITH RECURSIVE d AS (SELECT joint, 0 AS depth FROM stridelake_tree WHERE joint = 2 UNION ALL SELECT p.joint, depth + 1 FROM stridelake_tree p JOIN d ON p.parent = d.joint) SELECT joint, depth FROM d")
+    return spark.sql("WITH RECURSIVE d AS (SELECT joint, 0 AS depth FROM {tree} WHERE joint = 2 UNION ALL SELECT p.joint, depth + 1 FROM {tree} p JOIN d ON p.parent = d.joint) SELECT joint, depth FROM d", tree=tree(spark, sf_dir))
 
 
 @query("joint_paths", f"WITH RECURSIVE {TREE}, d AS (SELECT joint, 'j' || joint AS path FROM parents WHERE parent < 0 UNION ALL SELECT p.joint, d.path || '/j' || p.joint FROM parents p JOIN d ON p.parent = d.joint) SELECT joint, path FROM d")
 def joint_paths(spark, sf_dir):
-    tree(spark, sf_dir).createOrReplaceTempView("stridelake_tree")
-    return spark.sql("WITH RECURSIVE d AS (SELECT joint, concat('j', joint) AS path FROM stridelake_tree WHERE parent < 0 UNION ALL SELECT p.joint, concat(d.path, '/j', p.joint) FROM stridelake_tree p JOIN d ON p.parent = d.joint) SELECT joint, path FROM d")
+    return spark.sql("WITH RECURSIVE d AS (SELECT joint, concat('j', joint) AS path FROM {tree} WHERE parent < 0 UNION ALL SELECT p.joint, concat(d.path, '/j', p.joint) FROM {tree} p JOIN d ON p.parent = d.joint) SELECT joint, path FROM d", tree=tree(spark, sf_dir))
 
 
 @query("episode_tasks", "SELECT o_orderkey AS episode, c_mktsegment AS task, n_name AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import rotations as R
+from stridelake.operators.kinematics import Body, body_poses
+from stridelake.sources import motion_files as MF
 
 #: One tag with its attributes, whose values may hold angle brackets.
 _TAG = r"""<(?:[^<>"']++|"[^"]*"|'[^']*')*+>"""
@@ -88,3 +90,23 @@ def read_joints(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataF
         "model", "place", F.col("name").alias("joint"), F.col("owner").alias("body"), kind.alias("kind"), axis.alias("axis"), _vec(numbers(attribute(tag, "pos"), 3), (0.0, 0.0, 0.0)).alias("anchor"),
         angle(rest).alias("rest"), angle(ends[0]).alias("lo"), angle(ends[1]).alias("hi"),
     )
+
+
+def poses_of_files(spark: SparkSession, path: str, tree: list[Body]) -> DataFrame:
+    """``(path, body, p, q)`` of pose files: the transforms of bodies where a file has them, else those of the model with the file's root and joint values.
+
+    Joint values are a vector (seven numbers of the root, then the model's joints in order) or named; a joint that is not named is at rest, a root that is not given stands as in the model.
+    """
+    kinds = "robot_body_transforms map<string, array<double>>, robot_root_position array<double>, robot_root_rotation_xyzw array<double>, robot_joints map<string, double>, robot_joint_q array<double>"
+    rows = MF.read_config(spark, path, kinds).withColumn("path", F.col("_metadata.file_path"))
+    base, names = tree[0], [j.name for b in tree for j in b.joints if j.kind != "free"]
+    v = F.col("robot_joint_q")
+    place, turn = F.col("robot_root_position"), F.col("robot_root_rotation_xyzw")
+    own_p, own_q = (F.array(*map(F.lit, x)) for x in (base.place, base.turn))
+    p, q = F.coalesce(F.slice(v, 1, 3), place, own_p), F.coalesce(F.slice(v, 4, 4), turn, own_q)
+    root = R.transform(R.vec(*[p[i] for i in range(3)]), R.normalised(R.quat(*[q[i] for i in range(4)])))
+    values = [F.coalesce(F.get(v, F.lit(7 + i)), F.col("robot_joints")[n]).alias(n) for i, n in enumerate(names)]
+    made = body_poses(rows.where("robot_body_transforms is null").select("path", root.alias("__root"), *values), tree, ["path"], "__root").select("path", "body", "t.p", "t.q")
+    t = F.col("t")
+    held = rows.where("robot_body_transforms is not null").select("path", F.explode("robot_body_transforms").alias("body", "t"))
+    return held.select("path", "body", R.vec(t[0], t[1], t[2]).alias("p"), R.normalised_floor(R.quat(t[3], t[4], t[5], t[6])).alias("q")).unionByName(made)

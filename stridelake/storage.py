@@ -28,17 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    It runs at once, so operators and queries that use it run jobs while they are built; in local mode without ``spark.checkpoint.dir`` the folder is a temporary one of the machine.
+    """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes the folders made for this session so far, once no result that reads them is needed any more; returns how many there were."""
+    """Deletes the folders made for this session so far, with those beside them whose names begin alike, once no result that reads them is needed any more; returns how many there were."""
     folders = _MADE.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}*")
+        system = pattern.getFileSystem(conf)
+        for found in system.globStatus(pattern) or ():
+            system.delete(found.getPath(), True)
     return len(folders)

@@ -1,5 +1,7 @@
 """Models from nested XML and poses along their trees, against plain products of matrices."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,20 @@ def test_what_a_model_lacks(spark, model):
         N.tree_of(*model, "empty")
     assert N.body_poses(frame.drop("tail").where("false"), tree, ["frame"]).isEmpty()
     assert [r.body for r in N.body_poses(frame.drop("tail"), tree, ["frame"], bodies=["tip"]).collect()] == ["tip"]
+
+
+def test_pose_files_with_and_without_transforms(spark, model, tmp_path):
+    tree = N.tree_of(*model, "arm")
+    half = [0.0, 0.0, np.sin(np.pi / 4), np.cos(np.pi / 4)]
+    docs = {
+        "told": {"robot_body_transforms": {"tip": [1, 2, 3, 0, 0, 0, 2]}}, "named": {"robot_root_position": [1, 0, 0], "robot_root_rotation_xyzw": half, "robot_joints": {"swing": 0.1, "slide": 0.5}},
+        "vector": {"robot_joint_q": [1, 0, 0, *half, 0.1, 0.5, 0.0]}, "rest": {"robot_type": "x"},
+    }
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    found = {(r.path.rsplit("/", 1)[1][:-5], r.body): (tuple(r.p), tuple(r.q)) for r in M.poses_of_files(spark, str(tmp_path), tree).collect()}
+    assert found["told", "tip"] == ((1.0, 2.0, 3.0), (0.0, 0.0, 0.0, 1.0)) and ("told", "base") not in found
+    want = place([1, 0, 0], turn([0, 0, 1], np.pi / 2)) @ place([0, 0.5, 0], turn([0, 0, 1], np.pi / 2)) @ place([0.5, 0, 0]) @ place([0, 0, 0.3])
+    for name in ("named", "vector"):
+        assert found[name, "tip"][0] == pytest.approx(want[:3, 3], abs=1e-9)
+    assert found["rest", "base"][0] == (0.0, 0.0, 1.0) and found["rest", "tip"][0] == pytest.approx((0.0, 0.5, 1.3))

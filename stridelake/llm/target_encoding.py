@@ -73,7 +73,7 @@ def earlier(rows: DataFrame, keys: list[str], folds: int, bounds: Column, chunks
     """
     chunk = chunk_of(F.col("time"), bounds, chunks)
     if hot is None:
-        cut = rows.withColumn("chunk", chunk)
+        cut = written(rows.withColumn("chunk", chunk))
     else:
         cut = rows.join(F.broadcast(hot), rows[keys[0]].eqNullSafe(hot["hot_key"]), "left").withColumn("chunk", F.when(F.col("hot"), chunk).otherwise(F.lit(-1))).drop("hot_key", "hot")
     sums = {f"{v}{i}": F.sum(F.when(F.col("fold") == i, F.col(v)).otherwise(0)) for v in "ns" for i in range(folds)}
@@ -86,8 +86,8 @@ def earlier(rows: DataFrame, keys: list[str], folds: int, bounds: Column, chunks
     summed = _met(local.where("asked"), carried, [*keys, "chunk"], keys, "left")
 
     def others(v: str) -> Column:
-        each = [F.col(f"{v}{i}") + F.coalesce(F.col(f"c_{v}{i}"), F.lit(0)) for i in range(folds)]
-        return (reduce(Column.__add__, each) - F.get(F.array(*each), F.col("fold"))).alias(v)
+        each = [F.when(F.col("fold") != i, F.col(f"{v}{i}") + F.coalesce(F.col(f"c_{v}{i}"), F.lit(0))).otherwise(0) for i in range(folds)]
+        return reduce(Column.__add__, each).alias(v)
 
     return summed.select(*keys, "time", "fold", others("n"), others("s"))
 
@@ -128,9 +128,9 @@ def encode(lines: DataFrame, columns: dict[str, DataFrame | None], folds: int =
             rows = rows.join(known.hint("shuffle_hash"), F.col(column) == F.col("key"), "left").drop("key")
         rows = written(rows)
         if base is None:
-            all_rows = written(added_up(rows.withColumn("all", F.lit(0)), ["all"]))
+            all_rows = added_up(rows.withColumn("all", F.lit(0)), ["all"])
             base = written(earlier(all_rows, ["all"], folds, bounds, chunks).select("time", "fold", _rate(F.lit(prior).cast("long"), weight).alias("base")))
-        above = earlier(written(added_up(rows, ["parent"])), ["parent"], folds, bounds, chunks)
+        above = earlier(added_up(rows, ["parent"]), ["parent"], folds, bounds, chunks)
         above = _met(above, base, ["time", "fold"], []).select("parent", "time", "fold", _rate(F.col("base"), weight).alias("above"))
         own = earlier(rows, [column, "parent"], folds, bounds, chunks, hot_keys(rows, column, chunks))
         own = _met(own, above, ["parent", "time", "fold"], ["parent"]).select(column, "time", "fold", F.col("n").alias(f"{column}_n"), _rate(F.col("above"), weight).alias(f"{column}_rate"))
@@ -141,13 +141,14 @@ def encode(lines: DataFrame, columns: dict[str, DataFrame | None], folds: int =
 def sale_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sale_id, item_id, vendor_id, client_id, time, fold, n, s)``: lines of known sales that have a time, added up per sale, item and vendor.
 
-    Of rows that repeat a sale the earliest time, then the least client holds. Null items and clients are -1, a null vendor stays null.
+    Of rows that repeat a sale the earliest time and the least client hold. Null items and clients are -1, a null vendor stays null.
     """
     lines = table(spark, sf_dir, "sale_lines").where("sale_id is not null")
     lines = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "vendor_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("flag") == "returned", 1)).alias("s"))
     sales = table(spark, sf_dir, "sales").where("sale_id is not null and sold_at is not null")
-    sales = sales.groupBy("sale_id").agg(F.min(F.struct("sold_at", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"))).alias("x"))
-    return lines.join(sales, "sale_id").select("sale_id", "item_id", "vendor_id", "x.client_id", micros(F.col("x.sold_at")).alias("time"), fold_of("sale_id", FOLDS).alias("fold"), "n", "s")
+    sales = sales.groupBy("sale_id").agg(F.min(micros(F.col("sold_at"))).alias("time"), F.min(F.coalesce("client_id", F.lit(-1)).cast("long")).alias("client_id"))
+    known = written(sales.withColumn("fold", fold_of("sale_id", FOLDS)))  # as a table, so that partitions of a sale of many lines can be split in the join
+    return lines.join(known.hint("shuffle_hash"), "sale_id").select("sale_id", "item_id", "vendor_id", "client_id", "time", "fold", "n", "s")
 
 
 def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

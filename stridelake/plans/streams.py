@@ -93,19 +93,20 @@ def stream_clusters(spark, sf_dir):
     return found.select("key", "start", "last", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("turned", "mean", "std")])
 
 
-SETTLED = "(SELECT max(ts) - INTERVAL 60 MINUTE FROM events WHERE event_type IN ('click', 'purchase'))"
+SETTLED = "(SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 60 MINUTE FROM events)"
 
 
 @query("stream_following", f"""WITH c AS (SELECT event_id AS click, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT event_id AS purchase, user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT click, c.user_id, purchase FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 20 MINUTE WHERE c.ts < {SETTLED}""")
 def stream_following(spark, sf_dir):
-    """Two streams: clicks with the purchases of the user within 20 minutes, null where none came; clicks of the last hour are left out."""
+    """Two streams: clicks with the purchases of the user within 20 minutes, null where none came; clicks of the last hour before the end of either stream are left out."""
     folder = shuffled_deliveries(spark, sf_dir)
     rows = lambda kind: O.event_stream(spark, folder, "*.parquet", per_batch=1).where(F.col("event_type") == kind)
     clicks = rows("click").select(F.col("event_id").alias("click"), "user_id", F.col("ts").alias("clicked"))
     purchases = rows("purchase").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("bought"))
     found = O.run_to_end(W.following(clicks, purchases, "user_id", ("clicked", "bought"), "10 minutes", "20 minutes", outer=True))
-    last = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").agg((F.max("ts").cast("timestamp") - F.expr("interval 60 minutes")).alias("settled"))
+    end = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts"))).cast("timestamp")
+    last = table(spark, sf_dir, "events").agg((F.least(end("click"), end("purchase")) - F.expr("interval 60 minutes")).alias("settled"))
     return found.join(F.broadcast(last), F.col("clicked") < F.col("settled")).select("click", "user_id", "purchase")
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stridelake.operators import stats as A
 
@@ -53,3 +54,17 @@ def test_weighted_quantile(spark, small):
         total = part.w.sum()
         want = np.quantile(part.x, 0.9) if total == 0 else part.x[part.w.cumsum() >= total * 0.9 - 1e-12].iloc[0]
         assert found[k] == pytest.approx(want)
+
+
+def test_quantile_to_the_last_bit_of_duckdb(spark):
+    """``F.percentile`` differs in the last bit for every tenth group, so that values at the quantile fell on its other side (low_contact, support_mask)."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"k": rng.integers(0, 300, 18_000), "x": np.round(rng.exponential(50, 18_000), 2)})
+    rows.loc[rng.integers(0, 18_000, 50), "x"] = None
+    for q in (0.1, 0.2, 0.95, 0.99):
+        found = {r.k: r.q for r in spark.createDataFrame(rows).withColumn("x", F.nanvl("x", F.lit(None))).groupBy("k").agg(A.percentile(F.col("x"), q).alias("q")).collect()}
+        assert found == dict(duckdb.sql(f"SELECT k, quantile_cont(x, {q}) FROM rows WHERE NOT isnan(x) GROUP BY k").fetchall())
+    few = spark.createDataFrame([(1, None), (2, 3.5), (3, float("inf")), (3, 1.0)], "k int, x double").groupBy("k").agg(A.percentile(F.col("x"), 0.5).alias("q")).collect()
+    assert {r.k: r.q for r in few} == {1: None, 2: 3.5, 3: float("inf")}

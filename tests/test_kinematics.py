@@ -1,6 +1,7 @@
 """Models from nested XML and poses along their trees, against plain products of matrices."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -98,3 +99,18 @@ def test_pose_files_with_and_without_transforms(spark, model, tmp_path):
     for name in ("named", "vector"):
         assert found[name, "tip"][0] == pytest.approx(want[:3, 3], abs=1e-9)
     assert found["rest", "base"][0] == (0.0, 0.0, 1.0) and found["rest", "tip"][0] == pytest.approx((0.0, 0.5, 1.3))
+
+
+def test_deep_trees_are_computed_once_a_body(spark):
+    """A chain of 40 hinges: each level once held the expressions of all above it, some milliseconds a frame for a humanoid (body_poses, evidence_from_model)."""
+    tree = [N.Body(f"b{i}", f"b{i - 1}" if i else None, i, (1.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0), (N.Joint(f"j{i}", "hinge", (0.0, 0.0, 1.0), (0.0, 0.0, 0.0), 0.0),)) for i in range(40)]
+    base = F.from_json(F.when(F.col("id") != 7, F.lit('{"p": {"x": 2.0, "y": 0.0, "z": 0.5}, "q": {"x": 0.0, "y": 0.0, "z": 0.0, "w": 1.0}}')), "p struct<x: double, y: double, z: double>, q struct<x: double, y: double, z: double, w: double>")
+    rows = spark.range(3000).select("id", base.alias("root"), *[(F.col("id") % 5 * 0.01).alias(f"j{i}") for i in range(40)])
+    poses = N.body_poses(rows, tree, ["id"], "root", ["b39"])
+    assert "lambdafunction" not in poses._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.id: r.t for r in poses.collect()}
+    assert len(found) == 3000 and found[7].p.x is None
+    for i in (0, 1, 2999):
+        turn = i % 5 * 0.01
+        assert abs(found[i].p.x - (2 + sum(math.cos(k * turn) for k in range(40)))) < 1e-9 and abs(found[i].p.y - sum(math.sin(k * turn) for k in range(40))) < 1e-9
+        assert abs(found[i].q.z - math.sin(20 * turn)) < 1e-9 and found[i].p.z == 0.5

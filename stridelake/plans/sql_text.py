@@ -33,5 +33,5 @@ def sql_motion_jumps(spark, sf_dir):
 def sql_skeleton_rows(spark, sf_dir):
     """Skeleton files as rows by a table function joined to the files' texts."""
     Q.register(spark)
-    files = spark.read.text(skeleton_files(spark, sf_dir), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").selectExpr("bigint(regexp_extract(_metadata.file_path, 'motion=([0-9]+)', 1)) AS motion", "value")
+    files = spark.read.parquet(skeleton_files(spark, sf_dir)).selectExpr("bigint(regexp_extract(path, 'motion=([0-9]+)', 1)) AS motion", "value")
     return spark.sql("SELECT motion, frame, joint, channel, place, round(s.value, 6) AS value FROM {files} f, LATERAL skeleton_rows(f.value) s WHERE channel IS NOT NULL", files=files)

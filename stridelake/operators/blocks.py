@@ -22,14 +22,14 @@ class Meeting(Protocol):
     def result(self) -> pa.RecordBatch: ...
 
 
-def paired(held: DataFrame, streamed: DataFrame, n_held: int, n_streamed: int) -> DataFrame:
-    """``(a, b, held, id, v)`` of both tables ``(id, v)``: every pair of blocks (a, b) is one run of a partition, its held rows first.
+def paired(held: DataFrame, streamed: DataFrame, n_held: int, n_streamed: int, block_rows: int | None = None) -> DataFrame:
+    """``(a, b, held, id, v)`` of both tables ``(id, v)``: every pair of blocks (a, b) is one run of a partition, its held rows (about ``block_rows``, or ``HELD``) first.
 
     Rows are dealt to blocks by a hash of the id. Each row is sent once for every block of the other side, so what is shuffled grows with the product
     of the tables over the size of a block, as the comparisons do over its square.
     """
     parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks_a = max(1, -(-n_held // HELD))
+    blocks_a = max(1, -(-n_held // (block_rows or HELD)))
     blocks_b = max(1, min(n_streamed, max(-(-parts // blocks_a), -(-n_streamed // STREAMED))))
 
     def block(n: int) -> Column:

@@ -63,13 +63,78 @@ class CellSearch:
         self.compared += hi - lo
         distance = np.abs(self.vertical[:, lo:hi] - row[:, None]).sum(axis=0)
         ids = self.ids[lo:hi]
-        near = np.flatnonzero((distance <= limit) & (ids != own))
+        near = np.flatnonzero((distance <= reach) & (ids != own))
         if len(near) > self.k:
-            near = near[distance[near] <= np.partition(distance[near], self.k - 1)[self.k - 1]]
-        near = near[np.lexsort((ids[near], distance[near]))][: self.k]
+            near = near[distance[near] <= np.partition(distance[near], self.k - 1)[self.k - 1] + 1e-11]
+        near = near[np.lexsort((ids[near], np.round(distance[near], 12)))][: self.k]
         return ids[near], distance[near]
 
 
+#: Waves and factors, found by search: the sum of c (1 - cos(w x)) is |x| at most on [-1, 1], and 0.022 less on average for differences of normal values.
+WAVES, FACTORS = (1.4517 * np.pi, 4.1553 * np.pi), (0.292, 0.038)
+
+
+class BlockSearch:
+    """A block of rows that all rows of another block look at: products of matrices tell which pairs can be near, their distances alone are taken.
+
+    A cosine of a difference is a product of cosines and sines of both sides, so the sum of all features' waves is one product of rows. It bounds the
+    distance from below whatever the data; the room left for single precision is above its worst error. A row's limit is of the rows that seem nearest.
+    """
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+        order = np.argsort(ids)
+        self.ids, self.rows, self.low, self.k = ids[order], rows[order], low, k
+        self.span = high - low
+        self.held = np.ascontiguousarray(self._waves(self.rows).T)
+        self.room = 2e-5 * self.span.sum()
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tile = max(16, (1 << 22) // len(ids))
+        self.compared = 0
+
+    def _waves(self, rows: np.ndarray) -> np.ndarray:
+        moved = self.span > 0
+        angle = (rows[:, moved] - self.low[moved]) / self.span[moved]
+        parts = [f(angle * w) * np.sqrt(self.span[moved] * c) for w, c in zip(WAVES, FACTORS) for f in (np.cos, np.sin)]
+        return np.concatenate(parts, axis=1).astype(np.float32)
+
+    def _distance(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        apart = self.rows[at]
+        apart -= row
+        return np.abs(apart, out=apart).sum(axis=-1)
+
+    def _limits(self, product: np.ndarray, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """A distance that k other rows of the block don't exceed: that of the best of the best groups of places, infinite if there are too few."""
+        groups, some = len(self.ids) // 64, self.k + 1
+        if groups <= some:
+            return np.full(len(rows), np.inf)
+        best = product[:, : groups * 64].reshape(len(rows), 64, groups).max(axis=1)
+        places = np.argpartition(-best, some - 1, axis=1)[:, :some, None] + groups * np.arange(64)
+        chosen = np.take_along_axis(places, np.take_along_axis(product[:, None, :], places, axis=2).argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+        distance = self._distance(chosen, rows[:, None, :])
+        distance[self.ids[chosen] == own[:, None]] = np.inf
+        return np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
+
+    def feed(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        for at in range(0, len(ids), self.tile):
+            own, rows = ids[at : at + self.tile], matrix[at : at + self.tile]
+            product = self._waves(rows) @ self.held
+            least = self.span.sum() * sum(FACTORS) - self.room - self._limits(product, own, rows) - 1e-11
+            asks, places = np.divmod(np.flatnonzero(product >= least.astype(np.float32)[:, None]), len(self.ids))
+            other = self.ids[places] != own[asks]
+            asks, places = asks[other], places[other]
+            self.compared += len(asks)
+            cuts = np.searchsorted(asks, np.arange(len(own) + 1))
+            distance = np.concatenate([self._distance(places[lo:hi], row) for lo, hi, row in zip(cuts, cuts[1:], rows)])
+            order = np.lexsort((places, np.round(distance, 12), asks))
+            asks, places, distance = asks[order], places[order], distance[order]
+            first = np.arange(len(asks)) - np.searchsorted(asks, asks) < self.k
+            self.found.append((own[asks[first]], self.ids[places[first]], distance[first]))
+
+    def result(self) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*self.found)] if self.found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "neighbor", "distance"])
+
+
 #: Rows of a cell (about), and cells at most: a pivot each, all of which a task knows; pivots whose distances bound whole cells.
 CELL, CELLS, PIVOTS = 2048, 1024, 8
 
@@ -133,17 +198,34 @@ def _asked_of_cells(placed: DataFrame, asked: DataFrame, sizes: dict[int, int],
     return dealt.mapInArrow(of_batches, "id long, neighbor long, distance double")
 
 
+#: Rows (about) that tell what the bounds of cells leave, and the share of all pairs up to which cells are searched. Beyond, products of blocks cost less than the search of what is left.
+PROBED, WORTH = 4096, 1 / 16
+#: Blocks of ``blocks.HELD`` rows that a task of :class:`BlockSearch` holds.
+BLOCKS = 4
+
+
+def _in_blocks(rows: DataFrame, n: int, k: int, width: int) -> DataFrame:
+    """``(id, neighbor, distance)``: the k nearest of every row in every block."""
+    ends = rows.agg(*[f(F.col("v")[i]).alias(f"{name}{i}") for i in range(width) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    low, high = (np.array([ends[f"{name}{i}"] for i in range(width)]) for name in ("lo", "hi"))
+    pairs = B.paired(rows, rows, n, n, BLOCKS * B.HELD)
+    return pairs.mapInArrow(B.meetings(width, lambda ids, held: BlockSearch(ids, held, low, high, k)), "id long, neighbor long, distance double")
+
+
 def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float], k: int, cell_rows: int = CELL) -> DataFrame:
-    """``(id, rank, neighbor, distance)``: the k nearest other rows by weighted L1, ties to the smaller id. Ids must be unique, values numbers.
+    """``(id, rank, neighbor, distance)``: the k nearest other rows by weighted L1 to 12 digits, ties to the smaller id. Ids must be unique, values numbers.
 
     Rows are dealt to the cells of pivots, a bounded sample of rows. Each row first searches its own cell; the k-th distance there is its limit. It is then sent to those other cells
     alone that may hold a nearer row by the triangle inequality: its distance to their pivot less their radius, and to ``PIVOTS`` further pivots outside their range, are lower bounds. In a
-    cell it looks at the rows whose distance to the pivot is near its own. What is pruned depends on the data (little where all rows are about as far from each other); the
-    result doesn't. The driver gets the pivots and a few numbers a cell.
+    cell it looks at the rows whose distance to the pivot is near its own. What is pruned depends on the data (little where all rows are about as far from each other); some rows
+    are asked first, and if cells leave too many pairs, all rows meet in blocks instead (:class:`BlockSearch`). The result is the same. The driver gets the pivots and a few numbers a cell.
     """
     values = F.array(*[F.col(c).cast("double") * w for c, w in zip(features, weights)])
     rows = written(df.select(F.col(id_col).cast("long").alias("id"), values.alias("v")))
-    width, cells = len(features), max(1, min(CELLS, rows.count() // cell_rows))
+    width, n = len(features), rows.count()
+    cells = max(1, min(CELLS, n // cell_rows))
+    if cells == 1 and n:
+        return _ranked(_in_blocks(rows, n, k, width), k)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
     pivots = np.array([r["v"] for r in sample]).reshape(-1, width)
     if not len(pivots):
@@ -152,10 +234,7 @@ def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float
     some = list(range(min(PIVOTS, cells)))
     about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), *[f(F.col("p")[i]).alias(f"{n}{i}") for i in some for n, f in (("lo", F.min), ("hi", F.max))]).collect()
     sizes = {r["cell"]: r["n"] for r in about}
-    own = written(_ranked(_asked_of_cells(placed, placed.select("id", "v", F.lit(float("inf")).alias("limit"), "cell", "away"), sizes, k, width), k))
-    limits = own.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
-    asking = placed.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-    bounds = F.array(*[F.struct(F.lit(r["cell"]).alias("cell"), F.lit(float(r["radius"])).alias("radius"), F.array(*[F.lit(float(r[f"lo{i}"])) for i in some]).alias("lo"), F.array(*[F.lit(float(r[f"hi{i}"])) for i in some]).alias("hi")) for r in about])
+    bounds = F.array(*[F.struct(F.lit(r["cell"]).alias("cell"), F.lit(r["n"]).alias("n"), F.lit(float(r["radius"])).alias("radius"), F.array(*[F.lit(float(r[f"lo{i}"])) for i in some]).alias("lo"), F.array(*[F.lit(float(r[f"hi{i}"])) for i in some]).alias("hi")) for r in about])
     room = F.col("limit") * (1 + 1e-9) + 1e-9
 
     def reaches(c: Column) -> Column:
@@ -164,13 +243,26 @@ def nearest(df: DataFrame, id_col: str, features: list[str], weights: list[float
             near = near & (F.col("p")[i] - c["hi"][i] <= room) & (c["lo"][i] - F.col("p")[i] <= room)
         return near & (c["cell"] != F.col("cell"))
 
-    others = asking.select("id", "v", "limit", "p", F.explode(F.filter(bounds, reaches)).alias("c")).select("id", "v", "limit", F.col("c.cell").alias("cell"), F.get("p", F.col("c.cell")).alias("away"))
+    def asking(callers: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What rows find in their own cells, and the rows with their limits and the other cells ``cs`` they reach."""
+        own = written(_ranked(_asked_of_cells(placed, callers.select("id", "v", F.lit(float("inf")).alias("limit"), "cell", "away"), sizes, k, width), k))
+        limits = own.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
+        limited = callers.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        return own, limited.select("id", "v", "limit", "p", "cell", F.filter(bounds, reaches).alias("cs"))
+
+    probed = asking(placed.where(F.pmod(F.xxhash64("id", F.lit(1)), max(1, n // PROBED)) == 0))[1]
+    left = F.aggregate("cs", F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    share = probed.agg(F.avg(left + F.element_at(F.create_map(*[F.lit(x) for c in sizes.items() for x in c]), F.col("cell")))).first()[0]
+    if share is None or share > WORTH * n:
+        return _ranked(_in_blocks(rows, n, k, width), k)
+    own, reached = asking(placed)
+    others = reached.select("id", "v", "limit", "p", F.explode("cs").alias("c")).select("id", "v", "limit", F.col("c.cell").alias("cell"), F.get("p", F.col("c.cell")).alias("away"))
     found = own.select("id", "neighbor", "distance").unionByName(_asked_of_cells(placed, written(others), sizes, k, width))
     return _ranked(found, k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
 
 

@@ -51,7 +51,8 @@ def knn_l1(spark, sf_dir):
 @query("knn_group_breakdown", f"""WITH {NEAREST} SELECT k.id, k.neighbor, {", ".join(f"round(sum(abs(a.x - b.x) * a.w) FILTER (WHERE a.i % 4 = {i}), 6) AS group_weighted_{g}" for i, g in enumerate(GROUPS))}
 FROM knn k JOIN s a ON a.id = k.id JOIN s b ON b.id = k.neighbor AND b.i = a.i GROUP BY ALL""")
 def knn_group_breakdown(spark, sf_dir):
-    out = K.group_breakdown(knn(spark, sf_dir), scaled(spark, sf_dir), "id", FEATURES, WEIGHTS)
+    rows = written(scaled(spark, sf_dir))  # searched and joined twice
+    out = K.group_breakdown(written(K.nearest(rows, "id", FEATURES, WEIGHTS, 5)), rows, "id", FEATURES, WEIGHTS)
     return out.select("id", "neighbor", *[r6(F.col(f"group_weighted_{g}"), f"group_weighted_{g}") for g in GROUPS])
 
 
@@ -106,13 +107,14 @@ c AS (SELECT id, (row_number() OVER (ORDER BY id % 17, id) - 1) / (count(*) OVER
 x AS (SELECT r.id, distance, p50, lo, rank01, CASE WHEN (id + neighbor) % 2 = 0 AND distance <= p20 THEN 'mirror_dense_pair' WHEN id % 3 = 0 AND distance <= p50 THEN 'low_dynamic_dense_family' WHEN distance <= p50 THEN 'general_dense_neighbor' ELSE 'fallback_low_priority' END AS reason FROM r JOIN c USING (id), p)
 SELECT id, reason, round(CASE reason WHEN 'mirror_dense_pair' THEN 5 WHEN 'low_dynamic_dense_family' THEN 3 WHEN 'general_dense_neighbor' THEN 1.5 ELSE 0 END + 2 * greatest(0, least(1, (p50 - distance) / greatest(p50 - lo, 1e-9))) + 1.25 * (1 - rank01) + 0.5 * (1 - (id % 10) / 10.0), 5)::DOUBLE AS priority FROM x""")
 def density_priority(spark, sf_dir):
-    return priorities(spark, sf_dir).select("id", "reason", F.round("priority", 5).alias("priority"))
+    return priorities(knn(spark, sf_dir)).select("id", "reason", F.round("priority", 5).alias("priority"))
 
 
-def priorities(spark, sf_dir):
+def priorities(near):
+    """Why and how early each row of ``near``, the edges to its nearest, would be removed."""
     from stridelake.operators.series import rank01
 
-    first = knn(spark, sf_dir).where("rank = 1").select("id", "neighbor", "distance")
+    first = near.where("rank = 1").select("id", "neighbor", "distance")
     cuts = A.exact_quantiles(first, [], "distance", [0.2, 0.5, 0.0], "q")
     limits = cuts.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("p20", "p50", "lo"))], F.lit(1).alias("one"))
     ranked = rank01(first.withColumn("m", F.col("id") % 17), [F.col("m"), F.col("id")]).withColumn("one", F.lit(1)).join(F.broadcast(limits), "one")
@@ -126,7 +128,7 @@ def density_select(spark, sf_dir):
     """Two thirds of all motions stay. Sequential by its definition: tested against a plain version."""
     side = F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("balanced")), (F.col("id") % 3 + 1).cast("int"))
     near = knn(spark, sf_dir)
-    nodes = written(priorities(spark, sf_dir)).select("id", "priority", side.alias("side"), (F.col("id") % 5 != 0).alias("removable"))
+    nodes = written(priorities(near)).select("id", "priority", side.alias("side"), (F.col("id") % 5 != 0).alias("removable"))
     edges = near.select(F.col("id").alias("a"), F.col("neighbor").alias("b"), "distance", "rank")
     return L.density_select(nodes, edges, nodes.count() * 2 // 3)
 

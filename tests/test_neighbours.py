@@ -52,3 +52,39 @@ def test_a_cell_compares_few():
     for i in range(200):
         search.nearest(i, rows[order[i]], away[order[i]], 0.02)
     assert search.compared < 0.3 * 200 * 3000
+
+
+def test_waves_bound_the_distance():
+    d = np.linspace(0, 1, 1_000_001)
+    assert (sum(c * (1 - np.cos(w * d)) for w, c in zip(K.WAVES, K.FACTORS)) <= d).all()
+
+
+@pytest.mark.parametrize("kind", ["uniform", "normal", "copies", "flat"])
+def test_blocks_compare_few_where_cells_save_nothing(kind):
+    rng = np.random.default_rng(5)
+    rows = rng.uniform(-3, 9, (6000, 64)) if kind == "uniform" else 1e6 + rng.normal(0, 0.2, (6000, 64)).clip(-0.5, 0.5)
+    rows[:, 7] = 0.5
+    if kind == "copies":
+        rows[::3] = rows[:2000]
+    if kind == "flat":
+        rows[:] = rows[0]
+        rows[1:40, 3] += 1e-3
+    ids = rng.permutation(20000)[:6000]
+    search = K.BlockSearch(ids, rows, rows.min(axis=0), rows.max(axis=0), 5)
+    search.feed(ids[:150], rows[:150])
+    made = search.result().to_pandas().groupby("id").neighbor.apply(list)
+    for i in range(150):
+        away = np.abs(rows - rows[i]).sum(axis=1)
+        away[i] = np.inf
+        assert made[ids[i]] == ids[np.lexsort((ids, np.round(away, 12)))[:5]].tolist()
+    assert kind == "flat" or search.compared < 0.1 * 150 * 6000
+
+
+def test_both_ways_agree(spark, monkeypatch):
+    monkeypatch.setattr(K.B, "HELD", 60), monkeypatch.setattr(K.B, "STREAMED", 90)
+    rows, weights = table(500, "clusters"), [0.5, 1.0, 1.0, 2.0, 0.25, 1.0]
+    found = []
+    for worth in (2.0, -1.0):
+        monkeypatch.setattr(K, "WORTH", worth)
+        found.append({(r.id, r["rank"]): (r.neighbor, round(r.distance, 9)) for r in K.nearest(spark.createDataFrame(rows), "id", [f"f{i}" for i in range(6)], weights, 4, cell_rows=40).collect()})
+    assert found[0] == found[1] and len(found[0]) == 2000

@@ -21,7 +21,7 @@ def rounded(df, *same):
 SELECT flag, round(avg(x), 6) AS x_mean, round(stddev_pop(x), 6) AS x_std, max(x) AS x_max, min(x) AS x_min, round(max(x) - min(x), 6) AS x_range, round(quantile_cont(x, 0.05), 6) AS x_p05, round(quantile_cont(x, 0.5), 6) AS x_p50, round(quantile_cont(x, 0.95), 6) AS x_p95 FROM f GROUP BY flag""")
 def finite_stats(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("x"))
-    return rounded(v.groupBy("flag").agg(*A.finite_stats(F.col("x"), "x")))
+    return rounded(A.finite_stats_of(v, ["flag"], "x", "x"))
 
 
 @query("correlation", """SELECT l_returnflag AS flag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) AS r, 0.0::DOUBLE AS constant FROM lineitem GROUP BY ALL""")

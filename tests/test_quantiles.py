@@ -68,3 +68,12 @@ def test_quantile_to_the_last_bit_of_duckdb(spark):
         assert found == dict(duckdb.sql(f"SELECT k, quantile_cont(x, {q}) FROM rows WHERE NOT isnan(x) GROUP BY k").fetchall())
     few = spark.createDataFrame([(1, None), (2, 3.5), (3, float("inf")), (3, 1.0)], "k int, x double").groupBy("k").agg(A.percentile(F.col("x"), 0.5).alias("q")).collect()
     assert {r.k: r.q for r in few} == {1: None, 2: 3.5, 3: float("inf")}
+
+
+def test_finite_stats_of_large_keys(spark):
+    """No key's values are gathered for its quantiles; keys without finite values and null keys have a row."""
+    rows = [("a", float(i)) for i in range(101)] + [("b", float("nan")), ("b", None), (None, 3.0), (None, 5.0)]
+    df = A.finite_stats_of(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", "x")
+    assert "percentile(" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: tuple(round(v, 9) for v in (r.x_mean, r.x_min, r.x_p05, r.x_p50, r.x_p95)) for r in df.collect()}
+    assert got == {"a": (50.0, 0.0, 5.0, 50.0, 95.0), "b": (0.0,) * 5, None: (4.0, 3.0, 3.1, 4.0, 4.9)}

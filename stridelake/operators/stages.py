@@ -27,7 +27,10 @@ def repair_stage(frames: DataFrame, chain: Callable[[Column], Column], limit: fl
     motions = written(motions)
     spikes = motions.where("risk = 'repairable_transient_spike'").select("motion")
     asked = clusters.join(spikes, "motion", "left_semi").select("motion", F.explode("joints").alias("joint"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
-    repaired = written(G.repair_clusters(frames.join(spikes, "motion", "left_semi"), asked, limit))
+    told = written(asked)
+    some = frames.join(spikes, "motion", "left_semi")
+    still = some.join(told, keys, "left_anti").select(*keys, "frame", F.col("q").cast("double").alias("q"), F.col("q").cast("double").alias("repaired"))  # series without a cluster
+    repaired = written(G.repair_clusters(some.join(told, keys, "left_semi"), told, limit).unionByName(still))
     _, after = E.transient_motions(steps(repaired, "repaired"), "motion", limit, gap)
     checked = motions.join(after.select("motion", F.col("risk").alias("postcheck_risk"), F.col("events").alias("postcheck_events")), "motion", "left")
     mended = F.col("risk") == "repairable_transient_spike"

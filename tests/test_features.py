@@ -119,3 +119,17 @@ def test_every_feature_of_every_motion(spark):
         assert len(want) == 153 and set(want) == {c for c in got[m] if "__" in c}
         wrong = {k: (v, got[m][k]) for k, v in want.items() if not np.isclose(v, got[m][k], rtol=1e-6, atol=1e-7)}
         assert not wrong, (m, wrong)
+
+
+def test_only_series_with_clusters_are_repaired(spark, monkeypatch):
+    """A repair in Python gets the joints that have a cluster; the motion's others come back as they were."""
+    from stridelake.functions import names as N
+    from stridelake.operators import stages as T
+    from stridelake.plans.curation import stage_frames
+
+    given, repair = [], T.G.repair_clusters
+    monkeypatch.setattr(T.G, "repair_clusters", lambda frames, clusters, limit: given.append(frames) or repair(frames, clusters, limit))
+    frames = stage_frames(spark, SF)
+    manifest, accepted = T.repair_stage(frames, N.chain, 30.0)
+    assert {r.joint for r in given[0].select("joint").distinct().collect()} == {"left_elbow"}
+    assert accepted.count() == frames.join(manifest.where("decision = 'accepted'"), "motion", "left_semi").count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import rotations as R
@@ -122,7 +122,12 @@ def smooth_residual(df: DataFrame, keys: list[str], weight: float, value: str =
 
 
 def relative_bodies(bodies: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """Body poses ``bodies(keys, body, t)`` relative to the body that ``parents(body, parent)`` names: one join of the table with itself."""
-    above = bodies.select(*keys, F.col("body").alias("parent"), F.col("t").alias("__above"))
-    rows = bodies.join(parents, "body").join(above, [*keys, "parent"])
-    return rows.select(*keys, "body", R.compose(R.inverse(F.col("__above")), F.col("t")).alias("t"))
+    """Body poses ``bodies(keys, body, t)`` relative to the body that ``parents(body, parent)`` names.
+
+    The bodies of one pose meet in a window over the keys, so rows are never dealt by a body's name; rows that lie by a part of the keys stay where they are. ``parents`` are a skeleton's bodies, so it is broadcast.
+    """
+    known = bodies.where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x))
+    all_of = F.collect_list(F.struct("body", "t")).over(Window.partitionBy(*keys))
+    rows = known.withColumn("__all", all_of).join(F.broadcast(parents), "body")
+    rows = rows.withColumn("__above", F.explode(F.filter("__all", lambda x: x["body"] == F.col("parent"))))
+    return rows.select(*keys, "body", R.compose(R.inverse(F.col("__above.t")), F.col("t")).alias("t"))

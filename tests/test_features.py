@@ -1,5 +1,7 @@
 """All diversity features against NumPy, motion by motion."""
 
+import re
+
 import numpy as np
 
 from stridelake.operators import features as D
@@ -133,3 +135,23 @@ def test_only_series_with_clusters_are_repaired(spark, monkeypatch):
     manifest, accepted = T.repair_stage(frames, N.chain, 30.0)
     assert {r.joint for r in given[0].select("joint").distinct().collect()} == {"left_elbow"}
     assert accepted.count() == frames.join(manifest.where("decision = 'accepted'"), "motion", "left_semi").count()
+
+
+def test_joints_and_bodies_are_sorted_once(spark):
+    """Percentiles are windows in the order that the steps need, and partitions of multiplied rows aren't joined by the bytes of the events (diversity_features)."""
+    _, joints, bodies = tables(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df, by in ((D.joint_features(joints, "motion", FPS), "joint"), (D.body_features(bodies, "motion", FPS)[0].select("motion", "dynamics_complexity__fk_head_acc_p95_m_s2", "foot_gait_proxy__fk_left_contact_proxy_ratio"), "body")):
+        told = plan(df)
+        assert len(re.findall(rf"Sort \[motion#\w+ ASC NULLS FIRST, {by}#", told)) == 1 and "ObjectHashAggregate" not in told and "SortMergeJoin" not in told
+        assert "REPARTITION_BY_NUM" in told
+
+
+def test_joints_without_steps(spark):
+    """One frame has no step: means and percentiles of speeds are null there, those of two frames stand on one step, accelerations on none."""
+    rows = spark.createDataFrame([("one", 0, "left_knee_joint", 5.0), ("two", 0, "left_knee_joint", 5.0), ("two", 1, "left_knee_joint", 8.0), ("two", 0, "waist_yaw_joint", 1.0), ("two", 1, "waist_yaw_joint", 2.0)], "motion string, frame int, joint string, q double")
+    got = {r.motion: r for r in D.joint_features(rows, "motion", 10.0).collect()}
+    of = lambda m, *names: [got[m][f"dynamics_complexity__{n}"] for n in names]
+    assert of("one", "joint_vel_mean_abs_deg_s", "joint_vel_p95_abs_deg_s", "joint_acc_p95_abs_deg_s2", "complexity_energy") == [None] * 4
+    assert np.allclose(of("two", "joint_vel_mean_abs_deg_s", "joint_vel_p95_abs_deg_s", "joint_vel_max_abs_deg_s", "complexity_energy"), [20, 29, 30, 500])
+    assert of("two", "joint_acc_mean_abs_deg_s2", "joint_jerk_max_abs_deg_s3") == [None, None] and got["two"]["foot_gait_proxy__lower_joint_vel_p95_abs_deg_s"] == 30

@@ -166,7 +166,7 @@ def relative_bodies(spark, sf_dir):
     """The hand as the foot sees it."""
     from stridelake.plans.files import bodies
 
-    posed = bodies(spark, sf_dir).select("motion", "frame", "body", R.transform(F.col("p"), F.col("q")).alias("t"))
+    posed = bodies(spark, sf_dir, spread=True).select("motion", "frame", "body", R.transform(F.col("p"), F.col("q")).alias("t"))
     parents = spark.createDataFrame([("hand", "foot")], "body string, parent string")
     out = X.relative_bodies(posed, parents, ["motion", "frame"])
     return out.select("motion", "frame", *[(F.round(F.col(f"t.p.{a}"), 6) + 0.0).alias(a) for a in "xyz"])

@@ -35,6 +35,6 @@ def test_no_row_is_dealt_by_a_name(spark):
         conformed = plan(J.conformed(frames, spark.range(4).select(F.col("id").alias("joint"), F.lit(0.5).alias("ref")), ["motion"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert set(re.findall(r"hashpartitioning\((\w+)#", relative)) == {"user_id"}
+    assert set(re.findall(r"hashpartitioning\((\w+)#", relative)) == {"user_id"} and "REPARTITION_BY_NUM" in relative
     alone = r"hashpartitioning\((joint|subset|__j|_w\d+)#\w+, \d+\)"
     assert not any(re.search(alone, p) for p in (scaled, buffers, chosen, conformed))
